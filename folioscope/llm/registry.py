@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, langid, ogg
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op5_langid": langid.op5_langid,
+    "op6_ogg": ogg.op6_ogg,
 }
 
 SQL: dict[str, str] = {}
