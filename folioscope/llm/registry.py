@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, ogg
+from . import bpe, importance, langid, ogg
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op5_langid": langid.op5_langid,
     "op6_ogg": ogg.op6_ogg,
+    "op9_quality": importance.op9_quality,
 }
 
 SQL: dict[str, str] = {}
