@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, importance, langid, ogg
+from . import bpe, importance, langid, ogg, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op5_langid": langid.op5_langid,
     "op6_ogg": ogg.op6_ogg,
     "op9_quality": importance.op9_quality,
