@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe, importance, langid, ogg, toxicity
+from . import bpe, importance, langid, lines, mixing, ogg, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op2_lines": lines.op2_lines,
     "op3_toxicity": toxicity.op3_toxicity,
     "op5_langid": langid.op5_langid,
     "op6_ogg": ogg.op6_ogg,
     "op9_quality": importance.op9_quality,
+    "op10_mixing": mixing.op10_mixing,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_lines": lines.OP2_SQL,
+    "op10_mixing": mixing.mixing_sql(),
+}
