@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, importance, langid, licenses, lines, mixing, ogg, toxicity
+from . import bpe, importance, langid, licenses, lines, mixing, ogg, parsing, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op5_langid": langid.op5_langid,
     "op6_ogg": ogg.op6_ogg,
+    "op7_parsing": parsing.op7_parsing,
     "op8_licenses": licenses.op8_licenses,
     "op9_quality": importance.op9_quality,
     "op10_mixing": mixing.op10_mixing,
