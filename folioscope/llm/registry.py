@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, importance, langid, licenses, lines, mixing, ogg, parsing, toxicity
+from . import bpe, importance, jaccard, langid, licenses, lines, mixing, ogg, parsing, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_lines": lines.op2_lines,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_jaccard": jaccard.op4_jaccard,
     "op5_langid": langid.op5_langid,
     "op6_ogg": ogg.op6_ogg,
     "op7_parsing": parsing.op7_parsing,
