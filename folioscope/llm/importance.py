@@ -17,12 +17,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import docs, drop_stored, map_text, prepare, spread, stored
+from .common import docs, prepare, spread, stored
 
 WORDS, SHAPES = 8192, 1024
 BUCKETS = WORDS + SHAPES
-_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_M1, _M2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
+#: Words whose n-grams are hashed at once.
+STRIDE = 1 << 17
 
 
 def shape(word: str) -> str:
@@ -40,32 +43,66 @@ class Hasher:
         self._start()
 
     def _start(self) -> None:
-        self._rows = np.zeros((1024, 2), np.uint64)
+        self._words, self._shapes = np.zeros(1024, np.uint32), np.zeros(1024, np.uint32)
         own = self
 
         class Memo(dict):
             def __missing__(self, word: str) -> int:
                 at = self[word] = len(self)
-                if at >= len(own._rows):
-                    own._rows = np.concatenate([own._rows, np.zeros_like(own._rows)])
-                own._rows[at] = zlib.crc32(word.encode()), zlib.crc32(shape(word).encode())
+                if at >= len(own._words):
+                    own._words, own._shapes = (np.concatenate([x, np.zeros_like(x)]) for x in (own._words, own._shapes))
+                own._words[at], own._shapes[at] = zlib.crc32(word.encode()), zlib.crc32(shape(word).encode())
                 return at
 
         self._memo = Memo()
 
-    def buckets(self, text: str | None) -> np.ndarray:
-        """The bucket of every n-gram of the text, with repeats."""
-        words = (text or "").split()
-        if not words:
-            return np.zeros(0, np.int64)
-        if len(self._memo) > self.max:
-            self._start()
-        idx = np.fromiter(map(self._memo.__getitem__, words), np.int64, len(words))
-        w, s = self._rows[idx, 0], self._rows[idx, 1]
-        mix = lambda x, n: ((x * _M1) >> np.uint64(40)) % np.uint64(n)
-        pair = w[:-1] * _M2 + w[1:]
-        same = (w[:-1] == w[1:]).astype(np.uint64) * np.uint64(7)
-        return np.concatenate([mix(w, WORDS), mix(pair, WORDS), np.uint64(WORDS) + mix(s[:-1] * _M2 + s[1:] + same, SHAPES)]).astype(np.int64)
+    def grams(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """For runs of texts: number of the first, words of each, buckets of their words, and two rows of buckets of their pairs.
+
+        Pairs start at each word but the last of a run of texts; one that would cross into the next text has the bucket BUCKETS.
+        """
+        k = 0
+        while k < len(texts):
+            first, size, sizes, idx = k, 0, [], []
+            while k < len(texts) and size < STRIDE:
+                words = (texts[k] or "").split()
+                if len(self._memo) > self.max:
+                    if idx:
+                        break
+                    self._start()
+                idx += map(self._memo.__getitem__, words)
+                sizes.append(len(words))
+                size += len(words)
+                k += 1
+            n, at = np.array(sizes), np.array(idx, np.int64)
+            w, s = self._words[at], self._shapes[at]
+            pairs = np.empty((2, max(len(w) - 1, 0)), np.int64)
+            pairs[0] = (((w[:-1] * _M2) ^ w[1:]) * _M1) >> np.uint32(19)
+            same = (w[:-1] == w[1:]) * np.uint32(0x5BD1E995)
+            pairs[1] = WORDS + ((((s[:-1] * _M2) ^ s[1:] ^ same) * _M1) >> np.uint32(22))
+            ends = np.cumsum(n)[:-1] - 1
+            pairs[:, ends[(ends >= 0) & (ends < len(w) - 1)]] = BUCKETS
+            yield first, n, ((w * _M1) >> np.uint32(19)).astype(np.int64), pairs
+
+    def counts(self, texts: list[str | None]) -> np.ndarray:
+        """n-grams of all the texts together, by bucket."""
+        out = np.zeros(BUCKETS + 1, np.int64)
+        for _, _, words, pairs in self.grams(texts):
+            out += np.bincount(words, minlength=BUCKETS + 1) + np.bincount(pairs.ravel(), minlength=BUCKETS + 1)
+        return out[:BUCKETS]
+
+    def sums(self, texts: list[str | None], ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """n-grams of each text, and the sum of ``ratio`` over them."""
+        n, total, ratio = np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.append(ratio, 0.0)
+        for first, sizes, words, pairs in self.grams(texts):
+            some = np.nonzero(sizes)[0]
+            n[first : first + len(sizes)] = sizes + 2 * np.maximum(sizes - 1, 0)
+            if len(some):
+                starts = np.cumsum(sizes)[some] - sizes[some]
+                value = ratio[words]
+                value[:-1] += ratio[pairs[0]] + ratio[pairs[1]]
+                total[first + some] = np.add.reduceat(value, starts)
+        return n, total
 
 
 _hasher: list[Hasher] = []
@@ -88,11 +125,9 @@ def count_models(df: DataFrame, text_col: str, target_col: str) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, sums = hasher(), np.zeros((2, BUCKETS), np.int64)
         for batch in batches:
-            for text, target in zip(*(c.to_pylist() for c in batch.columns)):
-                n = np.bincount(own.buckets(text), minlength=BUCKETS)
-                sums[0] += n
-                if target:
-                    sums[1] += n
+            texts, target = (c.to_pylist() for c in batch.columns)
+            sums[0] += own.counts(texts)
+            sums[1] += own.counts([t for t, chosen in zip(texts, target) if chosen])
         kind, bucket = np.nonzero(sums)
         if len(kind):
             yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(bucket, pa.int32()), pa.array(sums[kind, bucket], pa.int64())], schema=schema)
@@ -122,28 +157,31 @@ def target_rows(labels: DataFrame, id_col: str, label_col: str, bound: int, seed
     return ids.filter(spread(F.col("__t"), seed) < (bound / n if n > bound else 1.0))
 
 
-def weigh(df: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 9, temperature: float = 0.1) -> DataFrame:
+def weigh(df: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 9, temperature: float = 0.1, carry: bool = False) -> DataFrame:
     """id, ``n_grams``, ``log_weight`` (mean over n-grams times their root) and ``gumbel_key`` for each row.
 
     ``target``: one column of ids of bounded size; it is broadcast.  The noise depends on the id,
-    the text and the seed alone, so a retried task draws the same numbers.
+    the text and the seed alone, so a retried task draws the same numbers.  With ``carry`` all
+    columns of ``df`` come along; those of the three names above are replaced.
     """
     prepare(df.sparkSession)
-    rows = df.select(F.col(id_col).alias("__i"), F.col(text_col).alias("__x"))
-    flagged = rows.join(F.broadcast(target.select(F.col(target.columns[0]).alias("__t"), F.lit(True).alias("__target"))), F.col("__i") == F.col("__t"), "left")
+    flagged = df.select(F.col(id_col).alias("__i"), F.col(text_col).alias("__x")).join(F.broadcast(target.select(F.col(target.columns[0]).alias("__t"), F.lit(True).alias("__target"))), F.col("__i") == F.col("__t"), "left")
     ratio = df.sparkSession.sparkContext.broadcast(log_ratio(count_models(flagged, "__x", "__target")))
+    added = ("n_grams", "log_weight", "gumbel_key")
+    kept = [c for c in df.columns if c not in (*added, "selected")] if carry else [id_col]
+    rows = df.select(*kept, F.col(id_col).cast("string").alias("__i"), F.col(text_col).alias("__x"))
 
-    def run(ids: list, texts: list) -> list[list]:
-        own, r, out = hasher(), ratio.value, []
-        for i, text in zip(ids, texts):
-            b = own.buckets(text)
-            weight = float(r[b].sum() / np.sqrt(len(b))) if len(b) else 0.0
-            u = (zlib.crc32(f"{seed}:{i}:".encode() + (text or "").encode()) + 0.5) / 2**32
-            out.append((len(b), weight, weight - temperature * float(np.log(-np.log(u)))))
-        return [ids, *map(list, zip(*out))]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, r = hasher(), ratio.value
+        for batch in batches:
+            ids, texts = batch.column(len(kept)).to_pylist(), batch.column(len(kept) + 1).to_pylist()
+            n, total = own.sums(texts, r)
+            weight = total / np.sqrt(np.maximum(n, 1))
+            u = (np.array([zlib.crc32(f"{seed}:{i}:{t or ''}".encode()) for i, t in zip(ids, texts)], np.float64) + 0.5) / 2**32
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(n, pa.int64()), pa.array(weight), pa.array(weight - temperature * np.log(-np.log(u)))], names=[*kept, *added])
 
-    id_type = df.schema[id_col].dataType.simpleString()
-    return map_text(rows, run, f"{id_col} {id_type}, n_grams long, log_weight double, gumbel_key double")
+    schema = StructType([df.schema[c] for c in kept]).add("n_grams", "long").add("log_weight", "double").add("gumbel_key", "double")
+    return rows.mapInArrow(run, schema)
 
 
 def kth_largest(df: DataFrame, col: str, k: int, bins: int = 4096) -> float:
@@ -172,7 +210,7 @@ def kth_largest(df: DataFrame, col: str, k: int, bins: int = 4096) -> float:
     return high
 
 
-def resample(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", target_docs: int = 6000, threshold: float = -1.0, seed: int = 9, temperature: float = 0.1) -> DataFrame:
+def resample(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", target_docs: int = 6000, threshold: float = -1.0, seed: int = 9, temperature: float = 0.1, carry: bool = False) -> DataFrame:
     """``weigh`` plus ``selected``: whether the row is among the Gumbel top-k.
 
     k is the number of rows with log weight >= ``threshold``; the default leaves room below 0 for
@@ -183,10 +221,9 @@ def resample(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     target = target_rows(labels, id_col, label_col, target_docs, seed)
     if target.isEmpty():
-        target = df.select(F.col(id_col).alias("__t")).limit(0)
-        rows = df.select(F.col(id_col).alias("__i"), F.col(text_col).alias("__x"))
-        return rows.select(F.col("__i").alias(id_col), F.lit(0).cast("long").alias("n_grams"), F.lit(0.0).alias("log_weight"), F.lit(0.0).alias("gumbel_key"), F.lit(True).alias("selected"))
-    weighed = stored(weigh(df, target, id_col, text_col, seed, temperature), "weights")
+        kept = [c for c in df.columns if c not in ("n_grams", "log_weight", "gumbel_key", "selected")] if carry else [id_col]
+        return df.select(*kept, F.lit(0).cast("long").alias("n_grams"), F.lit(0.0).alias("log_weight"), F.lit(0.0).alias("gumbel_key"), F.lit(True).alias("selected"))
+    weighed = stored(weigh(df, target, id_col, text_col, seed, temperature, carry), "weights")
     k = weighed.filter(F.col("log_weight") >= threshold).count()
     cut = kth_largest(weighed, "gumbel_key", k) if k else float("inf")
     return weighed.withColumn("selected", F.col("gumbel_key") >= F.lit(cut))
