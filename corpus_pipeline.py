@@ -1,17 +1,76 @@
-"""The corpus pipeline: stages over ``documents``, each applying one training-data operator."""
+"""The corpus pipeline: stages over ``documents``, each applying one training-data operator.
+
+Every stage works on all rows its predecessor kept and, but for the last, returns the columns of
+``documents``; the last returns the token digests of what is left.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioscope.llm import bpe, importance, jaccard, lines, mixing
+from folioscope.llm.common import docs, prepare
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+#: One pass over what is left, by equal weights; so a source is cut only where it holds far more
+#: than its share, and nothing repeats.
+MIX = mixing.Mix(domain={}, lang={}, source={}, budget_permille=950, max_epochs=1)
+
+
+def quality(spark: SparkSession, df: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that importance resampling selects; rows of null id are weighed by their text alone."""
+    picked = importance.resample(df, docs(spark, sf_dir, "labels"), carry=True)
+    return picked.filter("selected").select(*COLUMNS)
+
+
+def line_dedup(spark: SparkSession, df: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the boilerplate lines of their source; ``n_chars`` follows the text.
+
+    Documents of nothing but boilerplate stay, with an empty text.
+    """
+    return lines.drop_boilerplate(df).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
-STAGES: list = []
 
+def near_duplicates(spark: SparkSession, df: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest id (five words, 0.8)."""
+    groups = jaccard.similarity_groups(df, size=5, percent=80)
+    dropped = groups.filter("component_id <> doc_id").select("doc_id").distinct()
+    return df.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def mixing_stage(spark: SparkSession, df: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents selected towards the target weights."""
+    return mixing.mix_sources(df, MIX).select(*COLUMNS)
+
+
+def tokenize(spark: SparkSession, df: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of what is left."""
+    return bpe.encode_documents(df, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+STAGES = [
+    ("quality", quality),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", near_duplicates),
+    ("mixing", mixing_stage),
+    ("byte-level BPE", tokenize),
+]
+
+#: The first stage is a trained model, which SQL can't express; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``, one after the other."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for _, stage in STAGES:
+    """Apply the stages to ``documents``, each written to the shared folder and read again."""
+    from folioscope.llm.common import stored
+
+    prepare(spark)
+    df = docs(spark, sf_dir)
+    for k, (_, stage) in enumerate(STAGES):
         df = stage(spark, df, sf_dir)
+        if k < len(STAGES) - 1:
+            df = stored(df, "stage")
     return df
