@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .options import CleanerOptions, NormalizeOptions
 
 # White space, zero-width characters and wide spaces, as regex class members.
@@ -77,6 +78,8 @@ def normalize_text(c: Column, options: NormalizeOptions = NormalizeOptions()) ->
     if options == NormalizeOptions(max_newlines=options.max_newlines):
         return _chain(c, max(1, options.max_newlines))
 
+    ship()
+
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda t: normalize_row(t, options))

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.options import ConversionOptions
+from ..session import ship
 
 # Element classes of the renderer.
 IGNORED = frozenset("script style head noscript template svg iframe object embed canvas button input select textarea".split())
@@ -655,6 +656,7 @@ RESULT = "markdown string, title string, warnings array<string>"
 
 def html_to_markdown(html: Column, options: ConversionOptions = ConversionOptions()) -> Column:
     """struct(markdown, title, warnings) of a string column; null gives an empty text."""
+    ship()
 
     @F.pandas_udf(RESULT)
     def run(s: pd.Series) -> pd.DataFrame:
