@@ -55,7 +55,7 @@ def _rows(df: DataFrame, factory: Callable, each: Callable, schema: str) -> Data
         own = engine(factory)
         for pdf in batches:
             rows = [{**row, "doc_id": doc} for doc, data in zip(pdf.doc_id, pdf.content) for row in each(own, data)]
-            yield pd.DataFrame(rows, columns=names)
+            yield pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in names})
 
     return df.select("doc_id", "content").mapInPandas(run, schema)
 
