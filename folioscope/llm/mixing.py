@@ -152,7 +152,8 @@ def _level_sql(level: str, parent: list[str], table: dict[str, int], other: int,
     on = " AND ".join(f"n.{p} = u.{p}" for p in parent) or "true"
     return f"""
 {level}_n AS (SELECT {path}, CAST(sum(cap) AS BIGINT) AS cap, {weight} AS weight FROM caps GROUP BY {path}),
-{level}_r AS (SELECT n.*, u.budget, CAST(n.cap AS DOUBLE) / CAST(greatest(n.weight, 1) AS DOUBLE) AS ratio FROM {level}_n n JOIN {up} u ON {on}),
+{level}_c AS (SELECT {path}, weight, CASE WHEN weight > 0 THEN cap ELSE 0 END AS cap FROM {level}_n),
+{level}_r AS (SELECT n.*, u.budget, CAST(n.cap AS DOUBLE) / CAST(greatest(n.weight, 1) AS DOUBLE) AS ratio FROM {level}_c n JOIN {up} u ON {on}),
 {level}_s AS (SELECT *, greatest(budget - coalesce(sum(cap) OVER b, 0), 0) AS rest, sum(weight) OVER f - coalesce(sum(weight) OVER b, 0) AS w_left
   FROM {level}_r WINDOW b AS ({over} ORDER BY ratio, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), f AS ({over} ORDER BY ratio, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
 {level}_f AS (SELECT *, cap * w_left <= rest * weight AS is_full FROM {level}_s),
