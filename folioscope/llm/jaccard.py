@@ -1,9 +1,9 @@
 """Exact n-gram Jaccard join over a token-group matrix.
 
 A document's set is its distinct word shingles.  Documents with equal sets are one representative.
-Similar representatives are partitioned into groups: those that share a min-wise value are compared
-with the first of them, and what links up is a group.  The token-group matrix then says which groups
-hold a token.  A document is a query against every other group that holds one of the tokens of its
+Similar representatives are partitioned into groups: those that share a band of min-wise values meet in
+chunks, where all are compared, and some of each cluster are compared with all its chunks; what links
+up is a group.  The token-group matrix then says which groups hold a token.  A document is a query against every other group that holds one of the tokens of its
 prefix (the rarest ones; two sets can't be similar enough without sharing one of those); groups are
 held in chunks, each with its token union, and a chunk is opened only if the query's overlap with the
 union could reach the threshold.  Opened chunks are compared exactly.
@@ -26,11 +26,14 @@ from .components import components
 _P = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 _K1, _K2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Counters of the frequency sketch (a fixed size, whatever the input) in blocks of 2^16.
-SKETCH_BITS, BLOCK = 22, 1 << 16
+SKETCH_BITS, BLOCK = 24, 1 << 16
 #: Documents in a chunk of a group.
 CHUNK = 256
-#: Min-wise values by which representatives are grouped.
-KEYS = 4
+#: Bands by which representatives are grouped, and min-wise values of a band.
+BANDS, BAND = 4, 3
+#: Documents of a cluster that are compared with all its chunks.
+LEADERS = 8
+_BOUNDS = np.arange(BANDS * BAND, dtype=np.uint64) * np.uint64((1 << 64) // (BANDS * BAND))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -87,8 +90,20 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def band_keys(s: np.ndarray) -> list[int]:
+    """One key for each band, from the smallest shingle of each of BANDS * BAND equal parts of the hash space (or the next larger one)."""
+    v = s[np.minimum(np.searchsorted(s, _BOUNDS), len(s) - 1)].reshape(BANDS, BAND)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for j in range(BAND):
+        key = _mix(key * _P[j] + v[:, j])
+    return _signed(key).tolist()
+
+
 def _stats(df: DataFrame, size: int) -> DataFrame:
-    """A row for each document (kind 0): id, set size, 128-bit digest, min-wise keys; and rows of each task's frequency sketch (kind 1)."""
+    """A row for each document (kind 0): id, set size, 128-bit digest, band keys; and rows of each task's frequency sketch (kind 1).
+
+    The sketch leaves out what a task has met once only; most of that is unique.
+    """
     schema = pa.schema([("kind", pa.int32()), ("i", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("keys", pa.list_(pa.int64())), ("r", pa.int32()), ("salt", pa.int32()), ("blob", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +117,7 @@ def _stats(df: DataFrame, size: int) -> DataFrame:
                 digest = xxhash.xxh3_128_digest(s.tobytes())
                 d1.append(int.from_bytes(digest[:8], "little", signed=True))
                 d2.append(int.from_bytes(digest[8:], "little", signed=True))
-                keys.append([int(_signed(_mix(s * _P[j] + _P[4]).min(keepdims=True))[0]) for j in range(KEYS)] if len(s) else [])
+                keys.append(band_keys(s) if len(s) else [])
                 seen.append(s)
             if not n:
                 continue
@@ -113,6 +128,7 @@ def _stats(df: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int32()), batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), none(pa.int32()), none(pa.int32()), none(pa.binary())], schema=schema)
         for r in range(len(sums) // BLOCK):
             part = sums[r * BLOCK : (r + 1) * BLOCK]
+            part = np.where(part > 1, part, 0)
             if part.any():
                 yield _block(schema, r, salt, part)
 
@@ -194,64 +210,118 @@ def shared_prefixes(df: DataFrame, classes: np.ndarray, size: int, percent: int,
     return df.select("x").mapInArrow(emit, "r int, t binary, d binary").groupBy("r").applyInArrow(match, "token long, d1 long")
 
 
-def sets_of(df: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """``i`` and ``set`` (packed) of the documents named by ``ids`` (i)."""
-
-    def run(i: list, texts: list) -> list[list]:
-        return [i, [shingler(size).set_of(t).tobytes() for t in texts]]
+def id_filter(ids: DataFrame) -> tuple[bytes, int]:
+    """A bitmap of hashed ids and its number of bits: 16 bits an id, between 2^16 and 2^26 (8 MB) whatever their number.
 
-    return map_text(df.join(ids, "i", "left_semi").select("i", "x"), run, "i long, set binary")
+    It lets every wanted document through, and few others while it isn't full.
+    """
+    bits = 1 << min(26, max(16, (16 * ids.count()).bit_length()))
+    h = F.pmod(F.xxhash64("i"), F.lit(bits)) + 1
+    rows = ids.select(h.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("m")).collect()
+    out = bytearray(bits // 8)
+    for r in rows:
+        out[(r["b"] - 1) * 4096 : (r["b"] - 1) * 4096 + min(4096, len(out))] = r["m"][: len(out)]
+    return bytes(out), bits
 
 
-def probe(members: DataFrame, queries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between the queries of a chunk and its members.
+def sets_of(df: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """``i`` and ``set`` (packed) of the documents named by ``ids`` (i), and of few others; texts are not shuffled."""
+    bitmap, bits = id_filter(ids)
+    shared = df.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(i: list, texts: list, at: list) -> list[list]:
+        m = shared.value
+        wanted = [k for k, h in enumerate(at) if h is not None and m[h >> 3] >> (h & 7) & 1]
+        return [[i[k] for k in wanted], [shingler(size).set_of(texts[k]).tobytes() for k in wanted]]
+
+    return map_text(df.select("i", "x", F.pmod(F.xxhash64("i"), F.lit(bits)).alias("h")), run, "i long, set binary")
+
+
+class Chunk:
+    """Some sets of a group with their token union, inverted."""
+
+    def __init__(self) -> None:
+        self.ids: list[int] = []
+        self.sets: list[np.ndarray] = []
+        self._index = None
+
+    def add(self, i: int, s: np.ndarray) -> None:
+        self.ids.append(i)
+        self.sets.append(s)
+
+    def alike(self, s: np.ndarray, percent: int) -> np.ndarray:
+        """Positions of the members that are similar enough to a set."""
+        if self._index is None:
+            token = np.concatenate(self.sets)
+            sizes = np.array([len(x) for x in self.sets])
+            order = np.argsort(token, kind="stable")
+            self._index = token[order], np.repeat(np.arange(len(sizes)), sizes)[order], sizes
+        token, owner, sizes = self._index
+        low, high = np.searchsorted(token, s, "left"), np.searchsorted(token, s, "right")
+        has = high > low
+        # The union bound: no member can share more of the query than the union does.
+        if has.sum() < needed(len(s), percent):
+            return np.zeros(0, np.int64)
+        low, width = low[has], (high - low)[has]
+        at = np.repeat(low - np.append(0, np.cumsum(width)[:-1]), width) + np.arange(width.sum())
+        both = np.bincount(owner[at], minlength=len(sizes))
+        return np.nonzero(100 * both >= percent * (sizes + len(s) - both))[0]
+
+    def inner_links(self, percent: int) -> list[tuple[int, int]]:
+        """All members compared; of the links, enough to join what belongs together."""
+        root = list(range(len(self.ids)))
+
+        def find(k: int) -> int:
+            while root[k] != k:
+                root[k] = root[root[k]]
+                k = root[k]
+            return k
+
+        out = []
+        for k, s in enumerate(self.sets if len(self.sets) > 1 else []):
+            for j in self.alike(s, percent).tolist():
+                a, b = find(j), find(k)
+                if a != b:
+                    root[a] = b
+                    out.append((self.ids[k], self.ids[j]))
+        return out
+
+
+def probe(members: DataFrame, queries: DataFrame, sets: DataFrame, percent: int, inside: bool = False) -> DataFrame:
+    """Links (a, b) between the queries of a chunk and its members, and with ``inside`` among its members.
 
     members: (c, i) with few rows for each chunk c; queries: (c, i), any number.  Chunks are read
-    as streams: members first, then query after query against the union and, if it can qualify,
-    against every member.
+    as streams: members first, then query after query.
     """
     rows = members.select("c", "i", F.lit(0).alias("role")).unionByName(queries.select("c", "i", F.lit(1).alias("role")))
     dealt = rows.join(sets, "i").select("c", "role", "i", "set").repartition("c").sortWithinPartitions("c", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, ids, held, index = None, [], [], None
+        at, chunk = None, Chunk()
         for batch in batches:
-            a, b = [], []
+            links: list[tuple[int, int]] = []
             for c, role, i, raw in zip(*(x.to_pylist() for x in batch.columns)):
-                if c != chunk:
-                    chunk, ids, held, index = c, [], [], None
+                if c != at:
+                    links += chunk.inner_links(percent) if inside else []
+                    at, chunk = c, Chunk()
                 s = np.frombuffer(raw, np.uint64)
                 if role == 0:
-                    ids.append(i)
-                    held.append(s)
-                    continue
-                if not held:
-                    continue
-                if index is None:
-                    token, owner = np.concatenate(held), np.repeat(np.arange(len(held)), [len(h) for h in held])
-                    order = np.argsort(token, kind="stable")
-                    sizes = np.array([len(h) for h in held])
-                    index = (token[order], owner[order], sizes)
-                token, owner, sizes = index
-                low, high = np.searchsorted(token, s, "left"), np.searchsorted(token, s, "right")
-                has = high > low
-                # The union bound: no member can share more of the query than the union does.
-                if has.sum() < needed(len(s), percent):
-                    continue
-                low, high = low[has], high[has]
-                width = high - low
-                at = np.repeat(low - np.append(0, np.cumsum(width)[:-1]), width) + np.arange(width.sum())
-                both = np.bincount(owner[at], minlength=len(sizes))
-                for k in np.nonzero(100 * both >= percent * (sizes + len(s) - both))[0]:
-                    if ids[k] != i:
-                        a.append(i)
-                        b.append(ids[k])
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                    chunk.add(i, s)
+                elif chunk.ids:
+                    links += [(i, chunk.ids[k]) for k in chunk.alike(s, percent).tolist() if chunk.ids[k] != i]
+            if links:
+                yield _links(links)
+        links = chunk.inner_links(percent) if inside else []
+        if links:
+            yield _links(links)
 
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _links(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*links)], names=["a", "b"])
+
+
 def similarity_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
     """id, ``n_shingles`` and ``component_id`` for each row of ``df``.
 
@@ -270,15 +340,18 @@ def similarity_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = named.groupBy("d1", "d2", "n").agg(F.min("i").alias("rep"), F.first("keys").alias("keys"))
     reps = stored(classes, "reps")
 
-    # Groups: representatives that share a min-wise value are compared with the first of them.
+    # Clusters: representatives that share a band; groups: what is similar in them.
     keyed = reps.select("rep", F.posexplode("keys").alias("j", "key"))
-    leaders = keyed.groupBy("j", "key").agg(F.min("rep").alias("lead"), F.count("*").alias("m")).filter("m > 1")
-    stars = stored(keyed.join(leaders, ["j", "key"]).filter("rep <> lead").groupBy("lead", "rep").agg(F.max("m").alias("m")), "stars")
+    firsts = keyed.groupBy("j", "key").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z").select("j", "key", "a")
+    tied = components(keyed.join(firsts, ["j", "key"]).select("a", F.col("rep").alias("b")))
+    clustered = tied.select(F.col("root").alias("g"), F.col("node").alias("i")).unionByName(tied.select(F.col("root").alias("g"), F.col("root").alias("i")).distinct())
+    clustered = stored(clustered, "clusters")
     chunk = lambda g, m, i: F.concat_ws(":", g.cast("string"), F.pmod(F.xxhash64(i), F.ceil(m / CHUNK)).cast("string"))
-    members = stars.select(chunk(F.col("lead"), F.col("m"), F.col("rep")).alias("c"), F.col("rep").alias("i"), "lead")
-    wanted = stars.select(F.col("rep").alias("i")).unionByName(stars.select(F.col("lead").alias("i"))).distinct()
-    sets = stored(sets_of(rows, wanted, size).dropDuplicates(["i", "set"]), "sets")
-    near = stored(probe(members, members.select("c", F.col("lead").alias("i")).distinct(), sets, percent), "near")
+    chunks = lambda m: F.explode(F.sequence(F.lit(0), (F.ceil(m / CHUNK) - 1).cast("int"))).alias("p")
+    about = clustered.groupBy("g").agg(F.count("*").alias("m"), F.array_distinct(F.array(*[F.min_by("i", F.xxhash64("i", F.lit(k))) for k in range(LEADERS)])).alias("l"))
+    members = clustered.join(about.select("g", "m"), "g").select(chunk(F.col("g"), F.col("m"), F.col("i")).alias("c"), "i")
+    leaders = about.filter(F.col("m") > CHUNK).select("g", F.explode("l").alias("i"), "m").select("g", "i", chunks(F.col("m"))).select(F.concat_ws(":", F.col("g").cast("string"), F.col("p").cast("string")).alias("c"), "i")
+    near = stored(probe(members, leaders, sets_of(rows, clustered.select("i"), size), percent, inside=True), "near")
     grouped = components(near)
 
     # The token-group matrix over prefixes.
@@ -297,11 +370,9 @@ def similarity_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_ = stored(open_.select("q", "g", "m").distinct(), "open")
     opened = open_.select("g").distinct()
     inside = group_of.join(opened, "g", "left_semi").join(sizes, "g").select("g", F.col("rep").alias("i"), chunk(F.col("g"), F.col("m"), F.col("rep")).alias("c"))
-    parts = F.explode(F.sequence(F.lit(0), (F.ceil(F.col("m") / CHUNK) - 1).cast("int")))
-    queries = open_.select(F.col("q").alias("i"), "g", parts.alias("p")).select("i", F.concat_ws(":", F.col("g").cast("string"), F.col("p").cast("string")).alias("c"))
+    queries = open_.select(F.col("q").alias("i"), "g", chunks(F.col("m"))).select("i", F.concat_ws(":", F.col("g").cast("string"), F.col("p").cast("string")).alias("c"))
     wanted = inside.select("i").unionByName(queries.select("i")).distinct()
-    sets = stored(sets_of(rows, wanted, size).dropDuplicates(["i", "set"]), "sets")
-    far = probe(inside.select("c", "i"), queries, sets, percent)
+    far = probe(inside.select("c", "i"), queries, sets_of(rows, wanted, size), percent)
 
     same = named.join(reps.select("d1", "d2", "n", "rep"), ["d1", "d2", "n"]).filter("i <> rep").select(F.col("rep").alias("a"), F.col("i").alias("b"))
     final = components(near.unionByName(far).unionByName(same))
