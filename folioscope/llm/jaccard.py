@@ -153,23 +153,28 @@ def _block(schema: pa.Schema, r: int, salt: int, counts: np.ndarray) -> pa.Recor
 def frequency_classes(stats: DataFrame) -> np.ndarray:
     """Classes (8 log2 of the count) of the sketch's counters, summed over all documents in two levels."""
 
-    def merge(table: pa.Table) -> pa.Table:
+    def total(table: pa.Table) -> np.ndarray:
         counts = np.zeros(BLOCK, np.uint64)
         for blob in table.column("blob").to_pylist():
             _unpack(blob, counts)
-        return pa.table({"r": table.column("r")[:1], "blob": pa.array([_pack(counts)], pa.binary())})
+        return counts
+
+    def merge(table: pa.Table) -> pa.Table:
+        return pa.table({"r": table.column("r")[:1], "blob": pa.array([_pack(total(table))], pa.binary())})
+
+    def classify(table: pa.Table) -> pa.Table:
+        classes = np.minimum(8 * np.log2(1.0 + total(table)), 255).astype(np.uint8)
+        return pa.table({"r": table.column("r")[:1], "blob": pa.array([classes.tobytes()], pa.binary())})
 
     first = stats.filter("kind = 1").select("r", "salt", "blob").groupBy("r", "salt").applyInArrow(merge, "r int, blob binary")
     out = np.zeros(1 << SKETCH_BITS, np.uint8)
-    for row in first.groupBy("r").applyInArrow(merge, "r int, blob binary").collect():
-        counts = np.zeros(BLOCK, np.uint64)
-        _unpack(row["blob"], counts)
-        out[row["r"] * BLOCK : (row["r"] + 1) * BLOCK] = np.minimum(8 * np.log2(1.0 + counts), 255).astype(np.uint8)
+    for row in first.groupBy("r").applyInArrow(classify, "r int, blob binary").toLocalIterator():
+        out[row["r"] * BLOCK : (row["r"] + 1) * BLOCK] = np.frombuffer(row["blob"], np.uint8)
     return out
 
 
 def shared_prefixes(df: DataFrame, classes: np.ndarray, size: int, percent: int, ranges: int) -> DataFrame:
-    """``token``, ``d1``: prefix tokens that stand in the prefixes of two or more different sets.
+    """``token``, ``d1``, ``pos``: prefix tokens that stand in the prefixes of two or more different sets, and where.
 
     Tokens travel packed, dealt by hash into ``ranges`` that grow with the input.
     """
@@ -178,36 +183,38 @@ def shared_prefixes(df: DataFrame, classes: np.ndarray, size: int, percent: int,
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, mask = shingler(size), np.uint64((1 << SKETCH_BITS) - 1)
         for batch in batches:
-            tokens, ids = [], []
+            tokens, ids, places = [], [], []
             for text in batch.column(0).to_pylist():
                 s = own.set_of(text)
                 if len(s):
                     key = (shared.value[(s & mask).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
                     p = len(s) - needed(len(s), percent) + 1
-                    tokens.append(np.partition(key, p - 1)[:p] if p < len(key) else key)
+                    tokens.append(np.sort(np.partition(key, p - 1)[:p] if p < len(key) else key))
+                    places.append(np.arange(p, dtype=np.int32))
                     ids.append(np.full(p, np.frombuffer(xxhash.xxh3_128_digest(s.tobytes())[:8], np.int64)[0], np.int64))
             if not tokens:
                 continue
-            t, d = np.concatenate(tokens), np.concatenate(ids)
+            t, d, o = np.concatenate(tokens), np.concatenate(ids), np.concatenate(places)
             r = (_mix(t) % np.uint64(ranges)).astype(np.int32)
             order = np.argsort(r, kind="stable")
-            t, d, r = t[order], d[order], r[order]
+            t, d, o, r = t[order], d[order], o[order], r[order]
             cuts = np.append(np.nonzero(np.append(True, r[1:] != r[:-1]))[0], len(r))
-            rows = [(int(r[a]), t[a:b].tobytes(), d[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["r", "t", "d"])
+            rows = [(int(r[a]), t[a:b].tobytes(), d[a:b].tobytes(), o[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["r", "t", "d", "o"])
 
     def match(table: pa.Table) -> pa.Table:
         t = np.concatenate([np.frombuffer(b, np.uint64) for b in table.column("t").to_pylist()])
         d = np.concatenate([np.frombuffer(b, np.int64) for b in table.column("d").to_pylist()])
+        o = np.concatenate([np.frombuffer(b, np.int32) for b in table.column("o").to_pylist()])
         order = np.lexsort((d, t))
-        t, d = t[order], d[order]
+        t, d, o = t[order], d[order], o[order]
         new = np.append(True, (t[1:] != t[:-1]) | (d[1:] != d[:-1]))
-        t, d = t[new], d[new]
+        t, d, o = t[new], d[new], o[new]
         alike = t[1:] == t[:-1]
         keep = np.append(alike, False) | np.append(False, alike)
-        return pa.table({"token": pa.array(_signed(t[keep]), pa.int64()), "d1": pa.array(d[keep], pa.int64())})
+        return pa.table({"token": pa.array(_signed(t[keep]), pa.int64()), "d1": pa.array(d[keep], pa.int64()), "pos": pa.array(o[keep], pa.int32())})
 
-    return df.select("x").mapInArrow(emit, "r int, t binary, d binary").groupBy("r").applyInArrow(match, "token long, d1 long")
+    return df.select("x").mapInArrow(emit, "r int, t binary, d binary, o binary").groupBy("r").applyInArrow(match, "token long, d1 long, pos int")
 
 
 def id_filter(ids: DataFrame) -> tuple[bytes, int]:
@@ -359,14 +366,16 @@ def similarity_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ranges = max(12, int(total * (100 - percent) / 100 / 400_000))
     shared = shared_prefixes(rows, frequency_classes(stats), size, percent, ranges)
     group_of = reps.select("d1", "n", "rep").join(grouped, F.col("rep") == F.col("node"), "left").select("d1", "n", "rep", F.coalesce("root", "rep").alias("g"))
-    matrix = stored(shared.join(group_of, "d1").select("token", "rep", "n", "g"), "matrix")
-    cells = matrix.groupBy("token", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    matrix = stored(shared.join(group_of, "d1").select("token", "pos", "rep", "n", "g"), "matrix")
+    cells = matrix.groupBy("token", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("pos")).alias("rest"))
     spread_out = matrix.groupBy("token").agg(F.min("g").alias("g1"), F.max("g").alias("g2")).filter("g1 <> g2").select("token")
     sizes = group_of.groupBy("g").agg(F.count("*").alias("m"))
     cells = cells.join(spread_out, "token").join(sizes, "g")
-    asks = matrix.join(spread_out, "token").join(sizes, "g").select("token", F.col("rep").alias("q"), F.col("n").alias("qn"), F.col("g").alias("qg"), F.col("m").alias("qm"))
-    # The query is of the smaller group (by size, then name); lengths must be compatible.
-    open_ = asks.join(cells, "token").filter(f"(qm < m or qm = m and qg > g) and qn * {percent} <= most * 100 and least * {percent} <= qn * 100")
+    asks = matrix.join(spread_out, "token").join(sizes, "g").select("token", F.col("rep").alias("q"), F.col("n").alias("qn"), F.col("pos").alias("qpos"), F.col("g").alias("qg"), F.col("m").alias("qm"))
+    # The query is of the smaller group (by size, then name).  Lengths must be compatible, and from the first
+    # token that two sets share on, both must have enough tokens left for the overlap they need.
+    fits = f"qn * {percent} <= most * 100 and least * {percent} <= qn * 100 and least(qn - qpos, rest) * {100 + percent} >= {percent} * (qn + least)"
+    open_ = asks.join(cells, "token").filter(f"(qm < m or qm = m and qg > g) and {fits}")
     open_ = stored(open_.select("q", "g", "m").distinct(), "open")
     opened = open_.select("g").distinct()
     inside = group_of.join(opened, "g", "left_semi").join(sizes, "g").select("g", F.col("rep").alias("i"), chunk(F.col("g"), F.col("m"), F.col("rep")).alias("c"))
