@@ -1,6 +1,6 @@
 """License scans, in DataFrame operations only: exact phrases, and a set-similarity join of blocks with templates.
 
-A block is a line of a text.  It matches a template when it holds at least the threshold's share of
+A block is a line of a text, or a run of words across line ends (``wrapped_templates``).  It matches a template when it holds at least the threshold's share of
 the template's distinct words.  Words are ordered by their frequency over all blocks, rarest first;
 a block can only match a template when it holds one of the template's first (size - needed + 1)
 words (prefix), has at least as many template words as needed (length), and has enough words left
@@ -105,16 +105,44 @@ def match_templates(df: DataFrame, text: Column, templates: list[tuple[str, str]
     return pairs.withColumn("both", both).filter("both >= need").groupBy("h", "label").agg(F.max(F.col("both") / F.col("size")).alias("containment"))
 
 
-def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.85) -> DataFrame:
+def wrapped_templates(df: DataFrame, text: Column, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.85) -> DataFrame:
+    """``h``, ``label`` and ``containment`` of notices that may run over line ends.
+
+    A block is any run of consecutive words, twice as long as the template at most, wherever its
+    lines end.  Every run that starts with a word of the template is tried, so the result does not
+    depend on where a notice stands.  Only texts that hold enough of a template's words at all are
+    read that way.
+    """
+    sets = [(label, sorted(set(words.split())), 2 * len(words.split())) for label, words in templates]
+    vocabulary = sorted({w for _, words, _ in sets for w in words})
+    texts = df.select(text.alias("t")).filter(F.col("t").contains("\n"))
+    split = texts.select(F.xxhash64("t").alias("h"), F.split(F.lower("t"), f"{_OUT}+").alias("run"), template_words(F.col("t"), vocabulary).alias("own"))
+    # No lambda before the explode: the optimizer would split the text again for each of its calls.
+    able = []
+    for k, (label, words, width) in enumerate(sets):
+        need = math.ceil(threshold * len(words))
+        template = F.struct(F.lit(k).alias("k"), F.lit(label).alias("label"), F.array(*map(F.lit, words)).alias("words"), F.lit(width).alias("width"), F.lit(need).alias("need"))
+        able.append(F.when(F.size(F.array_intersect("own", F.array(*map(F.lit, words)))) >= need, template))
+    pairs = split.select("h", "run", F.explode(F.array_compact(F.array(*able))).alias("x"))
+    starts = F.filter(F.sequence(F.lit(1), F.size("run")), lambda p: F.array_contains(F.col("x.words"), F.element_at("run", p)))
+    both = F.array_max(F.transform(starts, lambda p: F.size(F.array_intersect(F.slice("run", p, F.col("x.width")), F.col("x.words")))))
+    best = pairs.select("h", "x.k", "x.label", "x.need", F.size("x.words").alias("size"), both.alias("both")).groupBy("h", "k", "label", "need", "size").agg(F.max("both").alias("both"))
+    return best.filter("both >= need").groupBy("h", "label").agg(F.max(F.col("both") / F.col("size")).alias("containment"))
+
+
+def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.85, wrapped: bool = False) -> DataFrame:
     """id, n_words, n_base, first_word, last_word, base_labels, labels and score for each row.
 
-    Null text counts as empty: no words, no labels, null first and last word, score 0.  score is 1
+    With ``wrapped``, templates are also found across line ends; without, in single lines only.  Null text counts as empty: no words, no labels, null first and last word, score 0.  score is 1
     with a base phrase, else the largest containment.  Repeated and null ids pass through; equal
     texts get equal results, as labels belong to a text's hash.
     """
     prepare(df.sparkSession)
     text = F.col(text_col)
-    found = match_templates(df, text, templates, threshold).groupBy("h").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
+    found = match_templates(df, text, templates, threshold)
+    if wrapped:
+        found = found.unionByName(wrapped_templates(df, text, templates, threshold))
+    found = found.groupBy("h").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
     base = base_columns(text)
     rows = df.select(F.col(id_col), F.xxhash64(text).alias("__h"), *[c.alias(f"__{n}") for n, c in base.items()])
     joined = rows.join(found, F.col("__h") == F.col("h"), "left")
@@ -127,12 +155,12 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op8_licenses(spark, sf_dir):
-    """Query: every whole text of ``documents``."""
-    return scan_licenses(docs(spark, sf_dir))
+    """Query: every whole text of ``documents``, notices wrapped over lines included."""
+    return scan_licenses(docs(spark, sf_dir), wrapped=True)
 
 
 def licenses_sql(templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.85) -> str:
-    """The query in DuckDB SQL, block by block against every template."""
+    """``scan_licenses`` in DuckDB SQL, line by line against every template; it does not look across line ends."""
     low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     word = "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'"
     phrases = ", ".join(f"({p.split()!r}, '{label}')" for p, label in PHRASES.items())

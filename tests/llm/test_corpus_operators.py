@@ -55,6 +55,23 @@ def test_licenses_small(spark):
     against_sql(spark, [], licenses.scan_licenses, licenses.licenses_sql())
 
 
+def test_licenses_wrapped(spark, tmp_path):
+    bsd = "Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that"
+    texts = [
+        bsd, "Licensed under the Apache\nLicense, Version 2.0", "x " * 500 + "\nAll\nrights\nreserved.\n" + "y " * 500,
+        "This work is licensed under the terms of the GNU General Public\nLicense, version 3", "all of the many words\nthat have no rights\nand are not reserved", "Released under the MIT License.", None, "", "\n",
+    ]
+    df = spark.createDataFrame([(k, t, None, None, 0) for k, t in enumerate(texts)], SCHEMA)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(r["labels"], r["score"]) for r in licenses.op8_licenses(spark, str(tmp_path)).orderBy("doc_id").collect()]
+    assert got[:3] == [("bsd", 1.0), ("apache,apache-2.0", 1.0), ("all-rights-reserved", 1.0)]
+    assert "gpl-3" in got[3][0].split(",") and got[4:] == [("", 0.0), ("mit", 1.0), ("", 0.0), ("", 0.0), ("", 0.0)]
+    # The place of a notice in its text does not matter.
+    moved = spark.createDataFrame([(k, "w " * k + bsd + " w" * (40 - k), None, None, 0) for k in range(40)], SCHEMA)
+    assert {r["labels"] for r in licenses.scan_licenses(moved, wrapped=True).collect()} == {"bsd"}
+    assert {r["labels"] for r in licenses.scan_licenses(moved).collect()} == {""}
+
+
 def pick(df):
     return df.select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
 
