@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm import bpe, importance, jaccard, lines, mixing
-from folioscope.llm.common import docs, prepare
+from folioscope.llm.common import docs, prepare, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -35,10 +35,26 @@ def line_dedup(spark: SparkSession, df: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, df: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id (five words, 0.8)."""
-    groups = jaccard.similarity_groups(df, size=5, percent=80)
-    dropped = groups.filter("component_id <> doc_id").select("doc_id").distinct()
-    return df.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group of near-duplicates (five words, 0.8): the one with the smallest id, null ids last.
+
+    Texts are grouped, not ids, so rows that share an id but not a text are separate documents and
+    rows of null id are compared like any other.  Among equal ids the text's hash decides; rows that
+    repeat an id and a text are one document.  Texts without words are no copies of each other and
+    all stay, but for rows that repeat the id too.
+    """
+    rows = df.withColumn("__h", F.xxhash64("text"))
+    groups = jaccard.similarity_groups(rows, id_col="__h", size=5, percent=80).groupBy("__h").agg(F.first("n_shingles").alias("n"), F.first("component_id").alias("c"))
+    keys = rows.groupBy("doc_id", "__h").agg(F.count("*").alias("copies")).join(groups, "__h")
+    keys = stored(keys.select("doc_id", "__h", "copies", "n", "c"), "keys")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("__h").alias("h"))
+    first = keys.filter("n > 0").groupBy("c").agg(F.min(place).alias("first"))
+    dropped = keys.filter("n > 0").join(first, "c").filter(place != F.col("first")).select("doc_id", "__h")
+    kept = rows.join(dropped.select(F.col("doc_id").alias("i"), F.col("__h").alias("h")), F.expr("doc_id <=> i and __h = h"), "left_anti")
+    again = keys.filter("copies > 1 and (n > 0 or doc_id is not null)").select(F.col("doc_id").alias("i"), F.col("__h").alias("h"))
+    if again.limit(1).count():
+        same = F.expr("doc_id <=> i and __h = h")
+        kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "__h"]))
+    return kept.select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, df: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,8 +81,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``, each written to the shared folder and read again."""
-    from folioscope.llm.common import stored
-
     prepare(spark)
     df = docs(spark, sf_dir)
     for k, (_, stage) in enumerate(STAGES):

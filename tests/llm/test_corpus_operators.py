@@ -225,6 +225,18 @@ def test_parsing_repeated_and_null_ids(spark):
         assert Counter(r["doc_id"] for r in parsing.fingerprint_documents(df, parts=parts).collect()) == {1: 2, None: 2, 2: 1}
 
 
+def test_near_duplicates_stage(spark):
+    import corpus_pipeline as cp
+
+    a, b, c = "a b c d e f g h", "k l m n o p q r", "s t u v w x y z"
+    rows = [(3, a, "en", "s"), (1, a, "en", "s"), (1, a, "en", "s"), (3, b, "en", "s"), (None, c, "en", "s"), (None, c, "de", "s"), (None, b, "en", "s"), (None, a + " a b c", "en", "s")]
+    rows += [(7, "", "en", "s"), (7, "", "en", "s"), (8, "", "en", "s"), (9, None, "en", "s"), (None, "", "en", "s"), (None, None, "en", "s")]
+    df = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], SCHEMA).repartition(3)
+    got = Counter((r["doc_id"], r["text"]) for r in cp.near_duplicates(spark, df, "").select("doc_id", "text").collect())
+    # The last text of the first list has 7 shingles, 4 of them a's: no near copy.
+    assert got == Counter([(1, a), (3, b), (None, c), (None, a + " a b c"), (7, ""), (8, ""), (9, None), (None, ""), (None, None)])
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline as cp
 
