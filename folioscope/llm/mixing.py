@@ -82,9 +82,14 @@ def share_out(nodes: DataFrame, parent: list[str]) -> DataFrame:
 
 def leaf_budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     """``alloc`` tokens for each row of ``leaves`` (domain, lang, source, supply)."""
-    caps = leaves.withColumn("cap", F.col("supply") * mix.max_epochs)
+    tables = (mix.domain, mix.lang, mix.source)
+    # A leaf below a node of weight 0 can use nothing, so no node above counts it.
+    usable = F.lit(True)
+    for table, level in zip(tables, LEVELS):
+        usable = usable & (_weight(table, F.col(level), mix.other) > 0)
+    caps = leaves.withColumn("cap", F.when(usable, F.col("supply") * mix.max_epochs).otherwise(0))
     root = leaves.agg(F.expr(f"coalesce(sum(supply), 0) * {mix.budget_permille} div 1000").alias("budget"))
-    tables, up, out = (mix.domain, mix.lang, mix.source), root.withColumn("__root", F.lit(0)), None
+    up, out = root.withColumn("__root", F.lit(0)), None
     for depth, level in enumerate(LEVELS):
         path = list(LEVELS[: depth + 1])
         parent = path[:-1] or ["__root"]
@@ -163,7 +168,7 @@ def _level_sql(level: str, parent: list[str], table: dict[str, int], other: int,
 
 
 def mixing_sql(mix: Mix = Mix()) -> str:
-    """The query in DuckDB SQL."""
+    """The query in DuckDB SQL.  Where a mix has weights of 0, its caps still count what lies below them."""
     return f"""
 WITH d AS (
   SELECT doc_id, lang, source, coalesce(lang, '') AS l, coalesce(source, '') AS s, 'd' || (CAST('0' || regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1) AS BIGINT) % 4) AS domain,

@@ -82,6 +82,14 @@ def test_mixing_small(spark, mix):
     against_sql(spark, rows, lambda df: pick(mixing.mix_sources(df, mix)), mixing.mixing_sql(mix))
 
 
+def test_mixing_weight_zero_goes_to_siblings(spark):
+    leaves = spark.createDataFrame([("d0", "en", "src0", 900), ("d0", "de", "src0", 100), ("d1", "de", "src1", 1000)], "domain string, lang string, source string, supply long")
+    for mix in (mixing.Mix(domain={}, lang={"en": 0}, budget_permille=500, max_epochs=1), mixing.Mix(domain={}, lang={}, source={"src0": 0, "src1": 1}, budget_permille=500, max_epochs=1)):
+        got = {(r["domain"], r["lang"]): r["alloc"] for r in mixing.leaf_budgets(leaves, mix).collect()}
+        # 1000 tokens are to be had; what d0 can't use goes to d1.
+        assert got == {("d0", "en"): 0, ("d0", "de"): 100 if mix.lang else 0, ("d1", "de"): 900 if mix.lang else 1000}
+
+
 def test_mixing_properties(spark, monkeypatch):
     df = spark.createDataFrame(small_corpus(150), SCHEMA).withColumn("epoch", F.lit("clash"))
     mix = mixing.Mix(domain={}, lang={}, budget_permille=500, max_epochs=1)
