@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import docs, fold, map_text, prepare, spread
@@ -110,9 +110,9 @@ class Scorer:
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 1500, max_words: int = 60_000, max_grams: int = 60_000, seed: int = 5) -> LanguageModel:
     """Fit on a bounded sample of labelled rows: about ``docs_per_lang`` whole texts a language.
 
-    Rows with null text or language teach nothing.  The model keeps the ``max_words`` words and
-    ``max_grams`` n-grams (by language) that occur most; ties go by the string.  So the model and
-    all that reaches the driver have a fixed size.
+    Rows with null text or language teach nothing.  The model keeps, of each language, the
+    ``max_words`` words and ``max_grams`` n-grams that occur most; ties go by the string.  So what
+    reaches the driver grows with the number of languages only, and no language crowds out another.
     """
     df = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"))
     share = {r["l"]: min(1.0, docs_per_lang / r["n"]) for r in df.groupBy("l").agg(F.count("*").alias("n")).collect()}
@@ -136,9 +136,9 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counter)), pa.array([kind] * len(counter)), pa.array(list(counter), pa.string()), pa.array(list(counter.values()), pa.int64())], schema=schema)
 
     counted = sample.mapInArrow(count, "l string, kind string, s string, n long").groupBy("l", "kind", "s").agg(F.sum("n").alias("n")).filter("n > 1")
-    top = lambda kind, k: counted.filter(F.col("kind") == kind).orderBy(F.desc("n"), "s", "l").limit(k)
-    rows = [tuple(r) for kind, k in (("w", max_words), ("g", max_grams)) for r in top(kind, k).collect()]
-    return LanguageModel({(lang, kind, s): n for lang, kind, s, n in rows})
+    place = F.row_number().over(Window.partitionBy("l", "kind").orderBy(F.desc("n"), "s"))
+    top = counted.withColumn("place", place).filter(F.col("place") <= F.when(F.col("kind") == "w", max_words).otherwise(max_grams)).select("l", "kind", "s", "n")
+    return LanguageModel({(lang, kind, s): n for lang, kind, s, n in sorted(map(tuple, top.collect()))})
 
 
 def predict(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -134,6 +134,15 @@ def test_langid_backs_off(spark):
     assert {r["lang_pred"] for r in langid.identify(edge_table(spark).withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_langid_small_language_keeps_its_words(spark):
+    rows = [(k, "alpha beta gamma delta", "big") for k in range(50)] + [(100 + k, "zuzu wowo", "small") for k in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, max_words=3, max_grams=4)
+    assert model.langs == ["big", "small"]
+    assert set(model.words) == {"alpha", "beta", "delta", "zuzu", "wowo"}
+    assert langid.Scorer(model).predict("zuzu wowo")[0] == "small"
+
+
 @pytest.fixture(scope="module")
 def toxic_corpus(spark):
     rng = random.Random(3)
