@@ -1,12 +1,12 @@
-"""Exact n-gram Jaccard join over a token-group matrix.
+"""Exact n-gram Jaccard join: a prefix-filter join over groups of similar documents.
 
 A document's set is its distinct word shingles.  Documents with equal sets are one representative.
 Similar representatives are partitioned into groups: those that share a band of min-wise values meet in
 chunks, where all are compared, and some of each cluster are compared with all its chunks; what links
-up is a group.  The token-group matrix then says which groups hold a token.  A document is a query against every other group that holds one of the tokens of its
-prefix (the rarest ones; two sets can't be similar enough without sharing one of those); groups are
-held in chunks, each with its token union, and a chunk is opened only if the query's overlap with the
-union could reach the threshold.  Opened chunks are compared exactly.
+up is a group.  The token-group matrix then says which groups hold a token in a prefix.  A document is a query against every other group that shares
+one of the tokens of its prefix (the rarest ones; two sets can't be similar enough without sharing one of those), if lengths and the
+places of the token allow it.  That alone decides which groups are opened.  Groups are held in chunks; a chunk's token
+union is built where its sets have arrived, and spares queries whose overlap with it is too small.  Others are compared exactly.
 """
 
 from __future__ import annotations
