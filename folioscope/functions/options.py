@@ -38,8 +38,6 @@ class ConversionOptions:
     extract_images: bool = False
     image_directory: str | None = None
     image_prefix: str = ""
-    include_page_markers: bool = False
-    detect_headings: bool = True
     include_link_urls: bool = True
 
 
@@ -49,7 +47,6 @@ class HandwritingOptions:
 
     min_score: float = 55.0
     pdf_dpi: int = 150
-    max_side: int = 1600
     min_glyphs: int = 6
     min_regions: int = 1
     languages: str = "spa"
