@@ -58,24 +58,59 @@ def vocabulary(lines: Column) -> Column:
     return F.array_distinct(words)
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def join_lines(lines: Column, words: Column) -> Column:
     """One paragraph of an array of lines.
 
     A soft hyphen at a line end goes; another hyphen before a lower-case letter goes if the word
     it splits is in ``words`` and stays without a space if not; all else is joined by a space.
-    """
 
-    def add(acc: Column, line: Column) -> Column:
-        left = F.regexp_extract(acc, r"(\p{L}*)[-‐]\z", 1)
-        merged = F.concat(F.lower(left), F.lower(F.regexp_extract(line, r"\A(\p{L}*)", 1)))
-        cut = F.regexp_replace(acc, r"(?s).\z", "")
-        hyphen = acc.rlike(r"[-‐]\z") & line.rlike(r"\A\p{Ll}")
-        return (
-            F.when(acc == "", line).when(acc.rlike("­\\z"), F.concat(cut, line))
-            .when(hyphen & F.array_contains(words, merged), F.concat(cut, line)).when(hyphen, F.concat(acc, line)).otherwise(F.concat_ws(" ", acc, line))
+    A border is decided by the letters and hyphen that end what stands before it (of several lines,
+    where a word is cut more than once) and by the next line; the text is put together at the end.
+    """
+    stem = lambda t: F.regexp_replace(t, "[-‐\u00ad]\\z", "")
+    merged = lambda t, x: F.concat(F.lower(stem(t)), F.lower(x["head"]))
+    hyphen = lambda t, x: t.rlike(r"[-‐]\z") & x["low"]
+
+    def seen(x: Column) -> Column:
+        return F.struct(
+            x.alias("x"), F.regexp_extract(x, "(\\p{L}*[-‐\u00ad]?)\\z", 1).alias("tail"),
+            F.regexp_extract(x, r"\A(\p{L}*)", 1).alias("head"), x.rlike(r"\A\p{Ll}").alias("low"),
         )
 
-    return F.aggregate(lines, F.lit(""), add)
+    def decide(own: Column, known: Column) -> Column:
+        def add(acc: Column, x: Column) -> Column:
+            word = merged(acc["tail"], x)
+            empty = acc["only"] & (acc["tail"] == "")
+            whole = F.array_contains(known, word) | (acc["cut"] & F.array_contains(words, word))
+            cut = ~empty & (acc["tail"].endswith("\u00ad") | (hyphen(acc["tail"], x) & whole))
+            joint = F.when(empty, "e").when(cut, "c").when(hyphen(acc["tail"], x), "k").otherwise("s")
+            bare = F.length(x["tail"]) == F.length(x["x"])
+            goes_on = cut & bare
+            return F.struct(
+                F.when(goes_on, F.concat(stem(acc["tail"]), x["tail"])).otherwise(x["tail"]).alias("tail"), ((empty & bare) | (goes_on & acc["only"])).alias("only"),
+                goes_on.alias("cut"), F.concat(acc["joints"], joint).alias("joints"),
+            )
+
+        start = F.struct(F.lit("").alias("tail"), F.lit(True).alias("only"), F.lit(False).alias("cut"), F.lit("").alias("joints"))
+        return F.split(F.aggregate(own, start, add)["joints"], "")
+
+    def joined(own: Column) -> Column:
+        after = F.slice(own, F.lit(2), F.size(own))
+        split = F.array_compact(F.zip_with(own, after, lambda a, b: F.when(hyphen(a["tail"], b), merged(a["tail"], b))))
+        joints = _let(F.array_intersect(words, split), lambda known: decide(own, known))
+
+        def piece(x: Column, joint: Column) -> Column:
+            text = F.coalesce(x["x"], F.lit(""))
+            return F.when(joint == "c", F.substring(text, F.lit(1), F.length(text) - 1)).when(joint == "s", F.concat(text, F.lit(" "))).otherwise(text)
+
+        return F.array_join(F.zip_with(own, F.slice(joints, F.lit(2), F.greatest(F.size(own) - 1, F.lit(0))), piece), "")
+
+    return _let(F.transform(lines, seen), joined)
 
 
 def classify_lines(lines: DataFrame, order: list[str], doc: str = "doc_id", start: str | None = None) -> DataFrame:

@@ -1,5 +1,8 @@
 """Operators on hand-made tables: cases the driver tables don't have."""
 
+import random
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -116,3 +119,35 @@ def test_adapters(spark):
     assert adapters.ocr_pages(df, Engine).first()["ocr_confidence"] == 50.0
     assert [r["text"] for r in adapters.ocr_words(df, Engine).orderBy("word").collect()] == ["a", "b"]
     assert adapters.pdf_page_texts(spark.createDataFrame([(1, bytearray(b"x|y"))], "doc_id long, content binary"), Engine).count() == 2
+
+
+def fold_lines(lines, words):
+    """The rule of ``join_lines``, line after line on the text so far."""
+    out = ""
+    for line in lines:
+        left, head = re.search(r"([^\W\d_]*)[-‐]\Z", out), re.match(r"[^\W\d_]*", line)[0]
+        if out == "":
+            out = line
+        elif out.endswith("­"):
+            out = out[:-1] + line
+        elif left and line[:1].islower():
+            out = (out[:-1] if (left[1] + head).lower() in words else out) + line
+        else:
+            out += " " + line
+    return out
+
+
+def test_join_lines_is_the_fold(spark):
+    rng = random.Random(4)
+    parts = ["Ab", "ab", "b", "c d", "X", "é", "", "7", ".", "ñ-o", "-"]
+    rows = [(k, ["".join(rng.choices(parts, k=rng.randint(0, 2))) + rng.choice(["", "-", "-", "‐", "­"]) for _ in range(rng.randint(0, 9))]) for k in range(600)]
+    words = [x + y + z for x in ("ab", "b", "é") for y in ("ab", "b", "") for z in ("", "b", "é")]
+    df = spark.createDataFrame([(*r, words) for r in rows], "k int, lines array<string>, words array<string>")
+    got = {r["k"]: r["p"] for r in df.select("k", L.join_lines(F.col("lines"), F.col("words")).alias("p")).collect()}
+    assert got == {k: fold_lines(lines, set(words)) for k, lines in rows}
+
+
+def test_join_lines_is_linear(spark):
+    lines = ["some words and a cut wo-", "rd that goes on"] * 20000
+    df = spark.createDataFrame([(lines, ["word"])], "lines array<string>, words array<string>")
+    assert df.select(L.join_lines(F.col("lines"), F.col("words")).alias("p")).first()["p"].startswith("some words and a cut word that goes on some words")
