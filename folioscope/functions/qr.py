@@ -104,8 +104,8 @@ def mail(to: Column, subject: Column, body: Column) -> Column:
 
 
 def geo(lat: Column, lon: Column) -> Column:
-    """Up to six decimals without trailing zeros; null outside the ranges."""
-    show = lambda c: F.regexp_replace(F.regexp_replace(F.bround(c.cast("decimal(20,12)"), 6).cast("decimal(12,6)").cast("string"), r"\.?0+$", ""), r"^-0$", "0")
+    """Up to six decimals, halves away from zero, without trailing zeros; null outside the ranges."""
+    show = lambda c: F.regexp_replace(F.regexp_replace(F.round(c.cast("decimal(20,12)"), 6).cast("decimal(12,6)").cast("string"), r"\.?0+$", ""), r"^-0$", "0")
     return F.when(lat.between(-90, 90) & lon.between(-180, 180), F.concat(F.lit("geo:"), show(lat), F.lit(","), show(lon)))
 
 

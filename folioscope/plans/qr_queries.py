@@ -37,6 +37,10 @@ _enc = lambda x: f"url_encode({x})"
 _esc_mecard = lambda x: f"replace(replace(regexp_replace({x}, '([\\\\;,])', '\\\\\\1', 'g'), chr(13), ''), chr(10), ' ')"
 _esc_wifi = lambda x: f"regexp_replace({x}, '([\\\\;,:\"])', '\\\\\\1', 'g')"
 _CRLF = "chr(13) || chr(10)"
+_CENTS = "CAST(round(balance * 100) AS BIGINT)"
+_LAT = f"({_CENTS} * CAST(0.0001 AS DECIMAL(5, 4)))"
+_LON = f"(CAST(sign({_CENTS}) AS BIGINT) * ((abs({_CENTS}) + 3) // 6) * CAST(0.001 AS DECIMAL(4, 3)))"
+_show = lambda x: f"regexp_replace(CAST(CAST({x} AS DECIMAL(12, 6)) AS VARCHAR), '\\.?0+$', '')"
 
 _BUILD = {
     "url": (lambda: Q.url(F.when(_c("k") % 2 == 0, F.concat(F.lit("https://x.test/"), "name")).otherwise(_c("org"))),
@@ -52,8 +56,9 @@ _BUILD = {
         f"'MECARD:N:' || {_esc_mecard('org')} || ',' || {_esc_mecard('name')} || ';TEL:' || {_esc_mecard('phone')} || ';' || CASE WHEN trim(note) = '' THEN '' ELSE 'NOTE:' || {_esc_mecard('note')} || ';' END || ';'"),
     "mail": (lambda: Q.mail(F.concat("name", F.lit("@x.test")), _c("note"), _c("org")),
         f"'mailto:' || name || '@x.test?' || CASE WHEN note = '' THEN '' ELSE 'subject=' || {_enc('note')} || '&' END || 'body=' || {_enc('org')}"),
-    "geo": (lambda: Q.geo(F.round(_c("balance") / 100, 4), F.round(_c("balance") / 60, 3)),
-        "CASE WHEN round(balance / 100, 4) BETWEEN -90 AND 90 AND round(balance / 60, 3) BETWEEN -180 AND 180 THEN 'geo:' || regexp_replace(CAST(CAST(round(balance / 100, 4) AS DECIMAL(12, 6)) AS VARCHAR), '\\.?0+$', '') || ',' || regexp_replace(CAST(CAST(round(balance / 60, 3) AS DECIMAL(12, 6)) AS VARCHAR), '\\.?0+$', '') END"),
+    # Whole cents, so that both engines divide and round exactly.
+    "geo": (lambda: Q.geo(F.round(_c("balance").cast("decimal(12,2)") / 100, 4), F.round(_c("balance").cast("decimal(12,2)") / 60, 3)),
+        f"CASE WHEN {_LAT} BETWEEN -90 AND 90 AND {_LON} BETWEEN -180 AND 180 THEN 'geo:' || {_show(_LAT)} || ',' || {_show(_LON)} END"),
     "otp": (lambda: Q.otp(F.concat(F.lit("JBSW"), _c("k").cast("string")), _c("org"), _c("name"), digits=8),
         f"'otpauth://totp/' || CASE WHEN {_req('org')} IS NULL THEN '' ELSE {_enc(_req('org'))} || ':' END || {_enc('name')} || '?secret=JBSW' || k || CASE WHEN {_req('org')} IS NULL THEN '' ELSE '&issuer=' || {_enc(_req('org'))} END || '&digits=8'"),
     "message": (lambda: F.when(_c("k") % 2 == 0, Q.whatsapp(_c("phone"), _c("note"))).otherwise(Q.telegram(F.concat(F.lit(" @@"), "name"))),
