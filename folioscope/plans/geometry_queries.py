@@ -99,12 +99,10 @@ def document_handwriting(spark, sf_dir):
 
 
 def line_groups(spark, sf_dir):
-    """Greedy by arrival, so no SQL."""
     return G.group_lines(G.with_sizes(_components(spark, sf_dir).drop("line"))).select("doc_id", "page", "comp", "line")
 
 
 def first_regions(spark, sf_dir):
-    """Greedy by arrival, so no SQL."""
     boxes = _components(spark, sf_dir).select("doc_id", "page", "comp", F.col("min_x").alias("x"), (F.col("min_y") % 80).alias("y"), (F.col("max_x") - F.col("min_x") + 1).alias("w"), (F.col("max_y") - F.col("min_y") + 1).alias("h"))
     return G.first_of_overlapping(boxes, ["comp"])
 
@@ -134,7 +132,39 @@ _OVERLAP = (
     "CAST(least({a}.x + {a}.w, {b}.x + {b}.w) - greatest({a}.x, {b}.x) AS DOUBLE) * (least({a}.y + {a}.h, {b}.y + {b}.h) - greatest({a}.y, {b}.y)) >= least({a}.w * {a}.h, {b}.w * {b}.h) * 0.5"
 )
 
+#: Glyph after glyph of each page; lines are lists of sums and counts.
+_LINE_GROUPS = f"""
+WITH RECURSIVE {_COMPS_SQL},
+g AS (SELECT doc_id, page, comp, cy, row_number() OVER (PARTITION BY doc_id, page ORDER BY cy, comp) AS rn, count(*) OVER (PARTITION BY doc_id, page) AS n FROM comps),
+t AS (SELECT doc_id, page, greatest(CAST(4.0 AS DOUBLE), list_sort(list(CAST(h AS DOUBLE)))[count(*) // 2 + 1] * CAST(0.6 AS DOUBLE)) AS tolerance FROM comps GROUP BY doc_id, page),
+r AS (
+  SELECT doc_id, page, rn, comp, CAST(1 AS BIGINT) AS k, [cy] AS sums, [CAST(1 AS DOUBLE)] AS counts FROM g WHERE rn = 1
+  UNION ALL
+  SELECT doc_id, page, rn, comp, k,
+    CASE WHEN k <= len(sums) THEN list_transform(sums, lambda s, i: CASE WHEN i = k THEN s + cy ELSE s END) ELSE list_append(sums, cy) END,
+    CASE WHEN k <= len(counts) THEN list_transform(counts, lambda s, i: CASE WHEN i = k THEN s + 1 ELSE s END) ELSE list_append(counts, CAST(1 AS DOUBLE)) END
+  FROM (
+    SELECT *, CAST(CASE WHEN list_min(far) <= tolerance THEN list_position(far, list_min(far)) ELSE len(far) + 1 END AS BIGINT) AS k FROM (
+      SELECT g.doc_id, g.page, g.rn, g.comp, g.cy, t.tolerance, r.sums, r.counts, list_transform(list_zip(r.sums, r.counts), lambda z: abs(z[1] / z[2] - g.cy)) AS far
+      FROM r JOIN g ON g.doc_id = r.doc_id AND g.page = r.page AND g.rn = r.rn + 1 JOIN t ON t.doc_id = g.doc_id AND t.page = g.page) AS a) AS b)
+SELECT doc_id, page, comp, CAST(k - 1 AS INTEGER) AS line FROM r"""
+
+_FIRST_REGIONS = f"""
+WITH RECURSIVE {_COMPS_SQL},
+b AS (SELECT doc_id, page, comp, min_x AS x, CAST(min_y % 80 AS INTEGER) AS y, max_x - min_x + 1 AS w, max_y - min_y + 1 AS h, row_number() OVER (PARTITION BY doc_id, page ORDER BY comp) AS rn FROM comps),
+r AS (
+  SELECT doc_id, page, rn, comp, x, y, w, h, true AS taken, [{{'x': x, 'y': y, 'w': w, 'h': h}}] AS kept FROM b WHERE rn = 1
+  UNION ALL
+  SELECT doc_id, page, rn, comp, x, y, w, h, taken, CASE WHEN taken THEN list_append(kept, {{'x': x, 'y': y, 'w': w, 'h': h}}) ELSE kept END FROM (
+    SELECT b.doc_id, b.page, b.rn, b.comp, b.x, b.y, b.w, b.h, r.kept, len(list_filter(r.kept, lambda a:
+        least(a.x + a.w, b.x + b.w) > greatest(a.x, b.x) AND least(a.y + a.h, b.y + b.h) > greatest(a.y, b.y) AND least(a.w * a.h, b.w * b.h) > 0
+        AND CAST((least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * (least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) AS DOUBLE) >= least(a.w * a.h, b.w * b.h) * CAST(0.65 AS DOUBLE))) = 0 AS taken
+    FROM r JOIN b ON b.doc_id = r.doc_id AND b.page = r.page AND b.rn = r.rn + 1) AS q)
+SELECT doc_id, page, comp, x, y, w, h FROM r WHERE taken"""
+
 SQL = {
+    "line_groups": _LINE_GROUPS,
+    "first_regions": _FIRST_REGIONS,
     "otsu_threshold": """
 WITH h AS (SELECT user_id % 97 AS page, CAST(abs(floor(value * 3)) AS INTEGER) % 256 AS gray, count(*) AS n FROM events GROUP BY ALL),
 c AS (SELECT *, CAST(sum(n) OVER r AS DOUBLE) AS wb, CAST(sum(gray * n) OVER r AS DOUBLE) AS sb, CAST(sum(n) OVER p AS DOUBLE) AS w, CAST(sum(gray * n) OVER p AS DOUBLE) AS s FROM h WINDOW r AS (PARTITION BY page ORDER BY gray), p AS (PARTITION BY page)),
