@@ -39,6 +39,8 @@ class ConversionOptions:
     image_directory: str | None = None
     image_prefix: str = ""
     include_link_urls: bool = True
+    include_page_markers: bool = False
+    detect_headings: bool = True
 
 
 @dataclass(frozen=True)
@@ -46,6 +48,7 @@ class HandwritingOptions:
     """Thresholds of the handwriting analysis."""
 
     min_score: float = 55.0
+    max_side: int = 1600
     pdf_dpi: int = 150
     min_glyphs: int = 6
     min_regions: int = 1
@@ -54,7 +57,30 @@ class HandwritingOptions:
     corroborate: bool = True
     printed_confidence: float = 78.0
     low_confidence: float = 55.0
-    diagnostics: bool = False
+
+
+@dataclass(frozen=True)
+class OcrOptions:
+    """Recognition of documents."""
+
+    languages: str = "spa"
+    prefer_embedded: bool = True
+    min_embedded_chars: int = 16
+    min_image_pixels: int = 40_000
+    pdf_dpi: int = 300
+
+
+@dataclass(frozen=True)
+class LogoOptions:
+    """A logo in the middle of a QR image: RGBA bytes, row by row, and their size."""
+
+    pixels: bytes
+    width: int
+    height: int
+    proportion: float = 0.22
+    background: str | None = "#FFFFFF"
+    margin: int = 8
+    corner: float = 0.18
 
 
 @dataclass(frozen=True)
@@ -67,4 +93,4 @@ class QrOptions:
     foreground: str = "#000000"
     background: str = "#FFFFFF"
     quiet_zone: bool = True
-    logo: bytes | None = None
+    logo: LogoOptions | None = None

@@ -11,7 +11,6 @@ from folioscope.functions import markdown as M
 from folioscope.operators import geometry as G
 from folioscope.operators import layout as L
 from folioscope.operators import ocr as O
-from folioscope.sources import adapters
 
 
 def flood(ink, colour):
@@ -104,23 +103,6 @@ def test_ocr(spark):
     assert O.pages_to_recognise(pages).count() == 2
 
 
-def test_adapters(spark):
-    class Engine:
-        def recognize(self, image, languages):
-            return image.decode(), 0.5
-
-        def words(self, image, languages):
-            return ({"text": w, "confidence": 90.0, "x": 1, "y": 2, "w": 3, "h": 4} for w in image.decode().split())
-
-        def embedded_text(self, data):
-            return data.decode().split("|")
-
-    df = spark.createDataFrame([(1, bytearray(b"a b"))], "doc_id long, content binary")
-    assert adapters.ocr_pages(df, Engine).first()["ocr_confidence"] == 50.0
-    assert [r["text"] for r in adapters.ocr_words(df, Engine).orderBy("word").collect()] == ["a", "b"]
-    assert adapters.pdf_page_texts(spark.createDataFrame([(1, bytearray(b"x|y"))], "doc_id long, content binary"), Engine).count() == 2
-
-
 def fold_lines(lines, words):
     """The rule of ``join_lines``, line after line on the text so far."""
     out = ""
