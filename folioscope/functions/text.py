@@ -46,7 +46,7 @@ def count_words(c: Column) -> Column:
 
 def _factor(family: str | Column) -> Column:
     if isinstance(family, str):
-        return F.lit(FAMILY_FACTORS[family])
+        return F.lit(FAMILY_FACTORS.get(family.lower(), FAMILY_FACTORS["generic"]))
     out = F.lit(1.0)
     for name, value in FAMILY_FACTORS.items():
         out = F.when(F.lower(family) == name, F.lit(value)).otherwise(out)

@@ -7,10 +7,12 @@ gives a row with ``error`` instead of failing the job, unless ``strict``.
 
 from __future__ import annotations
 
-import os
+import posixpath
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,7 +96,7 @@ def read_documents(spark: SparkSession, path: str, options: ConversionOptions =
 
 
 def docx_images(df: DataFrame, content: str = "content", key: str = "path") -> DataFrame:
-    """(key, image_ix, name, image): the images of Word documents, numbered in order of use."""
+    """(key, image_ix, name, image, error): the images of Word documents, numbered in order of use; a broken document is a row with ``error``."""
     ship(df.sparkSession)
     options = ConversionOptions(extract_images=True, image_directory="-")
 
@@ -103,27 +105,37 @@ def docx_images(df: DataFrame, content: str = "content", key: str = "path") -> D
             rows = []
             for k, c in zip(pdf[key], pdf[content]):
                 try:
-                    rows += [(k, i, n, b) for i, (n, b) in enumerate(read_docx(c, options).images, 1)]
-                except ConversionError:
-                    continue
-            yield pd.DataFrame(rows, columns=[key, "image_ix", "name", "image"])
+                    rows += [(k, i, n, b, None) for i, (n, b) in enumerate(read_docx(c, options).images, 1)]
+                except ConversionError as e:
+                    rows.append((k, None, None, None, str(e)))
+            yield pd.DataFrame(rows, columns=[key, "image_ix", "name", "image", "error"]).astype({"image_ix": "Int32"})
 
-    return df.select(key, content).mapInPandas(run, f"`{key}` {df.schema[key].dataType.simpleString()}, image_ix int, name string, image binary")
+    return df.select(key, content).mapInPandas(run, f"`{key}` {df.schema[key].dataType.simpleString()}, image_ix int, name string, image binary, error string")
+
+
+def inside(name: str) -> str:
+    """A relative file name that stays in its folder."""
+    path = posixpath.normpath(name or "..")
+    if posixpath.isabs(path) or path.split("/")[0] in ("..", "."):
+        raise ValueError(f"the name {name!r} leaves the folder")
+    return path
 
 
 def write_files(df: DataFrame, directory: str, name: str, data: str) -> None:
-    """One file for each row, below ``directory`` on storage that all executors share; text as UTF-8.
+    """One file for each row, below ``directory`` on storage that all executors reach (a path or a URI, as of HDFS or S3); text as UTF-8.
 
-    Each file is written beside its place and moved, so a retried task leaves no half file.
+    Each file is written beside its place and moved, so a retried task leaves no half file.  A name
+    that would leave the directory is an error.
     """
 
     def run(rows) -> None:
+        files, root = fs.FileSystem.from_uri(directory) if "://" in directory else (fs.LocalFileSystem(), directory)
         for row in rows:
-            target = os.path.join(directory, row[name])
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            part = f"{target}.{os.getpid()}.part"
-            with open(part, "wb") as f:
+            target = posixpath.join(root, inside(row[name]))
+            files.create_dir(posixpath.dirname(target), recursive=True)
+            part = f"{target}.{uuid.uuid4().hex}.part"
+            with files.open_output_stream(part) as f:
                 f.write(row[data].encode() if isinstance(row[data], str) else bytes(row[data]))
-            os.replace(part, target)
+            files.move(part, target)
 
     df.select(name, data).foreachPartition(run)
