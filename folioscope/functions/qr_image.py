@@ -13,7 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .options import QrOptions
+from . import qr as Q
+from .options import LogoOptions, QrOptions
 
 # Error correction bytes of a block, by level and version 1-40.
 EC_BYTES = {
@@ -151,16 +152,20 @@ MASKS = (
 )
 
 
+#: Finder-like patterns, dark is 1.
+_FINDERS = [np.array(list(map(int, p)), np.int8) for p in ("10111010000", "00001011101")]
+
+
 def penalty(m: np.ndarray) -> int:
     score = 0
-    for grid in (m, m.T):
-        for row in grid:
-            edge = np.flatnonzero(np.diff(row.astype(np.int8)))
-            runs = np.diff(np.concatenate([[-1], edge, [len(row) - 1]]))
-            score += int((runs[runs >= 5] - 2).sum())
-            text = "".join("01"[int(v)] for v in row)
-            for pattern in ("10111010000", "00001011101"):
-                score += 40 * sum(text.startswith(pattern, k) for k in range(len(text) - 10))
+    for grid in (m.astype(np.int8), m.T.astype(np.int8)):
+        # Rows one after the other, with a border of its own kind between them.
+        row = np.pad(grid, ((0, 0), (0, 1)), constant_values=2).ravel()
+        ends = np.append(np.flatnonzero(np.diff(row)), len(row) - 1)
+        runs = np.diff(np.append(-1, ends))
+        score += int((runs[(runs >= 5) & (row[ends] < 2)] - 2).sum())
+        windows = np.lib.stride_tricks.sliding_window_view(grid, 11, axis=1)
+        score += 40 * sum(int((windows == p).all(2).sum()) for p in _FINDERS)
     same = (m[1:, 1:] == m[:-1, 1:]) & (m[1:, 1:] == m[1:, :-1]) & (m[1:, 1:] == m[:-1, :-1])
     dark = int(m.sum()) * 20
     return score + 3 * int(same.sum()) + 10 * (int(np.ceil(abs(dark - m.size * 10) / m.size)) - 1)
@@ -208,6 +213,71 @@ def png(pixels: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 6, 0, 0, 0)) + part(b"IDAT", zlib.compress(raw, 9)) + part(b"IEND", b"")
 
 
+def shrink_weights(full: int, n: int) -> np.ndarray:
+    """n x full: the share of each old pixel in each new one, where a new one covers one or more."""
+    edge = np.arange(n)[:, None] * full / n
+    old = np.arange(full)[None, :]
+    return np.clip(np.minimum(edge + full / n, old + 1) - np.maximum(edge, old), 0, None) * n / full
+
+
+def cubic_weights(full: int, n: int) -> np.ndarray:
+    """n x full: Catmull-Rom weights of the four nearest old pixels; pixels beyond an edge repeat it."""
+    out, at = np.zeros((n, full)), (np.arange(n) + 0.5) * full / n - 0.5
+    for k in range(-1, 3):
+        tap = np.floor(at).astype(int) + k
+        t = np.abs(at - tap)
+        w = np.where(t < 1, 1.5 * t**3 - 2.5 * t**2 + 1, np.where(t < 2, -0.5 * t**3 + 2.5 * t**2 - 4 * t + 2, 0))
+        np.add.at(out, (np.arange(n), np.clip(tap, 0, full - 1)), w)
+    return out
+
+
+def resized(image: np.ndarray, w: int, h: int) -> np.ndarray:
+    """Height x width x 4, alpha multiplied in: pixels averaged by area, or cubic where a side grows."""
+    weights = cubic_weights if w >= image.shape[1] or h >= image.shape[0] else shrink_weights
+    out = np.einsum("yi,ijc,xj->yxc", weights(image.shape[0], h), image, weights(image.shape[1], w))
+    alpha = np.clip(np.rint(out[..., 3:]), 0, 255)
+    return np.concatenate([np.minimum(np.clip(np.rint(out[..., :3]), 0, 255), alpha), alpha], axis=2)
+
+
+def rounded(w: int, h: int, colour: tuple[int, int, int, int], corner: float) -> np.ndarray:
+    """A filled box, alpha multiplied in; corners are quarter circles of a share of the shorter side."""
+    r = int(min(w, h) * min(max(corner, 0.0), 0.5))
+    y, x = np.mgrid[:h, :w]
+    dx, dy = x - np.clip(x, r, max(w - 1 - r, r)), y - np.clip(y, r, max(h - 1 - r, r))
+    rgba = np.array([c * colour[3] / 255 for c in colour[:3]] + [colour[3]])
+    return np.where((dx * dx + dy * dy > r * r)[..., None] & (r > 0), 0.0, rgba)
+
+
+def over(below: np.ndarray, above: np.ndarray) -> None:
+    """Draw one picture (alpha multiplied in) on the middle of another; what stands out is cut."""
+    (h, w), (hb, wb) = above.shape[:2], below.shape[:2]
+    y, x = int((hb - h) / 2), int((wb - w) / 2)
+    ys, xs = slice(max(y, 0), min(y + h, hb)), slice(max(x, 0), min(x + w, wb))
+    part = above[ys.start - y : ys.stop - y, xs.start - x : xs.stop - x]
+    below[ys, xs] = part + below[ys, xs] * (1 - part[..., 3:] / 255)
+
+
+def with_logo(pixels: np.ndarray, logo: LogoOptions) -> np.ndarray:
+    """A logo fitted into a square in the middle (0.05 to 0.35 of the side), on a rounded pad if there is a colour for it."""
+    if logo.width < 1 or logo.height < 1 or len(logo.pixels) != 4 * logo.width * logo.height:
+        raise ValueError("the logo is not RGBA bytes of its width and height")
+    side = len(pixels)
+    image = np.frombuffer(logo.pixels, np.uint8).reshape(logo.height, logo.width, 4).astype(float)
+    image[..., :3] *= image[..., 3:] / 255
+    target = max(1, int(side * min(max(logo.proportion, 0.05), 0.35)))
+    scale = min(target / logo.width, target / logo.height)
+    w, h = max(1, round(logo.width * scale)), max(1, round(logo.height * scale))
+    out = pixels.astype(float)
+    out[..., :3] *= out[..., 3:] / 255
+    if logo.background is not None:
+        margin = max(0, logo.margin)
+        over(out, rounded(w + 2 * margin, h + 2 * margin, parse_colour(logo.background), logo.corner))
+    over(out, resized(image, w, h))
+    alpha = out[..., 3:]
+    out[..., :3] = np.where(alpha > 0, out[..., :3] * 255 / np.maximum(alpha, 1e-9), 0)
+    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+
+
 def render(matrix: np.ndarray, o: QrOptions = QrOptions()) -> tuple[bytes, int]:
     """PNG and its side in pixels; the quiet zone is 4 modules."""
     if o.quiet_zone:
@@ -215,7 +285,8 @@ def render(matrix: np.ndarray, o: QrOptions = QrOptions()) -> tuple[bytes, int]:
     n = len(matrix)
     scale = max(1, o.size // n if o.size else o.pixels_per_module)
     palette = np.array([parse_colour(o.background), parse_colour(o.foreground)], np.uint8)
-    return png(palette[matrix.astype(np.uint8)].repeat(scale, 0).repeat(scale, 1)), n * scale
+    pixels = palette[matrix.astype(np.uint8)].repeat(scale, 0).repeat(scale, 1)
+    return png(with_logo(pixels, o.logo) if o.logo else pixels), n * scale
 
 
 RESULT = "png binary, base64 string, data_uri string, payload string, width int, height int, correction string"
@@ -239,3 +310,42 @@ def qr_image(payload: Column, level: Column, options: QrOptions = QrOptions()) -
         return out.astype({"width": "Int32", "height": "Int32"})
 
     return run(payload, level)
+
+
+def qr_of(payload: Column, options: QrOptions = QrOptions(), recommended: str = "medium") -> Column:
+    """``qr_image`` at the level that the options, a logo and the kind of content call for."""
+    level = Q.correction(F.lit(options.correction).cast("string"), F.lit(options.logo is not None), F.lit(recommended))
+    return qr_image(payload, Q.correction_letter(level), options)
+
+
+def from_url(url: Column, options: QrOptions = QrOptions()) -> Column:
+    return qr_of(Q.url(url), options)
+
+
+def from_text(text: Column, options: QrOptions = QrOptions()) -> Column:
+    return qr_of(Q.text(text), options)
+
+
+def from_phone(number: Column, options: QrOptions = QrOptions()) -> Column:
+    return qr_of(Q.phone(number), options)
+
+
+def from_sms(number: Column, message: Column, options: QrOptions = QrOptions()) -> Column:
+    return qr_of(Q.sms(number, message), options)
+
+
+def from_wifi(ssid: Column, password: Column, kind: Column, hidden: Column, options: QrOptions = QrOptions()) -> Column:
+    return qr_of(Q.wifi(ssid, password, kind, hidden), options)
+
+
+def from_mail(to: Column, subject: Column, body: Column, options: QrOptions = QrOptions()) -> Column:
+    return qr_of(Q.mail(to, subject, body), options)
+
+
+def from_geo(lat: Column, lon: Column, options: QrOptions = QrOptions()) -> Column:
+    return qr_of(Q.geo(lat, lon), options)
+
+
+def from_message(app: Column, to: Column, message: Column, options: QrOptions = QrOptions()) -> Column:
+    """app: whatsapp or telegram; a telegram link has no message."""
+    return qr_of(F.when(F.lower(app) == "whatsapp", Q.whatsapp(to, message)).when(F.lower(app) == "telegram", Q.telegram(to)), options)

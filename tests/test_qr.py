@@ -1,3 +1,5 @@
+import math
+import re
 import zlib
 
 import numpy as np
@@ -6,7 +8,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import qr as Q
 from folioscope.functions import qr_image as I
-from folioscope.functions.options import QrOptions
+from folioscope.functions.options import LogoOptions, QrOptions
 
 
 def one(spark, expr):
@@ -21,6 +23,7 @@ def test_payloads(spark):
         (Q.url(L("https://e.com")), "https://e.com"), (Q.url(L(" e.com ")), "http://e.com"), (Q.url(L(" ")), None), (Q.text(L("Hola")), "Hola"), (Q.text(L("")), None),
         (Q.phone(L("+50322500000")), "tel:+50322500000"), (Q.telegram(L("@some_user")), "https://t.me/some_user"), (Q.whatsapp(L("+503 2250-0000"), L("Hola")), "https://wa.me/50322500000?text=Hola"),
         (Q.whatsapp(L("x"), L("")), None), (Q.geo(L(13.6989), L(-89.1914)), "geo:13.6989,-89.1914"), (Q.geo(L(91.0), L(0.0)), None), (Q.geo(L(10.0), L(-0.0)), "geo:10,0"),
+        (Q.geo(L("1.0000005").cast("decimal(20,12)"), L("-2.0000025").cast("decimal(20,12)")), "geo:1.000001,-2.000003"),
         (Q.crypto(L("ethereum"), L("0x71"), L("1").cast("decimal(38,18)"), L(None), L(None)), "ethereum:0x71?value=1000000000000000000"), (Q.crypto(L("ethereum"), L("0x71"), L(None), L(None), L(None)), "ethereum:0x71"),
         (Q.crypto(L("bitcoin"), L("1B"), L("0.005"), L(None), L(None)), "bitcoin:1B?amount=0.005"), (Q.crypto(L("bitcoin"), L("1B"), L("-1"), L(None), L(None)), None),
         (Q.wifi(L("Casa;x"), L("Key1234"), L("WPA"), L(False)), "WIFI:T:WPA;S:Casa\\;x;P:Key1234;;"), (Q.wifi(L("a"), L(""), L("WPA"), L(False)), None),
@@ -88,3 +91,69 @@ def test_png():
     at = image.index(b"IDAT")
     raw = zlib.decompress(image[at + 4 : at + 4 + int.from_bytes(image[at - 4 : at], "big")])
     assert len(raw) == side * (side * 4 + 1)
+
+
+def slow_penalty(m):
+    score, n = 0, len(m)
+    for grid in (m, m.T):
+        for row in grid:
+            text = "".join("01"[int(v)] for v in row)
+            score += sum(len(r) - 2 for r in re.findall("0{5,}|1{5,}", text))
+            score += 40 * sum(text.startswith(p, k) for p in ("10111010000", "00001011101") for k in range(n))
+    score += 3 * sum(len({bool(m[y + a, x + b]) for a in (0, 1) for b in (0, 1)}) == 1 for y in range(n - 1) for x in range(n - 1))
+    share = m.mean() * 100
+    return score + 10 * max(math.ceil(abs(share - 50) / 5 - 1e-9) - 1, -1)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_penalty(seed):
+    m = np.random.default_rng(seed).random((25, 25)) < (0.3, 0.5, 0.7, 0.95)[seed]
+    assert I.penalty(m) == slow_penalty(m)
+
+
+def test_resize_weights():
+    for full, n in ((10, 3), (7, 7), (100, 33), (5, 1)):
+        w = I.shrink_weights(full, n)
+        assert np.allclose(w.sum(1), 1) and np.allclose(w.sum(0), n / full)
+    for full, n in ((3, 10), (4, 4), (1, 5)):
+        assert np.allclose(I.cubic_weights(full, n).sum(1), 1)
+    assert np.allclose(I.cubic_weights(4, 4), np.eye(4))
+
+
+def pixels(image):
+    at = image.index(b"IDAT")
+    w, h = (int.from_bytes(image[k : k + 4], "big") for k in (16, 20))
+    raw = np.frombuffer(zlib.decompress(image[at + 4 : at + 4 + int.from_bytes(image[at - 4 : at], "big")]), np.uint8).reshape(h, 1 + 4 * w)
+    return raw[:, 1:].reshape(h, w, 4)
+
+
+def test_logo():
+    red = LogoOptions(bytes([200, 10, 20, 255]) * 60, 10, 6, proportion=0.2, background="#FFEEDD", margin=4, corner=0.5)
+    m = I.qr_matrix("logo", "H")
+    plain, side = I.render(m, QrOptions(pixels_per_module=10))
+    got, with_side = I.render(m, QrOptions(pixels_per_module=10, logo=red))
+    a, b = pixels(plain), pixels(got)
+    assert side == with_side == 290 and a.shape == b.shape
+    # 58 x 35 pixels of the logo in the middle, on a pad of 4 more at each side; all else is as it was.
+    changed = np.argwhere((a != b).any(2))
+    assert (b[128:162, 117:173] == [200, 10, 20, 255]).all() and (b[125, 130:160] == [255, 238, 221, 255]).all()
+    assert changed.min() >= 112 and changed.max() <= 178 and (b[:100] == a[:100]).all()
+    # A clear logo without pad changes nothing; a half clear one mixes.
+    clear = LogoOptions(bytes(4 * 9), 3, 3, background=None)
+    assert (pixels(I.render(m, QrOptions(logo=clear))[0]) == pixels(I.render(m, QrOptions())[0])).all()
+    half = LogoOptions(bytes([0, 0, 0, 128]) * 9, 3, 3, background="#FFFFFF", margin=0, corner=0)
+    assert pixels(I.render(m, QrOptions(pixels_per_module=10, logo=half))[0])[145, 145].tolist() == [127, 127, 127, 255]
+    with pytest.raises(ValueError):
+        I.render(m, QrOptions(logo=LogoOptions(b"x", 2, 2)))
+
+
+def test_shortcuts(spark):
+    logo = QrOptions(logo=LogoOptions(bytes(16), 2, 2), pixels_per_module=2)
+    cases = [
+        (I.from_url(L("e.com")), "http://e.com", "M"), (I.from_text(L("x"), logo), "x", "H"), (I.from_text(L("x"), QrOptions(correction="low")), "x", "L"), (I.from_phone(L("5")), "tel:5", "M"),
+        (I.from_sms(L("5"), L("hi")), "sms:5?body=hi", "M"), (I.from_wifi(L("net"), L("key"), L("WPA"), L(False)), "WIFI:T:WPA;S:net;P:key;;", "M"), (I.from_mail(L("a@b.c"), L(""), L("")), "mailto:a@b.c", "M"),
+        (I.from_geo(L(1.5), L(2.0)), "geo:1.5,2", "M"), (I.from_message(L("WhatsApp"), L("+1 2"), L("")), "https://wa.me/12", "M"), (I.from_message(L("telegram"), L("@me"), L("")), "https://t.me/me", "M"),
+    ]
+    row = spark.range(1).select(*[c.alias(f"c{k}") for k, (c, _, _) in enumerate(cases)]).first()
+    assert [(r["payload"], r["correction"]) for r in row] == [(p, level) for _, p, level in cases]
+    assert spark.range(1).select(I.from_url(L(" ")).alias("x")).first()["x"]["png"] is None
