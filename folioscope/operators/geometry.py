@@ -264,7 +264,7 @@ def word_rows(words: DataFrame) -> DataFrame:
     """``row`` of every word, with ``gap_limit``: words join a row while their centre is near its moving middle."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(cy=pdf.y + pdf.h / 2.0).sort_values(["cy", "x"], kind="stable")
+        pdf = pdf.assign(cy=pdf.y + pdf.h / 2.0).sort_values(["cy", "x", "word"], kind="stable")
         h = np.sort(pdf.h.to_numpy(float))
         median = h[len(h) // 2]
         tolerance, row, at, rows = max(6.0, median * 0.7), -1, None, []

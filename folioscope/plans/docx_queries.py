@@ -1,0 +1,104 @@
+"""Queries of the Word reader: documents are written from ``conversations``, read back and compared with SQL over the same turns."""
+
+from __future__ import annotations
+
+import io
+import zipfile
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from ..sources.registry import convert_binary, docx_images as images_of
+from .common import table
+
+_W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+_R = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+_A = "http://schemas.openxmlformats.org/drawingml/2006/main"
+_WP = "http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing"
+
+
+def _run(text: str, props: str = "") -> str:
+    return f'<w:r><w:rPr>{props}</w:rPr><w:t xml:space="preserve">{text}</w:t></w:r>'
+
+
+def _paragraph(runs: str, props: str = "") -> str:
+    return f"<w:p><w:pPr>{props}</w:pPr>{runs}</w:p>"
+
+
+def _turn(turn: int, text: str) -> str:
+    """A heading, a paragraph that starts in bold, a bullet or a numbered item, by the number of the turn."""
+    if turn % 4 == 0:
+        return _paragraph(_run(text), f'<w:pStyle w:val="H{turn % 3 + 1}"/>')
+    if turn % 4 == 1:
+        first, _, rest = text.partition(" ")
+        return _paragraph(_run(first, "<w:b/>") + (_run(" " + rest) if rest else ""))
+    return _paragraph(_run(text), f'<w:numPr><w:ilvl w:val="0"/><w:numId w:val="{turn % 4 - 1}"/></w:numPr>')
+
+
+def _package(body: str, pictures: list[bytes]) -> bytes:
+    rels = "".join(f'<Relationship Id="{k}" Type="{_R}/{k}" Target="{k}.xml"/>' for k in ("styles", "numbering"))
+    rels += "".join(f'<Relationship Id="p{k}" Type="{_R}/image" Target="media/{k}.png"/>' for k in range(len(pictures)))
+    parts = {
+        "[Content_Types].xml": '<Types><Default Extension="png" ContentType="image/png"/></Types>', "_rels/.rels": f'<Relationships><Relationship Id="d" Type="{_R}/officeDocument" Target="word/document.xml"/></Relationships>',
+        "word/_rels/document.xml.rels": f"<Relationships>{rels}</Relationships>", "word/document.xml": f'<w:document xmlns:w="{_W}" xmlns:r="{_R}" xmlns:a="{_A}" xmlns:wp="{_WP}"><w:body>{body}</w:body></w:document>',
+        "word/styles.xml": f'<w:styles xmlns:w="{_W}">' + "".join(f'<w:style w:styleId="H{k}"><w:name w:val="heading {k}"/></w:style>' for k in (1, 2, 3)) + "</w:styles>",
+        "word/numbering.xml": f'<w:numbering xmlns:w="{_W}">' + "".join(f'<w:abstractNum w:abstractNumId="{k}"><w:lvl w:ilvl="0"><w:numFmt w:val="{f}"/></w:lvl></w:abstractNum>' for k, f in ((1, "bullet"), (2, "decimal"))) + "".join(f'<w:num w:numId="{k}"><w:abstractNumId w:val="{k}"/></w:num>' for k in (1, 2)) + "</w:numbering>",
+    }
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, data in parts.items():
+            z.writestr(name, data)
+        for k, data in enumerate(pictures):
+            z.writestr(f"word/media/{k}.png", data)
+    return out.getvalue()
+
+
+def _documents(spark, sf_dir, pictures: bool):
+    """doc_id, path, content: a Word document for each conversation, of its turns' words or of pictures."""
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.max("text").alias("text"))
+    words = F.trim(F.regexp_replace("text", "[^A-Za-z]+", " "))
+    turns = c.select("conv_id", F.struct(F.col("turn").cast("int").alias("turn"), words.alias("text")).alias("t")).filter("t.text <> ''")
+    turns = turns.groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_sort(F.collect_list("t")).alias("turns"))
+
+    @F.pandas_udf("binary")
+    def write(all_turns: pd.Series) -> pd.Series:
+        out = []
+        for turns in all_turns:
+            if pictures:
+                shown = [t for t in turns if t["turn"] % 3 == 1]
+                body = "".join(_paragraph(f'<w:r><w:drawing><wp:inline><wp:docPr descr="turn"/><a:blip r:embed="p{k}"/></wp:inline></w:drawing></w:r>') for k in range(len(shown)))
+                out.append(_package(body, [t["text"].encode() for t in shown]))
+            else:
+                out.append(_package("".join(_turn(t["turn"], t["text"]) for t in turns), []))
+        return pd.Series(out)
+
+    return turns.select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".docx")).alias("path"), write("turns").alias("content"))
+
+
+def docx_to_markdown(spark, sf_dir):
+    return convert_binary(_documents(spark, sf_dir, False)).select("doc_id", "markdown", "title")
+
+
+def docx_images(spark, sf_dir):
+    return images_of(_documents(spark, sf_dir, True), key="doc_id").select("doc_id", "image_ix", "name", F.sha2("image", 256).alias("image_sha256"))
+
+
+_TURNS = """
+c AS (SELECT conv_id AS doc_id, CAST(turn AS INTEGER) AS turn, trim(regexp_replace(max(text), '[^A-Za-z]+', ' ', 'g')) AS t FROM conversations GROUP BY conv_id, turn),
+b AS (SELECT * FROM c WHERE t <> '')"""
+
+QUERIES = {f.__name__: f for f in (docx_to_markdown, docx_images)}
+
+SQL = {
+    "docx_to_markdown": f"""
+WITH {_TURNS},
+m AS (SELECT *, turn % 4 >= 2 AS item, CASE turn % 4 WHEN 0 THEN repeat('#', turn % 3 + 1) || ' ' || t
+  WHEN 1 THEN '**' || split_part(t, ' ', 1) || '**' || substring(t, length(split_part(t, ' ', 1)) + 1) WHEN 2 THEN '- ' || t ELSE '1. ' || t END AS block FROM b),
+w AS (SELECT *, lag(item) OVER o AS item_before, lag(turn % 4) OVER o AS kind_before, row_number() OVER o AS rn FROM m WINDOW o AS (PARTITION BY doc_id ORDER BY turn)),
+s AS (SELECT *, CASE WHEN rn = 1 THEN '' WHEN item AND item_before THEN CASE WHEN kind_before = turn % 4 THEN chr(10) ELSE chr(10) || chr(10) || '<!-- -->' || chr(10) || chr(10) END ELSE chr(10) || chr(10) END || block AS part FROM w)
+SELECT doc_id, string_agg(part, '' ORDER BY turn) || chr(10) AS markdown, arg_min(t, turn) FILTER (WHERE turn % 4 = 0) AS title FROM s GROUP BY doc_id""",
+    "docx_images": f"""
+WITH {_TURNS},
+p AS (SELECT doc_id, t, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY turn) AS INTEGER) AS image_ix FROM b WHERE turn % 3 = 1)
+SELECT doc_id, image_ix, 'imagen-' || lpad(CAST(image_ix AS VARCHAR), 3, '0') || '.png' AS name, sha256(t) AS image_sha256 FROM p""",
+}

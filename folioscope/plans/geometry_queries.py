@@ -98,6 +98,11 @@ def document_handwriting(spark, sf_dir):
     return G.document_rollup(pages).select("doc_id", F.col("region_count").cast("long").alias("region_count"), *_round("max_score"), "has_handwriting")
 
 
+def word_rows(spark, sf_dir):
+    words = _words(spark, sf_dir).drop("row", "gap_limit")
+    return G.word_rows(words).select("doc_id", "page", "word", "row", F.round("gap_limit", 5).alias("gap_limit"))
+
+
 def line_groups(spark, sf_dir):
     return G.group_lines(G.with_sizes(_components(spark, sf_dir).drop("line"))).select("doc_id", "page", "comp", "line")
 
@@ -107,7 +112,7 @@ def first_regions(spark, sf_dir):
     return G.first_of_overlapping(boxes, ["comp"])
 
 
-QUERIES = {f.__name__: f for f in (otsu_threshold, glyph_filter, split_words, word_scores, stroke_scores, box_overlap_anti, low_confidence_words, word_regions, page_mean_confidence, page_decision, document_handwriting, line_groups, first_regions)}
+QUERIES = {f.__name__: f for f in (otsu_threshold, glyph_filter, split_words, word_scores, stroke_scores, box_overlap_anti, low_confidence_words, word_regions, page_mean_confidence, page_decision, document_handwriting, line_groups, word_rows, first_regions)}
 
 
 def _clamp(x: str) -> str:
@@ -149,6 +154,19 @@ r AS (
       FROM r JOIN g ON g.doc_id = r.doc_id AND g.page = r.page AND g.rn = r.rn + 1 JOIN t ON t.doc_id = g.doc_id AND t.page = g.page) AS a) AS b)
 SELECT doc_id, page, comp, CAST(k - 1 AS INTEGER) AS line FROM r"""
 
+#: Word after word of each page; a row is known by its moving middle.
+_WORD_ROWS = f"""
+WITH RECURSIVE {_WORDS_SQL},
+g AS (SELECT doc_id, page, word, y + h / CAST(2.0 AS DOUBLE) AS cy, row_number() OVER (PARTITION BY doc_id, page ORDER BY y + h / CAST(2.0 AS DOUBLE), x, word) AS rn FROM words),
+t AS (SELECT doc_id, page, list_sort(list(CAST(h AS DOUBLE)))[count(*) // 2 + 1] AS median FROM words GROUP BY doc_id, page),
+r AS (
+  SELECT doc_id, page, rn, word, 0 AS row, cy AS middle FROM g WHERE rn = 1
+  UNION ALL
+  SELECT doc_id, page, rn, word, CASE WHEN near THEN row ELSE row + 1 END, CASE WHEN near THEN (middle + cy) / 2 ELSE cy END FROM (
+    SELECT g.*, r.row, r.middle, abs(g.cy - r.middle) <= greatest(CAST(6.0 AS DOUBLE), t.median * CAST(0.7 AS DOUBLE)) AS near
+    FROM r JOIN g ON g.doc_id = r.doc_id AND g.page = r.page AND g.rn = r.rn + 1 JOIN t ON t.doc_id = g.doc_id AND t.page = g.page) AS q)
+SELECT r.doc_id, r.page, r.word, CAST(r.row AS INTEGER) AS row, round(greatest(t.median * 3, 30), 5) AS gap_limit FROM r JOIN t ON t.doc_id = r.doc_id AND t.page = r.page"""
+
 _FIRST_REGIONS = f"""
 WITH RECURSIVE {_COMPS_SQL},
 b AS (SELECT doc_id, page, comp, min_x AS x, CAST(min_y % 80 AS INTEGER) AS y, max_x - min_x + 1 AS w, max_y - min_y + 1 AS h, row_number() OVER (PARTITION BY doc_id, page ORDER BY comp) AS rn FROM comps),
@@ -165,6 +183,7 @@ SELECT doc_id, page, comp, x, y, w, h FROM r WHERE taken"""
 SQL = {
     "line_groups": _LINE_GROUPS,
     "first_regions": _FIRST_REGIONS,
+    "word_rows": _WORD_ROWS,
     "otsu_threshold": """
 WITH h AS (SELECT user_id % 97 AS page, CAST(abs(floor(value * 3)) AS INTEGER) % 256 AS gray, count(*) AS n FROM events GROUP BY ALL),
 c AS (SELECT *, CAST(sum(n) OVER r AS DOUBLE) AS wb, CAST(sum(gray * n) OVER r AS DOUBLE) AS sb, CAST(sum(n) OVER p AS DOUBLE) AS w, CAST(sum(gray * n) OVER p AS DOUBLE) AS s FROM h WINDOW r AS (PARTITION BY page ORDER BY gray), p AS (PARTITION BY page)),

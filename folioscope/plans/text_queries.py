@@ -167,12 +167,33 @@ def _pick(xs: list[str], key: str) -> str:
 
 _trim = lambda x: f"regexp_replace({x}, '\\A[{_WS}]+|[{_WS}]+\\z', '', 'g')"
 
+def html_blank_lines(spark, sf_dir):
+    spaced = F.concat(F.lit("\n \n"), F.replace(F.replace("text", F.lit(". "), F.lit(". \t\r\n\n \n\n\n")), F.lit(", "), F.lit(",  \n")), F.lit(" \n\n"))
+    return table(spark, sf_dir, "documents").select("doc_id", M.compact_html_blanks(spaced).alias("out"))
+
+
+_STYLE_NAMES = ["Heading 1", "heading2", "Título 3", "TITULO  4", "titre 5", "Überschrift 6", "Title", " subtitle ", "Heading 10", "Normal", "ttulo7", "berschrift 8", "heading 0", "my heading 1"]
+
+
+def heading_style_names(spark, sf_dir):
+    name = F.element_at(F.array(*map(F.lit, _STYLE_NAMES)), (F.col("s_suppkey") % len(_STYLE_NAMES) + 1).cast("int"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", name.alias("style")).withColumn("level", M.heading_level_of_style(F.col("style")))
+
+
 QUERIES = {f.__name__: f for f in (
     tokens_estimate, tokens_from_chars, normalize_text, normalize_metrics, tokens_saved_by_lang, clean_pagination, clean_artifacts, clean_blank_lines, clean_full,
-    escape_inline, escape_line_start, table_cell, collapse_ws, html_text_normalize, html_style_hidden, format_detect, confidence_percent, image_extensions,
+    escape_inline, escape_line_start, table_cell, collapse_ws, html_text_normalize, html_style_hidden, format_detect, confidence_percent, image_extensions, html_blank_lines, heading_style_names,
 )}
 
 SQL = {
+    "html_blank_lines": """
+WITH a AS (SELECT doc_id, chr(10) || ' ' || chr(10) || replace(replace(text, '. ', '. ' || chr(9) || chr(13) || chr(10) || chr(10) || ' ' || chr(10) || chr(10) || chr(10)), ', ', ',  ' || chr(10)) || ' ' || chr(10) || chr(10) AS t FROM documents),
+b AS (SELECT doc_id, regexp_replace(regexp_replace(replace(t, chr(13) || chr(10), chr(10)), '[ \\t]+\\n', chr(10), 'g'), '[ \\t]+$', '') AS t FROM a)
+SELECT doc_id, trim(regexp_replace(t, '\\n{3,}', chr(10) || chr(10), 'g'), chr(10)) AS out FROM b""",
+    "heading_style_names": f"""
+WITH s AS (SELECT s_suppkey, (list_value({', '.join(map(repr, _STYLE_NAMES))}))[CAST(s_suppkey % {len(_STYLE_NAMES)} AS INTEGER) + 1] AS style FROM supplier)
+SELECT s_suppkey, style, CASE lower(trim(style)) WHEN 'title' THEN 1 WHEN 'subtitle' THEN 2
+  ELSE TRY_CAST(regexp_extract(style, '(?i)^(?:heading|t[ií]?tulo|ttulo|titre|berschrift|überschrift)\\s*([1-9])$', 1) AS INTEGER) END AS level FROM s""",
     "tokens_estimate": f"SELECT doc_id, CAST(len(regexp_extract_all(text, '[^{_WS}]+')) AS INTEGER) AS words, {_tokens_sql('text')} AS tokens, {_tokens_sql('text', '1.1')} AS tokens_cl100k FROM documents",
     "tokens_from_chars": "SELECT doc_id, " + ", ".join(f"CAST(CASE WHEN n_chars - 100 <= 0 THEN 0 ELSE ceil((n_chars - 100) / CAST(4.0 AS DOUBLE) * CAST({f} AS DOUBLE)) END AS INTEGER) AS {n}" for f, n in (("1.0", "tokens"), ("1.1", "tokens_cl100k"))) + " FROM documents",
     "normalize_text": _stage("n", [("normalized", _normal_sql("t"))], "doc_id, normalized"),
