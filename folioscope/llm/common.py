@@ -3,98 +3,104 @@
 from __future__ import annotations
 
 import os
-import uuid
-import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows per Arrow batch.  Texts may be long, so batches are short.
-ARROW_ROWS = 1000
+from ..tables import drop_stored, scope, shared_dir, stored  # noqa: F401
+
+#: Rows and bytes of text that a worker handles at once, whatever the size of Spark's batches.
+SLICE_ROWS, SLICE_BYTES = 1000, 1 << 22
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+#: Bytes of an Arrow batch on its way to a worker, where the session leaves Spark's default.
+BATCH_BYTES = "4m"
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Short Arrow batches, a checkpoint folder, and this package on the workers' path.
+    """Short Arrow batches, and this package on the workers' path.
 
-    The checkpoint folder named by ``spark.checkpoint.dir`` is used where it is set; a folder
-    below the warehouse is chosen only where it is not (as in tests).  On a cluster the package
-    itself is installed or sent by ``--py-files``; the path below only helps local runs.
+    A batch is bounded by bytes, as texts may be long; a session that names a bound of its own
+    keeps it.  Batches are made when a result is read, so the setting can't be taken back here.
+    On a cluster the package is installed or sent by ``--py-files``; the path only helps local runs.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     sc = spark.sparkContext
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(bound, None) is None:
+        spark.conf.set(bound, BATCH_BYTES)
     paths = sc.environment.get("PYTHONPATH", "").split(os.pathsep)
     if _ROOT not in paths:
         sc.environment["PYTHONPATH"] = os.pathsep.join([_ROOT, *filter(None, paths)])
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(spark))
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_shared")
+def docs(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
+def fold(id_col: str, folds: int) -> Column:
+    """crc32 of the id as text, modulo ``folds``; a null id counts as empty text."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
 
-    The folder goes when the Python handle of the result is collected or the session ends,
-    whichever the caller arranges with ``drop_stored``; a later stage that fails can reread it.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._folioscope_path = path
-    return out
 
+def spread(*keys: Column, seed: int = 0) -> Column:
+    """A repeatable number in [0, 1) from a key."""
+    return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
 
-def drop_stored(df: DataFrame) -> None:
-    """Delete what ``stored`` wrote for ``df``; nothing that still reads it may follow."""
-    path = getattr(df, "_folioscope_path", None)
-    if path:
-        jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
+_resident: list[tuple[object, object]] = []
 
-def docs(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
+def resident(key: object, make: Callable[[], object]) -> object:
+    """What ``make`` built for ``key`` in this worker process; only the last key's is kept.
 
-def fold(id_col: str, folds: int) -> Column:
-    """crc32 of the id as text, modulo ``folds``; a null id counts as empty text."""
-    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
+    So a worker that turns to another operator holds nothing large of the one before.
+    """
+    if not _resident or _resident[0][0] is not key:
+        release()
+        _resident.append((key, make()))
+    return _resident[0][1]
 
 
-def spread(key: Column, seed: int = 0) -> Column:
-    """A repeatable number in [0, 1) from a key."""
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+def release() -> None:
+    """Drop what this worker process keeps, and give free memory back."""
+    _resident.clear()
+    pa.default_memory_pool().release_unused()
+
+
+def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of at most SLICE_ROWS rows and about SLICE_BYTES of the column ``text``, without copying."""
+    per_row = max(1, batch.column(text).nbytes // max(1, batch.num_rows))
+    step = max(1, min(SLICE_ROWS, SLICE_BYTES // per_row))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
 
 
-def map_text(df: DataFrame, fn: Callable[[list], list[list]], schema: str) -> DataFrame:
-    """Apply ``fn`` to lists of column values, batch by batch, through Arrow.
+def map_arrow(df: DataFrame, fn: Callable[..., list], schema: str, text: int = 1, keeps: bool = False) -> DataFrame:
+    """Apply ``fn`` to the columns (Arrow arrays) of slices of ``df``; it returns one list, numpy or Arrow array for each output column.
 
-    ``fn`` gets one list for each column of ``df`` and returns one list for each output column.
+    keeps: whether ``fn`` uses ``resident``.
     """
-    from pyspark.sql.types import _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
 
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            release()
         for batch in batches:
-            if batch.num_rows:
-                cols = fn(*[c.to_pylist() for c in batch.columns])
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, arrow)], schema=arrow)
+            for part in slices(batch, text):
+                cols = fn(*part.columns)
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(cols, arrow)], schema=arrow)
 
     return df.mapInArrow(run, schema)
 
 
-def crc32(data: bytes) -> int:
-    return zlib.crc32(data)
+def map_text(df: DataFrame, fn: Callable[..., list], schema: str, text: int = 1, keeps: bool = False) -> DataFrame:
+    """``map_arrow`` with columns as Python lists."""
+    return map_arrow(df, lambda *cols: fn(*[c.to_pylist() for c in cols]), schema, text, keeps)
