@@ -2,23 +2,25 @@
 
 A word that training saw is scored by its log frequency in each language.  Another word is read
 left to right as character n-grams: at each place the longest n-gram that training saw counts.
+A word is a run of letters (``str.isalpha``) of the lower-case text.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import docs, fold, map_text, prepare, spread
+from .batches import P1, Lookup, Stretches, Words, mix, ranges, stretches, word_keys, words
+from .common import docs, fold, map_arrow, prepare, release, resident, slices, spread
 
 LONGEST = 4
-_words = re.compile(r"[^\W\d_]+").findall
+BORDER = 32
 
 
 def grams(word: str) -> list[str]:
@@ -27,112 +29,138 @@ def grams(word: str) -> list[str]:
     return [w[i : i + n] for i in range(len(w)) for n in range(1, LONGEST + 1) if i + n <= len(w)]
 
 
+def _gram_keys(chars: np.ndarray) -> list[np.ndarray]:
+    """Keys of the n-grams that start at each character, for n of 1 to LONGEST; those that run over the end are cut."""
+    x, out = chars.astype(np.uint64), []
+    key = np.zeros(len(x), np.uint64)
+    for n in range(1, LONGEST + 1):
+        m = max(len(x) - n + 1, 0)
+        key = mix(key[:m] * P1 + x[n - 1 :] + np.uint64(n))
+        out.append(key)
+    return out
+
+
+def _key_of(s: str) -> np.uint64:
+    return _gram_keys(np.frombuffer(s.encode("utf-32-le"), np.uint32))[len(s) - 1][0]
+
+
 class LanguageModel:
     """Log frequencies of words and n-grams by language.
 
-    counts: (language, "w" or "g", string) to number of occurrences.
+    counts: (language, "w" or "g", string) to number of occurrences.  ``words`` and ``grams`` are
+    pairs of keys and rows (a column for each language); rows are centred over the languages.
     """
 
     def __init__(self, counts: dict[tuple[str, str, str], int], smooth: float = 0.5):
         self.langs = sorted({k[0] for k in counts})
         at = {lang: i for i, lang in enumerate(self.langs)}
-        self.words: dict[str, np.ndarray] = {}
-        self.grams: dict[str, np.ndarray] = {}
         tables: dict[object, dict[str, np.ndarray]] = {}
         for (lang, kind, s), n in counts.items():
             table = tables.setdefault("w" if kind == "w" else len(s), {})
             table.setdefault(s, np.zeros(len(at)))[at[lang]] += n
+        none = np.zeros(0, np.uint64), np.zeros((0, len(at)), np.float32)
+        self.words, found = none, [none]
         for kind, table in tables.items():
             rows = np.stack(list(table.values())) + smooth
             rows = np.log(rows / rows.sum(0))
-            rows -= rows.mean(1, keepdims=True)
-            (self.words if kind == "w" else self.grams).update(zip(table, rows.astype(np.float32)))
-
-    def word(self, word: str) -> np.ndarray:
-        """Scores by language of a lower-case word."""
-        known = self.words.get(word)
-        if known is not None:
-            return known
-        w, out, n = f" {word} ", np.zeros(len(self.langs), np.float32), 0
-        for i in range(len(w) - 1):
-            for size in range(min(LONGEST, len(w) - i), 0, -1):
-                got = self.grams.get(w[i : i + size])
-                if got is not None:
-                    out, n = out + got, n + 1
-                    break
-        return out / n if n else out
+            rows = (rows - rows.mean(1, keepdims=True)).astype(np.float32)
+            if kind == "w":
+                self.words = word_keys(words(list(table), str.isalpha, lower=False)), rows
+            else:
+                found.append((np.array([_key_of(s) for s in table], np.uint64), rows))
+        self.grams = np.concatenate([k for k, _ in found]), np.concatenate([r for _, r in found])
 
 
 class Scorer:
-    """Scores of whole texts; each distinct stretch is scored once (a bounded memo)."""
-
-    def __init__(self, model: LanguageModel, max_memo: int = 200_000):
-        self.model, self.max = model, max_memo
-        self._start()
-
-    def _start(self) -> None:
-        scorer, self._rows = self, np.zeros((1024, len(self.model.langs) + 1), np.float32)
-
-        class Memo(dict):
-            def __missing__(self, stretch: str) -> int:
-                at = self[stretch] = len(self)
-                if at >= len(scorer._rows):
-                    scorer._rows = np.concatenate([scorer._rows, np.zeros_like(scorer._rows)])
-                row = scorer._rows[at]
-                for w in _words(stretch.lower()):
-                    row[:-1] += scorer.model.word(w)
-                    row[-1] += 1
-                return at
-
-        self._memo = Memo()
-
-    def scores(self, text: str | None) -> tuple[np.ndarray, int]:
-        """Summed scores by language and the number of words."""
-        if len(self._memo) > self.max:
-            self._start()
-        idx = list(map(self._memo.__getitem__, (text or "").split()))
-        if not idx:
-            return np.zeros(len(self.model.langs), np.float64), 0
-        total = self._rows[np.array(idx)].sum(0, dtype=np.float64)
-        return total[:-1], int(total[-1])
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The best language (first by name among equals) and its share after a softmax over at most 50 mean words; ``und`` with 0 if there is no letter."""
-        total, n = self.scores(text)
-        if not n or not self.model.langs:
-            return "und", 0.0
-        z = total / n * min(n, 50)
-        p = np.exp(z - z.max())
-        best = int(p.argmax())
-        return self.model.langs[best], float(p[best] / p.sum())
-
-
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 1500, max_words: int = 60_000, max_grams: int = 60_000, seed: int = 5) -> LanguageModel:
+    """Scores of batches of whole texts."""
+
+    def __init__(self, model: LanguageModel):
+        self.model = model
+        self._words, self._grams = Lookup(model.words[0]), Lookup(model.grams[0])
+        # The last row is for what training did not see.
+        self._rows = np.concatenate([model.grams[1], np.zeros((1, len(model.langs)), np.float32)])
+
+    def word_rows(self, w: Words) -> np.ndarray:
+        """Scores by language of each word."""
+        known = self._words.find(word_keys(w))
+        out = np.zeros((len(known), len(self.model.langs)), np.float32)
+        out[known >= 0] = self.model.words[1][known[known >= 0]]
+        new = np.nonzero(known < 0)[0]
+        if len(new):
+            out[new] = self._back_off(w.chars, w.start[new], w.end[new])
+        return out
+
+    def _back_off(self, chars: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Mean row of the longest known n-gram at each place of each bordered word but its last border."""
+        size = end - start + 2
+        first = np.cumsum(size) - size
+        x = np.full(int(size.sum()), BORDER, np.uint32)
+        x[ranges(first + 1, size - 2)] = chars[ranges(start, size - 2)]
+        left = -ranges(-size, size)  # characters from here to the end of the word, this one included
+        keys = _gram_keys(x)
+        row = np.full(len(x), -1, np.int32)
+        for n in range(LONGEST, 0, -1):
+            at = np.nonzero((row < 0) & (left >= max(n, 2)))[0]
+            at = at[at < len(keys[n - 1])]
+            row[at] = self._grams.find(keys[n - 1][at])
+        total = np.add.reduceat(self._rows[row], first, axis=0)
+        return total / np.maximum(np.add.reduceat(row >= 0, first), 1)[:, None].astype(np.float32)
+
+    def scores(self, s: Stretches) -> tuple[np.ndarray, np.ndarray]:
+        """Summed scores by language and the number of words, for each text."""
+        w = words(s.distinct, str.isalpha)
+        both = np.concatenate([self.word_rows(w), np.ones((len(w.start), 1), np.float32)], axis=1)
+        total = s.text_sums(w.per_stretch(both))
+        return total[:, :-1], total[:, -1].astype(np.int64)
+
+    def predict(self, s: Stretches) -> tuple[list[str], np.ndarray]:
+        """For each text the best language (first by name among equals) and its share after a softmax over at most 50 mean words; ``und`` with 0 if there is no letter."""
+        total, n = self.scores(s)
+        if not self.model.langs:
+            return ["und"] * len(n), np.zeros(len(n))
+        z = total / np.maximum(n, 1)[:, None] * np.minimum(n, 50)[:, None]
+        p = np.exp(z - z.max(1, keepdims=True))
+        best = p.argmax(1)
+        share = p.max(1) / p.sum(1)
+        return [self.model.langs[b] if k else "und" for b, k in zip(best.tolist(), n.tolist())], np.where(n > 0, share, 0.0)
+
+
+def _counted(texts: pa.Array) -> tuple[Counter, Counter]:
+    """Words and n-grams of some texts together."""
+    s = stretches(texts)
+    w = words(s.distinct, str.isalpha)
+    times = np.bincount(s.codes, minlength=len(s.distinct))[w.owner]
+    own: Counter = Counter()
+    for word, n in zip(w.strings(), times.tolist()):
+        own[word] += n
+    g: Counter = Counter()
+    for word, n in own.items():
+        for x in grams(word):
+            g[x] += n
+    return own, g
+
+
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 1500, max_words: int = 60_000, max_grams: int = 60_000, max_langs: int = 500, seed: int = 5) -> LanguageModel:
     """Fit on a bounded sample of labelled rows: about ``docs_per_lang`` whole texts a language.
 
-    Rows with null text or language teach nothing.  The model keeps, of each language, the
-    ``max_words`` words and ``max_grams`` n-grams that occur most; ties go by the string.  So what
-    reaches the driver grows with the number of languages only, and no language crowds out another.
+    Rows with null text or language teach nothing.  Texts are drawn by a hash of id and text.  The
+    ``max_langs`` languages with most rows are learned (ties go by name), and of each the
+    ``max_words`` words and ``max_grams`` n-grams that occur most (ties go by the string).  So what
+    reaches the driver has a fixed bound, and no language crowds out another.
     """
     df = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"))
-    share = {r["l"]: min(1.0, docs_per_lang / r["n"]) for r in df.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    share = {r["l"]: min(1.0, docs_per_lang / r["n"]) for r in df.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(max_langs).collect()}
     if not share:
         return LanguageModel({})
     keep = F.create_map([F.lit(x) for pair in share.items() for x in pair])
-    sample = df.filter(spread(F.col("i"), seed) < F.element_at(keep, F.col("l"))).select("l", "t")
+    sample = df.filter(spread(F.col("i"), F.col("t"), seed=seed) < F.coalesce(F.try_element_at(keep, F.col("l")), F.lit(0.0))).select("l", "t")
     schema = pa.schema([("l", pa.string()), ("kind", pa.string()), ("s", pa.string()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words: dict[str, Counter] = {}
-            for lang, text in zip(*(c.to_pylist() for c in batch.columns)):
-                words.setdefault(lang, Counter()).update(_words(text.lower()))
-            for lang, c in words.items():
-                g: Counter = Counter()
-                for w, n in c.items():
-                    for x in grams(w):
-                        g[x] += n
-                for kind, counter in (("w", c), ("g", g)):
+        release()
+        for part in (p for b in batches for p in slices(b, 1)):
+            for lang in part.column(0).unique().to_pylist():
+                for kind, counter in zip("wg", _counted(part.filter(pc.equal(part.column(0), lang)).column(1))):
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counter)), pa.array([kind] * len(counter)), pa.array(list(counter), pa.string()), pa.array(list(counter.values()), pa.int64())], schema=schema)
 
     counted = sample.mapInArrow(count, "l string, kind string, s string, n long").groupBy("l", "kind", "s").agg(F.sum("n").alias("n")).filter("n > 1")
@@ -146,25 +174,16 @@ def predict(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_co
     spark = prepare(df.sparkSession)
     shared = spark.sparkContext.broadcast(model)
 
-    def run(ids: list, texts: list) -> list[list]:
-        scorer = scorer_of(shared.value)
-        rows = [scorer.predict(t) for t in texts]
-        return [ids, *map(list, zip(*rows))]
+    def run(ids: pa.Array, texts: pa.Array) -> list:
+        return [ids, *scorer_of(shared.value).predict(stretches(texts))]
 
     id_type = df.schema[id_col].dataType.simpleString()
-    return map_text(df.select(id_col, text_col), run, f"{id_col} {id_type}, lang_pred string, score double")
-
-
-_scorers: dict[int, tuple[LanguageModel, Scorer]] = {}
+    return map_arrow(df.select(id_col, text_col), run, f"{id_col} {id_type}, lang_pred string, score double", keeps=True)
 
 
 def scorer_of(model: LanguageModel) -> Scorer:
-    """One scorer for each model and worker process."""
-    own = _scorers.get(id(model))
-    if own is None or own[0] is not model:
-        _scorers.clear()
-        own = _scorers[id(model)] = (model, Scorer(model))
-    return own[1]
+    """One scorer for each worker process."""
+    return resident(model, lambda: Scorer(model))
 
 
 def identify(df: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **fit_options) -> DataFrame:
