@@ -7,22 +7,27 @@ of the longest chain.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_stored, stored
 
 
+def _least(edges: DataFrame, by: str, value: Column) -> DataFrame:
+    """One row (``by``, m) for each node; dealt again, so that Spark can split the join's rows of a node with very many neighbours."""
+    return edges.groupBy(by).agg(value.alias("m")).repartition(by, "m")
+
+
 def _large(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the smallest of the node's neighbourhood."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    least = _least(both, "a", F.least(F.min("b"), F.col("a")))
     return both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b").filter("a <> b").distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are linked to the smallest of them."""
-    least = edges.groupBy("b").agg(F.min("a").alias("m"))
+    least = _least(edges, "b", F.min("a"))
     joined = edges.join(least, "b")
     return joined.select(F.col("m").alias("a"), F.col("a").alias("b")).unionByName(least.select(F.col("m").alias("a"), "b")).filter("a <> b").distinct()
 

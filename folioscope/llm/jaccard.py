@@ -16,19 +16,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark import Broadcast, TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import docs, map_text, prepare, stored
+from .batches import mix, stretches
+from .common import docs, drop_stored, map_arrow, prepare, release, slices, stored
 from .components import components
 
 _P = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
-_K1, _K2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Counters of the frequency sketch (a fixed size, whatever the input) in blocks of 2^16.
 SKETCH_BITS, BLOCK = 24, 1 << 16
-#: Documents in a chunk of a group.
-CHUNK = 256
+#: Documents and tokens in a chunk of a group (one longer document is a chunk's all), and queries that one copy of it answers.
+CHUNK, CHUNK_TOKENS, CHUNK_QUERIES = 256, 1 << 20, 4096
 #: Bands by which representatives are grouped, and min-wise values of a band.
 BANDS, BAND = 4, 3
 #: Documents of a cluster that are compared with all its chunks.
@@ -36,49 +36,24 @@ LEADERS = 8
 _BOUNDS = np.arange(BANDS * BAND, dtype=np.uint64) * np.uint64((1 << 64) // (BANDS * BAND))
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _K1
-    x = (x ^ (x >> np.uint64(27))) * _K2
-    return x ^ (x >> np.uint64(31))
+def _shingles(w: np.ndarray, k: int) -> np.ndarray:
+    n = max(len(w) - k + 1, 0)
+    h = w[:n] * _P[0]
+    for j in range(1, k):
+        h = mix(h) * _P[j % 5] + w[j : j + n]
+    return mix(h + np.uint64(k))
 
 
-class Shingler:
+def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingles of whole texts; A-Z is lowered, words end at ASCII white space."""
-
-    def __init__(self, size: int, max_memo: int = 300_000):
-        self.size, self.max = size, max_memo
-
-        class Memo(dict):
-            def __missing__(self, word: bytes) -> int:
-                out = self[word] = xxhash.xxh3_64_intdigest(word)
-                return out
-
-        self._memo = Memo()
-
-    def words(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode().lower().split()
-        if len(self._memo) > self.max:
-            self._memo.clear()
-        return np.fromiter(map(self._memo.__getitem__, words), np.uint64, len(words))
-
-    def set_of(self, text: str | None) -> np.ndarray:
-        w = self.words(text)
-        if not len(w):
-            return w
-        k = min(self.size, len(w))
-        n = len(w) - k + 1
-        h = w[:n] * _P[0]
-        for j in range(1, k):
-            h = _mix(h) * _P[j % 5] + w[j : j + n]
-        h = np.sort(_mix(h + np.uint64(k)))
-        return h[np.append(True, h[1:] != h[:-1])]
-
-
-_shinglers: dict[int, Shingler] = {}
-
-
-def shingler(size: int) -> Shingler:
-    return _shinglers.setdefault(size, Shingler(size))
+    s = stretches(texts, ascii=True)
+    w = np.fromiter(map(xxhash.xxh3_64_intdigest, s.distinct), np.uint64, len(s.distinct))[s.codes]
+    every, out, at = _shingles(w, size), [], 0
+    for n in s.sizes.tolist():
+        h = np.sort(every[at : at + n - size + 1] if n >= size else _shingles(w[at : at + n], n))
+        out.append(h[np.append(True, h[1:] != h[:-1])] if len(h) else h)
+        at += n
+    return out
 
 
 def needed(n: int, percent: int) -> int:
@@ -95,7 +70,7 @@ def band_keys(s: np.ndarray) -> list[int]:
     v = s[np.minimum(np.searchsorted(s, _BOUNDS), len(s) - 1)].reshape(BANDS, BAND)
     key = np.arange(BANDS, dtype=np.uint64)
     for j in range(BAND):
-        key = _mix(key * _P[j] + v[:, j])
+        key = mix(key * _P[j] + v[:, j])
     return _signed(key).tolist()
 
 
@@ -107,20 +82,18 @@ def _stats(df: DataFrame, size: int) -> DataFrame:
     schema = pa.schema([("kind", pa.int32()), ("i", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("keys", pa.list_(pa.int64())), ("r", pa.int32()), ("salt", pa.int32()), ("blob", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, sums = shingler(size), np.zeros(1 << SKETCH_BITS, np.uint32)
+        release()
+        sums = np.zeros(1 << SKETCH_BITS, np.uint32)
         salt = TaskContext.get().partitionId() % 64
-        for batch in batches:
+        for batch in (p for b in batches for p in slices(b, 1)):
             n, d1, d2, keys, seen = [], [], [], [], []
-            for text in batch.column(1).to_pylist():
-                s = own.set_of(text)
+            for s in shingle_sets(batch.column(1), size):
                 n.append(len(s))
                 digest = xxhash.xxh3_128_digest(s.tobytes())
                 d1.append(int.from_bytes(digest[:8], "little", signed=True))
                 d2.append(int.from_bytes(digest[8:], "little", signed=True))
                 keys.append(band_keys(s) if len(s) else [])
                 seen.append(s)
-            if not n:
-                continue
             all_of = np.concatenate(seen)
             np.add.at(sums, (all_of & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), np.uint32(1))
             m = len(n)
@@ -173,29 +146,36 @@ def frequency_classes(stats: DataFrame) -> np.ndarray:
     return out
 
 
-def shared_prefixes(df: DataFrame, classes: np.ndarray, size: int, percent: int, ranges: int) -> DataFrame:
+def _distinct(t: np.ndarray, d: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Postings by token and set, each once; equal sets have equal postings."""
+    order = np.lexsort((d, t))
+    t, d, o = t[order], d[order], o[order]
+    new = np.append(True, (t[1:] != t[:-1]) | (d[1:] != d[:-1]))
+    return t[new], d[new], o[new]
+
+
+def shared_prefixes(df: DataFrame, classes: Broadcast, size: int, percent: int, ranges: int) -> DataFrame:
     """``token``, ``d1``, ``pos``: prefix tokens that stand in the prefixes of two or more different sets, and where.
 
     Tokens travel packed, dealt by hash into ``ranges`` that grow with the input.
     """
-    shared = df.sparkSession.sparkContext.broadcast(classes)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, mask = shingler(size), np.uint64((1 << SKETCH_BITS) - 1)
-        for batch in batches:
+        release()
+        mask = np.uint64((1 << SKETCH_BITS) - 1)
+        for batch in (p for b in batches for p in slices(b, 0)):
             tokens, ids, places = [], [], []
-            for text in batch.column(0).to_pylist():
-                s = own.set_of(text)
+            for s in shingle_sets(batch.column(0), size):
                 if len(s):
-                    key = (shared.value[(s & mask).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
+                    key = (classes.value[(s & mask).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
                     p = len(s) - needed(len(s), percent) + 1
                     tokens.append(np.sort(np.partition(key, p - 1)[:p] if p < len(key) else key))
                     places.append(np.arange(p, dtype=np.int32))
                     ids.append(np.full(p, np.frombuffer(xxhash.xxh3_128_digest(s.tobytes())[:8], np.int64)[0], np.int64))
             if not tokens:
                 continue
-            t, d, o = np.concatenate(tokens), np.concatenate(ids), np.concatenate(places)
-            r = (_mix(t) % np.uint64(ranges)).astype(np.int32)
+            t, d, o = _distinct(np.concatenate(tokens), np.concatenate(ids), np.concatenate(places))
+            r = (mix(t) % np.uint64(ranges)).astype(np.int32)
             order = np.argsort(r, kind="stable")
             t, d, o, r = t[order], d[order], o[order], r[order]
             cuts = np.append(np.nonzero(np.append(True, r[1:] != r[:-1]))[0], len(r))
@@ -206,10 +186,7 @@ def shared_prefixes(df: DataFrame, classes: np.ndarray, size: int, percent: int,
         t = np.concatenate([np.frombuffer(b, np.uint64) for b in table.column("t").to_pylist()])
         d = np.concatenate([np.frombuffer(b, np.int64) for b in table.column("d").to_pylist()])
         o = np.concatenate([np.frombuffer(b, np.int32) for b in table.column("o").to_pylist()])
-        order = np.lexsort((d, t))
-        t, d, o = t[order], d[order], o[order]
-        new = np.append(True, (t[1:] != t[:-1]) | (d[1:] != d[:-1]))
-        t, d, o = t[new], d[new], o[new]
+        t, d, o = _distinct(t, d, o)
         alike = t[1:] == t[:-1]
         keep = np.append(alike, False) | np.append(False, alike)
         return pa.table({"token": pa.array(_signed(t[keep]), pa.int64()), "d1": pa.array(d[keep], pa.int64()), "pos": pa.array(o[keep], pa.int32())})
@@ -231,17 +208,21 @@ def id_filter(ids: DataFrame) -> tuple[bytes, int]:
     return bytes(out), bits
 
 
-def sets_of(df: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """``i`` and ``set`` (packed) of the documents named by ``ids`` (i), and of few others; texts are not shuffled."""
+def sets_of(df: DataFrame, ids: DataFrame, size: int) -> tuple[DataFrame, Broadcast]:
+    """``i`` and ``set`` (packed) of the documents named by ``ids`` (i), and of few others; texts are not shuffled.
+
+    Also the broadcast it reads, to be destroyed when the rows are written.
+    """
     bitmap, bits = id_filter(ids)
-    shared = df.sparkSession.sparkContext.broadcast(bitmap)
+    shared = df.sparkSession.sparkContext.broadcast(np.frombuffer(bitmap, np.uint8))
 
-    def run(i: list, texts: list, at: list) -> list[list]:
-        m = shared.value
-        wanted = [k for k, h in enumerate(at) if h is not None and m[h >> 3] >> (h & 7) & 1]
-        return [[i[k] for k in wanted], [shingler(size).set_of(texts[k]).tobytes() for k in wanted]]
+    def run(i: pa.Array, texts: pa.Array, at: pa.Array) -> list:
+        h = at.fill_null(0).to_numpy(zero_copy_only=False)
+        wanted = pa.array((shared.value[h >> 3] >> (h & 7) & 1).astype(bool) & at.is_valid().to_numpy(zero_copy_only=False))
+        return [i.filter(wanted), [s.tobytes() for s in shingle_sets(texts.filter(wanted), size)]]
 
-    return map_text(df.select("i", "x", F.pmod(F.xxhash64("i"), F.lit(bits)).alias("h")), run, "i long, set binary")
+    at = F.when(F.col("i").isNotNull(), F.pmod(F.xxhash64("i"), F.lit(bits)))
+    return map_arrow(df.select("i", "x", at.alias("h")), run, "i long, set binary"), shared
 
 
 class Chunk:
@@ -274,8 +255,8 @@ class Chunk:
         both = np.bincount(owner[at], minlength=len(sizes))
         return np.nonzero(100 * both >= percent * (sizes + len(s) - both))[0]
 
-    def inner_links(self, percent: int) -> list[tuple[int, int]]:
-        """All members compared; of the links, enough to join what belongs together."""
+    def inner_links(self, percent: int) -> tuple[list[tuple[int, int]], list[int]]:
+        """All members compared: of the links, enough to join what belongs together, and each member's part."""
         root = list(range(len(self.ids)))
 
         def find(k: int) -> int:
@@ -291,36 +272,61 @@ class Chunk:
                 if a != b:
                     root[a] = b
                     out.append((self.ids[k], self.ids[j]))
-        return out
+        return out, [find(k) for k in range(len(root))]
+
+
+def chunks_of(m: Column, tokens: Column) -> Column:
+    """Chunks of a group of ``m`` documents and so many tokens."""
+    return F.greatest(F.ceil(m / CHUNK), F.ceil(tokens / CHUNK_TOKENS)).cast("int")
+
+
+def every_chunk(chunks: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), chunks - 1)).alias("p")
+
+
+def own_chunk(i: Column, chunks: Column) -> Column:
+    return F.pmod(F.xxhash64(i), chunks).cast("int")
 
 
 def probe(members: DataFrame, queries: DataFrame, sets: DataFrame, percent: int, inside: bool = False) -> DataFrame:
     """Links (a, b) between the queries of a chunk and its members, and with ``inside`` among its members.
 
-    members: (c, i) with few rows for each chunk c; queries: (c, i), any number.  Chunks are read
-    as streams: members first, then query after query.
+    members: (g, p, i), the documents of chunk p of group g, few and with few tokens; queries: the
+    same, any number: a chunk that many ask is copied, and each copy answers some of them.  Chunks
+    are read as streams: members first, then query after query.  A query is linked with one member
+    of each part of a chunk that is linked already; without ``inside``, a group is one part.
     """
-    rows = members.select("c", "i", F.lit(0).alias("role")).unionByName(queries.select("c", "i", F.lit(1).alias("role")))
-    dealt = rows.join(sets, "i").select("c", "role", "i", "set").repartition("c").sortWithinPartitions("c", "role")
+    asked = queries.groupBy("g", "p").agg(F.ceil(F.count("*") / CHUNK_QUERIES).cast("int").alias("copies")).filter("copies > 1")
+    asked = stored(asked, "asked")
+    copies = F.coalesce("copies", F.lit(1))
+    held = members.join(asked, ["g", "p"], "left").select("g", "p", F.explode(F.sequence(F.lit(0), copies - 1)).alias("s"), "i", F.lit(0).alias("role"))
+    asks = queries.join(asked, ["g", "p"], "left").select("g", "p", F.pmod(F.xxhash64("i", F.lit(1)), copies).cast("int").alias("s"), "i", F.lit(1).alias("role"))
+    dealt = held.unionByName(asks).join(sets, "i").select("g", "p", "s", "role", "i", "set").repartition("g", "p", "s").sortWithinPartitions("g", "p", "s", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, chunk = None, Chunk()
-        for batch in batches:
+        at, chunk, parts = None, Chunk(), None
+        for batch in (p for b in batches for p in slices(b, 5)):
             links: list[tuple[int, int]] = []
-            for c, role, i, raw in zip(*(x.to_pylist() for x in batch.columns)):
-                if c != at:
-                    links += chunk.inner_links(percent) if inside else []
-                    at, chunk = c, Chunk()
+            for g, p, copy, role, i, raw in zip(*(x.to_pylist() for x in batch.columns)):
+                if (g, p, copy) != at:
+                    if inside and parts is None and at and at[2] == 0:
+                        links += chunk.inner_links(percent)[0]
+                    at, chunk, parts = (g, p, copy), Chunk(), None
                 s = np.frombuffer(raw, np.uint64)
                 if role == 0:
                     chunk.add(i, s)
                 elif chunk.ids:
-                    links += [(i, chunk.ids[k]) for k in chunk.alike(s, percent).tolist() if chunk.ids[k] != i]
+                    if parts is None:
+                        more, parts = chunk.inner_links(percent) if inside else ([], [0] * len(chunk.ids))
+                        links += more
+                    one = {parts[k]: chunk.ids[k] for k in chunk.alike(s, percent).tolist() if chunk.ids[k] != i}
+                    links += [(i, j) for j in one.values()]
+            if links:
+                yield _links(links)
+        if inside and parts is None and at and at[2] == 0:
+            links = chunk.inner_links(percent)[0]
             if links:
                 yield _links(links)
-        links = chunk.inner_links(percent) if inside else []
-        if links:
-            yield _links(links)
 
     return dealt.mapInArrow(run, "a long, b long")
 
@@ -348,40 +354,52 @@ def similarity_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = stored(classes, "reps")
 
     # Clusters: representatives that share a band; groups: what is similar in them.
+    sc = df.sparkSession.sparkContext
     keyed = reps.select("rep", F.posexplode("keys").alias("j", "key"))
     firsts = keyed.groupBy("j", "key").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z").select("j", "key", "a")
     tied = components(keyed.join(firsts, ["j", "key"]).select("a", F.col("rep").alias("b")))
     clustered = tied.select(F.col("root").alias("g"), F.col("node").alias("i")).unionByName(tied.select(F.col("root").alias("g"), F.col("root").alias("i")).distinct())
-    clustered = stored(clustered, "clusters")
-    chunk = lambda g, m, i: F.concat_ws(":", g.cast("string"), F.pmod(F.xxhash64(i), F.ceil(m / CHUNK)).cast("string"))
-    chunks = lambda m: F.explode(F.sequence(F.lit(0), (F.ceil(m / CHUNK) - 1).cast("int"))).alias("p")
-    about = clustered.groupBy("g").agg(F.count("*").alias("m"), F.array_distinct(F.array(*[F.min_by("i", F.xxhash64("i", F.lit(k))) for k in range(LEADERS)])).alias("l"))
-    members = clustered.join(about.select("g", "m"), "g").select(chunk(F.col("g"), F.col("m"), F.col("i")).alias("c"), "i")
-    leaders = about.filter(F.col("m") > CHUNK).select("g", F.explode("l").alias("i"), "m").select("g", "i", chunks(F.col("m"))).select(F.concat_ws(":", F.col("g").cast("string"), F.col("p").cast("string")).alias("c"), "i")
-    near = stored(probe(members, leaders, sets_of(rows, clustered.select("i"), size), percent, inside=True), "near")
+    clustered = stored(clustered.join(reps.select(F.col("rep").alias("i"), "n"), "i"), "clusters")
+    about = clustered.groupBy("g").agg(F.count("*").alias("m"), F.sum("n").alias("tokens"), F.array_distinct(F.array(*[F.min_by("i", F.xxhash64("i", F.lit(k))) for k in range(LEADERS)])).alias("l"))
+    # Written before it is joined, so that Spark can split the rows of one large cluster over tasks.
+    about = stored(about.select("g", chunks_of(F.col("m"), F.col("tokens")).alias("chunks"), "l"), "about")
+    members = clustered.join(about.select("g", "chunks"), "g").select("g", own_chunk(F.col("i"), F.col("chunks")).alias("p"), "i")
+    leaders = about.filter("chunks > 1").select("g", F.explode("l").alias("i"), "chunks").select("g", every_chunk(F.col("chunks")), "i")
+    sets, filtered = sets_of(rows, clustered.select("i"), size)
+    near = stored(probe(members, leaders, sets, percent, inside=True), "near")
+    filtered.destroy()
     grouped = components(near)
 
     # The token-group matrix over prefixes.
     total = reps.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     ranges = max(12, int(total * (100 - percent) / 100 / 400_000))
-    shared = shared_prefixes(rows, frequency_classes(stats), size, percent, ranges)
+    sketch = sc.broadcast(frequency_classes(stats))
+    shared = shared_prefixes(rows, sketch, size, percent, ranges)
     group_of = reps.select("d1", "n", "rep").join(grouped, F.col("rep") == F.col("node"), "left").select("d1", "n", "rep", F.coalesce("root", "rep").alias("g"))
-    matrix = stored(shared.join(group_of, "d1").select("token", "pos", "rep", "n", "g"), "matrix")
-    cells = matrix.groupBy("token", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("pos")).alias("rest"))
-    spread_out = matrix.groupBy("token").agg(F.min("g").alias("g1"), F.max("g").alias("g2")).filter("g1 <> g2").select("token")
-    sizes = group_of.groupBy("g").agg(F.count("*").alias("m"))
-    cells = cells.join(spread_out, "token").join(sizes, "g")
-    asks = matrix.join(spread_out, "token").join(sizes, "g").select("token", F.col("rep").alias("q"), F.col("n").alias("qn"), F.col("pos").alias("qpos"), F.col("g").alias("qg"), F.col("m").alias("qm"))
+    group_of = stored(group_of, "groups")
+    # Of a group of one, all is known; the others' sizes are written before they are joined (see above).
+    sizes = group_of.groupBy("g").agg(F.count("*").alias("m"), F.sum("n").alias("tokens")).filter("m > 1")
+    sizes = stored(sizes.select("g", "m", chunks_of(F.col("m"), F.col("tokens")).alias("chunks")), "sizes")
+    postings = stored(shared.join(group_of, "d1").select("token", "pos", "rep", "n", "g"), "matrix")
+    sketch.destroy()
+    spread_out = stored(postings.groupBy("token").agg(F.min("g").alias("g1"), F.max("g").alias("g2")).filter("g1 <> g2").select("token"), "spread")
+    matrix = postings.join(spread_out, "token").join(sizes.select("g", "m"), "g", "left").withColumn("m", F.coalesce("m", F.lit(1)))
+    cells = matrix.groupBy("token", "g").agg(F.max("m").alias("m"), F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("pos")).alias("rest"))
+    asks = matrix.select("token", F.col("rep").alias("q"), F.col("n").alias("qn"), F.col("pos").alias("qpos"), F.col("g").alias("qg"), F.col("m").alias("qm"))
     # The query is of the smaller group (by size, then name).  Lengths must be compatible, and from the first
     # token that two sets share on, both must have enough tokens left for the overlap they need.
     fits = f"qn * {percent} <= most * 100 and least * {percent} <= qn * 100 and least(qn - qpos, rest) * {100 + percent} >= {percent} * (qn + least)"
     open_ = asks.join(cells, "token").filter(f"(qm < m or qm = m and qg > g) and {fits}")
-    open_ = stored(open_.select("q", "g", "m").distinct(), "open")
-    opened = open_.select("g").distinct()
-    inside = group_of.join(opened, "g", "left_semi").join(sizes, "g").select("g", F.col("rep").alias("i"), chunk(F.col("g"), F.col("m"), F.col("rep")).alias("c"))
-    queries = open_.select(F.col("q").alias("i"), "g", chunks(F.col("m"))).select("i", F.concat_ws(":", F.col("g").cast("string"), F.col("p").cast("string")).alias("c"))
-    wanted = inside.select("i").unionByName(queries.select("i")).distinct()
-    far = probe(inside.select("c", "i"), queries, sets_of(rows, wanted, size), percent)
+    open_ = stored(open_.select("q", "g").distinct(), "open")
+    opened = stored(open_.select("g").distinct().join(sizes.select("g", "chunks"), "g", "left").select("g", F.coalesce("chunks", F.lit(1)).alias("chunks")), "opened")
+    inside = group_of.join(opened, "g").select("g", own_chunk(F.col("rep"), F.col("chunks")).alias("p"), F.col("rep").alias("i"))
+    queries = open_.join(opened, "g").select("g", every_chunk(F.col("chunks")), F.col("q").alias("i"))
+    wanted = inside.select("i").unionByName(open_.select(F.col("q").alias("i"))).distinct()
+    sets, filtered = sets_of(rows, wanted, size)
+    far = stored(probe(inside, queries, sets, percent), "far")
+    filtered.destroy()
+    for table in (clustered, about, postings, spread_out, open_, opened, sizes, group_of):
+        drop_stored(table)
 
     same = named.join(reps.select("d1", "d2", "n", "rep"), ["d1", "d2", "n"]).filter("i <> rep").select(F.col("rep").alias("a"), F.col("i").alias("b"))
     final = components(near.unionByName(far).unionByName(same))
