@@ -56,12 +56,17 @@ def html_text(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), f"[{INVISIBLE}]", ""), f"[{WS}]+", " ")
 
 
+#: Styles that hide an element, as parts of a style attribute and as whole declarations (with px, % or nothing).
+HIDDEN_PARTS = ("display:none", "visibility:hidden", "mso-hide:all")
+HIDDEN_DECLARATIONS = ("opacity:0", "max-height:0", "font-size:0", "font-size:1px")
+
+
 def hidden_style(style: Column) -> Column:
     """Whether a style attribute hides its element."""
     compact = F.lower(F.replace(F.coalesce(style, F.lit("")), F.lit(" "), F.lit("")))
     parts = F.transform(F.split(compact, ";", -1), lambda p: F.replace(p, F.lit("!important"), F.lit("")))
-    exact = F.exists(parts, lambda p: p.rlike(r"\A(?:opacity:0|max-height:0|font-size:0|font-size:1px)(?:px|%)?\z"))
-    return compact.rlike("display:none|visibility:hidden|mso-hide:all") | exact
+    exact = F.exists(parts, lambda p: p.rlike(rf"\A(?:{'|'.join(HIDDEN_DECLARATIONS)})(?:px|%)?\z"))
+    return compact.rlike("|".join(HIDDEN_PARTS)) | exact
 
 
 def compact_html_blanks(c: Column) -> Column:

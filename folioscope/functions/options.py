@@ -45,7 +45,7 @@ class ConversionOptions:
 
 @dataclass(frozen=True)
 class HandwritingOptions:
-    """Thresholds of the handwriting analysis."""
+    """Thresholds of the handwriting analysis (fixed values by default)."""
 
     min_score: float = 55.0
     max_side: int = 1600

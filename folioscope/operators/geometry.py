@@ -187,6 +187,7 @@ def word_scores(glyphs: DataFrame, o: HandwritingOptions = HandwritingOptions())
 
 def stroke_scores(components: DataFrame, width: Column, height: Column, median_h: Column, o: HandwritingOptions = HandwritingOptions()) -> DataFrame:
     """Large connected strokes (signatures, cursive words) with their score; those below the threshold go."""
+    # All bounds, ranges and weights.
     df = with_sizes(components).withColumns({"pw": width, "ph": height, "mh": median_h})
     df = df.filter(
         (F.col("w") >= F.greatest(F.lit(14), F.floor(F.col("pw") * 0.018))) & (F.col("h") >= F.greatest(F.lit(5), F.floor(F.col("ph") * 0.003)))

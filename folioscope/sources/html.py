@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.markdown import HIDDEN_DECLARATIONS, HIDDEN_PARTS
 from ..functions.options import ConversionOptions
 from ..session import ship
 
@@ -482,9 +483,9 @@ def hidden(node: Node) -> bool:
     if node.name in IGNORED or "hidden" in node.attrs or node.attrs.get("aria-hidden", "").lower() == "true" and not _trim(node.text()):
         return True
     style = node.attrs.get("style", "").replace(" ", "").lower()
-    if any(s in style for s in ("display:none", "visibility:hidden", "mso-hide:all")):
+    if any(s in style for s in HIDDEN_PARTS):
         return True
-    gone = {d + u for d in ("opacity:0", "max-height:0", "font-size:0", "font-size:1px") for u in ("", "px", "%")}
+    gone = {d + u for d in HIDDEN_DECLARATIONS for u in ("", "px", "%")}
     return any(p.replace("!important", "") in gone for p in style.split(";"))
 
 

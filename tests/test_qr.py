@@ -157,3 +157,69 @@ def test_shortcuts(spark):
     row = spark.range(1).select(*[c.alias(f"c{k}") for k, (c, _, _) in enumerate(cases)]).first()
     assert [(r["payload"], r["correction"]) for r in row] == [(p, level) for _, p, level in cases]
     assert spark.range(1).select(I.from_url(L(" ")).alias("x")).first()["x"]["png"] is None
+
+
+# Published values of the symbol standard: format strings by level and mask, version strings, alignment rows.
+FORMATS = {
+    "L": "111011111000100 111001011110011 111110110101010 111100010011101 110011000101111 110001100011000 110110001000001 110100101110110",
+    "M": "101010000010010 101000100100101 101111001111100 101101101001011 100010111111001 100000011001110 100111110010111 100101010100000",
+    "Q": "011010101011111 011000001101000 011111100110001 011101000000110 010010010110100 010000110000011 010111011011010 010101111101101",
+    "H": "001011010001001 001001110111110 001110011100111 001100111010000 000011101100010 000001001010101 000110100001100 000100000111011",
+}
+VERSIONS = {7: "000111110010010100", 8: "001000010110111100", 9: "001001101010011001", 10: "001010010011010011"}
+ALIGNMENT = {2: [6, 18], 7: [6, 22, 38], 14: [6, 26, 46, 66], 32: [6, 34, 60, 86, 112, 138], 40: [6, 30, 58, 86, 114, 142, 170]}
+
+
+def test_published_values():
+    for level, strings in FORMATS.items():
+        for mask, bits in enumerate(strings.split()):
+            assert f"{I._bch(I.FORMAT_BITS[level] << 3 | mask, 0x537, 10) ^ 0x5412:015b}" == bits
+    assert {v: f"{I._bch(v, 0x1F25, 12):018b}" for v in VERSIONS} == VERSIONS
+    assert {v: I.alignment(v) for v in ALIGNMENT} == ALIGNMENT
+    # The worked example of a 1-M symbol: data words and their error words.
+    assert I.error_bytes([32, 91, 11, 120, 209, 114, 220, 77, 67, 64, 236, 17, 236, 17, 236, 17], 10) == [196, 35, 39, 119, 235, 215, 231, 226, 93, 23]
+
+
+@pytest.mark.parametrize("level, size", [("L", 2000), ("Q", 1600), ("H", 1200)])
+def test_high_versions_read_back(level, size):
+    """With a map of the fixed modules made here, and error words checked by the roots of the code."""
+    text = "".join(chr(33 + k * 7 % 90) for k in range(size))
+    m = I.qr_matrix(text, level)
+    n, version = len(m), (len(m) - 17) // 4
+    fixed = np.zeros((n, n), bool)
+    fixed[:9, :9] = fixed[:9, n - 8 :] = fixed[n - 8 :, :9] = True
+    fixed[6] = fixed[:, 6] = True
+    for cy in I.alignment(version):
+        for cx in I.alignment(version):
+            if not ((cy < 9 and cx < 9) or (cy < 9 and cx > n - 9) or (cy > n - 9 and cx < 9)):
+                fixed[cy - 2 : cy + 3, cx - 2 : cx + 3] = True
+    fixed[: 6, n - 11 : n - 8] = fixed[n - 11 : n - 8, :6] = True
+    bits = "".join(str(int(v)) for v in [*m[8, :6], m[8, 7], m[8, 8], m[7, 8], *m[5::-1, 8]])
+    mask = FORMATS[level].split().index(bits)
+    assert all(m[k, n - 11 + j] == m[n - 11 + j, k] == bool(int(f"{I._bch(version, 0x1F25, 12):018b}"[17 - 3 * k - j])) for k in range(6) for j in range(3))
+    rule = [lambda i, j: (i + j) % 2, lambda i, j: i % 2, lambda i, j: j % 3, lambda i, j: (i + j) % 3, lambda i, j: (i // 2 + j // 3) % 2, lambda i, j: i * j % 2 + i * j % 3, lambda i, j: (i * j % 2 + i * j % 3) % 2, lambda i, j: ((i + j) % 2 + i * j % 3) % 2][mask]
+    stream, right, up = [], n - 1, True
+    while right > 0:
+        right -= right == 6
+        for i in range(n - 1, -1, -1) if up else range(n):
+            stream += [int(m[i, j]) ^ (rule(i, j) == 0) for j in (right, right - 1) if not fixed[i, j]]
+        right, up = right - 2, not up
+    words = [int("".join(map(str, stream[k : k + 8])), 2) for k in range(0, len(stream) - 7, 8)]
+    blocks, ec = int(I.BLOCKS[level].split()[version - 1]), int(I.EC_BYTES[level].split()[version - 1])
+    short, longer = divmod(len(words) - ec * blocks, blocks)
+    parts = [[words[k * blocks + b] for k in range(short)] + ([words[short * blocks + b - (blocks - longer)]] if b >= blocks - longer else []) for b in range(blocks)]
+    rest = words[short * blocks + longer :]
+    power, log = [1], {}
+    for k in range(255):
+        log[power[-1]] = k
+        power.append(power[-1] * 2 ^ (0x11D if power[-1] > 127 else 0))
+    for b, data in enumerate(parts):
+        whole = data + [rest[k * blocks + b] for k in range(ec)]
+        for root in range(ec):
+            value = 0
+            for w in whole:
+                value = (power[(log[value] + root) % 255] if value else 0) ^ w
+            assert value == 0
+    raw = "".join(f"{w:08b}" for data in parts for w in data)
+    assert raw[:4] == "0100" and int(raw[4:20], 2) == size
+    assert bytes(int(raw[20 + 8 * k : 28 + 8 * k], 2) for k in range(size)).decode() == text
