@@ -1,4 +1,4 @@
-"""Queries of the Word reader: documents are written from ``conversations``, read back and compared with SQL over the same turns."""
+"""Queries of the Word and HTML readers: documents are written from ``conversations``, read back and compared with SQL over the same turns."""
 
 from __future__ import annotations
 
@@ -83,11 +83,32 @@ def docx_images(spark, sf_dir):
     return images_of(_documents(spark, sf_dir, True), key="doc_id").select("doc_id", "image_ix", "name", F.sha2("image", 256).alias("image_sha256"))
 
 
+def html_documents(spark, sf_dir):
+    """HTML bytes by file name: headings, paragraphs, lists, quotes, tables and hidden parts, by the number of the turn."""
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.max("text").alias("text"))
+    t, first = F.trim(F.regexp_replace("text", "[^A-Za-z]+", " ")), F.split("t", " ")[0]
+    tag = lambda name, inner: F.concat(F.lit(f"<{name}>"), inner, F.lit(f"</{name.split()[0]}>"))
+    kind = F.col("turn") % 6
+    level = (F.col("turn") % 5 + 1).cast("string")
+    part = (
+        F.when(kind == 0, F.concat(F.lit("<h"), level, F.lit(">"), F.col("t"), F.lit("</h"), level, F.lit(">")))
+        .when(kind == 1, F.concat(F.lit("<p><b>"), first, F.lit("</b>&nbsp;<em>x</em><br>\n "), F.col("t"), F.lit("<script>no()</script>")))
+        .when(kind == 2, tag("ul", F.concat(tag("li", F.col("t")), F.lit("<li hidden>no</li><li>more")))).when(kind == 3, tag("ol", F.concat(tag("li", F.col("t")), tag("li", first))))
+        .when(kind == 4, tag("blockquote", tag("p", F.col("t"))))
+        .otherwise(tag('table class="x"', F.concat(tag("tr", F.concat(tag("th", first), F.lit("<th>b"))), tag("tr", F.concat(F.lit("<td>"), F.col("t"), F.lit("<td> c | d "))), F.lit("<tr style='display: none'><td>no<td>no</tr>"))))
+    )
+    rows = c.select("conv_id", F.col("turn").cast("int").alias("turn"), t.alias("t")).filter("t <> ''").select(F.col("conv_id").alias("doc_id"), "turn", part.alias("part"), "t")
+    docs = rows.groupBy("doc_id").agg(F.min_by("t", "turn").alias("t"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "part"))), lambda x: x["part"]), "\n").alias("body"))
+    page = F.concat(F.lit("<!DOCTYPE html><html><head><title> "), F.col("t"), F.lit("\n</title><style>p{}</style></head><body><!-- no -->"), F.col("body"), F.lit("</body></html>"))
+    files = docs.select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".HTML")).alias("path"), F.encode(page, "UTF-8").alias("content"))
+    return convert_binary(files).select("doc_id", "markdown", "title")
+
+
 _TURNS = """
 c AS (SELECT conv_id AS doc_id, CAST(turn AS INTEGER) AS turn, trim(regexp_replace(max(text), '[^A-Za-z]+', ' ', 'g')) AS t FROM conversations GROUP BY conv_id, turn),
 b AS (SELECT * FROM c WHERE t <> '')"""
 
-QUERIES = {f.__name__: f for f in (docx_to_markdown, docx_images)}
+QUERIES = {f.__name__: f for f in (docx_to_markdown, docx_images, html_documents)}
 
 SQL = {
     "docx_to_markdown": f"""
@@ -97,6 +118,14 @@ m AS (SELECT *, turn % 4 >= 2 AS item, CASE turn % 4 WHEN 0 THEN repeat('#', tur
 w AS (SELECT *, lag(item) OVER o AS item_before, lag(turn % 4) OVER o AS kind_before, row_number() OVER o AS rn FROM m WINDOW o AS (PARTITION BY doc_id ORDER BY turn)),
 s AS (SELECT *, CASE WHEN rn = 1 THEN '' WHEN item AND item_before THEN CASE WHEN kind_before = turn % 4 THEN chr(10) ELSE chr(10) || chr(10) || '<!-- -->' || chr(10) || chr(10) END ELSE chr(10) || chr(10) END || block AS part FROM w)
 SELECT doc_id, string_agg(part, '' ORDER BY turn) || chr(10) AS markdown, arg_min(t, turn) FILTER (WHERE turn % 4 = 0) AS title FROM s GROUP BY doc_id""",
+    "html_documents": f"""
+WITH {_TURNS},
+f AS (SELECT *, split_part(t, ' ', 1) AS first FROM b),
+m AS (SELECT *, CASE turn % 6 WHEN 0 THEN repeat('#', turn % 5 + 1) || ' ' || t WHEN 1 THEN '**' || first || '** *x*' || chr(10) || t WHEN 2 THEN '- ' || t || chr(10) || '- more'
+  WHEN 3 THEN '1. ' || t || chr(10) || '2. ' || first WHEN 4 THEN '> ' || t || chr(10) || '>' ELSE '| ' || first || ' | b |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || t || ' | c \\| d |' END AS block FROM f),
+w AS (SELECT *, lag(turn % 6) OVER o AS before, row_number() OVER o AS rn FROM m WINDOW o AS (PARTITION BY doc_id ORDER BY turn)),
+s AS (SELECT *, CASE WHEN rn = 1 THEN '' WHEN turn % 6 IN (2, 3) AND before IN (2, 3) THEN chr(10) || chr(10) || '<!-- -->' || chr(10) || chr(10) ELSE chr(10) || chr(10) END || block AS part FROM w)
+SELECT doc_id, string_agg(part, '' ORDER BY turn) AS markdown, arg_min(t, turn) AS title FROM s GROUP BY doc_id""",
     "docx_images": f"""
 WITH {_TURNS},
 p AS (SELECT doc_id, t, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY turn) AS INTEGER) AS image_ix FROM b WHERE turn % 3 = 1)

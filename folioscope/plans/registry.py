@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import docx_queries, geometry_queries, layout_queries, qr_queries, text_queries
+from . import geometry_queries, layout_queries, qr_queries, reader_queries, text_queries
 
-_MODULES = (text_queries, layout_queries, geometry_queries, qr_queries, docx_queries)
+_MODULES = (text_queries, layout_queries, geometry_queries, qr_queries, reader_queries)
 
 QUERIES: dict = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL: dict[str, str] = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
