@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import docs, prepare
+from .common import docs, prepare, slices
 
 #: Names of these levels make the fingerprint (level 1: phrases of characters).
 LEVELS, FROM_LEVEL, SKETCH = 7, 2, 64
@@ -155,26 +156,41 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def bucket_borders(rows: DataFrame, parts: int) -> list[tuple[int, int]]:
+    """Upper borders (o, h) of all buckets but the last: quantiles of the ids.
+
+    An id that is several quantiles (null ids, or one that many rows repeat) is cut by the hash of
+    the text into as many buckets, so none holds much over twice its share.
+    """
+    if parts < 2:
+        return []
+    found = rows.agg(F.percentile_approx("o", F.array(*[F.lit(k / parts) for k in range(1, parts)]), 10 * parts)).first()[0] or []
+    times = Counter(found)
+    top = (1 << 63) - 1
+    return [(o, top) if n == 1 else (o, -(1 << 63) + (k << 64) // (n + 1) - 1) for o, n in sorted(times.items()) for k in range(1, n + 1)]
+
+
 def with_next(df: DataFrame, id_col: str, text_col: str, parts: int) -> DataFrame:
-    """Rows dealt into ``parts`` buckets of id order; each bucket is sorted by descending id and
-    ends with the row that follows it, marked by ``halo``.
+    """Rows dealt into ``parts`` buckets of id order; bucket k is partition k, sorted by descending
+    id, and ends with the row that follows it, marked by ``halo``.
 
-    Bucket borders are quantiles of the ids; the driver sees only borders and the largest id of
-    each bucket.  Rows of one id are ordered by a hash of the text.
+    The driver sees only borders and the largest row key of each bucket.  Rows of one id are
+    ordered by a hash of the text; rows that repeat both stay in one bucket.
     """
-    rows = df.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("o", F.coalesce(F.col("i").cast("long"), F.lit(-(1 << 63)))).withColumn("h", F.xxhash64("t"))
-    borders = rows.agg(F.percentile_approx("o", F.array(*[F.lit(k / parts) for k in range(1, parts)]) if parts > 1 else F.array(F.lit(0.5)), 10 * parts)).first()[0] or []
-    borders = sorted(set(borders)) if parts > 1 else []
+    rows = df.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("o", F.coalesce(F.expr("try_cast(i as bigint)"), F.lit(-(1 << 63)))).withColumn("h", F.xxhash64("t"))
+    borders = bucket_borders(rows, parts)
     # Bucket 0 has the largest ids.  Borders are looked up in two steps, by groups of about the root of their number.
     bucket = F.lit(0)
     if borders:
         step = max(1, math.isqrt(len(borders)))
         groups = [borders[k : k + step] for k in range(0, len(borders), step)]
-        ends = F.array(*[F.lit(int(g[-1])) for g in groups])
-        fine = F.array(*[F.array(*[F.lit(int(x)) for x in g]) for g in groups])
-        group = F.size(F.filter(ends, lambda x: x < F.col("o")))
-        below = F.when(group < len(groups), F.size(F.filter(F.get(fine, group), lambda x: x < F.col("o")))).otherwise(0)
-        bucket = F.lit(len(borders)) - (group * step + below)
+        key = lambda b: F.struct(F.lit(b[0]).cast("long").alias("o"), F.lit(b[1]).cast("long").alias("h"))
+        ends = F.array(*[key(g[-1]) for g in groups])
+        fine = F.array(*[F.array(*map(key, g)) for g in groups])
+        own = F.struct("o", "h")
+        group = F.size(F.filter(ends, lambda x: x < own))
+        below = F.when(group < len(groups), F.size(F.filter(F.get(fine, group), lambda x: x < own))).otherwise(0)
+        bucket = F.lit(len(borders)) - F.least(group * step + below, F.lit(len(borders)))
     rows = rows.withColumn("b", bucket.cast("int"))
     tops = sorted((r["b"], r["m"]["o"], r["m"]["h"]) for r in rows.groupBy("b").agg(F.max(F.struct("o", "h")).alias("m")).collect())
     follows = {}
@@ -186,7 +202,7 @@ def with_next(df: DataFrame, id_col: str, text_col: str, parts: int) -> DataFram
         extra = F.element_at(table, F.concat_ws(":", F.col("o").cast("string"), F.col("h").cast("string")))
         to = F.concat(to, F.coalesce(F.transform(extra, lambda b: F.struct(b.alias("b"), F.lit(True).alias("halo"))), F.array().cast("array<struct<b:int,halo:boolean>>")))
     dealt = rows.select("i", "t", "o", "h", F.explode(to).alias("x")).select("i", "t", "o", "h", "x.b", "x.halo")
-    return dealt.repartition(max(parts, 1), "b").sortWithinPartitions("b", "halo", F.desc("o"), F.desc("h"))
+    return dealt.repartitionById(max(parts, 1), F.col("b")).sortWithinPartitions("b", "halo", F.desc("o"), F.desc("h"))
 
 
 def fingerprint_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
@@ -205,7 +221,7 @@ def fingerprint_documents(df: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
-        for batch in batches:
+        for batch in (p for b in batches for p in slices(b, 1)):
             rows = list(zip(*(c.to_pylist() for c in batch.columns)))
             if held:
                 rows.insert(0, held)
