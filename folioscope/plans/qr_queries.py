@@ -92,6 +92,13 @@ def qr_color_parse(spark, sf_dir):
     return rows.withColumn("p", Q.colour(_c("colour"))).select("s_suppkey", "colour", *[_c(f"p.{x}").alias(x) for x in "rgba"])
 
 
+def qr_pixels_per_module(spark, sf_dir):
+    modules = _c("s_suppkey") % 40 * 4 + 21
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", modules.alias("modules"), (_c("s_suppkey") * 37 % 3000).alias("size"))
+    sized, plain = Q.pixels_per_module(_c("modules"), _c("size")), Q.pixels_per_module(_c("modules"), None)
+    return rows.select("s_suppkey", sized.alias("from_size"), plain.alias("by_default"), (sized * _c("modules")).cast("long").alias("side"))
+
+
 def qr_images(spark, sf_dir):
     """Matrices and PNG, so no SQL."""
     rows = table(spark, sf_dir, "nation").select("n_nationkey", qr_image(Q.text(_c("n_name")), F.lit("M")).alias("q"))
@@ -103,13 +110,16 @@ def html_to_markdown(spark, sf_dir):
     return convert_pages(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", "markdown", "title")
 
 
-QUERIES = {f"qr_payload_{k}": _payload(build) for k, (build, _) in _BUILD.items()} | {f.__name__: f for f in (qr_payload_event, qr_ecc_level, qr_color_parse, qr_images, html_to_markdown)}
+QUERIES = {f"qr_payload_{k}": _payload(build) for k, (build, _) in _BUILD.items()} | {f.__name__: f for f in (qr_payload_event, qr_ecc_level, qr_color_parse, qr_pixels_per_module, qr_images, html_to_markdown)}
 
 _hex = lambda k: f"CAST(('0x' || substring(f, {k}, 2)) AS INTEGER)"
 
 SQL = {f"qr_payload_{k}": _sql(expr) for k, (_, expr) in _BUILD.items()} | {
     "qr_payload_event": f"""WITH o AS (SELECT o_orderkey, o_orderpriority, o_orderdate AS s, CASE WHEN o_orderkey % 9 = 0 THEN o_orderdate - INTERVAL 1 HOUR ELSE o_orderdate + INTERVAL 90 MINUTE END AS e FROM orders)
 SELECT o_orderkey, CASE WHEN e >= s THEN 'BEGIN:VEVENT' || {_CRLF} || 'SUMMARY:' || trim(o_orderpriority) || {_CRLF} || 'LOCATION:Hall' || {_CRLF} || 'DTSTART:' || strftime(s, '%Y%m%dT%H%M%S') || {_CRLF} || 'DTEND:' || strftime(e, '%Y%m%dT%H%M%S') || {_CRLF} || 'END:VEVENT' END AS payload FROM o""",
+    "qr_pixels_per_module": """
+WITH s AS (SELECT s_suppkey, s_suppkey % 40 * 4 + 21 AS modules, s_suppkey * 37 % 3000 AS size FROM supplier)
+SELECT s_suppkey, CAST(greatest(1, size // modules) AS INTEGER) AS from_size, CAST(20 AS INTEGER) AS by_default, CAST(greatest(1, size // modules) * modules AS BIGINT) AS side FROM s""",
     "qr_ecc_level": """WITH s AS (SELECT s_suppkey, s_suppkey % 2 = 0 AS logo, coalesce(CASE s_suppkey % 5 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' WHEN 3 THEN 'max' END, CASE WHEN s_suppkey % 2 = 0 THEN 'max' WHEN s_suppkey % 3 = 0 THEN 'high' ELSE 'medium' END) AS l FROM supplier),
 t AS (SELECT s_suppkey, CASE WHEN logo AND l IN ('low', 'medium') THEN 'max' ELSE l END AS level FROM s) SELECT s_suppkey, level, CASE level WHEN 'low' THEN 'L' WHEN 'high' THEN 'Q' WHEN 'max' THEN 'H' ELSE 'M' END AS letter FROM t""",
     "qr_color_parse": f"""WITH s AS (SELECT s_suppkey, (list_value({', '.join(map(repr, _COLOURS))}))[CAST(s_suppkey % 10 AS INTEGER) + 1] AS colour FROM supplier), x AS (SELECT *, regexp_replace(trim(colour), '^#+', '') AS x FROM s),

@@ -1,4 +1,4 @@
-"""Queries of the Word and HTML readers: documents are written from ``conversations``, read back and compared with SQL over the same turns."""
+"""Queries of the Word, HTML and PDF readers: documents are written from ``conversations``, read back and compared with SQL over the same turns."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ import zipfile
 import pandas as pd
 from pyspark.sql import functions as F
 
+from ..functions.options import ConversionOptions
+from ..operators.pdf import pdf_markdown
 from ..sources.registry import convert_binary, docx_images as images_of
 from .common import table
 
@@ -104,11 +106,32 @@ def html_documents(spark, sf_dir):
     return convert_binary(files).select("doc_id", "markdown", "title")
 
 
+#: A last block that makes body letters the most frequent, and holds the word that is cut elsewhere.
+_BODY = "alpha" + " body" * 150
+
+
+def pdf_documents(spark, sf_dir):
+    """Letters of pages of four turns: a large first word, a cut word, a bullet and a numbered line; page markers are on."""
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.max("text").alias("text"))
+    t = F.trim(F.regexp_replace("text", "[^A-Za-z]+", " "))
+    c = c.select(F.col("conv_id").cast("long").alias("doc_id"), F.col("turn").cast("int").alias("turn"), t.alias("t")).filter("t <> ''")
+    kind = F.col("turn") % 4
+    lines = (
+        F.when(kind == 0, F.array(F.split("t", " ")[0])).when(kind == 1, F.array(F.lit("zeta al-"), F.concat(F.lit("pha "), F.col("t"))))
+        .when(kind == 2, F.array(F.concat(F.lit("• "), F.col("t")))).otherwise(F.array(F.concat(F.col("turn").cast("string"), F.lit(") "), F.col("t"))))
+    )
+    blocks = c.select("doc_id", (F.floor(F.col("turn") / 4) + 1).cast("int").alias("page"), F.col("turn").alias("block"), F.when(kind == 0, 20.0).otherwise(10.0).alias("point_size"), lines.alias("lines"))
+    last = c.select("doc_id").distinct().select("doc_id", F.lit(1_000_000).alias("page"), F.lit(0).alias("block"), F.lit(10.0).alias("point_size"), F.array(F.lit(_BODY)).alias("lines"))
+    words = blocks.unionByName(last).select("doc_id", "page", "block", "point_size", F.posexplode("lines").alias("line", "x")).select("doc_id", "page", "block", "point_size", "line", F.posexplode(F.split("x", " ")).alias("word", "x"))
+    letters = words.select("doc_id", "page", "block", "point_size", "line", "word", F.lit(False).alias("is_bold"), F.posexplode(F.split("x", "")).alias("letter", "text"))
+    return pdf_markdown(letters, options=ConversionOptions(include_page_markers=True)).select("doc_id", "markdown", "title", F.size("warnings").alias("warnings"))
+
+
 _TURNS = """
 c AS (SELECT conv_id AS doc_id, CAST(turn AS INTEGER) AS turn, trim(regexp_replace(max(text), '[^A-Za-z]+', ' ', 'g')) AS t FROM conversations GROUP BY conv_id, turn),
 b AS (SELECT * FROM c WHERE t <> '')"""
 
-QUERIES = {f.__name__: f for f in (docx_to_markdown, docx_images, html_documents)}
+QUERIES = {f.__name__: f for f in (docx_to_markdown, docx_images, html_documents, pdf_documents)}
 
 SQL = {
     "docx_to_markdown": f"""
@@ -126,6 +149,16 @@ m AS (SELECT *, CASE turn % 6 WHEN 0 THEN repeat('#', turn % 5 + 1) || ' ' || t
 w AS (SELECT *, lag(turn % 6) OVER o AS before, row_number() OVER o AS rn FROM m WINDOW o AS (PARTITION BY doc_id ORDER BY turn)),
 s AS (SELECT *, CASE WHEN rn = 1 THEN '' WHEN turn % 6 IN (2, 3) AND before IN (2, 3) THEN chr(10) || chr(10) || '<!-- -->' || chr(10) || chr(10) ELSE chr(10) || chr(10) END || block AS part FROM w)
 SELECT doc_id, string_agg(part, '' ORDER BY turn) AS markdown, arg_min(t, turn) AS title FROM s GROUP BY doc_id""",
+    "pdf_documents": f"""
+WITH {_TURNS},
+m AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, turn // 4 + 1 AS page, turn AS block, turn % 4 AS kind, CASE turn % 4 WHEN 0 THEN '# ' || split_part(t, ' ', 1) WHEN 1 THEN 'zeta alpha ' || t WHEN 2 THEN '- ' || t ELSE turn || '. ' || t END AS text, t FROM b),
+every AS (
+  SELECT doc_id, page, block, kind, text FROM m UNION ALL SELECT DISTINCT doc_id, 1000000, 0, 1, '{_BODY}' FROM m
+  UNION ALL SELECT DISTINCT doc_id, page, -1, 1, '<!-- Página ' || page || ' -->' FROM m UNION ALL SELECT DISTINCT doc_id, 1000000, -1, 1, '<!-- Página 1000000 -->' FROM m),
+w AS (SELECT *, lag(kind) OVER o AS before, row_number() OVER o AS rn FROM every WINDOW o AS (PARTITION BY doc_id ORDER BY page, block)),
+s AS (SELECT *, CASE WHEN rn = 1 THEN '' WHEN kind >= 2 AND before >= 2 THEN chr(10) || chr(10) || '<!-- -->' || chr(10) || chr(10) ELSE chr(10) || chr(10) END || text AS part FROM w),
+h AS (SELECT doc_id, arg_min(split_part(t, ' ', 1), block) AS title FROM m WHERE kind = 0 GROUP BY doc_id)
+SELECT s.doc_id, string_agg(part, '' ORDER BY page, block) || chr(10) AS markdown, any_value(h.title) AS title, CAST(0 AS INTEGER) AS warnings FROM s LEFT JOIN h ON s.doc_id = h.doc_id GROUP BY s.doc_id""",
     "docx_images": f"""
 WITH {_TURNS},
 p AS (SELECT doc_id, t, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY turn) AS INTEGER) AS image_ix FROM b WHERE turn % 3 = 1)
