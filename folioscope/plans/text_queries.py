@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markdown as M
 from ..functions import text as T
+from ..functions.options import CleanerOptions, NormalizeOptions
 from .common import noisy, noisy_sql, table
 
 _D = "documents"
@@ -21,12 +22,13 @@ def _tokens_sql(text: str, factor: str = "1.0") -> str:
     return f"CAST(ceil(greatest(length({text}) / CAST(4.0 AS DOUBLE), len(regexp_extract_all({text}, '[^{_WS}]+')) * CAST(0.75 AS DOUBLE)) * CAST({factor} AS DOUBLE)) AS INTEGER)"
 
 
-def _normal_sql(text: str) -> str:
+def _normal_sql(text: str, most: int | None = 2, tabs: bool = True) -> str:
     x = f"regexp_replace({text}, '\\r\\n?', {_LF}, 'g')"
     x = f"regexp_replace({x}, '[\\x{{200B}}\\x{{200C}}\\x{{200D}}\\x{{2060}}\\x{{FEFF}}]', '', 'g')"
+    x = x if tabs else f"replace({x}, chr(9), '')"
     x = f"regexp_replace({x}, '[\\x{{A0}}\\x{{1680}}\\x{{202F}}\\x{{205F}}\\x{{3000}}\\x{{2000}}-\\x{{200A}}\\t ]+', ' ', 'g')"
     x = f"regexp_replace({x}, ' ?\\n ?', {_LF}, 'g')"
-    x = f"regexp_replace({x}, '\\n{{3,}}', {_LF} || {_LF}, 'g')"
+    x = f"regexp_replace({x}, '\\n{{{most + 1},}}', repeat({_LF}, {most}), 'g')" if most else x
     return f"regexp_replace({x}, '\\A[ \\n]+|[ \\n]+\\z', '', 'g')"
 
 
@@ -167,6 +169,16 @@ def _pick(xs: list[str], key: str) -> str:
 
 _trim = lambda x: f"regexp_replace({x}, '\\A[{_WS}]+|[{_WS}]+\\z', '', 'g')"
 
+def normalize_options(spark, sf_dir):
+    options = {"one_feed": NormalizeOptions(max_newlines=1), "all_feeds": NormalizeOptions(collapse_newlines=False), "no_tabs": NormalizeOptions(spaces_per_tab=0)}
+    return _noisy_docs(spark, sf_dir).select("doc_id", *[T.normalize_text(F.col("t"), o).alias(n) for n, o in options.items()])
+
+
+def clean_options(spark, sf_dir):
+    options = {"no_pagination": CleanerOptions(normalize_pagination=False), "with_artifacts": CleanerOptions(remove_artifacts=False), "with_blanks": CleanerOptions(compact_blank_lines=False)}
+    return _noisy_docs(spark, sf_dir).select("doc_id", *[T.clean_markdown(F.col("t"), o).alias(n) for n, o in options.items()])
+
+
 def html_blank_lines(spark, sf_dir):
     spaced = F.concat(F.lit("\n \n"), F.replace(F.replace("text", F.lit(". "), F.lit(". \t\r\n\n \n\n\n")), F.lit(", "), F.lit(",  \n")), F.lit(" \n\n"))
     return table(spark, sf_dir, "documents").select("doc_id", M.compact_html_blanks(spaced).alias("out"))
@@ -182,7 +194,7 @@ def heading_style_names(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     tokens_estimate, tokens_from_chars, normalize_text, normalize_metrics, tokens_saved_by_lang, clean_pagination, clean_artifacts, clean_blank_lines, clean_full,
-    escape_inline, escape_line_start, table_cell, collapse_ws, html_text_normalize, html_style_hidden, format_detect, confidence_percent, image_extensions, html_blank_lines, heading_style_names,
+    escape_inline, escape_line_start, table_cell, collapse_ws, html_text_normalize, html_style_hidden, format_detect, confidence_percent, image_extensions, html_blank_lines, heading_style_names, normalize_options, clean_options,
 )}
 
 SQL = {
@@ -203,6 +215,11 @@ SELECT s_suppkey, style, CASE lower(trim(style)) WHEN 'title' THEN 1 WHEN 'subti
     "clean_pagination": _stage("c", [("l", _LINES), ("cleaned", _paginate_sql("l"))], "doc_id, cleaned"),
     "clean_artifacts": _stage("c", [("cleaned", _ARTIFACTS.replace("@x", "t"))], "doc_id, cleaned"),
     "clean_blank_lines": _stage("c", [("l", f"regexp_replace(t, '\\r\\n?', {_LF}, 'g')"), ("cleaned", _BLANKS.replace("@x", "l"))], "doc_id, cleaned"),
+    "normalize_options": _stage("n", [("one_feed", _normal_sql("t", 1)), ("all_feeds", _normal_sql("t", None)), ("no_tabs", _normal_sql("t", tabs=False))], "doc_id, one_feed, all_feeds, no_tabs"),
+    "clean_options": _stage("c", [
+        ("u", f"regexp_replace(t, '\\r\\n?', {_LF}, 'g')"), ("ua", _ARTIFACTS.replace("@x", "u")), ("ub", _BLANKS.replace("@x", "ua")), ("l", _LINES), ("p", _paginate_sql("l")),
+        ("pb", _BLANKS.replace("@x", "p")), ("pa", _ARTIFACTS.replace("@x", "p")),
+    ], f"doc_id, trim(ub, {_LF}) AS no_pagination, trim(pb, {_LF}) AS with_artifacts, trim(pa, {_LF}) AS with_blanks"),
     "clean_full": _stage("c", [("l", _LINES), ("p", _paginate_sql("l")), ("a", _ARTIFACTS.replace("@x", "p")), ("b", _BLANKS.replace("@x", "a"))], f"doc_id, trim(b, {_LF}) AS cleaned"),
     "escape_inline": _stage("e", [("escaped", r"regexp_replace(t, '([\\`*_\[\]<>~])', '\\\1', 'g')")], "doc_id, escaped"),
     "escape_line_start": _stage("e", [("l", _LINES)], "doc_id, array_to_string(list_transform(l, lambda x: CASE WHEN regexp_matches(x, '\\A[" + _WS + "]*[0-9]{1,9}[.)]([" + _WS + "]|\\z)') THEN regexp_replace(x, '\\A([" + _WS + r"]*[0-9]{1,9})([.)])', '\1\\\2') WHEN regexp_matches(x, '\A[ \t]*(?:>|[#+*\-](?:[ \t]|\z)|-[- \t]*\z|=[= \t]*\z)') THEN regexp_replace(x, '\A([ \t]*)', '\1\\') ELSE x END), chr(10)) AS escaped"),
