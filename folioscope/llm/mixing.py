@@ -63,21 +63,24 @@ def _weight(table: dict[str, int], name: Column, other: int) -> Column:
 
 
 def share_out(nodes: DataFrame, parent: list[str]) -> DataFrame:
-    """Add ``alloc`` to nodes with ``budget`` (of their parent), ``name``, ``weight`` and ``cap``.
+    """Add ``alloc`` to nodes with ``budget`` (of their parent), ``weight`` and ``cap``.
 
     Siblings are met in order of cap / weight.  One that cannot use its share of what is left takes
     its cap and the others share the rest; from the first that can use its share on, all take it in
     proportion.  Fractions of a token stay unused.  A child of weight 0 takes nothing.
+
+    Siblings of one cap / weight fare alike, so only sums by that number are ordered: a parent's
+    children are never brought together.
     """
-    before = Window.partitionBy(*parent).orderBy("ratio", "name").rowsBetween(Window.unboundedPreceding, -1)
-    family = Window.partitionBy(*parent).orderBy("ratio", "name").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     df = nodes.withColumn("cap", F.when(F.col("weight") > 0, F.col("cap")).otherwise(0)).withColumn("ratio", F.col("cap").cast("double") / F.greatest(F.col("weight"), F.lit(1)).cast("double"))
-    df = df.withColumn("left", F.greatest(F.col("budget") - F.coalesce(F.sum("cap").over(before), F.lit(0)), F.lit(0)))
-    df = df.withColumn("w_left", F.sum("weight").over(family) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-    df = df.withColumn("full", F.col("cap") * F.col("w_left") <= F.col("left") * F.col("weight"))
-    first = lambda c: F.first(F.when(~F.col("full"), F.col(c)), ignorenulls=True).over(family)
-    df = df.withColumn("s_left", first("left")).withColumn("s_w", first("w_left"))
-    return df.withColumn("alloc", F.when(F.col("full"), F.col("cap")).otherwise(F.expr("s_left * weight div s_w"))).drop("ratio", "left", "w_left", "full", "s_left", "s_w")
+    before = Window.partitionBy(*parent).orderBy("ratio").rowsBetween(Window.unboundedPreceding, -1)
+    steps = df.groupBy(*parent, "ratio").agg(F.first("budget").alias("budget"), F.sum("cap").alias("c"), F.sum("weight").alias("w"))
+    steps = steps.withColumn("left", F.greatest(F.col("budget") - F.coalesce(F.sum("c").over(before), F.lit(0)), F.lit(0)))
+    steps = steps.withColumn("w_left", F.sum("w").over(Window.partitionBy(*parent)) - F.coalesce(F.sum("w").over(before), F.lit(0)))
+    first = steps.filter("c * w_left > left * w").groupBy(*parent).agg(F.min(F.struct("ratio", "left", "w_left")).alias("first"))
+    df = df.join(first, parent, "left")
+    full = F.col("first").isNull() | (F.col("ratio") < F.col("first.ratio"))
+    return df.withColumn("alloc", F.when(full, F.col("cap")).otherwise(F.expr("first.left * weight div first.w_left"))).drop("ratio", "first")
 
 
 def leaf_budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
@@ -88,14 +91,15 @@ def leaf_budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     for table, level in zip(tables, LEVELS):
         usable = usable & (_weight(table, F.col(level), mix.other) > 0)
     caps = leaves.withColumn("cap", F.when(usable, F.col("supply") * mix.max_epochs).otherwise(0))
-    root = leaves.agg(F.expr(f"coalesce(sum(supply), 0) * {mix.budget_permille} div 1000").alias("budget"))
-    up, out = root.withColumn("__root", F.lit(0)), None
+    budget = leaves.agg(F.expr(f"coalesce(sum(supply), 0) * {mix.budget_permille} div 1000")).first()[0]
+    up = None
     for depth, level in enumerate(LEVELS):
         path = list(LEVELS[: depth + 1])
-        parent = path[:-1] or ["__root"]
-        nodes = caps.groupBy(*path).agg(F.sum("cap").alias("cap")).withColumn("__root", F.lit(0))
-        nodes = nodes.withColumn("name", F.col(level)).withColumn("weight", _weight(tables[depth], F.col(level), mix.other))
-        out = share_out(nodes.join(up, parent), parent)
+        nodes = caps.groupBy(*path).agg(F.sum("cap").alias("cap")).withColumn("weight", _weight(tables[depth], F.col(level), mix.other))
+        if depth:
+            out = share_out(nodes.join(up, path[:-1]), path[:-1])
+        else:
+            out = share_out(nodes.withColumn("budget", F.lit(budget).cast("long")).withColumn("root", F.lit("")), ["root"])
         up = out.select(*path, F.col("alloc").alias("budget"))
     return leaves.join(up.withColumnRenamed("budget", "alloc"), list(LEVELS))
 
@@ -105,8 +109,9 @@ def mix_sources(df: DataFrame, mix: Mix = Mix(), domain: Column | None = None, i
 
     A row stands once for each epoch that takes it.  Null languages and sources are leaves named
     by the empty text.  A null or empty text has 0 tokens and is taken while its place in the order
-    is within the budget.  Rows that repeat an id and a text are one document.  Columns of ``df``
-    named domain, epoch or n_tokens are replaced.
+    is within the budget.  Rows that repeat an id and a text are one document, taken or left
+    together; rows of a null id are told apart by their text.  Columns of ``df`` named domain,
+    epoch or n_tokens are replaced; names that start with ``__fs_`` are reserved.
 
     A leaf of any size is never sorted in one task: sums over the first digits of the order key
     find the part that holds the cut, and only that part's ids are ordered.
@@ -122,23 +127,23 @@ def mix_sources(df: DataFrame, mix: Mix = Mix(), domain: Column | None = None, i
     leaves = narrow.groupBy(*[F.col(a).alias(b) for a, b in zip(leaf, LEVELS)]).agg(F.sum("n").alias("supply"))
     budgets = leaf_budgets(leaves, mix).withColumn("passes", F.expr(f"case when supply > 0 then least(alloc div supply, {mix.max_epochs}) else 0 end"))
     budgets = budgets.withColumn("rest", F.when(F.col("passes") == mix.max_epochs, F.lit(-1)).otherwise(F.col("alloc") - F.col("passes") * F.col("supply")))
-    budgets = stored(budgets.select(*[F.col(b).alias(a) for a, b in zip(leaf, LEVELS)], "passes", "rest"), "budgets")
+    budgets = stored(budgets.select(*[F.col(b).alias(a) for a, b in zip(leaf, LEVELS)], F.col("passes").alias("__fs_passes"), F.col("rest").alias("__fs_rest")), "budgets")
     if budgets.count() <= BROADCAST_LEAVES:
         budgets = F.broadcast(budgets)
-    key = order_key(mix.seed, F.col("passes"), F.when(F.col("__fs_id") != "", F.col("__fs_id")).otherwise(F.col("__fs_h").cast("string")))
-    dealt = narrow.join(budgets, leaf).filter("rest >= 0").withColumn("k", key).withColumn("part", F.substring("k", 1, DIGITS))
+    key = order_key(mix.seed, F.col("__fs_passes"), F.when(F.col("__fs_id") != "", F.col("__fs_id")).otherwise(F.col("__fs_h").cast("string")))
+    dealt = narrow.join(budgets, leaf).filter("__fs_rest >= 0").withColumn("k", key).withColumn("part", F.substring("k", 1, DIGITS))
     run = Window.partitionBy(*leaf).orderBy("part")
-    sums = dealt.groupBy(*leaf, "part", "rest").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(run))
-    cut = sums.filter("upto > rest").groupBy(*leaf).agg(F.min(F.struct("part", (F.col("upto") - F.col("n")).alias("before"))).alias("c")).select(*leaf, F.col("c.part").alias("cut"), F.col("c.before").alias("before"))
+    sums = dealt.groupBy(*leaf, "part", "__fs_rest").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(run))
+    cut = sums.filter("upto > __fs_rest").groupBy(*leaf).agg(F.min(F.struct("part", (F.col("upto") - F.col("n")).alias("before"))).alias("c")).select(*leaf, F.col("c.part").alias("__fs_cut"), F.col("c.before").alias("__fs_before"))
     cut = stored(cut, "cuts")
     cuts = F.broadcast(cut) if cut.count() <= BROADCAST_LEAVES else cut
     inside = Window.partitionBy(*leaf).orderBy("k", "__fs_id", "__fs_h").rowsBetween(Window.unboundedPreceding, 0)
-    edge = dealt.join(cuts, leaf).filter("part = cut").withColumn("upto", F.col("before") + F.sum("n").over(inside)).filter("upto <= rest").select(F.col("__fs_id").alias("e_id"), F.col("__fs_h").alias("e_h"), *[F.col(x).alias(f"e{x}") for x in leaf], F.lit(True).alias("edge"))
-    edge = stored(edge, "edge")
-    taken = rows.join(budgets, leaf).join(cuts, leaf, "left").withColumn("part", F.substring(key, 1, DIGITS))
-    taken = taken.join(edge, (F.col("__fs_id") == F.col("e_id")) & (F.col("__fs_h") == F.col("e_h")) & F.expr(" and ".join(f"{x} = e{x}" for x in leaf)), "left")
-    more = (F.col("rest") >= 0) & (F.col("cut").isNull() | (F.col("part") < F.col("cut")) | F.coalesce(F.col("edge"), F.lit(False)))
-    n = F.col("passes").cast("int") + F.when(more, 1).otherwise(0)
+    edge = dealt.join(cuts, leaf).filter("part = __fs_cut").withColumn("upto", F.col("__fs_before") + F.sum("n").over(inside)).filter("upto <= __fs_rest")
+    edge = stored(edge.select("__fs_id", "__fs_h", *leaf, F.lit(True).alias("__fs_edge")), "edge")
+    taken = rows.join(budgets, leaf).join(cuts, leaf, "left").join(edge, ["__fs_id", "__fs_h", *leaf], "left")
+    part = F.substring(key, 1, DIGITS)
+    more = (F.col("__fs_rest") >= 0) & (F.col("__fs_cut").isNull() | (part < F.col("__fs_cut")) | F.coalesce(F.col("__fs_edge"), F.lit(False)))
+    n = F.col("__fs_passes").cast("int") + F.when(more, 1).otherwise(0)
     epochs = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     kept = [c for c in df.columns if c not in ("domain", "epoch", "n_tokens")]
     return taken.select(*kept, F.col("__fs_domain").alias("domain"), F.col("__fs_n").alias("n_tokens"), F.explode(epochs).alias("epoch"))
@@ -149,11 +154,14 @@ def op10_mixing(spark, sf_dir):
     return mix_sources(docs(spark, sf_dir)).select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
 
 
+def _weight_sql(level: str, table: dict[str, int], other: int) -> str:
+    return f"CAST(CASE {' '.join(f"WHEN {level} = '{k}' THEN {v}" for k, v in table.items())} ELSE {other} END AS BIGINT)" if table else f"CAST({other} AS BIGINT)"
+
+
 def _level_sql(level: str, parent: list[str], table: dict[str, int], other: int, up: str) -> str:
     path = ", ".join([*parent, level])
     over = f"PARTITION BY {', '.join(parent)}" if parent else ""
-    weight = " ".join(f"WHEN {level} = '{k}' THEN {v}" for k, v in table.items())
-    weight = f"CAST(CASE {weight} ELSE {other} END AS BIGINT)" if weight else f"CAST({other} AS BIGINT)"
+    weight = _weight_sql(level, table, other)
     on = " AND ".join(f"n.{p} = u.{p}" for p in parent) or "true"
     return f"""
 {level}_n AS (SELECT {path}, CAST(sum(cap) AS BIGINT) AS cap, {weight} AS weight FROM caps GROUP BY {path}),
@@ -168,13 +176,14 @@ def _level_sql(level: str, parent: list[str], table: dict[str, int], other: int,
 
 
 def mixing_sql(mix: Mix = Mix()) -> str:
-    """The query in DuckDB SQL.  Where a mix has weights of 0, its caps still count what lies below them."""
+    """The query in DuckDB SQL."""
+    usable = " AND ".join(f"{_weight_sql(level, table, mix.other)} > 0" for level, table in zip(LEVELS, (mix.domain, mix.lang, mix.source)))
     return f"""
 WITH d AS (
   SELECT doc_id, lang, source, coalesce(lang, '') AS l, coalesce(source, '') AS s, 'd' || (CAST('0' || regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1) AS BIGINT) % 4) AS domain,
          coalesce(len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')), 0) AS n_tokens FROM documents),
 leaves AS (SELECT domain, l AS lang, s AS source, CAST(sum(n_tokens) AS BIGINT) AS supply FROM d GROUP BY domain, l, s),
-caps AS (SELECT *, supply * {mix.max_epochs} AS cap FROM leaves),
+caps AS (SELECT *, CASE WHEN {usable} THEN supply * {mix.max_epochs} ELSE 0 END AS cap FROM leaves),
 root AS (SELECT CAST(sum(supply) AS BIGINT) * {mix.budget_permille} // 1000 AS budget FROM leaves),
 {_level_sql("domain", [], mix.domain, mix.other, "root")}
 {_level_sql("lang", ["domain"], mix.lang, mix.other, "domain_b")}
