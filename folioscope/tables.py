@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import functools
 import os
+import shutil
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -79,6 +80,10 @@ def scope() -> Iterator[Callable[[DataFrame, str], DataFrame]]:
 
 @atexit.register
 def _at_exit() -> None:
+    """Where the session has ended before the process, only local folders can still be deleted."""
     for spark, path in (t for tables in _scopes for t in tables):
-        with contextlib.suppress(Exception):  # the session may have ended; nothing is left to ask
-            _delete(spark, path)
+        with contextlib.suppress(Exception):
+            if spark.sparkContext._jsc is not None:
+                _delete(spark, path)
+            elif "://" not in path or path.startswith("file://"):
+                shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
