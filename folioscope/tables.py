@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import functools
 import os
+import re
 import shutil
 import uuid
 from collections.abc import Callable, Iterator
@@ -85,5 +86,5 @@ def _at_exit() -> None:
         with contextlib.suppress(Exception):
             if spark.sparkContext._jsc is not None:
                 _delete(spark, path)
-            elif "://" not in path or path.startswith("file://"):
-                shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+            elif re.match("file:|(?!.*://)", path):
+                shutil.rmtree(re.sub("^file:(//)?", "", path), ignore_errors=True)
