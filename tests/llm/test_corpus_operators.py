@@ -2,11 +2,13 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from folioscope.llm import components, jaccard, licenses, lines, mixing, parsing, registry
@@ -50,26 +52,50 @@ def test_lines_beyond_broadcast(spark, sf_dir, monkeypatch):
     assert rows_of(lines.drop_boilerplate(df)) == small
 
 
+def test_lines_by_host(spark, sf_dir):
+    rows = [(f"https://WWW.a.org/{k}", f"menu\nown {k}\n\t") for k in range(4)] + [(f"http://b.net:80/{k}", f"menu {k}\nfooter") for k in range(4)] + [("no address", "menu"), (None, "menu")]
+    df = spark.createDataFrame(rows, "url string, text string")
+    got = {r["url"]: r["text"] for r in lines.drop_boilerplate(df, lines.host(F.col("url")), max_ratio=0.5).collect()}
+    assert got == {u: t.replace("menu\n", "") if "a.org" in (u or "") else t.replace("\nfooter", "") for u, t in rows}
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    out = lines.drop_boilerplate(pages, lines.host(F.col("url")), "html")
+    hosts = Counter(r["h"] for r in pages.select(lines.host(F.col("url")).alias("h")).collect())
+    assert out.count() == pages.count() == sum(hosts.values()) and None not in hosts
+
+
+def test_lines_long_text(spark):
+    rows = [(k, "\n".join(f"{k} {j}" for j in range(20000)) + "\nsame", None, "s", 0) for k in range(3)]
+    got = lines.drop_boilerplate(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert all(r["text"] == t.removesuffix("\nsame") and (r["n_lines"], r["n_dropped"]) == (20001, 1) for r, (_, t, *_) in zip(sorted(got, key=lambda r: r["doc_id"]), rows))
+
+
 def test_licenses_small(spark):
     against_sql(spark, small_corpus(), licenses.scan_licenses, licenses.licenses_sql())
     against_sql(spark, [], licenses.scan_licenses, licenses.licenses_sql())
 
 
-def test_licenses_wrapped(spark, tmp_path):
+def test_licenses_runs(spark):
     bsd = "Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that"
     texts = [
         bsd, "Licensed under the Apache\nLicense, Version 2.0", "x " * 500 + "\nAll\nrights\nreserved.\n" + "y " * 500,
         "This work is licensed under the terms of the GNU General Public\nLicense, version 3", "all of the many words\nthat have no rights\nand are not reserved", "Released under the MIT License.", None, "", "\n",
+        "Licensed under CC BY 4.0.", "Licensed under CC BY-NC 4.0.", "all " + "x " * 2000 + "rights " + "y " * 2000 + "reserved", "This wor\u212a is dedicated to the public domain", "all rights reserved" + " z" * 20000,
     ]
-    df = spark.createDataFrame([(k, t, None, None, 0) for k, t in enumerate(texts)], SCHEMA)
-    df.write.parquet(f"{tmp_path}/documents.parquet")
-    got = [(r["labels"], r["score"]) for r in licenses.op8_licenses(spark, str(tmp_path)).orderBy("doc_id").collect()]
+    rows = [(k, t, None, None, 0) for k, t in enumerate(texts)]
+    got = [(r["labels"], r["score"]) for r in licenses.scan_licenses(spark.createDataFrame(rows, SCHEMA)).orderBy("doc_id").collect()]
     assert got[:3] == [("bsd", 1.0), ("apache,apache-2.0", 1.0), ("all-rights-reserved", 1.0)]
-    assert "gpl-3" in got[3][0].split(",") and got[4:] == [("", 0.0), ("mit", 1.0), ("", 0.0), ("", 0.0), ("", 0.0)]
+    assert got[3][0] == "gpl,gpl-3" and got[4:9] == [("", 0.0), ("mit", 1.0), ("", 0.0), ("", 0.0), ("", 0.0)]
+    assert [x for x, _ in got[9:12]] == ["cc-by", "cc-by,cc-by-nc", ""] and got[12][1] < 1.0 and got[13] == ("all-rights-reserved", 1.0)
+    against_sql(spark, rows, licenses.scan_licenses, licenses.licenses_sql())
     # The place of a notice in its text does not matter.
     moved = spark.createDataFrame([(k, "w " * k + bsd + " w" * (40 - k), None, None, 0) for k in range(40)], SCHEMA)
-    assert {r["labels"] for r in licenses.scan_licenses(moved, wrapped=True).collect()} == {"bsd"}
-    assert {r["labels"] for r in licenses.scan_licenses(moved).collect()} == {""}
+    assert {r["labels"] for r in licenses.scan_licenses(moved).collect()} == {"bsd"}
+
+
+def test_licenses_clashing_names(spark):
+    df = spark.createDataFrame([(1, "MIT License"), (1, "MIT License"), (None, None)], "h long, t string").withColumn("label", F.lit("x"))
+    got = Counter(map(tuple, licenses.scan_licenses(df, "h", "t").select("h", "labels").collect()))
+    assert got == Counter({(1, "mit"): 2, (None, ""): 1})
 
 
 def pick(df):
@@ -90,6 +116,24 @@ def test_mixing_weight_zero_goes_to_siblings(spark):
         assert got == {("d0", "en"): 0, ("d0", "de"): 100 if mix.lang else 0, ("d1", "de"): 900 if mix.lang else 1000}
 
 
+def test_mixing_clashing_names(spark):
+    df = spark.createDataFrame(small_corpus(60), SCHEMA)
+    clash = ["rest", "cut", "passes", "before", "edge", "part", "k", "n", "e_id", "alloc", "supply"]
+    more = df.withColumns({c: F.col("doc_id") for c in clash})
+    got = mixing.mix_sources(more)
+    assert got.filter(" or ".join(f"{c} <> doc_id" for c in clash)).count() == 0
+    assert rows_of(pick(got)) == rows_of(pick(mixing.mix_sources(df)))
+
+
+def test_mixing_repeated_rows_and_null_ids(spark):
+    rows = [(1, "a b c"), (1, "a b c"), (None, "d e"), (None, "f g"), (2, None), (3, "")] + [(k, "w " * 4000) for k in range(10, 14)]
+    df = spark.createDataFrame([(i, t, "en", "src0", 0) for i, t in rows], SCHEMA)
+    everything = mixing.mix_sources(df, mixing.Mix(budget_permille=1000, max_epochs=1))
+    assert Counter((r["doc_id"], r["text"]) for r in everything.collect()) == Counter(rows)
+    half = Counter((r["doc_id"], r["text"]) for r in mixing.mix_sources(df, mixing.Mix(budget_permille=500, max_epochs=1)).collect())
+    assert half[1, "a b c"] in (0, 2) and sum(4000 * n for (i, _), n in half.items() if i and i >= 10) <= 8006
+
+
 def test_mixing_properties(spark, monkeypatch):
     df = spark.createDataFrame(small_corpus(150), SCHEMA).withColumn("epoch", F.lit("clash"))
     mix = mixing.Mix(domain={}, lang={}, budget_permille=500, max_epochs=1)
@@ -227,12 +271,228 @@ def test_parsing_documents(spark, sf_dir, parts):
     assert parsing.fingerprint_documents(df.limit(1), parts=parts).count() == 1
 
 
+def slow_mix(x):
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = ((x ^ x >> shift) * factor) % 2**64
+    return x ^ x >> 31
+
+
+def slow_names(text):
+    """Names of all levels of one text, symbol by symbol."""
+    x, bits, out = list(text.encode()), 8, set()
+    for level in range(1, parsing.LEVELS + 1):
+        if not x:
+            break
+        n, y, width = len(x), x, bits
+        for _ in range(3):
+            left = [y[i - 1] if i else y[i] ^ (2**width - 1) for i in range(n)]
+            low = [(a ^ b) & -(a ^ b) if a != b else 0 for a, b in zip(y, left)]
+            k = [(v.bit_length() - 1) if v else width for v in low]
+            y, width = [(2 * j + (v >> j & 1)) % 2**width for j, v in zip(k, y)], 8
+            y = [v % 256 for v in y]
+        top = [0 < i < n - 1 and y[i] > y[i - 1] and y[i] >= y[i + 1] for i in range(n)]
+        anchor, ends = -1, []
+        for i in range(n):
+            anchor = i if top[i] else anchor
+            ends.append((i - anchor) % 3 == 0 or top[i])
+        i = 0
+        while i < n:  # runs of one symbol: phrases of two from the start of the run
+            j = i
+            while j + 1 < n and x[j + 1] == x[i]:
+                j += 1
+            if j > i:
+                if i:
+                    ends[i - 1] = True
+                for m in range(i, j + 1):
+                    ends[m] = (m - i) % 2 == 1
+                ends[j] = True
+            i = j + 1
+        ends[n - 1] = True
+        names, at = [], 0
+        for i in range(n):
+            if ends[i]:
+                h = slow_mix((x[at] + level) * 0x9E3779B97F4A7C15 % 2**64)
+                for v in x[at + 1 : i + 1]:
+                    h = slow_mix((h * 0x9E3779B97F4A7C15 + v) % 2**64)
+                names.append(h)
+                at = i + 1
+        x, bits = names, 64
+        if level >= parsing.FROM_LEVEL:
+            out |= {slow_mix((v * 0x94D049BB133111EB + level) % 2**64) >> 32 for v in names}
+    return out
+
+
+def test_parsing_is_brute_force():
+    rng = random.Random(11)
+    texts = ["", "a", "aa", "ab", "aaaaaaa", "abababab", "ééñ日本", "x" * 70 + "y" * 31] + ["".join(rng.choice("ab"[: rng.randint(1, 2)] + "cdef gh") for _ in range(rng.randint(1, 400))) for _ in range(40)]
+    for text, got in zip(texts, parsing.signatures(texts)):
+        assert got.tolist() == sorted(slow_names(text))[: parsing.SKETCH], text
+
+
+def test_parsing_buckets_are_even(spark):
+    """Bucket k is partition k, and null or repeated ids are split by the text."""
+    rows = [(k, f"text {k}") for k in range(4000)] + [(None, f"null {k}") for k in range(2000)] + [(77, f"again {k}") for k in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt = parsing.with_next(df, "doc_id", "text", 8)
+    sizes = Counter(r["p"] for r in dealt.filter("not halo").select(F.spark_partition_id().alias("p"), "b").collect() if r["p"] == r["b"])
+    assert sum(sizes.values()) == len(rows) and len(sizes) == 8 and max(sizes.values()) < 2.1 * len(rows) / 8
+    got = parsing.fingerprint_documents(df, parts=8).collect()
+    assert len(got) == len(rows)
+    key = lambda r: (-(1 << 63) if r[0] is None else r[0], parsing_hash[r[1]])
+    parsing_hash = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=key, reverse=True)
+    want = Counter(hashlib.sha256(parsing.edited(a[1], b[1]).encode()).hexdigest() for a, b in zip(order, order[1:] + order[:1]))
+    assert Counter(r["edited_sha256"] for r in got) == want
+
+
+def test_parsing_long_text_and_clashing_names(spark):
+    df = spark.createDataFrame([("b", "word " * 100_000, 1), ("a", "x", 2), ("7", None, 3)], "t string, fingerprint string, h int")
+    got = {r["t"]: r for r in parsing.fingerprint_documents(df, "t", "fingerprint", parts=2).collect()}
+    assert {k: r["n_chars"] for k, r in got.items()} == {"b": 500_000, "a": 1, "7": 0}
+
+
 def test_parsing_repeated_and_null_ids(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (None, "b"), (None, "c"), (2, "d")], "doc_id long, text string")
     for parts in (1, 3):
         assert Counter(r["doc_id"] for r in parsing.fingerprint_documents(df, parts=parts).collect()) == {1: 2, None: 2, 2: 1}
 
 
+def test_jaccard_long_and_hot(spark, monkeypatch):
+    """Chunks are bounded by tokens, and one that many documents ask is answered by copies."""
+    monkeypatch.setattr(jaccard, "CHUNK_TOKENS", 2000)
+    monkeypatch.setattr(jaccard, "CHUNK_QUERIES", 3)
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(5))
+    base, long = [word() for _ in range(60)], [word() for _ in range(30_000)]
+    texts = [" ".join(long), " ".join([*long[:-1], "end"]), " ".join(long[: len(long) // 2])]
+    for _ in range(120):
+        own = list(base)
+        for _ in range(rng.randint(0, 4)):
+            own[rng.randrange(len(own))] = word()
+        texts.append(" ".join(own))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.similarity_groups(df).collect()}
+    assert [got[k] for k in range(len(texts))] == brute_components(texts, 4, 85)[0]
+
+
+def test_stored_tables_go(spark, tmp_path, monkeypatch):
+    from folioscope import tables as common
+
+    shared = tmp_path / "shared"
+    monkeypatch.setattr(common, "shared_dir", lambda _: str(shared))
+    with common.scope() as keep:
+        common.stored(spark.range(3), "inner")
+        out = keep(spark.range(5), "outer")
+        common.drop_stored(common.stored(spark.range(2), "dropped"))
+        assert sorted(p.name.split("-")[0] for p in shared.iterdir()) == ["inner", "outer"]
+    assert out.count() == 5 and [p.name.split("-")[0] for p in shared.iterdir()] == ["outer"]
+    common.drop_stored(out)
+    assert not list(shared.iterdir())
+
+
+def slow_lines(rows, ratio=0.05, least=3):
+    """Texts without boilerplate, page by page."""
+    pages, seen = Counter(r["source"] for r in rows), Counter()
+    for r in rows:
+        for line in set((r["text"] or "").split("\n")) if r["text"] is not None else ():
+            if line.strip(" \t\n\x0b\f\r"):
+                seen[r["source"], line] += 1
+    drop = {k for k, n in seen.items() if n >= least and n > ratio * pages[k[0]]}
+    return {(r["doc_id"], None if r["text"] is None else "\n".join(x for x in r["text"].split("\n") if (r["source"], x) not in drop)) for r in rows}
+
+
+def slow_shares(budget, children):
+    """Budget by weight, name to (weight, cap): whoever is full leaves, the others share the rest."""
+    out, left, open_ = {}, budget, {k: v for k, v in children.items() if v[0] > 0}
+    while open_:
+        total = sum(w for w, _ in open_.values())
+        full = [k for k, (w, cap) in open_.items() if cap * total <= left * w]
+        if not full:
+            return out | {k: left * w // total for k, (w, _) in open_.items()} | {k: 0 for k in children if children[k][0] == 0}
+        for k in full:
+            out[k] = open_.pop(k)[1]
+        left = max(left - sum(out[k] for k in full), 0)
+    return out | {k: 0 for k in children if children[k][0] == 0}
+
+
+def slow_mixing(rows, mix):
+    """The documents that each leaf takes, epoch by epoch."""
+    domain = lambda s: f"d{int('0' + (re.search('([0-9]{1,9})$', s or '') or ['', ''])[1]) % 4}"
+    n = lambda t: len(re.findall("[^ \t\n\x0b\f\r]+", t or ""))
+    weight = lambda table, name: table.get(name, mix.other)
+    leaves = {}
+    for r in rows:
+        leaves.setdefault((domain(r["source"]), r["lang"] or "", r["source"] or ""), []).append(r)
+    tables = (mix.domain, mix.lang, mix.source)
+    cap = {k: sum(n(r["text"]) for r in v) * mix.max_epochs if all(weight(t, x) > 0 for t, x in zip(tables, k)) else 0 for k, v in leaves.items()}
+    budgets = {(): sum(n(r["text"]) for r in rows) * mix.budget_permille // 1000}
+    for depth, table in enumerate(tables):
+        new = {}
+        for parent, budget in budgets.items():
+            names = {k[: depth + 1] for k in leaves if k[:depth] == parent}
+            new |= slow_shares(budget, {p: (weight(table, p[-1]), sum(c for k, c in cap.items() if k[: depth + 1] == p)) for p in names})
+        budgets = new
+    out = Counter()
+    for leaf, own in leaves.items():
+        supply, epoch = sum(n(r["text"]) for r in own), 0
+        while supply and epoch < mix.max_epochs and budgets[leaf] >= (epoch + 1) * supply:
+            out.update(r["doc_id"] for r in own)
+            epoch += 1
+        rest = budgets[leaf] - epoch * supply
+        if epoch < mix.max_epochs:
+            for r in sorted(own, key=lambda r: (hashlib.md5(f"{mix.seed}:{epoch}:{r['doc_id']}".encode()).hexdigest(), str(r["doc_id"]))):
+                rest -= n(r["text"])
+                if rest < 0:
+                    break
+                out[r["doc_id"]] += 1
+    return out
+
+
+@pytest.mark.parametrize("mix", [mixing.Mix(), mixing.Mix(budget_permille=900, max_epochs=1, domain={"d0": 3}), mixing.Mix(lang={"en": 0}, budget_permille=2000), mixing.Mix(domain={}, lang={}, source={"src1": 5}, budget_permille=300)])
+def test_mixing_is_brute_force(spark, mix):
+    rows = [dict(zip(("doc_id", "text", "lang", "source"), r)) for r in small_corpus(300, seed=7)]
+    df = spark.createDataFrame([(r["doc_id"], r["text"], r["lang"], r["source"], 0) for r in rows], SCHEMA)
+    assert Counter(r["doc_id"] for r in mixing.mix_sources(df, mix).collect()) == slow_mixing(rows, mix)
+
+
+def test_pipeline_stages_are_brute_force(spark, sf_dir):
+    """Quality, lines and mixing on the smallest tables; the Jaccard and BPE stages are held below and elsewhere."""
+    import corpus_pipeline as cp
+
+    from .test_text_models import brute_weights
+
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [r.asDict() for r in df.collect()]
+    good = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    weights = brute_weights([r["text"] for r in rows], [good.get(r["doc_id"]) == 1 for r in rows])
+    noise = [((xxhash.xxh3_64_intdigest(f"9:{r['doc_id']}:{r['text']}") >> 11) + 0.5) / 2**53 for r in rows]
+    keys = {r["doc_id"]: w - np.log(-np.log(u)) for r, w, u in zip(rows, weights, noise)}
+    kept = sorted(r["doc_id"] for r in cp.quality(spark, df, sf_dir).collect())
+    assert kept == sorted(sorted(keys, key=keys.get, reverse=True)[: len(kept)]) and 0.6 * len(rows) < len(kept) < len(rows)
+    assert {(r["doc_id"], r["text"]) for r in cp.line_dedup(spark, df, sf_dir).collect()} == slow_lines(rows)
+    assert Counter(r["doc_id"] for r in cp.mixing_stage(spark, df, sf_dir).collect()) == slow_mixing(rows, cp.MIX)
+
+
+def test_pipeline_stages_on_edges(spark, sf_dir):
+    """Nulls in any column, empty and very long texts, ties and repeated rows, empty tables, more columns."""
+    import corpus_pipeline as cp
+
+    rows = [(1, None, None, None, None), (None, None, None, None, None), (None, "", "en", "src0", 0), (2, "", None, "src0", 0), (2, "", None, "src0", 0), (3, "w " * 200_000, "en", None, 1), (3, "w " * 200_000, "en", None, 1), (None, "same text here", "en", "src0", 5), (None, "same text here", "en", "src0", 5)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit(1) for c in ("h", "n", "epoch", "selected", "n_lines", "component_id")})
+    for name, stage in cp.STAGES:
+        out = stage(spark, df, sf_dir)
+        got = out.collect()
+        assert stage(spark, df.limit(0), sf_dir).count() == 0
+        if name == "byte-level BPE":
+            assert len(got) == len(rows)
+            continue
+        assert out.columns == cp.COLUMNS
+        if name == "line dedup":
+            assert len(got) == len(rows)
+        if name == "n-gram Jaccard join":
+            assert Counter((r["doc_id"], r["text"]) for r in got) == Counter({(1, None): 1, (None, None): 1, (None, ""): 1, (2, ""): 1, (3, "w " * 200_000): 1, (None, "same text here"): 1})
+
+
 def test_near_duplicates_stage(spark):
     import corpus_pipeline as cp
 
