@@ -41,7 +41,9 @@ def join_blocks(blocks: DataFrame, doc: str = "doc_id", order: str = "block_ix")
     kept = blocks.filter(F.col("text").rlike(f"[^{WS}]")).withColumn("text", rtrim_ws(F.col("text")))
     w = Window.partitionBy(doc).orderBy(order)
     both = F.col("is_list_item") & F.lag("is_list_item").over(w)
-    between = F.when(F.row_number().over(w) == 1, "").when(both, F.when(F.col("list_key").eqNullSafe(F.lag("list_key").over(w)), "\n").otherwise("\n\n<!-- -->\n\n")).otherwise("\n\n")
+    between = F.when(F.row_number().over(w) == 1, "").when(
+        both, F.when(F.col("list_key").eqNullSafe(F.lag("list_key").over(w)), "\n").otherwise("\n\n<!-- -->\n\n")
+    ).otherwise("\n\n")
     parts = kept.select(doc, order, F.concat(between, "text").alias("part"))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "part"))), lambda x: x["part"]), "")
     return parts.groupBy(doc).agg(F.concat(whole, F.lit("\n")).alias("markdown"))
@@ -78,7 +80,9 @@ def compact_html_blanks(c: Column) -> Column:
 def heading_level_of_style(name: Column) -> Column:
     """Level of a heading style by its name: 1-9, or null."""
     level = F.regexp_extract(name, rf"(?iu)\A(?:heading|t[ií]?tulo|ttulo|titre|berschrift|überschrift)[{WS}]*([1-9])\z", 1)
-    return F.when(F.lower(F.trim(name)) == "title", 1).when(F.lower(F.trim(name)) == "subtitle", 2).otherwise(F.nullif(level, F.lit("")).cast("int"))
+    return F.when(F.lower(F.trim(name)) == "title", 1).when(
+        F.lower(F.trim(name)) == "subtitle", 2
+    ).otherwise(F.nullif(level, F.lit("")).cast("int"))
 
 
 def normalize_extension(c: Column) -> Column:
@@ -112,7 +116,8 @@ def to_percent(c: Column) -> Column:
 
 #: Extensions of image types.
 IMAGE_EXTENSIONS = {
-    "image/png": ".png", "image/jpeg": ".jpg", "image/jpg": ".jpg", "image/gif": ".gif", "image/bmp": ".bmp", "image/tiff": ".tiff",
+    "image/png": ".png", "image/jpeg": ".jpg", "image/jpg": ".jpg", "image/gif": ".gif", "image/bmp": ".bmp",
+    "image/tiff": ".tiff",
     "image/svg+xml": ".svg", "image/x-emf": ".emf", "image/emf": ".emf", "image/x-wmf": ".wmf", "image/wmf": ".wmf",
 }
 

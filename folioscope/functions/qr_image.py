@@ -148,7 +148,8 @@ def _format(m: np.ndarray, level: str, mask: int) -> None:
 
 MASKS = (
     lambda y, x: (y + x) % 2, lambda y, x: y % 2 + 0 * x, lambda y, x: x % 3 + 0 * y, lambda y, x: (y + x) % 3,
-    lambda y, x: (y // 2 + x // 3) % 2, lambda y, x: y * x % 2 + y * x % 3, lambda y, x: (y * x % 2 + y * x % 3) % 2, lambda y, x: ((y + x) % 2 + y * x % 3) % 2,
+    lambda y, x: (y // 2 + x // 3) % 2, lambda y, x: y * x % 2 + y * x % 3, lambda y, x: (y * x % 2 + y * x % 3) % 2,
+    lambda y, x: ((y + x) % 2 + y * x % 3) % 2,
 )
 
 
@@ -210,7 +211,9 @@ def png(pixels: np.ndarray) -> bytes:
     h, w, _ = pixels.shape
     raw = np.concatenate([np.zeros((h, 1), np.uint8), pixels.reshape(h, -1)], axis=1).tobytes()
     part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 6, 0, 0, 0)) + part(b"IDAT", zlib.compress(raw, 9)) + part(b"IEND", b"")
+    return b"\x89PNG\r\n\x1a\n" + part(
+        b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 6, 0, 0, 0)
+    ) + part(b"IDAT", zlib.compress(raw, 9)) + part(b"IEND", b"")
 
 
 def shrink_weights(full: int, n: int) -> np.ndarray:
@@ -348,4 +351,7 @@ def from_geo(lat: Column, lon: Column, options: QrOptions = QrOptions()) -> Colu
 
 def from_message(app: Column, to: Column, message: Column, options: QrOptions = QrOptions()) -> Column:
     """app: whatsapp or telegram; a telegram link has no message."""
-    return qr_of(F.when(F.lower(app) == "whatsapp", Q.whatsapp(to, message)).when(F.lower(app) == "telegram", Q.telegram(to)), options)
+    return qr_of(
+        F.when(F.lower(app) == "whatsapp", Q.whatsapp(to, message)).when(F.lower(app) == "telegram", Q.telegram(to)),
+        options
+    )

@@ -56,7 +56,9 @@ def _factor(family: str | Column) -> Column:
 def estimate_tokens(c: Column, family: str | Column = "generic") -> Column:
     """ceil(max(length / 4, words * 0.75) * factor), in doubles; 0 for an empty text."""
     n = utf16_length(c)
-    return F.when(n == 0, 0).otherwise(F.ceil(F.greatest(n / F.lit(4.0), count_words(c) * F.lit(0.75)) * _factor(family))).cast("int")
+    return F.when(n == 0, 0).otherwise(
+        F.ceil(F.greatest(n / F.lit(4.0), count_words(c) * F.lit(0.75)) * _factor(family))
+    ).cast("int")
 
 
 def estimate_tokens_from_length(n: Column, family: str | Column = "generic") -> Column:
@@ -135,7 +137,10 @@ def normalize_with_metrics(c: Column, options: NormalizeOptions = NormalizeOptio
     out = normalize_text(c, options)
     before, after = utf16_length(c), utf16_length(out)
     pct = F.when(before == 0, F.lit(0.0)).otherwise((before - after) * F.lit(100.0) / before)
-    return F.struct(out.alias("text"), before.alias("original_chars"), after.alias("result_chars"), (before - after).alias("saved_chars"), pct.alias("reduction_pct"))
+    return F.struct(
+        out.alias("text"), before.alias("original_chars"), after.alias("result_chars"),
+        (before - after).alias("saved_chars"), pct.alias("reduction_pct")
+    )
 
 
 # The patterns of the cleaner (digits are any decimal digit of Unicode).
@@ -163,7 +168,9 @@ def normalize_pagination(c: Column, o: CleanerOptions = CleanerOptions()) -> Col
 
     def convert(line: Column, i: Column) -> Column:
         page = F.regexp_extract(strip_noise(line, o.extra_keywords), f"(?idU){PAGE_LINE}", 1)
-        shown = F.when(i == first, F.replace(F.lit(o.leading_marker), F.lit("{0}"), page)).otherwise(F.replace(F.lit(o.marker), F.lit("{0}"), page))
+        shown = F.when(
+            i == first, F.replace(F.lit(o.leading_marker), F.lit("{0}"), page)
+        ).otherwise(F.replace(F.lit(o.marker), F.lit("{0}"), page))
         return F.when(line.rlike("[0-9]") & (page != ""), shown).otherwise(line)
 
     return F.array_join(F.transform(lines, convert), "\n")

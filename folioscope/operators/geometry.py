@@ -50,10 +50,18 @@ def otsu(histogram: DataFrame, keys: list[str]) -> DataFrame:
         "w": F.sum("n").over(all_), "s": F.sum(F.col("gray") * F.col("n")).over(all_),
     })
     mb, mf = F.col("sb") / F.col("wb"), (F.col("s") - F.col("sb")) / F.nullif(F.col("w") - F.col("wb"), F.lit(0))
-    h = h.withColumn("between", F.when(F.col("wb") < F.col("w"), F.col("wb").cast("double") * (F.col("w") - F.col("wb")) * (mb - mf) * (mb - mf)))
-    best = h.groupBy(*keys).agg(F.coalesce(F.max_by("gray", F.struct("between", -F.col("gray"))), F.lit(127)).alias("t"), F.max("between").alias("m"))
+    h = h.withColumn(
+        "between",
+        F.when(F.col("wb") < F.col("w"), F.col("wb").cast("double") * (F.col("w") - F.col("wb")) * (mb - mf) * (mb - mf))
+    )
+    best = h.groupBy(*keys).agg(
+        F.coalesce(F.max_by("gray", F.struct("between", -F.col("gray"))), F.lit(127)).alias("t"),
+        F.max("between").alias("m")
+    )
     best = best.select(*keys, F.when(F.col("m").isNull(), 127).otherwise(F.col("t")).alias("threshold"))
-    out = histogram.join(best, keys).groupBy(*keys, "threshold").agg((F.sum(F.when(F.col("gray") < F.col("threshold"), F.col("n")).otherwise(0)) / F.sum("n")).alias("ink_ratio"))
+    out = histogram.join(best, keys).groupBy(*keys, "threshold").agg(
+        (F.sum(F.when(F.col("gray") < F.col("threshold"), F.col("n")).otherwise(0)) / F.sum("n")).alias("ink_ratio")
+    )
     return out.withColumn("empty", ~F.col("ink_ratio").between(0.002, 0.5))
 
 
@@ -72,7 +80,9 @@ def connected_components(pages: DataFrame) -> DataFrame:
                 out += [(p.doc_id, p.page, k, *c) for k, c in enumerate(components_of(ink, colour))]
             yield pd.DataFrame(out, columns=["doc_id", "page", "comp", "min_x", "min_y", "max_x", "max_y", "pixels", "colorful"])
 
-    return pages.mapInPandas(run, "doc_id long, page int, comp int, min_x int, min_y int, max_x int, max_y int, pixels int, colorful int")
+    return pages.mapInPandas(
+        run, "doc_id long, page int, comp int, min_x int, min_y int, max_x int, max_y int, pixels int, colorful int"
+    )
 
 
 def components_of(ink: np.ndarray, colour: np.ndarray) -> list[tuple[int, ...]]:
@@ -117,7 +127,11 @@ def filter_glyphs(components: DataFrame, width: Column, height: Column) -> DataF
     df = with_sizes(components).withColumns({"pw": width, "ph": height})
     usable = (F.col("h") >= 4) & (F.col("h") <= F.floor(F.col("ph") / 6)) & (F.col("w") <= F.floor(F.col("pw") / 2))
     medians = df.filter(usable).groupBy(*PAGE).agg(upper_median(F.col("h")).alias("median_h"))
-    return df.join(medians, PAGE).filter((F.col("h") >= F.greatest(F.lit(4.0), F.col("median_h") * 0.4)) & (F.col("h") <= F.col("median_h") * 3.0) & (F.col("w") <= F.col("pw") * 0.5) & (F.col("pixels") >= 8)).drop("pw", "ph")
+    return df.join(medians, PAGE).filter(
+        (
+            F.col("h") >= F.greatest(F.lit(4.0), F.col("median_h") * 0.4)
+        ) & (F.col("h") <= F.col("median_h") * 3.0) & (F.col("w") <= F.col("pw") * 0.5) & (F.col("pixels") >= 8)
+    ).drop("pw", "ph")
 
 
 def group_lines(glyphs: DataFrame) -> DataFrame:
@@ -149,9 +163,14 @@ def split_words(glyphs: DataFrame) -> DataFrame:
     line = [*PAGE, "line"]
     w = Window.partitionBy(*line).orderBy("min_x", "comp")
     df = glyphs.withColumn("gap", F.col("min_x") - F.lag("max_x").over(w))
-    limits = df.groupBy(*line).agg(upper_median(F.col("h")).alias("mh"), F.coalesce(upper_median(F.when(F.col("gap").isNotNull(), F.greatest(F.col("gap"), F.lit(0)))), F.lit(0)).alias("mg"))
+    limits = df.groupBy(*line).agg(
+        upper_median(F.col("h")).alias("mh"),
+        F.coalesce(upper_median(F.when(F.col("gap").isNotNull(), F.greatest(F.col("gap"), F.lit(0)))), F.lit(0)).alias("mg")
+    )
     limit = F.greatest(F.col("mh") * F.lit(1.2), F.col("mg") * F.lit(2.5) + 1)
-    return df.join(limits, line).withColumn("word", F.sum(F.coalesce((F.col("gap") > limit).cast("int"), F.lit(0))).over(w)).drop("mh", "mg")
+    return df.join(limits, line).withColumn(
+        "word", F.sum(F.coalesce((F.col("gap") > limit).cast("int"), F.lit(0))).over(w)
+    ).drop("mh", "mg")
 
 
 def word_scores(glyphs: DataFrame, o: HandwritingOptions = HandwritingOptions()) -> DataFrame:
@@ -161,43 +180,84 @@ def word_scores(glyphs: DataFrame, o: HandwritingOptions = HandwritingOptions())
     if those are fewer than 3.  The baseline is a least-squares line of the lower edges.
     """
     word = [*PAGE, "line", "word"]
-    whole = glyphs.groupBy(*word).agg(F.count("*").alias("n"), upper_median(F.col("h")).alias("mh")).filter(F.col("n") >= o.min_glyphs)
+    whole = glyphs.groupBy(*word).agg(
+        F.count("*").alias("n"), upper_median(F.col("h")).alias("mh")
+    ).filter(F.col("n") >= o.min_glyphs)
     w = Window.partitionBy(*word).orderBy("min_x", "comp")
-    df = glyphs.join(whole, word).withColumn("step", F.col("min_x") - F.lag("max_x").over(w)).withColumn("near", (F.col("h") >= F.col("mh") * 0.6) & (F.col("h") <= F.col("mh") * 1.5))
+    df = glyphs.join(whole, word).withColumn("step", F.col("min_x") - F.lag("max_x").over(w)).withColumn(
+        "near", (F.col("h") >= F.col("mh") * 0.6) & (F.col("h") <= F.col("mh") * 1.5)
+    )
     df = df.withColumn("body", F.col("near") | (F.sum(F.col("near").cast("int")).over(Window.partitionBy(*word)) < 3))
     at = lambda c: F.when(F.col("body"), F.col(c).cast("double"))
     x, y = at("cx"), at("max_y")
     gap = F.when(F.col("step") > 0, F.col("step"))
     fit = df.groupBy(*word, "n").agg(
-        F.count(x).alias("bn"), F.avg(at("h")).alias("mean_h"), F.stddev_pop(at("h")).alias("sd_h"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("sxx"), F.sum(x * y).alias("sxy"),
+        F.count(x).alias("bn"), F.avg(at("h")).alias("mean_h"), F.stddev_pop(at("h")).alias("sd_h"),
+        F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("sxx"), F.sum(x * y).alias("sxy"),
         F.min("min_x").alias("x"), F.min("min_y").alias("y"), F.max("max_x").alias("x2"), F.max("max_y").alias("y2"),
         F.when(F.count(gap) >= 2, F.stddev_pop(gap) / F.avg(gap)).otherwise(0.0).alias("gap_cv"),
     )
     denom = F.col("bn") * F.col("sxx") - F.col("sx") * F.col("sx")
-    fit = fit.withColumn("slope", F.when(F.abs(denom) < 1e-6, 0.0).otherwise((F.col("bn") * F.col("sxy") - F.col("sx") * F.col("sy")) / F.nullif(denom, F.lit(0.0))))
+    fit = fit.withColumn(
+        "slope",
+        F.when(F.abs(denom) < 1e-6, 0.0).otherwise(
+            (F.col("bn") * F.col("sxy") - F.col("sx") * F.col("sy")) / F.nullif(denom, F.lit(0.0))
+        )
+    )
     fit = fit.withColumn("level", (F.col("sy") - F.col("slope") * F.col("sx")) / F.col("bn"))
     left = F.when(F.col("body"), F.pow(F.col("max_y") - (F.col("slope") * F.col("cx") + F.col("level")), 2))
-    waves = df.select(*word, "body", "max_y", "cx").join(fit.select(*word, "slope", "level"), word).groupBy(*word).agg(F.sqrt(F.avg(left)).alias("rms"))
-    out = fit.join(waves, word).withColumn("height_cv", F.col("sd_h") / F.col("mean_h")).withColumn("baseline", F.col("rms") / F.col("mean_h"))
+    waves = df.select(*word, "body", "max_y", "cx").join(
+        fit.select(*word, "slope", "level"), word
+    ).groupBy(*word).agg(F.sqrt(F.avg(left)).alias("rms"))
+    out = fit.join(waves, word).withColumn(
+        "height_cv", F.col("sd_h") / F.col("mean_h")
+    ).withColumn("baseline", F.col("rms") / F.col("mean_h"))
     out = out.withColumn("gap_cv", F.when(F.col("n") >= 3, F.col("gap_cv")).otherwise(0.0))
     # Weights and ranges of the three measures.
-    score = 100 * _clamp(0.5 * _scaled(F.col("height_cv"), 0.28, 0.55) + 0.4 * _scaled(F.col("baseline"), 0.06, 0.22) + 0.1 * _scaled(F.col("gap_cv"), 0.70, 1.50))
-    return out.select(*word, "n", "height_cv", "baseline", "gap_cv", "x", "y", (F.col("x2") - F.col("x") + 1).alias("w"), (F.col("y2") - F.col("y") + 1).alias("h"), score.alias("score"))
-
-
-def stroke_scores(components: DataFrame, width: Column, height: Column, median_h: Column, o: HandwritingOptions = HandwritingOptions()) -> DataFrame:
+    score = 100 * _clamp(
+        0.5 * _scaled(
+            F.col("height_cv"), 0.28, 0.55
+        ) + 0.4 * _scaled(F.col("baseline"), 0.06, 0.22) + 0.1 * _scaled(F.col("gap_cv"), 0.70, 1.50)
+    )
+    return out.select(
+        *word, "n", "height_cv", "baseline", "gap_cv", "x", "y", (F.col("x2") - F.col("x") + 1).alias("w"),
+        (F.col("y2") - F.col("y") + 1).alias("h"), score.alias("score")
+    )
+
+
+def stroke_scores(
+    components: DataFrame, width: Column, height: Column, median_h: Column, o: HandwritingOptions = HandwritingOptions()
+) -> DataFrame:
     """Large connected strokes (signatures, cursive words) with their score; those below the threshold go."""
     # All bounds, ranges and weights.
     df = with_sizes(components).withColumns({"pw": width, "ph": height, "mh": median_h})
     df = df.filter(
-        (F.col("w") >= F.greatest(F.lit(14), F.floor(F.col("pw") * 0.018))) & (F.col("h") >= F.greatest(F.lit(5), F.floor(F.col("ph") * 0.003)))
-        & (F.col("w") <= F.col("pw") * 0.85) & (F.col("h") <= F.col("ph") * 0.18) & ((F.col("mh") <= 0) | (F.col("h") >= F.col("mh") * 1.4))
+        (
+            F.col("w") >= F.greatest(F.lit(14), F.floor(F.col("pw") * 0.018))
+        ) & (F.col("h") >= F.greatest(F.lit(5), F.floor(F.col("ph") * 0.003)))
+        & (F.col("w") <= F.col("pw") * 0.85) & (F.col("h") <= F.col("ph") * 0.18) & (
+            (F.col("mh") <= 0) | (F.col("h") >= F.col("mh") * 1.4)
+        )
     )
-    df = df.withColumns({"aspect": F.col("w").cast("double") / F.col("h"), "density": F.col("pixels").cast("double") / (F.col("w") * F.col("h")), "colour": F.when(F.col("pixels") > 0, F.col("colorful").cast("double") / F.col("pixels")).otherwise(0.0)})
+    df = df.withColumns(
+        {
+            "aspect": F.col("w").cast("double") / F.col("h"),
+            "density": F.col("pixels").cast("double") / (F.col("w") * F.col("h")),
+            "colour": F.when(F.col("pixels") > 0, F.col("colorful").cast("double") / F.col("pixels")).otherwise(0.0)
+        }
+    )
     df = df.filter(F.col("aspect").between(1.5, 8.0) & F.col("density").between(0.015, 0.42) & (F.col("colour") <= 0.35))
-    density = F.when(F.col("density") <= 0.12, _scaled(F.col("density"), 0.015, 0.06)).otherwise(1 - _scaled(F.col("density"), 0.12, 0.42))
-    score = 100 * _clamp(0.5 * _scaled(F.col("aspect"), 1.5, 4.0) + 0.3 * density + 0.2 * _scaled(F.col("w").cast("double") / F.col("pw"), 0.018, 0.16))
-    return df.withColumn("score", score).filter(F.col("score") >= o.min_score).select(*PAGE, "comp", F.col("min_x").alias("x"), F.col("min_y").alias("y"), "w", "h", "score")
+    density = F.when(
+        F.col("density") <= 0.12, _scaled(F.col("density"), 0.015, 0.06)
+    ).otherwise(1 - _scaled(F.col("density"), 0.12, 0.42))
+    score = 100 * _clamp(
+        0.5 * _scaled(F.col("aspect"), 1.5, 4.0) + 0.3 * density + 0.2 * _scaled(
+            F.col("w").cast("double") / F.col("pw"), 0.018, 0.16
+        )
+    )
+    return df.withColumn("score", score).filter(F.col("score") >= o.min_score).select(
+        *PAGE, "comp", F.col("min_x").alias("x"), F.col("min_y").alias("y"), "w", "h", "score"
+    )
 
 
 def overlap(a: str, b: str, share: float) -> Column:
@@ -247,7 +307,10 @@ def colour_fractions(pages: DataFrame, words: DataFrame) -> DataFrame:
         sums = np.zeros((p.height + 1, p.width + 1), np.int64)
         sums[1:, 1:] = (np.frombuffer(p.colour, np.uint8).reshape(p.height, p.width) > 0).cumsum(0).cumsum(1)
         x1, y1 = (np.clip(np.floor(right[c] * p.scale), 0, n - 1).astype(int) for c, n in (("x", p.width), ("y", p.height)))
-        x2, y2 = (np.clip(np.ceil((right[c] + right[d]) * p.scale), 0, n).astype(int) for c, d, n in (("x", "w", p.width), ("y", "h", p.height)))
+        x2, y2 = (
+            np.clip(np.ceil((right[c] + right[d]) * p.scale), 0, n).astype(int) for c, d,
+            n in (("x", "w", p.width), ("y", "h", p.height))
+        )
         area = np.maximum(x2 - x1, 0) * np.maximum(y2 - y1, 0)
         inside = sums[y2, x2] - sums[y1, x2] - sums[y2, x1] + sums[y1, x1]
         return right.assign(colour=np.where(area > 0, inside / np.maximum(area, 1), 0.0))
@@ -258,7 +321,11 @@ def colour_fractions(pages: DataFrame, words: DataFrame) -> DataFrame:
 
 def low_confidence_words(words: DataFrame, page_height: Column, o: HandwritingOptions = HandwritingOptions()) -> DataFrame:
     """Recognised words that may be handwriting (needs ``colour``)."""
-    return words.filter((F.trim("text") != "") & (F.col("confidence") >= 0) & (F.col("confidence") < o.low_confidence) & (F.col("w") >= 8) & (F.col("h") >= 8) & (F.col("h") <= page_height * 0.12) & (F.col("colour") <= 0.15))
+    return words.filter(
+        (F.trim("text") != "") & (F.col("confidence") >= 0) & (
+            F.col("confidence") < o.low_confidence
+        ) & (F.col("w") >= 8) & (F.col("h") >= 8) & (F.col("h") <= page_height * 0.12) & (F.col("colour") <= 0.15)
+    )
 
 
 def word_rows(words: DataFrame) -> DataFrame:
@@ -286,8 +353,16 @@ def word_regions(words: DataFrame) -> DataFrame:
     w = Window.partitionBy(*PAGE, "row").orderBy("x", "word")
     gap = F.col("x") - F.lag(F.col("x") + F.col("w")).over(w)
     df = words.withColumn("run", F.sum(F.coalesce((gap > F.col("gap_limit")).cast("int"), F.lit(0))).over(w))
-    out = df.groupBy(*PAGE, "row", "run").agg(F.count("*").alias("words"), F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("w")).alias("x2"), F.max(F.col("y") + F.col("h")).alias("y2"), F.avg(F.col("confidence").cast("double")).alias("c"))
-    return out.select(*PAGE, "row", "run", "words", "x", "y", (F.col("x2") - F.col("x")).alias("w"), (F.col("y2") - F.col("y")).alias("h"), F.least(F.greatest(100 - F.col("c"), F.lit(0.0)), F.lit(100.0)).alias("score"))
+    out = df.groupBy(*PAGE, "row", "run").agg(
+        F.count("*").alias("words"), F.min("x").alias("x"), F.min("y").alias("y"),
+        F.max(F.col("x") + F.col("w")).alias("x2"), F.max(F.col("y") + F.col("h")).alias("y2"),
+        F.avg(F.col("confidence").cast("double")).alias("c")
+    )
+    return out.select(
+        *PAGE, "row", "run", "words", "x", "y", (F.col("x2") - F.col("x")).alias("w"),
+        (F.col("y2") - F.col("y")).alias("h"),
+        F.least(F.greatest(100 - F.col("c"), F.lit(0.0)), F.lit(100.0)).alias("score")
+    )
 
 
 def mean_confidence(words: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -296,7 +371,9 @@ def mean_confidence(words: DataFrame, keys: list[str] | None = None) -> DataFram
     return words.groupBy(*(keys or PAGE)).agg(F.coalesce(F.avg(c), F.lit(-1.0)).alias("mean_confidence"))
 
 
-def page_regions(geometry: DataFrame, from_words: DataFrame, confidence: DataFrame, o: HandwritingOptions = HandwritingOptions()) -> DataFrame:
+def page_regions(
+    geometry: DataFrame, from_words: DataFrame, confidence: DataFrame, o: HandwritingOptions = HandwritingOptions()
+) -> DataFrame:
     """Final regions of every page.
 
     No geometry: none.  Without corroboration or recognised words: the geometry.  Printed text (mean
@@ -304,7 +381,9 @@ def page_regions(geometry: DataFrame, from_words: DataFrame, confidence: DataFra
     """
     if not o.corroborate:
         return geometry
-    marked = geometry.join(confidence, PAGE, "left").filter(F.coalesce(F.col("mean_confidence"), F.lit(-1.0)) < o.printed_confidence)
+    marked = geometry.join(confidence, PAGE, "left").filter(
+        F.coalesce(F.col("mean_confidence"), F.lit(-1.0)) < o.printed_confidence
+    )
     alone = marked.select(geometry.columns)
     pages = alone.select(*PAGE).distinct()
     words = from_words.join(pages, PAGE, "left_semi").select(geometry.columns)
@@ -314,5 +393,7 @@ def page_regions(geometry: DataFrame, from_words: DataFrame, confidence: DataFra
 def document_rollup(pages: DataFrame, o: HandwritingOptions = HandwritingOptions()) -> DataFrame:
     """Documents of pages (doc_id, page, regions array, max_score): decision, region count, largest score, all regions."""
     return pages.groupBy("doc_id").agg(
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("page", "regions"))), lambda p: p["regions"])).alias("regions"), F.max("max_score").alias("max_score")
+        F.flatten(
+            F.transform(F.array_sort(F.collect_list(F.struct("page", "regions"))), lambda p: p["regions"])
+        ).alias("regions"), F.max("max_score").alias("max_score")
     ).withColumn("region_count", F.size("regions")).withColumn("has_handwriting", F.col("region_count") >= o.min_regions)

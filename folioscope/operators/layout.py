@@ -18,7 +18,8 @@ def block_stats(letters: DataFrame) -> DataFrame:
     """Mean size (of positive ones), word, letter and bold counts of each block; mostly bold from 80 % on."""
     stats = letters.groupBy(*BLOCK).agg(
         F.coalesce(F.avg(F.when(F.col("point_size") > 0, F.col("point_size"))), F.lit(0.0)).alias("avg_size"),
-        F.count_distinct("line", "word").alias("word_count"), F.count("*").alias("letter_count"), F.sum(F.col("is_bold").cast("long")).alias("bold_count"),
+        F.count_distinct("line", "word").alias("word_count"), F.count("*").alias("letter_count"),
+        F.sum(F.col("is_bold").cast("long")).alias("bold_count"),
     )
     return stats.withColumn("mostly_bold", F.col("bold_count") >= F.col("letter_count") * F.lit(0.8))
 
@@ -40,16 +41,23 @@ def heading_levels(blocks: DataFrame, documents: DataFrame) -> DataFrame:
     """
     df = blocks.join(documents, "doc_id")
     text = F.rtrim(F.col("text"))
-    plain = (F.col("n_lines").between(1, 2)) & (F.col("word_count") <= 20) & text.rlike(r"[^.:;,]\z") & ~text.rlike(BULLET) & ~text.rlike(DASH) & (F.col("body_size") > 0)
+    plain = (
+        F.col("n_lines").between(1, 2)
+    )& (F.col("word_count") <= 20) & text.rlike(r"[^.:;,]\z") & ~text.rlike(BULLET) & ~text.rlike(DASH) & (F.col("body_size") > 0)
     large = F.col("avg_size") >= F.col("body_size") * F.lit(1.15)
     by_size = plain & large
-    by_bold = plain & ~large & ~text.rlike(NUMBERED) & F.col("mostly_bold") & (F.col("bold_ratio") < 0.5) & (F.col("n_lines") == 1) & (F.col("word_count") <= 12) & (F.col("avg_size") >= F.col("body_size") * F.lit(0.95))
+    by_bold = plain & ~large & ~text.rlike(NUMBERED) & F.col("mostly_bold") & (F.col("bold_ratio") < 0.5) & (F.col("n_lines") == 1) & (F.col("word_count") <= 12) & (
+        F.col("avg_size") >= F.col("body_size") * F.lit(0.95)
+    )
     df = df.withColumn("s", F.when(by_size, F.bround(F.col("avg_size") * 2) / 2)).withColumn("b", by_bold)
     w = Window.partitionBy("doc_id").orderBy(F.col("s").desc_nulls_last())
     df = df.withColumn("r", F.dense_rank().over(w))
     sizes = F.coalesce(F.max(F.when(F.col("s").isNotNull(), F.col("r"))).over(Window.partitionBy("doc_id")), F.lit(0))
     bold_level = F.when(sizes == 0, 2).otherwise(F.least(sizes + 1, F.lit(6)))
-    return df.withColumn("heading_level", F.when(F.col("s").isNotNull(), F.least("r", F.lit(6))).when(F.col("b"), bold_level).otherwise(0)).drop("s", "b", "r")
+    return df.withColumn(
+        "heading_level",
+        F.when(F.col("s").isNotNull(), F.least("r", F.lit(6))).when(F.col("b"), bold_level).otherwise(0)
+    ).drop("s", "b", "r")
 
 
 def vocabulary(lines: Column) -> Column:
@@ -92,7 +100,8 @@ def join_lines(lines: Column, words: Column) -> Column:
             bare = F.length(x["tail"]) == F.length(x["x"])
             goes_on = cut & bare
             return F.struct(
-                F.when(goes_on, F.concat(stem(acc["tail"]), x["tail"])).otherwise(x["tail"]).alias("tail"), ((empty & bare) | (goes_on & acc["only"])).alias("only"),
+                F.when(goes_on, F.concat(stem(acc["tail"]), x["tail"])).otherwise(x["tail"]).alias("tail"),
+                ((empty & bare) | (goes_on & acc["only"])).alias("only"),
                 goes_on.alias("cut"), F.concat(acc["joints"], joint).alias("joints"),
             )
 
@@ -106,7 +115,9 @@ def join_lines(lines: Column, words: Column) -> Column:
 
         def piece(x: Column, joint: Column) -> Column:
             text = F.coalesce(x["x"], F.lit(""))
-            return F.when(joint == "c", F.substring(text, F.lit(1), F.length(text) - 1)).when(joint == "s", F.concat(text, F.lit(" "))).otherwise(text)
+            return F.when(
+                joint == "c", F.substring(text, F.lit(1), F.length(text) - 1)
+            ).when(joint == "s", F.concat(text, F.lit(" "))).otherwise(text)
 
         return F.array_join(F.zip_with(own, F.slice(joints, F.lit(2), F.greatest(F.size(own) - 1, F.lit(0))), piece), "")
 
@@ -122,7 +133,8 @@ def classify_lines(lines: DataFrame, order: list[str], doc: str = "doc_id", star
     text = F.col("text")
     df = lines.withColumns({
         "bullet": F.regexp_extract(text, BULLET, 1), "dash": F.regexp_extract(text, DASH, 1),
-        "numbered": F.regexp_extract(text, NUMBERED, 2), "num": F.nullif(F.regexp_extract(text, NUMBERED, 1), F.lit("")).cast("int"),
+        "numbered": F.regexp_extract(text, NUMBERED, 2),
+        "num": F.nullif(F.regexp_extract(text, NUMBERED, 1), F.lit("")).cast("int"),
     })
     block = [doc, *([start] if start else [])]
     w = Window.partitionBy(*block).orderBy(*order)
@@ -132,11 +144,16 @@ def classify_lines(lines: DataFrame, order: list[str], doc: str = "doc_id", star
     r = Window.partitionBy(*block, "run").orderBy(*order)
     # Of a run of dashes after a line: the first whose line before ends a sentence, and all after it, are items.
     head = F.first(F.when(is_dash, F.lit(True)).otherwise(sure)).over(r)
-    ended = F.coalesce(F.max(F.when(text.rlike(r"[.:;!?]\z"), 1).otherwise(0)).over(r.rowsBetween(Window.unboundedPreceding, -1)) == 1, F.lit(False))
+    ended = F.coalesce(
+        F.max(F.when(text.rlike(r"[.:;!?]\z"), 1).otherwise(0)).over(r.rowsBetween(Window.unboundedPreceding, -1)) == 1,
+        F.lit(False)
+    )
     df = df.withColumn("is_item", F.when(is_dash, head | ended).otherwise(sure))
     kind = F.when(F.col("is_item"), F.when((F.col("numbered") != "") & ~is_dash & (F.col("bullet") == ""), "ol").otherwise("ul"))
     item = F.when(F.col("bullet") != "", F.col("bullet")).when(is_dash, F.col("dash")).otherwise(F.col("numbered"))
-    return df.withColumn("kind", kind).withColumn("number", F.when(F.col("kind") == "ol", F.col("num"))).withColumn("item", F.when(F.col("is_item"), F.rtrim(item))).drop("bullet", "dash", "numbered", "num", "run", "is_item")
+    return df.withColumn("kind", kind).withColumn(
+        "number", F.when(F.col("kind") == "ol", F.col("num"))
+    ).withColumn("item", F.when(F.col("is_item"), F.rtrim(item))).drop("bullet", "dash", "numbered", "num", "run", "is_item")
 
 
 def list_keys(items: DataFrame, order: list[str], doc: str = "doc_id") -> DataFrame:

@@ -16,8 +16,10 @@ def choose_page_text(pages: DataFrame, least: int = 16) -> DataFrame:
     """
     embedded = F.length(F.regexp_replace(F.coalesce(F.col("embedded_text"), F.lit("")), f"[{WS}]", "")) >= least
     return pages.select(
-        "doc_id", "page", F.when(embedded, trim_ws(F.col("embedded_text"))).otherwise(F.coalesce(F.col("ocr_text"), F.lit(""))).alias("text"),
-        F.when(embedded, F.lit(-1.0)).otherwise(F.col("ocr_confidence").cast("double")).cast("float").alias("confidence"), embedded.alias("from_embedded"),
+        "doc_id", "page",
+        F.when(embedded, trim_ws(F.col("embedded_text"))).otherwise(F.coalesce(F.col("ocr_text"), F.lit(""))).alias("text"),
+        F.when(embedded, F.lit(-1.0)).otherwise(F.col("ocr_confidence").cast("double")).cast("float").alias("confidence"),
+        embedded.alias("from_embedded"),
     )
 
 
@@ -31,10 +33,14 @@ def assemble_documents(pages: DataFrame) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct("page", "text")))
     out = pages.groupBy("doc_id").agg(
         F.array_join(F.transform(ordered, lambda p: p["text"]), "\n\n").alias("text"), F.count("*").alias("pages"),
-        F.coalesce(F.avg(F.when(~F.col("from_embedded"), F.col("confidence").cast("double"))), F.lit(-1.0)).cast("float").alias("mean_confidence"),
+        F.coalesce(
+            F.avg(F.when(~F.col("from_embedded"), F.col("confidence").cast("double"))), F.lit(-1.0)
+        ).cast("float").alias("mean_confidence"),
         F.bool_or("from_embedded").alias("e"), F.bool_or(~F.col("from_embedded")).alias("o"),
     )
-    return out.withColumn("source_kind", F.when(F.col("e") & F.col("o"), "mixed").when(F.col("o"), "pdf_ocr").otherwise("pdf_text")).drop("e", "o")
+    return out.withColumn(
+        "source_kind", F.when(F.col("e") & F.col("o"), "mixed").when(F.col("o"), "pdf_ocr").otherwise("pdf_text")
+    ).drop("e", "o")
 
 
 def large_images(images: DataFrame, least_pixels: int = 40_000) -> DataFrame:

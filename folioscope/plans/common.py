@@ -17,7 +17,10 @@ def noisy(text: Column, key: Column) -> Column:
     page = F.concat(F.lit("\nPágina "), (key % 40 + 1).cast("string"), F.when(key % 3 == 0, " de 40").otherwise(""), F.lit("\n"))
     x = F.replace(text, F.lit(". "), F.lit(". ​  \r\n"))
     x = F.replace(x, F.lit(", "), F.lit(",\t\t <!-- --> ________ "))
-    x = F.concat(F.when(key % 4 == 0, "  \n").otherwise(""), F.when(key % 5 == 0, F.concat(F.lit("Pág. "), (key % 7 + 1).cast("string"), F.lit("\n"))).otherwise(""), x)
+    x = F.concat(
+        F.when(key % 4 == 0, "  \n").otherwise(""),
+        F.when(key % 5 == 0, F.concat(F.lit("Pág. "), (key % 7 + 1).cast("string"), F.lit("\n"))).otherwise(""), x
+    )
     return F.concat(x, F.lit("\r\n \t\n\n\n\n01/02/2024 10:30"), page, F.lit("carátula PAG 3/9\n* x\n# y\n12. z\n=== \n  "), text)
 
 

@@ -18,15 +18,24 @@ comps AS (SELECT doc_id, page, comp, line, min_x, min_y, min_x + w - 1 AS max_x,
 
 
 def _components(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.max(c).alias(c) for c in ("l_quantity", "l_partkey", "l_suppkey")])
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
+        *[F.max(c).alias(c) for c in ("l_quantity", "l_partkey", "l_suppkey")]
+    )
     ln, part, order = F.col("l_linenumber"), F.col("l_partkey"), F.col("l_orderkey")
     df = li.select(
-        (order / 7).cast("long").alias("doc_id"), F.lit(0).alias("page"), ((order % 7) * 10 + ln).cast("int").alias("comp"), (order % 7).cast("int").alias("line"),
-        (ln * 30 + F.col("l_quantity").cast("int") % 13 + F.when(ln > 4, 60).otherwise(0)).cast("int").alias("min_x"), ((order % 7) * 80 + F.col("l_suppkey") % 5).cast("int").alias("min_y"),
-        (8 + part % 17 + F.when(part % 10 == 0, 120).otherwise(0)).cast("int").alias("w"), (6 + part % 12 + F.when(part % 10 == 0, 20).otherwise(0)).cast("int").alias("h"),
+        (order / 7).cast("long").alias("doc_id"), F.lit(0).alias("page"),
+        ((order % 7) * 10 + ln).cast("int").alias("comp"), (order % 7).cast("int").alias("line"),
+        (ln * 30 + F.col("l_quantity").cast("int") % 13 + F.when(ln > 4, 60).otherwise(0)).cast("int").alias("min_x"),
+        ((order % 7) * 80 + F.col("l_suppkey") % 5).cast("int").alias("min_y"),
+        (8 + part % 17 + F.when(part % 10 == 0, 120).otherwise(0)).cast("int").alias("w"),
+        (6 + part % 12 + F.when(part % 10 == 0, 20).otherwise(0)).cast("int").alias("h"),
     )
     area = (F.col("w") * F.col("h") / 4).cast("int")
-    return df.select("doc_id", "page", "comp", "line", "min_x", "min_y", (F.col("min_x") + F.col("w") - 1).alias("max_x"), (F.col("min_y") + F.col("h") - 1).alias("max_y"), area.alias("pixels"), (area * (F.col("comp") % 3) / 4).cast("int").alias("colorful"))
+    return df.select(
+        "doc_id", "page", "comp", "line", "min_x", "min_y", (F.col("min_x") + F.col("w") - 1).alias("max_x"),
+        (F.col("min_y") + F.col("h") - 1).alias("max_y"), area.alias("pixels"),
+        (area * (F.col("comp") % 3) / 4).cast("int").alias("colorful")
+    )
 
 
 def _round(*columns: str):
@@ -35,16 +44,22 @@ def _round(*columns: str):
 
 def otsu_threshold(spark, sf_dir):
     gray = F.abs(F.floor(F.col("value") * 3)).cast("int") % 256
-    h = table(spark, sf_dir, "events").select((F.col("user_id") % 97).alias("page"), gray.alias("gray")).groupBy("page", "gray").agg(F.count("*").alias("n"))
+    h = table(spark, sf_dir, "events").select(
+        (F.col("user_id") % 97).alias("page"), gray.alias("gray")
+    ).groupBy("page", "gray").agg(F.count("*").alias("n"))
     return G.otsu(h, ["page"]).select("page", "threshold", *_round("ink_ratio"), "empty")
 
 
 def glyph_filter(spark, sf_dir):
-    return G.filter_glyphs(_components(spark, sf_dir), F.lit(900), F.lit(600)).select("doc_id", "page", "comp", "w", "h", "median_h")
+    return G.filter_glyphs(
+        _components(spark, sf_dir), F.lit(900), F.lit(600)
+    ).select("doc_id", "page", "comp", "w", "h", "median_h")
 
 
 def split_words(spark, sf_dir):
-    return G.split_words(G.with_sizes(_components(spark, sf_dir))).select("doc_id", "page", "line", "comp", F.col("word").cast("long").alias("word"))
+    return G.split_words(G.with_sizes(_components(spark, sf_dir))).select(
+        "doc_id", "page", "line", "comp", F.col("word").cast("long").alias("word")
+    )
 
 
 def word_scores(spark, sf_dir):
@@ -60,7 +75,10 @@ def stroke_scores(spark, sf_dir):
 
 
 def box_overlap_anti(spark, sf_dir):
-    boxes = _components(spark, sf_dir).select("doc_id", "page", "comp", F.col("min_x").alias("x"), F.col("min_y").alias("y"), (F.col("max_x") - F.col("min_x") + 1).alias("w"), (F.col("max_y") - F.col("min_y") + 1).alias("h"))
+    boxes = _components(spark, sf_dir).select(
+        "doc_id", "page", "comp", F.col("min_x").alias("x"), F.col("min_y").alias("y"),
+        (F.col("max_x") - F.col("min_x") + 1).alias("w"), (F.col("max_y") - F.col("min_y") + 1).alias("h")
+    )
     return G.without_overlaps(boxes.filter("comp % 2 = 0"), boxes.filter("comp % 2 = 1"))
 
 
@@ -69,7 +87,13 @@ _WORDS_SQL = _COMPS_SQL + ", words AS (SELECT doc_id, page, comp AS word, CASE W
 
 def _words(spark, sf_dir):
     c = G.with_sizes(_components(spark, sf_dir))
-    return c.select("doc_id", "page", F.col("comp").alias("word"), F.when(F.col("comp") % 9 == 0, " ").otherwise(F.concat(F.lit("w"), F.col("comp").cast("string"))).alias("text"), (F.col("comp") * 7 % 100 - 5).cast("float").alias("confidence"), F.col("min_x").alias("x"), F.col("min_y").alias("y"), "w", "h", ((F.col("comp") % 3) / 8.0).alias("colour"), F.col("line").alias("row"), F.lit(30.0).alias("gap_limit"))
+    return c.select(
+        "doc_id", "page", F.col("comp").alias("word"),
+        F.when(F.col("comp") % 9 == 0, " ").otherwise(F.concat(F.lit("w"), F.col("comp").cast("string"))).alias("text"),
+        (F.col("comp") * 7 % 100 - 5).cast("float").alias("confidence"), F.col("min_x").alias("x"),
+        F.col("min_y").alias("y"), "w", "h", ((F.col("comp") % 3) / 8.0).alias("colour"), F.col("line").alias("row"),
+        F.lit(30.0).alias("gap_limit")
+    )
 
 
 def low_confidence_words(spark, sf_dir):
@@ -78,7 +102,9 @@ def low_confidence_words(spark, sf_dir):
 
 def word_regions(spark, sf_dir):
     out = G.word_regions(G.low_confidence_words(_words(spark, sf_dir), F.lit(600)))
-    return out.select("doc_id", "page", "row", F.col("run").cast("long").alias("run"), "words", "x", "y", "w", "h", *_round("score"))
+    return out.select(
+        "doc_id", "page", "row", F.col("run").cast("long").alias("run"), "words", "x", "y", "w", "h", *_round("score")
+    )
 
 
 def page_mean_confidence(spark, sf_dir):
@@ -87,15 +113,21 @@ def page_mean_confidence(spark, sf_dir):
 
 def page_decision(spark, sf_dir):
     words = _words(spark, sf_dir)
-    strokes = G.stroke_scores(_components(spark, sf_dir), F.lit(900), F.lit(600), F.lit(12)).select("doc_id", "page", "x", "y", "w", "h", "score")
+    strokes = G.stroke_scores(
+        _components(spark, sf_dir), F.lit(900), F.lit(600), F.lit(12)
+    ).select("doc_id", "page", "x", "y", "w", "h", "score")
     found = G.word_regions(G.low_confidence_words(words, F.lit(600))).select("doc_id", "page", "x", "y", "w", "h", "score")
     return G.page_regions(strokes, found, G.mean_confidence(words)).select("doc_id", "page", "x", "y", "w", "h", *_round("score"))
 
 
 def document_handwriting(spark, sf_dir):
     strokes = G.stroke_scores(_components(spark, sf_dir), F.lit(900), F.lit(600), F.lit(12))
-    pages = strokes.withColumn("page", F.col("comp") % 2).groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("x", "y", "w", "h"))).alias("regions"), F.max("score").alias("max_score"))
-    return G.document_rollup(pages).select("doc_id", F.col("region_count").cast("long").alias("region_count"), *_round("max_score"), "has_handwriting")
+    pages = strokes.withColumn("page", F.col("comp") % 2).groupBy("doc_id", "page").agg(
+        F.array_sort(F.collect_list(F.struct("x", "y", "w", "h"))).alias("regions"), F.max("score").alias("max_score")
+    )
+    return G.document_rollup(pages).select(
+        "doc_id", F.col("region_count").cast("long").alias("region_count"), *_round("max_score"), "has_handwriting"
+    )
 
 
 def word_rows(spark, sf_dir):
@@ -108,11 +140,19 @@ def line_groups(spark, sf_dir):
 
 
 def first_regions(spark, sf_dir):
-    boxes = _components(spark, sf_dir).select("doc_id", "page", "comp", F.col("min_x").alias("x"), (F.col("min_y") % 80).alias("y"), (F.col("max_x") - F.col("min_x") + 1).alias("w"), (F.col("max_y") - F.col("min_y") + 1).alias("h"))
+    boxes = _components(spark, sf_dir).select(
+        "doc_id", "page", "comp", F.col("min_x").alias("x"), (F.col("min_y") % 80).alias("y"),
+        (F.col("max_x") - F.col("min_x") + 1).alias("w"), (F.col("max_y") - F.col("min_y") + 1).alias("h")
+    )
     return G.first_of_overlapping(boxes, ["comp"])
 
 
-QUERIES = {f.__name__: f for f in (otsu_threshold, glyph_filter, split_words, word_scores, stroke_scores, box_overlap_anti, low_confidence_words, word_regions, page_mean_confidence, page_decision, document_handwriting, line_groups, word_rows, first_regions)}
+QUERIES = {
+    f.__name__: f for f in (
+        otsu_threshold, glyph_filter, split_words, word_scores, stroke_scores, box_overlap_anti, low_confidence_words,
+        word_regions, page_mean_confidence, page_decision, document_handwriting, line_groups, word_rows, first_regions
+    )
+}
 
 
 def _clamp(x: str) -> str:
@@ -122,7 +162,9 @@ def _clamp(x: str) -> str:
 _STROKES = (
     ", st AS (SELECT *, CAST(w AS DOUBLE) / h AS aspect, CAST(pixels AS DOUBLE) / (w * h) AS density, CASE WHEN pixels > 0 THEN CAST(colorful AS DOUBLE) / pixels ELSE 0 END AS colour FROM comps "
     "WHERE w >= 16 AND h >= 5 AND w <= 900 * CAST(0.85 AS DOUBLE) AND h <= 600 * CAST(0.18 AS DOUBLE) AND h >= 12 * CAST(1.4 AS DOUBLE)), "
-    "sc AS (SELECT *, 100 * " + _clamp(f"CAST(0.5 AS DOUBLE) * {_clamp('(aspect - 1.5) / 2.5')} + CAST(0.3 AS DOUBLE) * CASE WHEN density <= 0.12 THEN {_clamp('(density - 0.015) / 0.045')} ELSE 1 - {_clamp('(density - 0.12) / 0.3')} END + CAST(0.2 AS DOUBLE) * {_clamp('(CAST(w AS DOUBLE) / 900 - 0.018) / 0.142')}")
+    "sc AS (SELECT *, 100 * " + _clamp(
+        f"CAST(0.5 AS DOUBLE) * {_clamp('(aspect - 1.5) / 2.5')} + CAST(0.3 AS DOUBLE) * CASE WHEN density <= 0.12 THEN {_clamp('(density - 0.015) / 0.045')} ELSE 1 - {_clamp('(density - 0.12) / 0.3')} END + CAST(0.2 AS DOUBLE) * {_clamp('(CAST(w AS DOUBLE) / 900 - 0.018) / 0.142')}"
+    )
     + " AS score FROM st WHERE aspect BETWEEN 1.5 AND 8.0 AND density BETWEEN 0.015 AND 0.42 AND colour <= 0.35), "
     "strokes AS (SELECT doc_id, page, comp, min_x AS x, min_y AS y, w, h, score FROM sc WHERE score >= 55)"
 )

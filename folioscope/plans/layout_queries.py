@@ -16,7 +16,9 @@ _MARK_SQL = "(list_value({}))[CAST(ix % 7 AS INTEGER) + 1]".format(", ".join(map
 
 def _lines(spark, sf_dir):
     """doc_id, ix, line: the non-blank lines of every document, numbered from 0."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.filter(F.split("text", "\n", -1), lambda x: F.trim(x) != "").alias("lines"))
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", F.filter(F.split("text", "\n", -1), lambda x: F.trim(x) != "").alias("lines")
+    )
     return rows.select("doc_id", F.posexplode("lines").alias("ix", "line"))
 
 
@@ -26,7 +28,9 @@ _LINES = "lines AS (SELECT doc_id, CAST(unnest(range(0, len(l))) AS INTEGER) AS
 def _marked(spark, sf_dir):
     mark = F.element_at(F.array(*map(F.lit, _MARK)), (F.col("ix") % 7 + 1).cast("int"))
     number = ((F.col("ix") * 5 + F.col("doc_id")) % 11 + 1).cast("string")
-    return _lines(spark, sf_dir).select("doc_id", "ix", F.concat(F.replace(mark, F.lit("@"), number), F.trim("line")).alias("text"))
+    return _lines(spark, sf_dir).select(
+        "doc_id", "ix", F.concat(F.replace(mark, F.lit("@"), number), F.trim("line")).alias("text")
+    )
 
 
 _MARKED = f"{_LINES}, marked AS (SELECT doc_id, ix, replace({_MARK_SQL}, '@', CAST((ix * 5 + doc_id) % 11 + 1 AS VARCHAR)) || trim(line) AS text FROM lines)"
@@ -36,7 +40,10 @@ def _letters(spark, sf_dir):
     """A letter row for each word of each line, with a size and weight by line number."""
     words = _lines(spark, sf_dir).select("doc_id", "ix", F.posexplode(F.split(F.trim("line"), " +")).alias("word", "w"))
     size = F.when(F.col("ix") % 5 == 0, 14.0 + F.col("ix") % 3).otherwise(10.0 + (F.col("word") % 2) / 4.0)
-    return words.select("doc_id", (F.col("ix") / 20).cast("int").alias("page"), F.col("ix").alias("block"), F.lit(0).alias("line"), "word", F.lit(0).alias("letter"), size.alias("point_size"), (F.col("ix") % 6 == 1).alias("is_bold"))
+    return words.select(
+        "doc_id", (F.col("ix") / 20).cast("int").alias("page"), F.col("ix").alias("block"), F.lit(0).alias("line"),
+        "word", F.lit(0).alias("letter"), size.alias("point_size"), (F.col("ix") % 6 == 1).alias("is_bold")
+    )
 
 
 _LETTERS = (
@@ -47,11 +54,16 @@ _LETTERS = (
 
 
 def layout_block_stats(spark, sf_dir):
-    return L.block_stats(_letters(spark, sf_dir)).select("doc_id", "page", "block", F.round("avg_size", 6).alias("avg_size"), "word_count", "letter_count", "bold_count", "mostly_bold")
+    return L.block_stats(_letters(spark, sf_dir)).select(
+        "doc_id", "page", "block", F.round("avg_size", 6).alias("avg_size"), "word_count", "letter_count", "bold_count",
+        "mostly_bold"
+    )
 
 
 def layout_document_stats(spark, sf_dir):
-    return L.document_stats(_letters(spark, sf_dir)).select("doc_id", F.round("body_size", 6).alias("body_size"), F.round("bold_ratio", 6).alias("bold_ratio"))
+    return L.document_stats(_letters(spark, sf_dir)).select(
+        "doc_id", F.round("body_size", 6).alias("body_size"), F.round("bold_ratio", 6).alias("bold_ratio")
+    )
 
 
 def _blocks(spark, sf_dir):
@@ -89,14 +101,23 @@ def vocabulary(spark, sf_dir):
 
 def _hyphenated():
     """Lines cut inside words: before every ' th' with a hyphen, before 'in' with a soft one."""
-    return F.split(F.replace(F.replace(F.replace(F.col("text"), F.lit("tion"), F.lit("ti-\non")), F.lit(" th"), F.lit("-\nth")), F.lit("ing"), F.lit("i­\nng")), "\n", -1)
+    return F.split(
+        F.replace(
+            F.replace(F.replace(F.col("text"), F.lit("tion"), F.lit("ti-\non")), F.lit(" th"), F.lit("-\nth")),
+            F.lit("ing"), F.lit("i­\nng")
+        ),
+        "\n", -1
+    )
 
 
 _HYPHENATED = "string_split(replace(replace(replace(text, 'tion', 'ti-' || chr(10) || 'on'), ' th', '-' || chr(10) || 'th'), 'ing', 'i' || chr(173) || chr(10) || 'ng'), chr(10))"
 
 
 def dehyphenate(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.filter(_hyphenated(), lambda x: x != "").alias("lines"), L.vocabulary(F.split("text", "\n", -1)).alias("words"))
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", F.filter(_hyphenated(), lambda x: x != "").alias("lines"),
+        L.vocabulary(F.split("text", "\n", -1)).alias("words")
+    )
     return rows.select("doc_id", L.join_lines(F.col("lines"), F.col("words")).alias("paragraph"))
 
 
@@ -109,30 +130,52 @@ def block_separators(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     # A turn can occur once only in a document's order: the role breaks ties.
     blocks = c.groupBy(F.col("conv_id").alias("doc_id"), "turn", "role").agg(F.max("text").alias("text")).select(
-        "doc_id", F.struct("turn", "role").alias("block_ix"), F.when(F.col("turn") % 5 == 4, "  ").otherwise(F.concat(F.trim("text"), F.lit("  "))).alias("text"),
-        (F.col("turn") % 4 != 0).alias("is_list_item"), F.concat(F.lit("k"), (F.col("turn") / 2).cast("int").cast("string")).alias("list_key"),
+        "doc_id", F.struct("turn", "role").alias("block_ix"),
+        F.when(F.col("turn") % 5 == 4, "  ").otherwise(F.concat(F.trim("text"), F.lit("  "))).alias("text"),
+        (F.col("turn") % 4 != 0).alias("is_list_item"),
+        F.concat(F.lit("k"), (F.col("turn") / 2).cast("int").cast("string")).alias("list_key"),
     )
     return join_blocks(blocks)
 
 
 def merged_segments(spark, sf_dir):
-    segments = _lines(spark, sf_dir).select("doc_id", "ix", F.col("line").alias("text"), (F.col("ix") % 4 < 2).alias("bold"), (F.length("line") % 3 == 0).alias("italic"))
-    return L.merge_islands(segments, ["bold", "italic"], "ix").select("doc_id", F.col("island").cast("long").alias("island"), "bold", "italic", "text")
+    segments = _lines(spark, sf_dir).select(
+        "doc_id", "ix", F.col("line").alias("text"), (F.col("ix") % 4 < 2).alias("bold"),
+        (F.length("line") % 3 == 0).alias("italic")
+    )
+    return L.merge_islands(segments, ["bold", "italic"], "ix").select(
+        "doc_id", F.col("island").cast("long").alias("island"), "bold", "italic", "text"
+    )
 
 
 def ocr_page_rollup(spark, sf_dir):
     lines = _lines(spark, sf_dir)
-    pages = lines.select("doc_id", F.col("ix").alias("page"), F.when(F.col("ix") % 3 != 1, F.concat(F.lit(" "), "line")).alias("embedded_text"), F.concat(F.lit("ocr "), "line").alias("ocr_text"), (F.lit(60) + F.length("line") % 40).cast("float").alias("ocr_confidence"))
+    pages = lines.select(
+        "doc_id", F.col("ix").alias("page"),
+        F.when(F.col("ix") % 3 != 1, F.concat(F.lit(" "), "line")).alias("embedded_text"),
+        F.concat(F.lit("ocr "), "line").alias("ocr_text"),
+        (F.lit(60) + F.length("line") % 40).cast("float").alias("ocr_confidence")
+    )
     out = O.assemble_documents(O.choose_page_text(pages))
-    return out.select("doc_id", "text", "pages", F.round(F.col("mean_confidence").cast("double"), 3).alias("mean_confidence"), "source_kind")
+    return out.select(
+        "doc_id", "text", "pages", F.round(F.col("mean_confidence").cast("double"), 3).alias("mean_confidence"),
+        "source_kind"
+    )
 
 
 def ocr_large_images(spark, sf_dir):
-    images = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 9).alias("width"), (F.col("p_partkey") % 400).cast("int").alias("height"))
+    images = table(spark, sf_dir, "part").select(
+        "p_partkey", (F.col("p_size") * 9).alias("width"), (F.col("p_partkey") % 400).cast("int").alias("height")
+    )
     return O.large_images(images)
 
 
-QUERIES = {f.__name__: f for f in (layout_block_stats, layout_document_stats, heading_levels, layout_titles, vocabulary, dehyphenate, list_islands, block_separators, merged_segments, ocr_page_rollup, ocr_large_images)}
+QUERIES = {
+    f.__name__: f for f in (
+        layout_block_stats, layout_document_stats, heading_levels, layout_titles, vocabulary, dehyphenate, list_islands,
+        block_separators, merged_segments, ocr_page_rollup, ocr_large_images
+    )
+}
 
 SQL = {
     "layout_block_stats": f"WITH {_LETTERS} SELECT doc_id, page, block, round(avg_size, 6) AS avg_size, word_count, letter_count, bold_count, bold_count >= letter_count * CAST(0.8 AS DOUBLE) AS mostly_bold FROM stats",

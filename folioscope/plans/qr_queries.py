@@ -14,8 +14,10 @@ _c = F.col
 
 def _customers(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(
-        _c("c_custkey").alias("k"), _c("c_name").alias("name"), F.when(_c("c_custkey") % 7 == 0, "  ").otherwise(F.concat(F.lit(" "), _c("c_name"), F.lit(" & Co; x,y "))).alias("org"),
-        F.concat(F.lit("+503 22-"), _c("c_custkey").cast("string")).alias("phone"), F.when(_c("c_custkey") % 3 == 0, "").otherwise(F.concat(_c("c_mktsegment"), F.lit(" ñ/é?\n*~"))).alias("note"),
+        _c("c_custkey").alias("k"), _c("c_name").alias("name"),
+        F.when(_c("c_custkey") % 7 == 0, "  ").otherwise(F.concat(F.lit(" "), _c("c_name"), F.lit(" & Co; x,y "))).alias("org"),
+        F.concat(F.lit("+503 22-"), _c("c_custkey").cast("string")).alias("phone"),
+        F.when(_c("c_custkey") % 3 == 0, "").otherwise(F.concat(_c("c_mktsegment"), F.lit(" ñ/é?\n*~"))).alias("note"),
         _c("c_acctbal").alias("balance"), _c("c_nationkey").alias("nation"),
     )
 
@@ -47,7 +49,10 @@ _BUILD = {
         f"(SELECT CASE WHEN regexp_matches(z, '(?i)^https?://') THEN z ELSE 'http://' || z END FROM (SELECT {_req("CASE WHEN k % 2 = 0 THEN 'https://x.test/' || name ELSE org END")} AS z))"),
     "text": (lambda: Q.text(_c("note")), "nullif(note, '')"),
     "phone": (lambda: Q.phone(_c("phone")), "'tel:' || trim(phone)"),
-    "sms": (lambda: Q.sms(_c("phone"), _c("note")), f"'sms:' || trim(phone) || CASE WHEN note = '' THEN '' ELSE '?body=' || {_enc('note')} END"),
+    "sms": (
+        lambda: Q.sms(_c("phone"), _c("note")),
+        f"'sms:' || trim(phone) || CASE WHEN note = '' THEN '' ELSE '?body=' || {_enc('note')} END"
+    ),
     "wifi": (lambda: Q.wifi(_c("org"), _c("note"), F.when(_c("k") % 5 == 0, "nopass").otherwise("WPA"), _c("k") % 2 == 0),
         f"CASE WHEN {_req('org')} IS NOT NULL AND (k % 5 = 0 OR note <> '') THEN 'WIFI:T:' || CASE WHEN k % 5 = 0 THEN 'nopass' ELSE 'WPA' END || ';S:' || {_esc_wifi(_req('org'))} || ';P:' || {_esc_wifi('note')} || ';' || CASE WHEN k % 2 = 0 THEN 'H:true' ELSE '' END || ';' END"),
     "vcard": (lambda: Q.vcard(_c("name"), _c("org"), phone=_c("phone"), note=_c("note"), city=F.when(_c("nation") % 2 == 0, "X").otherwise("")),
@@ -94,15 +99,23 @@ def qr_color_parse(spark, sf_dir):
 
 def qr_pixels_per_module(spark, sf_dir):
     modules = _c("s_suppkey") % 40 * 4 + 21
-    rows = table(spark, sf_dir, "supplier").select("s_suppkey", modules.alias("modules"), (_c("s_suppkey") * 37 % 3000).alias("size"))
+    rows = table(spark, sf_dir, "supplier").select(
+        "s_suppkey", modules.alias("modules"), (_c("s_suppkey") * 37 % 3000).alias("size")
+    )
     sized, plain = Q.pixels_per_module(_c("modules"), _c("size")), Q.pixels_per_module(_c("modules"), None)
-    return rows.select("s_suppkey", sized.alias("from_size"), plain.alias("by_default"), (sized * _c("modules")).cast("long").alias("side"))
+    return rows.select(
+        "s_suppkey", sized.alias("from_size"), plain.alias("by_default"),
+        (sized * _c("modules")).cast("long").alias("side")
+    )
 
 
 def qr_images(spark, sf_dir):
     """Matrices and PNG, so no SQL."""
     rows = table(spark, sf_dir, "nation").select("n_nationkey", qr_image(Q.text(_c("n_name")), F.lit("M")).alias("q"))
-    return rows.select("n_nationkey", "q.payload", "q.width", "q.height", "q.correction", F.sha2("q.png", 256).alias("png_sha256"), _c("q.data_uri").startswith("data:image/png;base64,").alias("is_uri"))
+    return rows.select(
+        "n_nationkey", "q.payload", "q.width", "q.height", "q.correction", F.sha2("q.png", 256).alias("png_sha256"),
+        _c("q.data_uri").startswith("data:image/png;base64,").alias("is_uri")
+    )
 
 
 def html_to_markdown(spark, sf_dir):
@@ -110,7 +123,9 @@ def html_to_markdown(spark, sf_dir):
     return convert_pages(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", "markdown", "title")
 
 
-QUERIES = {f"qr_payload_{k}": _payload(build) for k, (build, _) in _BUILD.items()} | {f.__name__: f for f in (qr_payload_event, qr_ecc_level, qr_color_parse, qr_pixels_per_module, qr_images, html_to_markdown)}
+QUERIES = {f"qr_payload_{k}": _payload(build) for k, (build, _) in _BUILD.items()} | {
+    f.__name__: f for f in (qr_payload_event, qr_ecc_level, qr_color_parse, qr_pixels_per_module, qr_images, html_to_markdown)
+}
 
 _hex = lambda k: f"CAST(('0x' || substring(f, {k}, 2)) AS INTEGER)"
 

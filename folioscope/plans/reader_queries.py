@@ -41,10 +41,17 @@ def _package(body: str, pictures: list[bytes]) -> bytes:
     rels = "".join(f'<Relationship Id="{k}" Type="{_R}/{k}" Target="{k}.xml"/>' for k in ("styles", "numbering"))
     rels += "".join(f'<Relationship Id="p{k}" Type="{_R}/image" Target="media/{k}.png"/>' for k in range(len(pictures)))
     parts = {
-        "[Content_Types].xml": '<Types><Default Extension="png" ContentType="image/png"/></Types>', "_rels/.rels": f'<Relationships><Relationship Id="d" Type="{_R}/officeDocument" Target="word/document.xml"/></Relationships>',
-        "word/_rels/document.xml.rels": f"<Relationships>{rels}</Relationships>", "word/document.xml": f'<w:document xmlns:w="{_W}" xmlns:r="{_R}" xmlns:a="{_A}" xmlns:wp="{_WP}"><w:body>{body}</w:body></w:document>',
-        "word/styles.xml": f'<w:styles xmlns:w="{_W}">' + "".join(f'<w:style w:styleId="H{k}"><w:name w:val="heading {k}"/></w:style>' for k in (1, 2, 3)) + "</w:styles>",
-        "word/numbering.xml": f'<w:numbering xmlns:w="{_W}">' + "".join(f'<w:abstractNum w:abstractNumId="{k}"><w:lvl w:ilvl="0"><w:numFmt w:val="{f}"/></w:lvl></w:abstractNum>' for k, f in ((1, "bullet"), (2, "decimal"))) + "".join(f'<w:num w:numId="{k}"><w:abstractNumId w:val="{k}"/></w:num>' for k in (1, 2)) + "</w:numbering>",
+        "[Content_Types].xml": '<Types><Default Extension="png" ContentType="image/png"/></Types>',
+        "_rels/.rels": f'<Relationships><Relationship Id="d" Type="{_R}/officeDocument" Target="word/document.xml"/></Relationships>',
+        "word/_rels/document.xml.rels": f"<Relationships>{rels}</Relationships>",
+        "word/document.xml": f'<w:document xmlns:w="{_W}" xmlns:r="{_R}" xmlns:a="{_A}" xmlns:wp="{_WP}"><w:body>{body}</w:body></w:document>',
+        "word/styles.xml": f'<w:styles xmlns:w="{_W}">' + "".join(
+            f'<w:style w:styleId="H{k}"><w:name w:val="heading {k}"/></w:style>' for k in (1, 2, 3)
+        ) + "</w:styles>",
+        "word/numbering.xml": f'<w:numbering xmlns:w="{_W}">' + "".join(
+            f'<w:abstractNum w:abstractNumId="{k}"><w:lvl w:ilvl="0"><w:numFmt w:val="{f}"/></w:lvl></w:abstractNum>' for k,
+            f in ((1, "bullet"), (2, "decimal"))
+        ) + "".join(f'<w:num w:numId="{k}"><w:abstractNumId w:val="{k}"/></w:num>' for k in (1, 2)) + "</w:numbering>",
     }
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
@@ -59,7 +66,9 @@ def _documents(spark, sf_dir, pictures: bool):
     """doc_id, path, content: a Word document for each conversation, of its turns' words or of pictures."""
     c = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.max("text").alias("text"))
     words = F.trim(F.regexp_replace("text", "[^A-Za-z]+", " "))
-    turns = c.select("conv_id", F.struct(F.col("turn").cast("int").alias("turn"), words.alias("text")).alias("t")).filter("t.text <> ''")
+    turns = c.select(
+        "conv_id", F.struct(F.col("turn").cast("int").alias("turn"), words.alias("text")).alias("t")
+    ).filter("t.text <> ''")
     turns = turns.groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_sort(F.collect_list("t")).alias("turns"))
 
     @F.pandas_udf("binary")
@@ -68,13 +77,20 @@ def _documents(spark, sf_dir, pictures: bool):
         for turns in all_turns:
             if pictures:
                 shown = [t for t in turns if t["turn"] % 3 == 1]
-                body = "".join(_paragraph(f'<w:r><w:drawing><wp:inline><wp:docPr descr="turn"/><a:blip r:embed="p{k}"/></wp:inline></w:drawing></w:r>') for k in range(len(shown)))
+                body = "".join(
+                    _paragraph(
+                        f'<w:r><w:drawing><wp:inline><wp:docPr descr="turn"/><a:blip r:embed="p{k}"/></wp:inline></w:drawing></w:r>'
+                    ) for k in range(len(shown))
+                )
                 out.append(_package(body, [t["text"].encode() for t in shown]))
             else:
                 out.append(_package("".join(_turn(t["turn"], t["text"]) for t in turns), []))
         return pd.Series(out)
 
-    return turns.select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".docx")).alias("path"), write("turns").alias("content"))
+    return turns.select(
+        "doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".docx")).alias("path"),
+        write("turns").alias("content")
+    )
 
 
 def docx_to_markdown(spark, sf_dir):
@@ -82,7 +98,9 @@ def docx_to_markdown(spark, sf_dir):
 
 
 def docx_images(spark, sf_dir):
-    return images_of(_documents(spark, sf_dir, True), key="doc_id").select("doc_id", "image_ix", "name", F.sha2("image", 256).alias("image_sha256"))
+    return images_of(_documents(spark, sf_dir, True), key="doc_id").select(
+        "doc_id", "image_ix", "name", F.sha2("image", 256).alias("image_sha256")
+    )
 
 
 def html_documents(spark, sf_dir):
@@ -94,15 +112,40 @@ def html_documents(spark, sf_dir):
     level = (F.col("turn") % 5 + 1).cast("string")
     part = (
         F.when(kind == 0, F.concat(F.lit("<h"), level, F.lit(">"), F.col("t"), F.lit("</h"), level, F.lit(">")))
-        .when(kind == 1, F.concat(F.lit("<p><b>"), first, F.lit("</b>&nbsp;<em>x</em><br>\n "), F.col("t"), F.lit("<script>no()</script>")))
-        .when(kind == 2, tag("ul", F.concat(tag("li", F.col("t")), F.lit("<li hidden>no</li><li>more")))).when(kind == 3, tag("ol", F.concat(tag("li", F.col("t")), tag("li", first))))
+        .when(
+            kind == 1,
+            F.concat(F.lit("<p><b>"), first, F.lit("</b>&nbsp;<em>x</em><br>\n "), F.col("t"), F.lit("<script>no()</script>"))
+        )
+        .when(
+            kind == 2, tag("ul", F.concat(tag("li", F.col("t")), F.lit("<li hidden>no</li><li>more")))
+        ).when(kind == 3, tag("ol", F.concat(tag("li", F.col("t")), tag("li", first))))
         .when(kind == 4, tag("blockquote", tag("p", F.col("t"))))
-        .otherwise(tag('table class="x"', F.concat(tag("tr", F.concat(tag("th", first), F.lit("<th>b"))), tag("tr", F.concat(F.lit("<td>"), F.col("t"), F.lit("<td> c | d "))), F.lit("<tr style='display: none'><td>no<td>no</tr>"))))
+        .otherwise(
+            tag(
+                'table class="x"',
+                F.concat(
+                    tag("tr", F.concat(tag("th", first), F.lit("<th>b"))),
+                    tag("tr", F.concat(F.lit("<td>"), F.col("t"), F.lit("<td> c | d "))),
+                    F.lit("<tr style='display: none'><td>no<td>no</tr>")
+                )
+            )
+        )
     )
-    rows = c.select("conv_id", F.col("turn").cast("int").alias("turn"), t.alias("t")).filter("t <> ''").select(F.col("conv_id").alias("doc_id"), "turn", part.alias("part"), "t")
-    docs = rows.groupBy("doc_id").agg(F.min_by("t", "turn").alias("t"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "part"))), lambda x: x["part"]), "\n").alias("body"))
-    page = F.concat(F.lit("<!DOCTYPE html><html><head><title> "), F.col("t"), F.lit("\n</title><style>p{}</style></head><body><!-- no -->"), F.col("body"), F.lit("</body></html>"))
-    files = docs.select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".HTML")).alias("path"), F.encode(page, "UTF-8").alias("content"))
+    rows = c.select("conv_id", F.col("turn").cast("int").alias("turn"), t.alias("t")).filter("t <> ''").select(
+        F.col("conv_id").alias("doc_id"), "turn", part.alias("part"), "t"
+    )
+    docs = rows.groupBy("doc_id").agg(
+        F.min_by("t", "turn").alias("t"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "part"))), lambda x: x["part"]), "\n").alias("body")
+    )
+    page = F.concat(
+        F.lit("<!DOCTYPE html><html><head><title> "), F.col("t"),
+        F.lit("\n</title><style>p{}</style></head><body><!-- no -->"), F.col("body"), F.lit("</body></html>")
+    )
+    files = docs.select(
+        "doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".HTML")).alias("path"),
+        F.encode(page, "UTF-8").alias("content")
+    )
     return convert_binary(files).select("doc_id", "markdown", "title")
 
 
@@ -114,17 +157,36 @@ def pdf_documents(spark, sf_dir):
     """Letters of pages of four turns: a large first word, a cut word, a bullet and a numbered line; page markers are on."""
     c = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.max("text").alias("text"))
     t = F.trim(F.regexp_replace("text", "[^A-Za-z]+", " "))
-    c = c.select(F.col("conv_id").cast("long").alias("doc_id"), F.col("turn").cast("int").alias("turn"), t.alias("t")).filter("t <> ''")
+    c = c.select(
+        F.col("conv_id").cast("long").alias("doc_id"), F.col("turn").cast("int").alias("turn"), t.alias("t")
+    ).filter("t <> ''")
     kind = F.col("turn") % 4
     lines = (
-        F.when(kind == 0, F.array(F.split("t", " ")[0])).when(kind == 1, F.array(F.lit("zeta al-"), F.concat(F.lit("pha "), F.col("t"))))
-        .when(kind == 2, F.array(F.concat(F.lit("• "), F.col("t")))).otherwise(F.array(F.concat(F.col("turn").cast("string"), F.lit(") "), F.col("t"))))
+        F.when(kind == 0, F.array(F.split("t", " ")[0])).when(
+            kind == 1, F.array(F.lit("zeta al-"), F.concat(F.lit("pha "), F.col("t")))
+        )
+        .when(kind == 2, F.array(F.concat(F.lit("• "), F.col("t")))).otherwise(
+            F.array(F.concat(F.col("turn").cast("string"), F.lit(") "), F.col("t")))
+        )
     )
-    blocks = c.select("doc_id", (F.floor(F.col("turn") / 4) + 1).cast("int").alias("page"), F.col("turn").alias("block"), F.when(kind == 0, 20.0).otherwise(10.0).alias("point_size"), lines.alias("lines"))
-    last = c.select("doc_id").distinct().select("doc_id", F.lit(1_000_000).alias("page"), F.lit(0).alias("block"), F.lit(10.0).alias("point_size"), F.array(F.lit(_BODY)).alias("lines"))
-    words = blocks.unionByName(last).select("doc_id", "page", "block", "point_size", F.posexplode("lines").alias("line", "x")).select("doc_id", "page", "block", "point_size", "line", F.posexplode(F.split("x", " ")).alias("word", "x"))
-    letters = words.select("doc_id", "page", "block", "point_size", "line", "word", F.lit(False).alias("is_bold"), F.posexplode(F.split("x", "")).alias("letter", "text"))
-    return pdf_markdown(letters, options=ConversionOptions(include_page_markers=True)).select("doc_id", "markdown", "title", F.size("warnings").alias("warnings"))
+    blocks = c.select(
+        "doc_id", (F.floor(F.col("turn") / 4) + 1).cast("int").alias("page"), F.col("turn").alias("block"),
+        F.when(kind == 0, 20.0).otherwise(10.0).alias("point_size"), lines.alias("lines")
+    )
+    last = c.select("doc_id").distinct().select(
+        "doc_id", F.lit(1_000_000).alias("page"), F.lit(0).alias("block"), F.lit(10.0).alias("point_size"),
+        F.array(F.lit(_BODY)).alias("lines")
+    )
+    words = blocks.unionByName(last).select("doc_id", "page", "block", "point_size", F.posexplode("lines").alias("line", "x")).select(
+        "doc_id", "page", "block", "point_size", "line", F.posexplode(F.split("x", " ")).alias("word", "x")
+    )
+    letters = words.select(
+        "doc_id", "page", "block", "point_size", "line", "word", F.lit(False).alias("is_bold"),
+        F.posexplode(F.split("x", "")).alias("letter", "text")
+    )
+    return pdf_markdown(letters, options=ConversionOptions(include_page_markers=True)).select(
+        "doc_id", "markdown", "title", F.size("warnings").alias("warnings")
+    )
 
 
 _TURNS = """

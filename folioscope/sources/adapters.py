@@ -61,7 +61,9 @@ WORDS = "doc_id long, page int, word int, text string, confidence float, x int,
 TEXTS = "doc_id long, page int, part int, text string, confidence float, error string"
 
 
-def per_document(df: DataFrame, factory: Callable, each: Callable, schema: str, columns: tuple[str, ...] = ("doc_id", "content")) -> DataFrame:
+def per_document(
+    df: DataFrame, factory: Callable, each: Callable, schema: str, columns: tuple[str, ...] = ("doc_id", "content")
+) -> DataFrame:
     """Rows that ``each(engine, *columns after doc_id)`` yields for each row of ``df``, document by document."""
     ship(df.sparkSession)
     names = [part.split()[0] for part in schema.split(", ")]
@@ -114,7 +116,10 @@ def pdf_letters(df: DataFrame, factory: Callable[[], PdfEngine]) -> DataFrame:
 
 def pdf_page_texts(df: DataFrame, factory: Callable[[], PdfEngine]) -> DataFrame:
     """The pages table with embedded text; recognised text is null."""
-    return per_document(df, factory, quiet(lambda e, data: [{"page": k, "embedded_text": t} for k, t in enumerate(e.embedded_text(data), 1)]), PAGES)
+    return per_document(
+        df, factory,
+        quiet(lambda e, data: [{"page": k, "embedded_text": t} for k, t in enumerate(e.embedded_text(data), 1)]), PAGES
+    )
 
 
 def pdf_images(df: DataFrame, factory: Callable[[], PdfEngine], min_pixels: int = 0) -> DataFrame:
@@ -147,7 +152,10 @@ def ocr_images(df: DataFrame, factory: Callable[[], OcrEngine], languages: str =
     def each(e: OcrEngine, data: bytes | None, page: int) -> list[dict]:
         try:
             found = e.recognize(data, languages)
-            return [{"page": int(page), "part": k, "text": text or "", "confidence": percent(c)} for k, (text, c) in enumerate(found, 1)]
+            return [
+                {"page": int(page), "part": k, "text": text or "", "confidence": percent(c)} for k,
+                (text, c) in enumerate(found, 1)
+            ]
         except Exception as x:
             return [{"page": int(page), "part": 1, "error": f"{type(x).__name__}: {x}"}]
 

@@ -82,7 +82,9 @@ class Docx:
         self.main = main.lstrip("/")
         self.links = self.relations(self.main)
         styles = self.part("styles")
-        self.styles = {(_attr(s, "styleId") or "").lower(): s for s in reversed(styles if styles is not None else []) if _name(s) == "style"}
+        self.styles = {
+            (_attr(s, "styleId") or "").lower(): s for s in reversed(styles if styles is not None else []) if _name(s) == "style"
+        }
         self.formats = self._formats()
 
     # -- parts -----------------------------------------------------------------------------------
@@ -131,7 +133,10 @@ class Docx:
         for name, e in self.chain(_attr(_child(p, "pPr", "pStyle"), "val") or None):
             outline = _int(_attr(_child(e, "pPr", "outlineLvl"), "val"))
             own = _attr(_child(e, "name"), "val")
-            for level in (named_level(name), outline + 1 if outline is not None and 0 <= outline <= 8 else 0, named_level(own or "")):
+            for level in (
+                named_level(name), outline + 1 if outline is not None and 0 <= outline <= 8 else 0,
+                named_level(own or "")
+            ):
                 if level:
                     return level
         return 0
@@ -238,7 +243,10 @@ class Docx:
         root = self.xml("[Content_Types].xml")
         rows = list(root) if root is not None else []
         own = next((e.get("ContentType") for e in rows if e.get("PartName", "").lower() == "/" + path.lower()), None)
-        return own or next((e.get("ContentType") for e in rows if e.get("Extension", "?").lower() == path.rpartition(".")[2].lower()), "") or ""
+        return own or next(
+            (e.get("ContentType") for e in rows if e.get("Extension", "?").lower() == path.rpartition(".")[2].lower()),
+            ""
+        ) or ""
 
     def inline(self, p: ET.Element) -> str:
         """The paragraph's text: like neighbours merged, links opened and closed, marks outside of edge spaces."""
@@ -254,7 +262,9 @@ class Docx:
             if link is not None and open_link is None and first.kind != "break":
                 out.append("[")
                 open_link = link
-            out.append("  \n" if first.kind == "break" else text if first.kind == "raw" else emphasised(escape_inline(text), first.style))
+            out.append(
+                "  \n" if first.kind == "break" else text if first.kind == "raw" else emphasised(escape_inline(text), first.style)
+            )
         return "".join(out) + (closed(open_link) if open_link is not None else "")
 
     # -- blocks ------------------------------------------------------------------------------------

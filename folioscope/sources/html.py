@@ -36,7 +36,9 @@ RCDATA = frozenset("title textarea".split())
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr listing main menu nav ol p plaintext pre search section summary table ul xmp li dd dt".split()
 )
-SPECIAL = CLOSES_P | frozenset("body html td th tr tbody thead tfoot caption button object marquee applet template select".split())
+SPECIAL = CLOSES_P | frozenset(
+    "body html td th tr tbody thead tfoot caption button object marquee applet template select".split()
+)
 SCOPE = frozenset("html table td th caption marquee object applet template".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 IMPLIED = frozenset("dd dt li option optgroup p rb rp rt rtc".split())
@@ -44,7 +46,10 @@ IMPLIED = frozenset("dd dt li option optgroup p rb rp rt rtc".split())
 _WS = "\t\n\x0b\x0c\r \x85\xa0             　"
 _INVISIBLE = re.compile("[͏­​‌‍⁠﻿᠎]")
 _SPACES = re.compile(f"[{_WS}]+")
-_TOKEN = re.compile(r"<!--(?P<comment>.*?)(?:--!?>|\Z)|<(?P<bogus>[!?][^>]*)(?:>|\Z)|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<(?P<start>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(
+    r"<!--(?P<comment>.*?)(?:--!?>|\Z)|<(?P<bogus>[!?][^>]*)(?:>|\Z)|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<(?P<start>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)",
+    re.S
+)
 _ATTR = re.compile(r"([^\s=>/\"'][^\s=>/]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
 
@@ -140,7 +145,11 @@ class TreeBuilder:
 
     def place(self, child) -> None:
         """Put a child at the insertion point; inside table structure it goes before the table."""
-        if self.top.name in {"table", "tbody", "thead", "tfoot", "tr"} and (isinstance(child, str) or child.name not in {"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup", "col", "script", "style", "template"}):
+        if self.top.name in {"table", "tbody", "thead", "tfoot", "tr"} and (
+            isinstance(child, str) or child.name not in {
+                "tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup", "col", "script", "style", "template"
+            }
+        ):
             table = next((n for n in reversed(self.stack) if n.name == "table"), None)
             if table is not None and table.parent is not None:
                 at = next(i for i, c in enumerate(table.parent.children) if c is table)
@@ -279,7 +288,11 @@ class TreeBuilder:
         if name == "tr" and not self.in_table({"tbody", "thead", "tfoot"}):
             self.back_to({"table"})
             self.insert(Node("tbody"))
-        self.back_to({"table"} if name in {"tbody", "thead", "tfoot", "caption", "colgroup", "col"} else {"tbody", "thead", "tfoot"} if name == "tr" else {"tr"})
+        self.back_to(
+            {"table"} if name in {
+                "tbody", "thead", "tfoot", "caption", "colgroup", "col"
+            } else {"tbody", "thead", "tfoot"} if name == "tr" else {"tr"}
+        )
         self.insert(Node(name, attrs))
         if name in {"td", "th", "caption"}:
             self.active.append(None)
@@ -560,7 +573,9 @@ class Renderer:
         for item in e.elements():
             if item.name != "li" or hidden(item):
                 continue
-            parts = [normal_text(c) if isinstance(c, str) else "" if c.name in {"ul", "ol"} or hidden(c) else self.inline_element(c) for c in item.children]
+            parts = [
+                normal_text(c) if isinstance(c, str) else "" if c.name in {"ul", "ol"} or hidden(c) else self.inline_element(c) for c in item.children
+            ]
             number += 1
             mark = f"{number}." if e.name == "ol" else "-"
             self.add("  " * depth + mark + " " + _collapse("".join(parts)), key)
@@ -569,7 +584,9 @@ class Renderer:
                     self.list(nested, depth + 1, key)
 
     def inner(self, node: Node) -> str:
-        return "".join(normal_text(c) if isinstance(c, str) else "" if hidden(c) else self.inline_element(c) for c in node.children)
+        return "".join(
+            normal_text(c) if isinstance(c, str) else "" if hidden(c) else self.inline_element(c) for c in node.children
+        )
 
     def inline_element(self, e: Node) -> str:
         name = e.name
@@ -597,7 +614,11 @@ class Renderer:
         return inner
 
     def table(self, e: Node) -> None:
-        rows = [[_collapse(self.inner(c)).replace("|", "\\|") for c in r.elements() if c.name in {"td", "th"} and not hidden(c)] for r in table_rows(e) if not hidden(r)]
+        rows = [
+            [
+                _collapse(self.inner(c)).replace("|", "\\|") for c in r.elements() if c.name in {"td", "th"} and not hidden(c)
+            ] for r in table_rows(e) if not hidden(r)
+        ]
         rows = [r for r in rows if any(r)]
         if not rows:
             return

@@ -58,7 +58,10 @@ def convert_one(content: bytes | None, extension: str, options: ConversionOption
     fn = table.get(extension)
     if fn is None:
         hint = " save it as .docx" if extension == ".doc" else ""
-        return None, None, None, {"kind": "unsupported_format", "message": f"{extension or 'no extension'} is not one of {', '.join(sorted(table))}{hint}"}
+        return None, None, None, {
+            "kind": "unsupported_format",
+            "message": f"{extension or 'no extension'} is not one of {', '.join(sorted(table))}{hint}"
+        }
     if not content:
         return None, None, None, {"kind": "invalid_argument", "message": "empty content"}
     try:
@@ -70,7 +73,10 @@ def convert_one(content: bytes | None, extension: str, options: ConversionOption
         return None, None, None, {"kind": "conversion", "message": f"{type(e).__name__}: {e}"}
 
 
-def convert_binary(df: DataFrame, content: str = "content", name: str = "path", options: ConversionOptions = ConversionOptions(), strict: bool = False) -> DataFrame:
+def convert_binary(
+    df: DataFrame, content: str = "content", name: str = "path", options: ConversionOptions = ConversionOptions(),
+    strict: bool = False
+) -> DataFrame:
     """Rows with bytes and a file name (or extension) to Markdown; other columns stay, the bytes go."""
     ship(df.sparkSession)
     table, kept = converters(), [c for c in df.columns if c not in (content, "markdown", "title", "warnings", "error")]
@@ -84,11 +90,19 @@ def convert_binary(df: DataFrame, content: str = "content", name: str = "path",
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema)
     out = rows.mapInPandas(run, f"{schema}, {OUT}")
     if strict:
-        out = out.withColumn("markdown", F.when(F.col("error").isNotNull(), F.raise_error(F.concat_ws(": ", "error.kind", "error.message")).cast("string")).otherwise(F.col("markdown")))
+        out = out.withColumn(
+            "markdown",
+            F.when(
+                F.col("error").isNotNull(),
+                F.raise_error(F.concat_ws(": ", "error.kind", "error.message")).cast("string")
+            ).otherwise(F.col("markdown"))
+        )
     return out
 
 
-def read_documents(spark: SparkSession, path: str, options: ConversionOptions = ConversionOptions(), glob: str | None = None) -> DataFrame:
+def read_documents(
+    spark: SparkSession, path: str, options: ConversionOptions = ConversionOptions(), glob: str | None = None
+) -> DataFrame:
     """Scan files and convert them; only files of known extensions are read."""
     pattern = glob or "*.{" + ",".join(e[1:] for e in supported_extensions()) + "}"
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
@@ -110,7 +124,9 @@ def docx_images(df: DataFrame, content: str = "content", key: str = "path") -> D
                     rows.append((k, None, None, None, str(e)))
             yield pd.DataFrame(rows, columns=[key, "image_ix", "name", "image", "error"]).astype({"image_ix": "Int32"})
 
-    return df.select(key, content).mapInPandas(run, f"`{key}` {df.schema[key].dataType.simpleString()}, image_ix int, name string, image binary, error string")
+    return df.select(key, content).mapInPandas(
+        run, f"`{key}` {df.schema[key].dataType.simpleString()}, image_ix int, name string, image binary, error string"
+    )
 
 
 def inside(name: str) -> str:

@@ -22,4 +22,7 @@ def prepared(df: DataFrame, text_col: str = "text") -> DataFrame:
     m = normalize_with_metrics(clean_markdown(F.col(text_col)))
     out = df.withColumn("__m", m)
     kept = [c for c in df.columns if c != text_col]
-    return out.select(*kept, F.col("__m.text").alias(text_col), "__m.original_chars", "__m.result_chars", "__m.reduction_pct", estimate_tokens(F.col("__m.text")).alias("tokens"))
+    return out.select(
+        *kept, F.col("__m.text").alias(text_col), "__m.original_chars", "__m.result_chars", "__m.reduction_pct",
+        estimate_tokens(F.col("__m.text")).alias("tokens")
+    )

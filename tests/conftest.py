@@ -13,8 +13,12 @@ def spark(tmp_path_factory):
 
     base = tmp_path_factory.mktemp("spark")
     session = (
-        SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.driver.memory", "4g").config("spark.ui.enabled", "false")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.sql.warehouse.dir", str(base / "wh")).config("spark.ui.showConsoleProgress", "false").getOrCreate()
+        SparkSession.builder.master("local[4]").config(
+            "spark.sql.shuffle.partitions", "4"
+        ).config("spark.driver.memory", "4g").config("spark.ui.enabled", "false")
+        .config("spark.sql.session.timeZone", "UTC").config(
+            "spark.sql.warehouse.dir", str(base / "wh")
+        ).config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

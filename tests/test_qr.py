@@ -20,13 +20,22 @@ L = F.lit
 
 def test_payloads(spark):
     cases = [
-        (Q.url(L("https://e.com")), "https://e.com"), (Q.url(L(" e.com ")), "http://e.com"), (Q.url(L(" ")), None), (Q.text(L("Hola")), "Hola"), (Q.text(L("")), None),
-        (Q.phone(L("+50322500000")), "tel:+50322500000"), (Q.telegram(L("@some_user")), "https://t.me/some_user"), (Q.whatsapp(L("+503 2250-0000"), L("Hola")), "https://wa.me/50322500000?text=Hola"),
-        (Q.whatsapp(L("x"), L("")), None), (Q.geo(L(13.6989), L(-89.1914)), "geo:13.6989,-89.1914"), (Q.geo(L(91.0), L(0.0)), None), (Q.geo(L(10.0), L(-0.0)), "geo:10,0"),
+        (Q.url(L("https://e.com")), "https://e.com"), (Q.url(L(" e.com ")), "http://e.com"), (Q.url(L(" ")), None),
+        (Q.text(L("Hola")), "Hola"), (Q.text(L("")), None),
+        (Q.phone(L("+50322500000")), "tel:+50322500000"), (Q.telegram(L("@some_user")), "https://t.me/some_user"),
+        (Q.whatsapp(L("+503 2250-0000"), L("Hola")), "https://wa.me/50322500000?text=Hola"),
+        (Q.whatsapp(L("x"), L("")), None), (Q.geo(L(13.6989), L(-89.1914)), "geo:13.6989,-89.1914"),
+        (Q.geo(L(91.0), L(0.0)), None), (Q.geo(L(10.0), L(-0.0)), "geo:10,0"),
         (Q.geo(L("1.0000005").cast("decimal(20,12)"), L("-2.0000025").cast("decimal(20,12)")), "geo:1.000001,-2.000003"),
-        (Q.crypto(L("ethereum"), L("0x71"), L("1").cast("decimal(38,18)"), L(None), L(None)), "ethereum:0x71?value=1000000000000000000"), (Q.crypto(L("ethereum"), L("0x71"), L(None), L(None), L(None)), "ethereum:0x71"),
-        (Q.crypto(L("bitcoin"), L("1B"), L("0.005"), L(None), L(None)), "bitcoin:1B?amount=0.005"), (Q.crypto(L("bitcoin"), L("1B"), L("-1"), L(None), L(None)), None),
-        (Q.wifi(L("Casa;x"), L("Key1234"), L("WPA"), L(False)), "WIFI:T:WPA;S:Casa\\;x;P:Key1234;;"), (Q.wifi(L("a"), L(""), L("WPA"), L(False)), None),
+        (
+            Q.crypto(L("ethereum"), L("0x71"), L("1").cast("decimal(38,18)"), L(None), L(None)),
+            "ethereum:0x71?value=1000000000000000000"
+        ),
+        (Q.crypto(L("ethereum"), L("0x71"), L(None), L(None), L(None)), "ethereum:0x71"),
+        (Q.crypto(L("bitcoin"), L("1B"), L("0.005"), L(None), L(None)), "bitcoin:1B?amount=0.005"),
+        (Q.crypto(L("bitcoin"), L("1B"), L("-1"), L(None), L(None)), None),
+        (Q.wifi(L("Casa;x"), L("Key1234"), L("WPA"), L(False)), "WIFI:T:WPA;S:Casa\\;x;P:Key1234;;"),
+        (Q.wifi(L("a"), L(""), L("WPA"), L(False)), None),
         (Q.mecard(L("Ana"), L("Gil"), tel=L("+503")), "MECARD:N:Gil,Ana;TEL:+503;;"), (Q.mecard(L(" "), L(None)), None),
         (Q.otp(L("JBSW"), L("Org"), L("a@b.c")), "otpauth://totp/Org:a%40b.c?secret=JBSW&issuer=Org"),
     ]
@@ -39,7 +48,9 @@ def read(matrix, level):
     n = len(matrix)
     version = (n - 17) // 4
     bits = sum(bool(matrix[8, 5 - k] if k < 6 else 0) << (9 + k) for k in range(6))
-    bits |= sum(bool(matrix[k, 8]) << k for k in range(6)) | bool(matrix[7, 8]) << 6 | bool(matrix[8, 8]) << 7 | bool(matrix[8, 7]) << 8
+    bits |= sum(
+        bool(matrix[k, 8]) << k for k in range(6)
+    ) | bool(matrix[7, 8]) << 6 | bool(matrix[8, 8]) << 7 | bool(matrix[8, 7]) << 8
     data = (bits ^ 0x5412) >> 10
     assert data >> 3 == I.FORMAT_BITS[level] and I._bch(data, 0x537, 10) ^ 0x5412 == bits
     _, fixed = I._skeleton(version)
@@ -52,7 +63,9 @@ def read(matrix, level):
             stream += [int(plain[yy, xx]) for xx in (right, right - 1) if not fixed[yy, xx]]
         up = not up
     words = [int("".join(map(str, stream[k : k + 8])), 2) for k in range(0, len(stream) - 7, 8)]
-    blocks, ec, room = int(I.BLOCKS[level].split()[version - 1]), int(I.EC_BYTES[level].split()[version - 1]), I.data_bytes(version, level)
+    blocks, ec, room = int(I.BLOCKS[level].split()[version - 1]), int(
+        I.EC_BYTES[level].split()[version - 1]
+    ), I.data_bytes(version, level)
     short, longer = divmod(room, blocks)
     sizes = [short + (k >= blocks - longer) for k in range(blocks)]
     parts, at = [[] for _ in sizes], 0
@@ -100,7 +113,9 @@ def slow_penalty(m):
             text = "".join("01"[int(v)] for v in row)
             score += sum(len(r) - 2 for r in re.findall("0{5,}|1{5,}", text))
             score += 40 * sum(text.startswith(p, k) for p in ("10111010000", "00001011101") for k in range(n))
-    score += 3 * sum(len({bool(m[y + a, x + b]) for a in (0, 1) for b in (0, 1)}) == 1 for y in range(n - 1) for x in range(n - 1))
+    score += 3 * sum(
+        len({bool(m[y + a, x + b]) for a in (0, 1) for b in (0, 1)}) == 1 for y in range(n - 1) for x in range(n - 1)
+    )
     share = m.mean() * 100
     return score + 10 * max(math.ceil(abs(share - 50) / 5 - 1e-9) - 1, -1)
 
@@ -123,7 +138,9 @@ def test_resize_weights():
 def pixels(image):
     at = image.index(b"IDAT")
     w, h = (int.from_bytes(image[k : k + 4], "big") for k in (16, 20))
-    raw = np.frombuffer(zlib.decompress(image[at + 4 : at + 4 + int.from_bytes(image[at - 4 : at], "big")]), np.uint8).reshape(h, 1 + 4 * w)
+    raw = np.frombuffer(
+        zlib.decompress(image[at + 4 : at + 4 + int.from_bytes(image[at - 4 : at], "big")]), np.uint8
+    ).reshape(h, 1 + 4 * w)
     return raw[:, 1:].reshape(h, w, 4)
 
 
@@ -150,9 +167,14 @@ def test_logo():
 def test_shortcuts(spark):
     logo = QrOptions(logo=LogoOptions(bytes(16), 2, 2), pixels_per_module=2)
     cases = [
-        (I.from_url(L("e.com")), "http://e.com", "M"), (I.from_text(L("x"), logo), "x", "H"), (I.from_text(L("x"), QrOptions(correction="low")), "x", "L"), (I.from_phone(L("5")), "tel:5", "M"),
-        (I.from_sms(L("5"), L("hi")), "sms:5?body=hi", "M"), (I.from_wifi(L("net"), L("key"), L("WPA"), L(False)), "WIFI:T:WPA;S:net;P:key;;", "M"), (I.from_mail(L("a@b.c"), L(""), L("")), "mailto:a@b.c", "M"),
-        (I.from_geo(L(1.5), L(2.0)), "geo:1.5,2", "M"), (I.from_message(L("WhatsApp"), L("+1 2"), L("")), "https://wa.me/12", "M"), (I.from_message(L("telegram"), L("@me"), L("")), "https://t.me/me", "M"),
+        (I.from_url(L("e.com")), "http://e.com", "M"), (I.from_text(L("x"), logo), "x", "H"),
+        (I.from_text(L("x"), QrOptions(correction="low")), "x", "L"), (I.from_phone(L("5")), "tel:5", "M"),
+        (I.from_sms(L("5"), L("hi")), "sms:5?body=hi", "M"),
+        (I.from_wifi(L("net"), L("key"), L("WPA"), L(False)), "WIFI:T:WPA;S:net;P:key;;", "M"),
+        (I.from_mail(L("a@b.c"), L(""), L("")), "mailto:a@b.c", "M"),
+        (I.from_geo(L(1.5), L(2.0)), "geo:1.5,2", "M"),
+        (I.from_message(L("WhatsApp"), L("+1 2"), L("")), "https://wa.me/12", "M"),
+        (I.from_message(L("telegram"), L("@me"), L("")), "https://t.me/me", "M"),
     ]
     row = spark.range(1).select(*[c.alias(f"c{k}") for k, (c, _, _) in enumerate(cases)]).first()
     assert [(r["payload"], r["correction"]) for r in row] == [(p, level) for _, p, level in cases]
@@ -177,7 +199,9 @@ def test_published_values():
     assert {v: f"{I._bch(v, 0x1F25, 12):018b}" for v in VERSIONS} == VERSIONS
     assert {v: I.alignment(v) for v in ALIGNMENT} == ALIGNMENT
     # The worked example of a 1-M symbol: data words and their error words.
-    assert I.error_bytes([32, 91, 11, 120, 209, 114, 220, 77, 67, 64, 236, 17, 236, 17, 236, 17], 10) == [196, 35, 39, 119, 235, 215, 231, 226, 93, 23]
+    assert I.error_bytes(
+        [32, 91, 11, 120, 209, 114, 220, 77, 67, 64, 236, 17, 236, 17, 236, 17], 10
+    ) == [196, 35, 39, 119, 235, 215, 231, 226, 93, 23]
 
 
 @pytest.mark.parametrize("level, size", [("L", 2000), ("Q", 1600), ("H", 1200)])
@@ -196,8 +220,16 @@ def test_high_versions_read_back(level, size):
     fixed[: 6, n - 11 : n - 8] = fixed[n - 11 : n - 8, :6] = True
     bits = "".join(str(int(v)) for v in [*m[8, :6], m[8, 7], m[8, 8], m[7, 8], *m[5::-1, 8]])
     mask = FORMATS[level].split().index(bits)
-    assert all(m[k, n - 11 + j] == m[n - 11 + j, k] == bool(int(f"{I._bch(version, 0x1F25, 12):018b}"[17 - 3 * k - j])) for k in range(6) for j in range(3))
-    rule = [lambda i, j: (i + j) % 2, lambda i, j: i % 2, lambda i, j: j % 3, lambda i, j: (i + j) % 3, lambda i, j: (i // 2 + j // 3) % 2, lambda i, j: i * j % 2 + i * j % 3, lambda i, j: (i * j % 2 + i * j % 3) % 2, lambda i, j: ((i + j) % 2 + i * j % 3) % 2][mask]
+    assert all(
+        m[k, n - 11 + j] == m[n - 11 + j, k] == bool(
+            int(f"{I._bch(version, 0x1F25, 12):018b}"[17 - 3 * k - j])
+        ) for k in range(6) for j in range(3)
+    )
+    rule = [
+        lambda i, j: (i + j) % 2, lambda i, j: i % 2, lambda i, j: j % 3, lambda i, j: (i + j) % 3,
+        lambda i, j: (i // 2 + j // 3) % 2, lambda i, j: i * j % 2 + i * j % 3,
+        lambda i, j: (i * j % 2 + i * j % 3) % 2, lambda i, j: ((i + j) % 2 + i * j % 3) % 2
+    ][mask]
     stream, right, up = [], n - 1, True
     while right > 0:
         right -= right == 6
@@ -207,7 +239,11 @@ def test_high_versions_read_back(level, size):
     words = [int("".join(map(str, stream[k : k + 8])), 2) for k in range(0, len(stream) - 7, 8)]
     blocks, ec = int(I.BLOCKS[level].split()[version - 1]), int(I.EC_BYTES[level].split()[version - 1])
     short, longer = divmod(len(words) - ec * blocks, blocks)
-    parts = [[words[k * blocks + b] for k in range(short)] + ([words[short * blocks + b - (blocks - longer)]] if b >= blocks - longer else []) for b in range(blocks)]
+    parts = [
+        [words[k * blocks + b] for k in range(short)] + (
+            [words[short * blocks + b - (blocks - longer)]] if b >= blocks - longer else []
+        ) for b in range(blocks)
+    ]
     rest = words[short * blocks + longer :]
     power, log = [1], {}
     for k in range(255):

@@ -42,7 +42,11 @@ class Pdf:
                 for k, line in enumerate(block["lines"]):
                     for w, word in enumerate(line.split(" ")):
                         for c, letter in enumerate(word):
-                            yield {"page": n, "block": b, "line": k, "word": w, "letter": c, "point_size": block.get("size", 10.0), "is_bold": block.get("bold", False), "text": letter}
+                            yield {
+                                "page": n, "block": b, "line": k, "word": w, "letter": c,
+                                "point_size": block.get("size", 10.0), "is_bold": block.get("bold", False),
+                                "text": letter
+                            }
 
 
 class Ocr:
@@ -70,7 +74,10 @@ class Decoder:
 
 
 def files(spark, *rows):
-    return spark.createDataFrame([(k, p, bytearray(c)) if c is not None else (k, p, None) for k, (p, c) in enumerate(rows)], "doc_id long, path string, content binary")
+    return spark.createDataFrame(
+        [(k, p, bytearray(c)) if c is not None else (k, p, None) for k, (p, c) in enumerate(rows)],
+        "doc_id long, path string, content binary"
+    )
 
 
 def pdf(**document):
@@ -79,8 +86,10 @@ def pdf(**document):
 
 REPORT = pdf(pages=[
     {"blocks": [
-        {"lines": ["Yearly *report*"], "size": 20.0}, {"lines": ["This year was a won-", "derful one for bees, and a socio-", "economic one.", "wonderful indeed"]},
-        {"lines": ["Results"], "bold": True}, {"lines": ["We count:", "- hives", "- bees", "1) first", "2) second", "1. again", "end of 10", "- 20 km"]},
+        {"lines": ["Yearly *report*"], "size": 20.0},
+        {"lines": ["This year was a won-", "derful one for bees, and a socio-", "economic one.", "wonderful indeed"]},
+        {"lines": ["Results"], "bold": True},
+        {"lines": ["We count:", "- hives", "- bees", "1) first", "2) second", "1. again", "end of 10", "- 20 km"]},
     ]},
     {},
     {"blocks": [{"lines": ["• late item", "# not a heading"]}, {"lines": ["  "]}]},
@@ -120,8 +129,12 @@ def test_pdf_markdown(spark):
     assert a["markdown"] == EXPECTED and a["title"] == "Yearly *report*" and a["warnings"] == [] and a["error"] is None
     assert (b["markdown"], b["title"], len(b["warnings"])) == ("", " Given ", 1)
     assert c["markdown"] is None and "JSONDecodeError" in c["error"] and "empty" in d["error"]
-    marked = R.convert_pdfs(df.filter("doc_id < 2"), Pdf, ConversionOptions(include_page_markers=True, detect_headings=False)).orderBy("doc_id").collect()
-    assert marked[0]["markdown"].startswith("<!-- Página 1 -->\n\nYearly \\*report\\*\n\nThis year") and "<!-- Página 2 -->\n\n<!-- Página 3 -->\n\n- late item" in marked[0]["markdown"]
+    marked = R.convert_pdfs(
+        df.filter("doc_id < 2"), Pdf, ConversionOptions(include_page_markers=True, detect_headings=False)
+    ).orderBy("doc_id").collect()
+    assert marked[0]["markdown"].startswith(
+        "<!-- Página 1 -->\n\nYearly \\*report\\*\n\nThis year"
+    ) and "<!-- Página 2 -->\n\n<!-- Página 3 -->\n\n- late item" in marked[0]["markdown"]
     assert marked[1]["markdown"] == "<!-- Página 1 -->\n" and marked[0]["title"] is None
     assert R.convert_pdfs(df.limit(0), Pdf).count() == 0
 
@@ -136,8 +149,10 @@ def test_pdf_plain_pages(spark):
 def test_recognise(spark):
     mixed = pdf(pages=[{"text": " long enough embedded text "}, {"text": "short", "says": "seen", "sure": 80}, {"says": "too"}])
     df = files(
-        spark, ("a.pdf", mixed), ("b.bin", pdf(pages=[{"text": "only embedded text here"}])), ("c.png", b'{"says": "a picture"}'), ("d.tif", b"II*\0one\ntwo"),
-        ("e.pdf", pdf(pages=[{"broken": True}])), ("f.txt", b"what"), ("g.png", b""), ("h.pdf", pdf(pages=[])), ("i.png", b"not json"), ("j.tif", b"II*\0"),
+        spark, ("a.pdf", mixed), ("b.bin", pdf(pages=[{"text": "only embedded text here"}])),
+        ("c.png", b'{"says": "a picture"}'), ("d.tif", b"II*\0one\ntwo"),
+        ("e.pdf", pdf(pages=[{"broken": True}])), ("f.txt", b"what"), ("g.png", b""), ("h.pdf", pdf(pages=[])),
+        ("i.png", b"not json"), ("j.tif", b"II*\0"),
     )
     got = {r["doc_id"]: r for r in R.recognise(df, Pdf, Ocr).collect()}
     short = lambda k: (got[k]["text"], got[k]["pages"], round(got[k]["mean_confidence"], 3), got[k]["source_kind"])
@@ -152,7 +167,10 @@ def test_recognise(spark):
 
 
 def test_embedded_images(spark):
-    images = [['{"says": "big"}', 300, 200], ['{"says": "small"}', 10, 10], ["junk", 500, 500], ['{"says": " "}', 300, 300], ['{"says": "second", "sure": 40}', 400, 400]]
+    images = [
+        ['{"says": "big"}', 300, 200], ['{"says": "small"}', 10, 10], ["junk", 500, 500], ['{"says": " "}', 300, 300],
+        ['{"says": "second", "sure": 40}', 400, 400]
+    ]
     df = files(spark, ("a.pdf", pdf(pages=[{}, {"images": images}])), ("b.pdf", pdf(pages=[{}])))
     got = R.recognise_embedded_images(df, Pdf, Ocr).orderBy("image_ix").collect()
     assert [(r["page"], r["image_ix"], r["text"], r["confidence"]) for r in got] == [(2, 1, "big", 90.0), (2, 4, "second", 40.0)]
@@ -201,16 +219,26 @@ SIGNATURE = [[300, 500, 500, 502], [300, 500, 302, 560], [498, 500, 500, 560], [
 
 def test_handwriting(spark):
     word = lambda text, c, x, y, w, h: {"text": text, "confidence": c, "x": x, "y": y, "w": w, "h": h}
-    sure, unsure = [word("printed", 95.0, 100, 100, 80, 16)], [word("scrawl", 20.0, 310, 700, 90, 30), word("more", 30.0, 410, 700, 60, 30)]
+    sure, unsure = [word("printed", 95.0, 100, 100, 80, 16)], [
+        word("scrawl", 20.0, 310, 700, 90, 30), word("more", 30.0, 410, 700, 60, 30)
+    ]
     signed = page(printed() + SIGNATURE)
     df = files(
-        spark, ("a.png", json.dumps(page(printed())).encode()), ("b.png", json.dumps(signed | {"words": unsure}).encode()), ("c.png", json.dumps(signed | {"words": sure}).encode()),
-        ("d.pdf", pdf(pages=[page(printed()), signed | {"words": unsure}])), ("e.png", b'{"no": "size"}'), ("f.png", json.dumps(page([])).encode()), ("g.pdf", b"%PDF?"), ("h.txt", b"?"), ("i.png", json.dumps(page([[0, 0, 4, 4]], w=9, h=9)).encode()),
+        spark, ("a.png", json.dumps(page(printed())).encode()),
+        ("b.png", json.dumps(signed | {"words": unsure}).encode()),
+        ("c.png", json.dumps(signed | {"words": sure}).encode()),
+        ("d.pdf", pdf(pages=[page(printed()), signed | {"words": unsure}])), ("e.png", b'{"no": "size"}'),
+        ("f.png", json.dumps(page([])).encode()), ("g.pdf", b"%PDF?"), ("h.txt", b"?"),
+        ("i.png", json.dumps(page([[0, 0, 4, 4]], w=9, h=9)).encode()),
     )
     alone = {r["doc_id"]: r for r in R.detect_handwriting(df, Pdf, Decoder).collect()}
-    assert [alone[k]["region_count"] for k in (0, 1, 2, 3, 5, 8)] == [0, 1, 1, 1, 0, 0] and alone[1]["has_handwriting"] and not alone[0]["has_handwriting"]
+    assert [
+        alone[k]["region_count"] for k in (0, 1, 2, 3, 5, 8)
+    ] == [0, 1, 1, 1, 0, 0] and alone[1]["has_handwriting"] and not alone[0]["has_handwriting"]
     box = alone[1]["regions"][0]
-    assert (box["x"], box["y"], box["w"], box["h"]) == (300, 500, 200, 60) and alone[1]["max_score"] == pytest.approx(box["score"])
+    assert (
+        box["x"], box["y"], box["w"], box["h"]
+    ) == (300, 500, 200, 60) and alone[1]["max_score"] == pytest.approx(box["score"])
     assert alone[4]["error"] == "the image cannot be decoded" and "JSONDecodeError" in alone[6]["error"] and alone[7]["error"] == R.UNKNOWN
     seen = {r["doc_id"]: r for r in R.detect_handwriting(df, Pdf, Decoder, Ocr).collect()}
     # Words of low confidence make one region; what is surely printed clears its page.
@@ -219,5 +247,7 @@ def test_handwriting(spark):
     quiet = R.detect_handwriting(df.filter("doc_id = 1"), Pdf, Decoder, options=HandwritingOptions(detect_strokes=False)).first()
     assert quiet["region_count"] == 0
     # A scaled page gives boxes of the original.
-    half = R.detect_handwriting(df.filter("doc_id = 1"), Pdf, Decoder, options=HandwritingOptions(max_side=500)).first()["regions"]
+    half = R.detect_handwriting(
+        df.filter("doc_id = 1"), Pdf, Decoder, options=HandwritingOptions(max_side=500)
+    ).first()["regions"]
     assert half and abs(half[0]["x"] - 300) <= 2 and abs(half[0]["w"] - 200) <= 4

@@ -20,7 +20,12 @@ def around(line):
 
 
 #: Lines that say a page number, made from the parts they may have.
-PAGE_LINES = [f"{word}{dot} 5{rest}" for word, dot in (("Página", ""), ("pagina", ""), ("Pág", "."), ("PAG", ""), ("P", "."), ("p", ".")) for rest in ("", " de 31", "/31", " - 31")]
+PAGE_LINES = [
+    f"{word}{dot} 5{rest}" for word,
+    dot in (
+        ("Página", ""), ("pagina", ""), ("Pág", "."), ("PAG", ""), ("P", "."), ("p", ".")
+    ) for rest in ("", " de 31", "/31", " - 31")
+]
 CLEAN = [
     *[(around(line), ["**[Página 5]**", "---", "before", "after it"], [f"\n{line}\n"]) for line in PAGE_LINES],
     ("x\n07/11/2031 08:15 Pág. 9 de 12\ny", ["**[Página 9]**"], ["07/11", "08:15"]),
@@ -47,15 +52,23 @@ def test_cleaner_edges(spark):
     assert column(spark, [None, "", "Página 1\nx", "\n \nPágina 1\nx"], T.clean_markdown(F.col("t")))[:2] == ["", ""]
     for out in column(spark, ["Página 1\nx", "\n\nPágina 1\nx"], T.clean_markdown(F.col("t"))):
         assert out.startswith("**[Página 1]**")
-    out = column(spark, ["q\nPágina 2 Borrador\nr"], T.clean_markdown(F.col("t"), CleanerOptions(extra_keywords=("Borrador",))))[0]
+    out = column(
+        spark, ["q\nPágina 2 Borrador\nr"], T.clean_markdown(F.col("t"), CleanerOptions(extra_keywords=("Borrador",)))
+    )[0]
     assert "**[Página 2]**" in out and "Borrador" not in out
     once = column(spark, [CLEAN[0][0]], T.clean_markdown(F.col("t")))
     assert column(spark, once, T.clean_markdown(F.col("t"))) == once
 
 
 #: Pieces of white space between letters, and what the defaults make of each.
-BETWEEN = [("\n" * k, "\n" * min(k, 2)) for k in (1, 2, 3, 6)] + [(" " * k, " ") for k in (1, 2, 5)] + [(" \n", "\n"), ("\n  ", "\n"), ("\t", " "), ("\t \t", " "), ("\r\n", "\n"), ("\r", "\n"), ("\u00a0", " "), ("\u3000\u2003", " "), ("\u200b", ""), ("\ufeff\u2060", "")]
-NORMAL = [(None, ""), ("", ""), (" \t ", ""), *[(f"q{a}r", f"q{b}r") for a, b in BETWEEN], ("".join(f"{a}q" for a, _ in BETWEEN), "".join(f"{b}q" for _, b in BETWEEN).lstrip())]
+BETWEEN = [("\n" * k, "\n" * min(k, 2)) for k in (1, 2, 3, 6)] + [(" " * k, " ") for k in (1, 2, 5)] + [
+    (" \n", "\n"), ("\n  ", "\n"), ("\t", " "), ("\t \t", " "), ("\r\n", "\n"), ("\r", "\n"), ("\u00a0", " "),
+    ("\u3000\u2003", " "), ("\u200b", ""), ("\ufeff\u2060", "")
+]
+NORMAL = [
+    (None, ""), ("", ""), (" \t ", ""), *[(f"q{a}r", f"q{b}r") for a, b in BETWEEN],
+    ("".join(f"{a}q" for a, _ in BETWEEN), "".join(f"{b}q" for _, b in BETWEEN).lstrip())
+]
 
 
 def test_normalize_cases(spark):
@@ -65,8 +78,10 @@ def test_normalize_cases(spark):
 
 @pytest.mark.parametrize("options, text, out", [
     (NormalizeOptions(trim_line_end=False), "a \n \nb", "a  \n\nb"), (NormalizeOptions(trim_line_end=False), "  \n b", " \nb"),
-    (NormalizeOptions(convert_tabs=False), "  \tb", " \tb"), (NormalizeOptions(spaces_per_tab=0), "a\tb", "ab"), (NormalizeOptions(trim_block=False), " a \n\n ", "a\n\n"),
-    (NormalizeOptions(collapse_newlines=False), "a\n\n\n\nb", "a\n\n\n\nb"), (NormalizeOptions(max_newlines=1), "a\n\nb", "a\nb"), (NormalizeOptions(collapse_spaces=False), "a   b", "a   b"),
+    (NormalizeOptions(convert_tabs=False), "  \tb", " \tb"), (NormalizeOptions(spaces_per_tab=0), "a\tb", "ab"),
+    (NormalizeOptions(trim_block=False), " a \n\n ", "a\n\n"),
+    (NormalizeOptions(collapse_newlines=False), "a\n\n\n\nb", "a\n\n\n\nb"),
+    (NormalizeOptions(max_newlines=1), "a\n\nb", "a\nb"), (NormalizeOptions(collapse_spaces=False), "a   b", "a   b"),
 ])
 def test_normalize_options(spark, options, text, out):
     assert column(spark, [text], T.normalize_text(F.col("t"), options)) == [out]
