@@ -303,7 +303,9 @@ class Edges:
         first, self._used = self._used, self._used + len(keys)
         if self._used > len(self.keys):
             room = max(1 << 12, 2 * self._used)
-            self.keys, self.to, self.out = (np.concatenate([x[:first], np.zeros(room - first, np.int64)]) for x in (self.keys, self.to, self.out))
+            self.keys, self.to, self.out = (
+                np.concatenate([x[:first], np.zeros(room - first, np.int64)]) for x in (self.keys, self.to, self.out)
+            )
         for own, new in ((self.keys, keys), (self.to, to), (self.out, out)):
             own[first : self._used] = new
         rows = np.arange(first, self._used, dtype=np.int32)
@@ -416,7 +418,10 @@ class TextCodec:
         self.machine = BpeTransducer(load_ranks(path))
         self._find = regex.compile(pattern).findall
         names = [None] * (max(self.machine.bytes_of) + 1)
-        self._names, self._bytes = (pa.array([f(i) if i in self.machine.bytes_of else None for i in range(len(names))], t) for f, t in ((str, pa.string()), (self.machine.bytes_of.get, pa.binary())))
+        self._names, self._bytes = (
+            pa.array([f(i) if i in self.machine.bytes_of else None for i in range(len(names))], t) for f,
+            t in ((str, pa.string()), (self.machine.bytes_of.get, pa.binary()))
+        )
         self._decoder = TokenDecoder(self.machine.bytes_of)
 
     def _cut(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -504,7 +509,10 @@ class TextCodec:
                 bad[k] = (text + self._decoder.close(state)).encode()
             decoded = pa.array([bad.get(k, x) for k, x in enumerate(decoded.to_pylist())], pa.binary())
         total = np.append(0, np.cumsum(n[codes]))[np.append(0, ends)]
-        out = {"n_tokens": np.diff(total), "ids_sha256": _digests(joined), "decoded_sha256": _digests(decoded), "round_trip": pc.equal(decoded, texts.cast(pa.binary()))}
+        out = {
+            "n_tokens": np.diff(total), "ids_sha256": _digests(joined), "decoded_sha256": _digests(decoded),
+            "round_trip": pc.equal(decoded, texts.cast(pa.binary()))
+        }
         if keep_ids:
             every = ids[ranges((np.cumsum(n) - n)[codes], n[codes])]
             out["ids"] = pa.ListArray.from_arrays(pa.array(total, pa.int32()), pa.array(every, pa.int32()))
@@ -528,7 +536,9 @@ def _lists(sizes: np.ndarray, values: pa.Array) -> pa.Array:
 
 def _digests(values: pa.Array) -> list[str]:
     """sha256 of each string or binary value."""
-    bounds, data = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1].tolist(), values.buffers()[2]
+    bounds, data = np.frombuffer(values.buffers()[1], np.int32)[
+        values.offset : values.offset + len(values) + 1
+    ].tolist(), values.buffers()[2]
     view = memoryview(data) if data is not None else memoryview(b"")
     return [hashlib.sha256(view[a:b]).hexdigest() for a, b in zip(bounds[:-1], bounds[1:])]
 
@@ -538,7 +548,10 @@ def codec(path: str, pattern: str = public_tokenizers.PATTERN) -> TextCodec:
     return resident(intern(f"{path}\n{pattern}"), lambda: TextCodec(path, pattern))
 
 
-def encode_documents(df: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+def encode_documents(
+    df: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text",
+    keep_ids: bool = False
+) -> DataFrame:
     """Encode and decode every whole text; one row for each row of ``df``, no shuffle.
 
     Returns id, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``, ``round_trip`` and, with
@@ -550,10 +563,17 @@ def encode_documents(df: DataFrame, path: str, pattern: str = public_tokenizers.
 
     def run(ids: pa.Array, texts: pa.Array) -> list:
         got = codec(path, pattern).round_trip(texts, keep_ids)
-        return [ids, *([got["ids"]] if keep_ids else []), got["n_tokens"], got["ids_sha256"], got["decoded_sha256"], got["round_trip"]]
+        return [
+            ids, *([got["ids"]] if keep_ids else []), got["n_tokens"], got["ids_sha256"], got["decoded_sha256"],
+            got["round_trip"]
+        ]
 
     id_type = df.schema[id_col].dataType.simpleString()
-    return map_arrow(df.select(id_col, text_col), run, f"{id_col} {id_type}, {kept}n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean", keeps=True)
+    return map_arrow(
+        df.select(id_col, text_col), run,
+        f"{id_col} {id_type}, {kept}n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean",
+        keeps=True
+    )
 
 
 def op1_bpe(spark, sf_dir):

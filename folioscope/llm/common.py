@@ -96,7 +96,10 @@ def map_arrow(df: DataFrame, fn: Callable[..., list], schema: str, text: int = 1
         for batch in batches:
             for part in slices(batch, text):
                 cols = fn(*part.columns)
-                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(cols, arrow)], schema=arrow)
+                yield pa.RecordBatch.from_arrays(
+                    [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(cols, arrow)],
+                    schema=arrow
+                )
 
     return df.mapInArrow(run, schema)
 

@@ -29,7 +29,9 @@ def _small(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are linked to the smallest of them."""
     least = _least(edges, "b", F.min("a"))
     joined = edges.join(least, "b")
-    return joined.select(F.col("m").alias("a"), F.col("a").alias("b")).unionByName(least.select(F.col("m").alias("a"), "b")).filter("a <> b").distinct()
+    return joined.select(
+        F.col("m").alias("a"), F.col("a").alias("b")
+    ).unionByName(least.select(F.col("m").alias("a"), "b")).filter("a <> b").distinct()
 
 
 def components(links: DataFrame, most: int = 60) -> DataFrame:
@@ -37,7 +39,9 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
 
     Links may repeat, run either way or join a node to itself.  Nodes are of any ordered type.
     """
-    edges = stored(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    edges = stored(
+        links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links"
+    )
     mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     seen = mark(edges)
     for _ in range(most):

@@ -95,7 +95,9 @@ class Bag:
         out = np.zeros((2, BUCKETS + 1), np.int64)
         for text, own, pairs in self.blocks():
             for k, some in enumerate((slice(None), target[text])):
-                out[k] += np.bincount(own[some], minlength=BUCKETS + 1) + np.bincount(pairs[:, some].ravel(), minlength=BUCKETS + 1)
+                out[k] += np.bincount(own[some], minlength=BUCKETS + 1) + np.bincount(
+                    pairs[:, some].ravel(), minlength=BUCKETS + 1
+                )
         return out[:, :BUCKETS]
 
     def sums(self, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,9 +124,14 @@ def count_models(df: DataFrame, text_col: str, target_col: str) -> np.ndarray:
             sums += Bag(stretches(part.column(0))).counts(target)
         kind, bucket = np.nonzero(sums)
         if len(kind):
-            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(bucket, pa.int32()), pa.array(sums[kind, bucket], pa.int64())], schema=schema)
-
-    rows = df.select(text_col, target_col).mapInArrow(count, "kind int, bucket int, n long").groupBy("kind", "bucket").agg(F.sum("n").alias("n")).collect()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(kind, pa.int32()), pa.array(bucket, pa.int32()), pa.array(sums[kind, bucket], pa.int64())],
+                schema=schema
+            )
+
+    rows = df.select(text_col, target_col).mapInArrow(
+        count, "kind int, bucket int, n long"
+    ).groupBy("kind", "bucket").agg(F.sum("n").alias("n")).collect()
     out = np.zeros((2, BUCKETS))
     for kind, bucket, n in rows:
         out[kind, bucket] = n
@@ -165,13 +172,18 @@ def target_size(weighed: DataFrame, ids: DataFrame, id_col: str) -> int:
     counted = weighed.select(F.col(id_col).alias("__i"), at).groupBy("__i", "__at").agg(F.count("*").alias("__n"))
     rows = dict(map(tuple, counted.groupBy("__at").agg(F.sum("__n")).collect()))
     # Rows of one id are counted before they meet its label.
-    known = counted.join(ids, F.col("__i") == F.col("__t")).groupBy("__at").agg(F.sum("__n"), F.sum(F.when(F.col("__y"), F.col("__n")).otherwise(0))).collect()
+    known = counted.join(ids, F.col("__i") == F.col("__t")).groupBy("__at").agg(
+        F.sum("__n"), F.sum(F.when(F.col("__y"), F.col("__n")).otherwise(0))
+    ).collect()
     share = {k: good / n for k, n, good in known}
     size = sum(n * (share[min(share, key=lambda j: (abs(j - k), -j))] if share else 1) for k, n in rows.items())
     return math.ceil(round(size, 6))
 
 
-def weigh(df: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 9, temperature: float = 1.0, carry: bool = False) -> DataFrame:
+def weigh(
+    df: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 9,
+    temperature: float = 1.0, carry: bool = False
+) -> DataFrame:
     """id, ``n_grams``, ``log_weight`` (log of the ratio of the two models) and ``gumbel_key`` for each row.
 
     ``target``: one column of ids of bounded size; it is broadcast.  The key is the log weight plus
@@ -181,7 +193,10 @@ def weigh(df: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: st
     columns of ``df`` come along; those of the three names above are replaced.
     """
     prepare(df.sparkSession)
-    flagged = df.select(F.col(id_col).alias("__i"), F.col(text_col).alias("__x")).join(F.broadcast(target.select(F.col(target.columns[0]).alias("__t"), F.lit(True).alias("__target"))), F.col("__i") == F.col("__t"), "left")
+    flagged = df.select(F.col(id_col).alias("__i"), F.col(text_col).alias("__x")).join(
+        F.broadcast(target.select(F.col(target.columns[0]).alias("__t"), F.lit(True).alias("__target"))),
+        F.col("__i") == F.col("__t"), "left"
+    )
     counts = count_models(flagged, "__x", "__target")
     ratio = df.sparkSession.sparkContext.broadcast(log_ratio(counts) if counts[1].any() else np.zeros(BUCKETS))
     added = ("n_grams", "log_weight", "gumbel_key")
@@ -196,7 +211,13 @@ def weigh(df: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: st
             n, weight = Bag(stretches(texts)).sums(r)
             h = np.array([xxhash.xxh3_64_intdigest(f"{seed}:{i}:{t or ''}") for i, t in zip(ids, texts.to_pylist())], np.uint64)
             u = ((h >> np.uint64(11)).astype(np.float64) + 0.5) / 2**53
-            yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(n, pa.int64()), pa.array(weight), pa.array(weight - temperature * np.log(-np.log(u)))], names=[*kept, *added])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *part.columns[: len(kept)], pa.array(n, pa.int64()), pa.array(weight),
+                    pa.array(weight - temperature * np.log(-np.log(u)))
+                ],
+                names=[*kept, *added]
+            )
 
     schema = StructType([df.schema[c] for c in kept]).add("n_grams", "long").add("log_weight", "double").add("gumbel_key", "double")
     return rows.mapInArrow(run, schema)
@@ -218,7 +239,12 @@ def kth_largest(df: DataFrame, col: str, k: int, bins: int = 4096) -> float:
             break
         inside = df.filter(F.col(col).between(low, high))
         part = F.least(F.floor((F.col(col) - low) / width), F.lit(bins - 1))
-        for row in sorted(inside.groupBy(part.alias("p")).agg(F.count("*").alias("n"), F.min(col).alias("lo"), F.max(col).alias("hi")).collect(), key=lambda r: -r["p"]):
+        for row in sorted(
+            inside.groupBy(part.alias("p")).agg(
+                F.count("*").alias("n"), F.min(col).alias("lo"), F.max(col).alias("hi")
+            ).collect(),
+            key=lambda r: -r["p"]
+        ):
             if left <= row["n"]:
                 low, high = row["lo"], row["hi"]
                 break
@@ -228,7 +254,10 @@ def kth_largest(df: DataFrame, col: str, k: int, bins: int = 4096) -> float:
     return high
 
 
-def resample(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", target_docs: int = 6000, k: int | None = None, seed: int = 9, temperature: float = 1.0, carry: bool = False) -> DataFrame:
+def resample(
+    df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+    target_docs: int = 6000, k: int | None = None, seed: int = 9, temperature: float = 1.0, carry: bool = False
+) -> DataFrame:
     """``weigh`` plus ``selected``: whether the row is among the Gumbel top-k.
 
     k defaults to the number of rows that are like the target (``target_size``).  At most about

@@ -140,7 +140,10 @@ def _counted(texts: pa.Array) -> tuple[Counter, Counter]:
     return own, g
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 1500, max_words: int = 60_000, max_grams: int = 60_000, max_langs: int = 500, seed: int = 5) -> LanguageModel:
+def fit(
+    labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+    docs_per_lang: int = 1500, max_words: int = 60_000, max_grams: int = 60_000, max_langs: int = 500, seed: int = 5
+) -> LanguageModel:
     """Fit on a bounded sample of labelled rows: about ``docs_per_lang`` whole texts a language.
 
     Rows with null text or language teach nothing.  Texts are drawn by a hash of id and text.  The
@@ -148,12 +151,18 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     ``max_words`` words and ``max_grams`` n-grams that occur most (ties go by the string).  So what
     reaches the driver has a fixed bound, and no language crowds out another.
     """
-    df = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"))
-    share = {r["l"]: min(1.0, docs_per_lang / r["n"]) for r in df.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(max_langs).collect()}
+    df = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
+        F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")
+    )
+    share = {
+        r["l"]: min(1.0, docs_per_lang / r["n"]) for r in df.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(max_langs).collect()
+    }
     if not share:
         return LanguageModel({})
     keep = F.create_map([F.lit(x) for pair in share.items() for x in pair])
-    sample = df.filter(spread(F.col("i"), F.col("t"), seed=seed) < F.coalesce(F.try_element_at(keep, F.col("l")), F.lit(0.0))).select("l", "t")
+    sample = df.filter(
+        spread(F.col("i"), F.col("t"), seed=seed) < F.coalesce(F.try_element_at(keep, F.col("l")), F.lit(0.0))
+    ).select("l", "t")
     schema = pa.schema([("l", pa.string()), ("kind", pa.string()), ("s", pa.string()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,11 +170,21 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         for part in (p for b in batches for p in slices(b, 1)):
             for lang in part.column(0).unique().to_pylist():
                 for kind, counter in zip("wg", _counted(part.filter(pc.equal(part.column(0), lang)).column(1))):
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counter)), pa.array([kind] * len(counter)), pa.array(list(counter), pa.string()), pa.array(list(counter.values()), pa.int64())], schema=schema)
-
-    counted = sample.mapInArrow(count, "l string, kind string, s string, n long").groupBy("l", "kind", "s").agg(F.sum("n").alias("n")).filter("n > 1")
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([lang] * len(counter)), pa.array([kind] * len(counter)),
+                            pa.array(list(counter), pa.string()), pa.array(list(counter.values()), pa.int64())
+                        ],
+                        schema=schema
+                    )
+
+    counted = sample.mapInArrow(
+        count, "l string, kind string, s string, n long"
+    ).groupBy("l", "kind", "s").agg(F.sum("n").alias("n")).filter("n > 1")
     place = F.row_number().over(Window.partitionBy("l", "kind").orderBy(F.desc("n"), "s"))
-    top = counted.withColumn("place", place).filter(F.col("place") <= F.when(F.col("kind") == "w", max_words).otherwise(max_grams)).select("l", "kind", "s", "n")
+    top = counted.withColumn("place", place).filter(
+        F.col("place") <= F.when(F.col("kind") == "w", max_words).otherwise(max_grams)
+    ).select("l", "kind", "s", "n")
     return LanguageModel({(lang, kind, s): n for lang, kind, s, n in sorted(map(tuple, top.collect()))})
 
 
@@ -186,7 +205,10 @@ def scorer_of(model: LanguageModel) -> Scorer:
     return resident(model, lambda: Scorer(model))
 
 
-def identify(df: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **fit_options) -> DataFrame:
+def identify(
+    df: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+    **fit_options
+) -> DataFrame:
     """Learn from the rows where ``learn`` holds (all by default), predict for all rows.
 
     Returns id, ``lang_pred``, ``score``.  Null or letterless text is ``und`` with score 0, and so

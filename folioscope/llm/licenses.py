@@ -80,7 +80,13 @@ class Template:
 
 
 def template_sets(templates: list[tuple[str, str, str]], threshold: float) -> list[Template]:
-    return [Template(label, w := sorted(set(text.split())), sorted(set(telling.split())), math.ceil(threshold * len(w)), 2 * len(text.split())) for label, text, telling in templates]
+    return [
+        Template(
+            label, w := sorted(set(text.split())), sorted(set(telling.split())), math.ceil(threshold * len(w)),
+            2 * len(text.split())
+        ) for label,
+        text, telling in templates
+    ]
 
 
 def lowered(text: Column) -> Column:
@@ -98,7 +104,9 @@ def text_key(text: Column) -> Column:
     return F.when(text.isNotNull(), F.xxhash64(text))
 
 
-def match_templates(df: DataFrame, text: Column, templates: list[tuple[str, str, str]] = TEMPLATES, threshold: float = 0.85) -> DataFrame:
+def match_templates(
+    df: DataFrame, text: Column, templates: list[tuple[str, str, str]] = TEMPLATES, threshold: float = 0.85
+) -> DataFrame:
     """``h`` (hash of the text), ``label`` and ``containment``: the best run of each text and label.
 
     Two passes over the texts: one counts the texts that hold each template word, the other joins
@@ -112,21 +120,41 @@ def match_templates(df: DataFrame, text: Column, templates: list[tuple[str, str,
     known = F.array(*map(F.lit, vocabulary))
     texts = df.select(text.alias("t")).filter(F.col("t").isNotNull())
     own = F.array_intersect(words_of(F.col("t")), known)
-    counted = {r["w"]: r["n"] for r in texts.select(F.explode(own).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
+    counted = {
+        r["w"]: r["n"] for r in texts.select(F.explode(own).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()
+    }
     rank = {w: k for k, w in enumerate(sorted(vocabulary, key=lambda w: (counted.get(w, 0), w)))}
     index = []
     for k, t in enumerate(sets):
         ranks = sorted(rank[w] for w in t.words)
-        index += [(r, k, t.label, i, len(ranks), t.need, ranks, t.words, t.telling, t.width) for i, r in enumerate(ranks[: len(ranks) - t.need + 1])]
-    small = spark.createDataFrame(index, "word int, template int, label string, i int, size int, need int, ranks array<int>, words array<string>, telling array<string>, width int")
+        index += [
+            (r, k, t.label, i, len(ranks), t.need, ranks, t.words, t.telling, t.width) for i,
+            r in enumerate(ranks[: len(ranks) - t.need + 1])
+        ]
+    small = spark.createDataFrame(
+        index,
+        "word int, template int, label string, i int, size int, need int, ranks array<int>, words array<string>, telling array<string>, width int"
+    )
     to_rank = F.create_map([F.lit(x) for pair in rank.items() for x in pair])
     # No lambda before the explode: the optimizer would split the text again for each of its calls.
-    split = texts.select(text_key(F.col("t")).alias("h"), words_of(F.col("t")).alias("run")).select("h", "run", F.array_intersect("run", known).alias("own")).filter(F.size("own") >= least)
-    split = split.select("h", "run", F.explode(F.array("own")).alias("own")).select("h", "run", F.array_sort(F.transform("own", lambda w: F.element_at(to_rank, w))).alias("own"))
+    split = texts.select(
+        text_key(F.col("t")).alias("h"), words_of(F.col("t")).alias("run")
+    ).select("h", "run", F.array_intersect("run", known).alias("own")).filter(F.size("own") >= least)
+    split = split.select("h", "run", F.explode(F.array("own")).alias("own")).select(
+        "h", "run", F.array_sort(F.transform("own", lambda w: F.element_at(to_rank, w))).alias("own")
+    )
     pairs = split.select("h", "run", "own", F.posexplode("own").alias("j", "word")).join(F.broadcast(small), "word")
     # Length, position, and of the prefix words that both have, the first only.
-    pairs = pairs.filter((F.size("own") >= F.col("need")) & (1 + F.least(F.col("size") - F.col("i") - 1, F.size("own") - F.col("j") - 1) >= F.col("need")))
-    pairs = pairs.filter((F.size(F.array_intersect("own", "ranks")) >= F.col("need")) & ~F.arrays_overlap(F.slice("own", F.lit(1), F.col("j")), F.slice("ranks", F.lit(1), F.col("i"))))
+    pairs = pairs.filter(
+        (F.size("own") >= F.col("need")) & (
+            1 + F.least(F.col("size") - F.col("i") - 1, F.size("own") - F.col("j") - 1) >= F.col("need")
+        )
+    )
+    pairs = pairs.filter(
+        (F.size(F.array_intersect("own", "ranks")) >= F.col("need")) & ~F.arrays_overlap(
+            F.slice("own", F.lit(1), F.col("j")), F.slice("ranks", F.lit(1), F.col("i"))
+        )
+    )
     starts = F.filter(F.sequence(F.lit(1), F.size("run")), lambda p: F.array_contains(F.col("words"), F.element_at("run", p)))
 
     def held(p: Column) -> Column:
@@ -137,7 +165,10 @@ def match_templates(df: DataFrame, text: Column, templates: list[tuple[str, str,
     return best.groupBy("h", "label").agg(F.max(F.col("both") / F.col("size")).alias("containment"))
 
 
-def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str, str]] = TEMPLATES, threshold: float = 0.85) -> DataFrame:
+def scan_licenses(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str, str]] = TEMPLATES,
+    threshold: float = 0.85
+) -> DataFrame:
     """id, n_words, n_base, first_word, last_word, base_labels, labels and score for each row.
 
     Null text counts as empty: no words, no labels, null first and last word, score 0.  score is 1
@@ -146,17 +177,24 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     prepare(df.sparkSession)
     text = F.col(text_col)
-    found = match_templates(df, text, templates, threshold).groupBy("h").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
+    found = match_templates(df, text, templates, threshold).groupBy("h").agg(
+        F.collect_set("label").alias("more"), F.max("containment").alias("best")
+    )
     # Written before it is joined, so that Spark knows its size and can split the rows of one much repeated text.
-    found = stored(found.select(F.col("h").alias("__fs_at"), F.col("more").alias("__fs_more"), F.col("best").alias("__fs_best")), "licenses")
+    found = stored(
+        found.select(F.col("h").alias("__fs_at"), F.col("more").alias("__fs_more"), F.col("best").alias("__fs_best")),
+        "licenses"
+    )
     base = base_columns(text)
     rows = df.select(F.col(id_col), text_key(text).alias("__fs_h"), *[c.alias(f"__fs_{n}") for n, c in base.items()])
     joined = rows.join(found, F.col("__fs_h") == F.col("__fs_at"), "left")
     join = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
     more = F.coalesce(F.col("__fs_more"), F.array().cast("array<string>"))
     return joined.select(
-        id_col, *[F.col(f"__fs_{n}").alias(n) for n in ("n_words", "n_base", "first_word", "last_word")], join(F.col("__fs_base")).alias("base_labels"),
-        join(F.concat("__fs_base", more)).alias("labels"), F.when(F.col("__fs_n_base") > 0, 1.0).otherwise(F.coalesce(F.col("__fs_best"), F.lit(0.0))).alias("score"),
+        id_col, *[F.col(f"__fs_{n}").alias(n) for n in ("n_words", "n_base", "first_word", "last_word")],
+        join(F.col("__fs_base")).alias("base_labels"),
+        join(F.concat("__fs_base", more)).alias("labels"),
+        F.when(F.col("__fs_n_base") > 0, 1.0).otherwise(F.coalesce(F.col("__fs_best"), F.lit(0.0))).alias("score"),
     )
 
 
@@ -170,7 +208,10 @@ def licenses_sql(templates: list[tuple[str, str, str]] = TEMPLATES, threshold: f
     low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     word = "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'"
     phrases = ", ".join(f"({p.split()!r}, '{label}')" for p, label in PHRASES.items())
-    sets = ", ".join(f"({k}, '{t.label}', {t.words!r}, CAST({t.telling!r} AS VARCHAR[]), {t.need}, {t.width})" for k, t in enumerate(template_sets(templates, threshold)))
+    sets = ", ".join(
+        f"({k}, '{t.label}', {t.words!r}, CAST({t.telling!r} AS VARCHAR[]), {t.need}, {t.width})" for k,
+        t in enumerate(template_sets(templates, threshold))
+    )
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {low} AS t FROM documents),
 w AS (SELECT rid, doc_id, regexp_extract_all(t, {word}) AS words FROM d),

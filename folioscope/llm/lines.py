@@ -43,12 +43,18 @@ def boilerplate_lines(df: DataFrame, site: Column, text: Column, max_ratio: floa
     """
     pages = df.select(_site(site).alias("site"), text.alias("t"))
     totals = pages.groupBy("site").agg(F.count("*").alias("site_pages"))
-    lines = pages.select("site", F.explode(F.array_distinct(F.split("t", "\n", -1))).alias("line")).filter(~F.col("line").rlike(f"\\A{BLANK}\\z"))
-    counted = lines.groupBy("site", line_key(F.col("line")).alias("k")).agg(F.count("*").alias("n_pages")).filter(F.col("n_pages") >= min_pages)
+    lines = pages.select(
+        "site", F.explode(F.array_distinct(F.split("t", "\n", -1))).alias("line")
+    ).filter(~F.col("line").rlike(f"\\A{BLANK}\\z"))
+    counted = lines.groupBy(
+        "site", line_key(F.col("line")).alias("k")
+    ).agg(F.count("*").alias("n_pages")).filter(F.col("n_pages") >= min_pages)
     return counted.join(totals, "site").filter(F.col("n_pages") > F.col("site_pages") * F.lit(max_ratio))
 
 
-def drop_boilerplate(df: DataFrame, site: str | Column = "source", text_col: str = "text", max_ratio: float = 0.05, min_pages: int = 3) -> DataFrame:
+def drop_boilerplate(
+    df: DataFrame, site: str | Column = "source", text_col: str = "text", max_ratio: float = 0.05, min_pages: int = 3
+) -> DataFrame:
     """``df`` with boilerplate lines removed from the text, and ``n_lines``, ``n_dropped``.
 
     Every row stays, with all its other columns; columns of ``df`` named n_lines or n_dropped are
@@ -66,10 +72,15 @@ def drop_boilerplate(df: DataFrame, site: str | Column = "source", text_col: str
     else:
         kept_table = stored(kept_table, "boilerplate")
     joined = rows.join(kept_table, F.col("__fs_site") == F.col("__fs_at"), "left")
-    keep = F.when(F.col("__fs_drop").isNull(), F.col("__fs_lines")).otherwise(F.filter("__fs_lines", lambda x: ~F.array_contains(F.col("__fs_drop"), line_key(x))))
+    keep = F.when(F.col("__fs_drop").isNull(), F.col("__fs_lines")).otherwise(
+        F.filter("__fs_lines", lambda x: ~F.array_contains(F.col("__fs_drop"), line_key(x)))
+    )
     out = joined.withColumn("__fs_kept", keep)
     return (
-        out.withColumn(text_col, F.when(F.size("__fs_kept") == F.size("__fs_lines"), F.col(text_col)).otherwise(F.array_join("__fs_kept", "\n")))
+        out.withColumn(
+            text_col,
+            F.when(F.size("__fs_kept") == F.size("__fs_lines"), F.col(text_col)).otherwise(F.array_join("__fs_kept", "\n"))
+        )
         .withColumn("n_lines", F.when(F.col("__fs_lines").isNull(), 0).otherwise(F.size("__fs_lines")))
         .withColumn("n_dropped", F.col("n_lines") - F.when(F.col("__fs_kept").isNull(), 0).otherwise(F.size("__fs_kept")))
         .drop("__fs_site", "__fs_at", "__fs_lines", "__fs_drop", "__fs_kept")
@@ -79,7 +90,10 @@ def drop_boilerplate(df: DataFrame, site: str | Column = "source", text_col: str
 def op2_lines(spark, sf_dir):
     """Query: documents without the boilerplate lines of their source."""
     out = drop_boilerplate(docs(spark, sf_dir))
-    return out.select("doc_id", "source", F.col("text").alias("clean_text"), F.col("n_lines").cast("long").alias("n_lines"), F.col("n_dropped").cast("long").alias("n_dropped"))
+    return out.select(
+        "doc_id", "source", F.col("text").alias("clean_text"), F.col("n_lines").cast("long").alias("n_lines"),
+        F.col("n_dropped").cast("long").alias("n_dropped")
+    )
 
 
 OP2_SQL = """

@@ -39,7 +39,9 @@ class Mix:
 
 def default_domain(source: Column) -> Column:
     """The domain of a source: its number modulo 4, d0 where it has none."""
-    return F.concat(F.lit("d"), (F.concat(F.lit("0"), F.regexp_extract(source, "([0-9]{1,9})$", 1)).cast("long") % 4).cast("string"))
+    return F.concat(
+        F.lit("d"), (F.concat(F.lit("0"), F.regexp_extract(source, "([0-9]{1,9})$", 1)).cast("long") % 4).cast("string")
+    )
 
 
 def n_tokens(text: Column) -> Column:
@@ -48,7 +50,9 @@ def n_tokens(text: Column) -> Column:
 
 
 def order_key(seed: int, epoch: Column, doc_id: Column) -> Column:
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
+    return F.md5(
+        F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary")
+    )
 
 
 #: Leaves up to which the budget table is broadcast (about 100 bytes each).
@@ -72,15 +76,23 @@ def share_out(nodes: DataFrame, parent: list[str]) -> DataFrame:
     Siblings of one cap / weight fare alike, so only sums by that number are ordered: a parent's
     children are never brought together.
     """
-    df = nodes.withColumn("cap", F.when(F.col("weight") > 0, F.col("cap")).otherwise(0)).withColumn("ratio", F.col("cap").cast("double") / F.greatest(F.col("weight"), F.lit(1)).cast("double"))
+    df = nodes.withColumn("cap", F.when(F.col("weight") > 0, F.col("cap")).otherwise(0)).withColumn(
+        "ratio", F.col("cap").cast("double") / F.greatest(F.col("weight"), F.lit(1)).cast("double")
+    )
     before = Window.partitionBy(*parent).orderBy("ratio").rowsBetween(Window.unboundedPreceding, -1)
-    steps = df.groupBy(*parent, "ratio").agg(F.first("budget").alias("budget"), F.sum("cap").alias("c"), F.sum("weight").alias("w"))
+    steps = df.groupBy(*parent, "ratio").agg(
+        F.first("budget").alias("budget"), F.sum("cap").alias("c"), F.sum("weight").alias("w")
+    )
     steps = steps.withColumn("left", F.greatest(F.col("budget") - F.coalesce(F.sum("c").over(before), F.lit(0)), F.lit(0)))
-    steps = steps.withColumn("w_left", F.sum("w").over(Window.partitionBy(*parent)) - F.coalesce(F.sum("w").over(before), F.lit(0)))
+    steps = steps.withColumn(
+        "w_left", F.sum("w").over(Window.partitionBy(*parent)) - F.coalesce(F.sum("w").over(before), F.lit(0))
+    )
     first = steps.filter("c * w_left > left * w").groupBy(*parent).agg(F.min(F.struct("ratio", "left", "w_left")).alias("first"))
     df = df.join(first, parent, "left")
     full = F.col("first").isNull() | (F.col("ratio") < F.col("first.ratio"))
-    return df.withColumn("alloc", F.when(full, F.col("cap")).otherwise(F.expr("first.left * weight div first.w_left"))).drop("ratio", "first")
+    return df.withColumn(
+        "alloc", F.when(full, F.col("cap")).otherwise(F.expr("first.left * weight div first.w_left"))
+    ).drop("ratio", "first")
 
 
 def leaf_budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
@@ -95,7 +107,9 @@ def leaf_budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     up = None
     for depth, level in enumerate(LEVELS):
         path = list(LEVELS[: depth + 1])
-        nodes = caps.groupBy(*path).agg(F.sum("cap").alias("cap")).withColumn("weight", _weight(tables[depth], F.col(level), mix.other))
+        nodes = caps.groupBy(*path).agg(F.sum("cap").alias("cap")).withColumn(
+            "weight", _weight(tables[depth], F.col(level), mix.other)
+        )
         if depth:
             out = share_out(nodes.join(up, path[:-1]), path[:-1])
         else:
@@ -104,7 +118,10 @@ def leaf_budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     return leaves.join(up.withColumnRenamed("budget", "alloc"), list(LEVELS))
 
 
-def mix_sources(df: DataFrame, mix: Mix = Mix(), domain: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def mix_sources(
+    df: DataFrame, mix: Mix = Mix(), domain: Column | None = None, id_col: str = "doc_id", text_col: str = "text",
+    lang_col: str = "lang", source_col: str = "source"
+) -> DataFrame:
     """The selected rows of ``df`` with all their columns, and ``domain``, ``epoch``, ``n_tokens``.
 
     A row stands once for each epoch that takes it.  Null languages and sources are leaves named
@@ -120,33 +137,59 @@ def mix_sources(df: DataFrame, mix: Mix = Mix(), domain: Column | None = None, i
     leaf = [f"__fs_{x}" for x in LEVELS]
     source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
     rows = df.withColumns({
-        "__fs_domain": F.coalesce(domain, F.lit("")) if domain is not None else default_domain(source), "__fs_lang": F.coalesce(F.col(lang_col).cast("string"), F.lit("")), "__fs_source": source,
-        "__fs_n": n_tokens(F.col(text_col)), "__fs_id": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "__fs_h": F.xxhash64(F.col(text_col)),
+        "__fs_domain": F.coalesce(domain, F.lit("")) if domain is not None else default_domain(source),
+        "__fs_lang": F.coalesce(F.col(lang_col).cast("string"), F.lit("")), "__fs_source": source,
+        "__fs_n": n_tokens(F.col(text_col)), "__fs_id": F.coalesce(F.col(id_col).cast("string"), F.lit("")),
+        "__fs_h": F.xxhash64(F.col(text_col)),
     })
     narrow = stored(rows.groupBy("__fs_id", "__fs_h", *leaf).agg(F.sum("__fs_n").cast("long").alias("n")), "tokens")
     leaves = narrow.groupBy(*[F.col(a).alias(b) for a, b in zip(leaf, LEVELS)]).agg(F.sum("n").alias("supply"))
-    budgets = leaf_budgets(leaves, mix).withColumn("passes", F.expr(f"case when supply > 0 then least(alloc div supply, {mix.max_epochs}) else 0 end"))
-    budgets = budgets.withColumn("rest", F.when(F.col("passes") == mix.max_epochs, F.lit(-1)).otherwise(F.col("alloc") - F.col("passes") * F.col("supply")))
-    budgets = stored(budgets.select(*[F.col(b).alias(a) for a, b in zip(leaf, LEVELS)], F.col("passes").alias("__fs_passes"), F.col("rest").alias("__fs_rest")), "budgets")
+    budgets = leaf_budgets(leaves, mix).withColumn(
+        "passes", F.expr(f"case when supply > 0 then least(alloc div supply, {mix.max_epochs}) else 0 end")
+    )
+    budgets = budgets.withColumn(
+        "rest",
+        F.when(F.col("passes") == mix.max_epochs, F.lit(-1)).otherwise(F.col("alloc") - F.col("passes") * F.col("supply"))
+    )
+    budgets = stored(
+        budgets.select(
+            *[F.col(b).alias(a) for a, b in zip(leaf, LEVELS)], F.col("passes").alias("__fs_passes"),
+            F.col("rest").alias("__fs_rest")
+        ),
+        "budgets"
+    )
     if budgets.count() <= BROADCAST_LEAVES:
         budgets = F.broadcast(budgets)
-    key = order_key(mix.seed, F.col("__fs_passes"), F.when(F.col("__fs_id") != "", F.col("__fs_id")).otherwise(F.col("__fs_h").cast("string")))
-    dealt = narrow.join(budgets, leaf).filter("__fs_rest >= 0").withColumn("k", key).withColumn("part", F.substring("k", 1, DIGITS))
+    key = order_key(
+        mix.seed, F.col("__fs_passes"),
+        F.when(F.col("__fs_id") != "", F.col("__fs_id")).otherwise(F.col("__fs_h").cast("string"))
+    )
+    dealt = narrow.join(budgets, leaf).filter("__fs_rest >= 0").withColumn("k", key).withColumn(
+        "part", F.substring("k", 1, DIGITS)
+    )
     run = Window.partitionBy(*leaf).orderBy("part")
     sums = dealt.groupBy(*leaf, "part", "__fs_rest").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(run))
-    cut = sums.filter("upto > __fs_rest").groupBy(*leaf).agg(F.min(F.struct("part", (F.col("upto") - F.col("n")).alias("before"))).alias("c")).select(*leaf, F.col("c.part").alias("__fs_cut"), F.col("c.before").alias("__fs_before"))
+    cut = sums.filter("upto > __fs_rest").groupBy(*leaf).agg(
+        F.min(F.struct("part", (F.col("upto") - F.col("n")).alias("before"))).alias("c")
+    ).select(*leaf, F.col("c.part").alias("__fs_cut"), F.col("c.before").alias("__fs_before"))
     cut = stored(cut, "cuts")
     cuts = F.broadcast(cut) if cut.count() <= BROADCAST_LEAVES else cut
     inside = Window.partitionBy(*leaf).orderBy("k", "__fs_id", "__fs_h").rowsBetween(Window.unboundedPreceding, 0)
-    edge = dealt.join(cuts, leaf).filter("part = __fs_cut").withColumn("upto", F.col("__fs_before") + F.sum("n").over(inside)).filter("upto <= __fs_rest")
+    edge = dealt.join(cuts, leaf).filter("part = __fs_cut").withColumn(
+        "upto", F.col("__fs_before") + F.sum("n").over(inside)
+    ).filter("upto <= __fs_rest")
     edge = stored(edge.select("__fs_id", "__fs_h", *leaf, F.lit(True).alias("__fs_edge")), "edge")
     taken = rows.join(budgets, leaf).join(cuts, leaf, "left").join(edge, ["__fs_id", "__fs_h", *leaf], "left")
     part = F.substring(key, 1, DIGITS)
-    more = (F.col("__fs_rest") >= 0) & (F.col("__fs_cut").isNull() | (part < F.col("__fs_cut")) | F.coalesce(F.col("__fs_edge"), F.lit(False)))
+    more = (F.col("__fs_rest") >= 0) & (
+        F.col("__fs_cut").isNull() | (part < F.col("__fs_cut")) | F.coalesce(F.col("__fs_edge"), F.lit(False))
+    )
     n = F.col("__fs_passes").cast("int") + F.when(more, 1).otherwise(0)
     epochs = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     kept = [c for c in df.columns if c not in ("domain", "epoch", "n_tokens")]
-    return taken.select(*kept, F.col("__fs_domain").alias("domain"), F.col("__fs_n").alias("n_tokens"), F.explode(epochs).alias("epoch"))
+    return taken.select(
+        *kept, F.col("__fs_domain").alias("domain"), F.col("__fs_n").alias("n_tokens"), F.explode(epochs).alias("epoch")
+    )
 
 
 def op10_mixing(spark, sf_dir):
@@ -177,7 +220,10 @@ def _level_sql(level: str, parent: list[str], table: dict[str, int], other: int,
 
 def mixing_sql(mix: Mix = Mix()) -> str:
     """The query in DuckDB SQL."""
-    usable = " AND ".join(f"{_weight_sql(level, table, mix.other)} > 0" for level, table in zip(LEVELS, (mix.domain, mix.lang, mix.source)))
+    usable = " AND ".join(
+        f"{_weight_sql(level, table, mix.other)} > 0" for level,
+        table in zip(LEVELS, (mix.domain, mix.lang, mix.source))
+    )
     return f"""
 WITH d AS (
   SELECT doc_id, lang, source, coalesce(lang, '') AS l, coalesce(source, '') AS s, 'd' || (CAST('0' || regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1) AS BIGINT) % 4) AS domain,

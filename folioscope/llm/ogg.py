@@ -216,13 +216,19 @@ def media_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             media = encode_samples(payload, n)
             got = decode_samples(media)
             back = got["payload"]
-            row = (got["n_bytes"], len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(got))
+            row = (
+                got["n_bytes"], len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media),
+                hashlib.sha256(media).hexdigest(), feature(got)
+            )
             rows.append((*row, media) if keep_media else row)
         return [ids, *map(list, zip(*rows))]
 
     id_type = df.schema[id_col].dataType.simpleString()
     kept = ", media binary" if keep_media else ""
-    return map_text(df.select(id_col, text_col), run, f"{id_col} {id_type}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string{kept}")
+    return map_text(
+        df.select(id_col, text_col), run,
+        f"{id_col} {id_type}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string{kept}"
+    )
 
 
 def op6_ogg(spark, sf_dir):

@@ -167,7 +167,10 @@ def bucket_borders(rows: DataFrame, parts: int) -> list[tuple[int, int]]:
     found = rows.agg(F.percentile_approx("o", F.array(*[F.lit(k / parts) for k in range(1, parts)]), 10 * parts)).first()[0] or []
     times = Counter(found)
     top = (1 << 63) - 1
-    return [(o, top) if n == 1 else (o, -(1 << 63) + (k << 64) // (n + 1) - 1) for o, n in sorted(times.items()) for k in range(1, n + 1)]
+    return [
+        (o, top) if n == 1 else (o, -(1 << 63) + (k << 64) // (n + 1) - 1) for o,
+        n in sorted(times.items()) for k in range(1, n + 1)
+    ]
 
 
 def with_next(df: DataFrame, id_col: str, text_col: str, parts: int) -> DataFrame:
@@ -177,7 +180,9 @@ def with_next(df: DataFrame, id_col: str, text_col: str, parts: int) -> DataFram
     The driver sees only borders and the largest row key of each bucket.  Rows of one id are
     ordered by a hash of the text; rows that repeat both stay in one bucket.
     """
-    rows = df.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("o", F.coalesce(F.expr("try_cast(i as bigint)"), F.lit(-(1 << 63)))).withColumn("h", F.xxhash64("t"))
+    rows = df.select(
+        F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")
+    ).withColumn("o", F.coalesce(F.expr("try_cast(i as bigint)"), F.lit(-(1 << 63)))).withColumn("h", F.xxhash64("t"))
     borders = bucket_borders(rows, parts)
     # Bucket 0 has the largest ids.  Borders are looked up in two steps, by groups of about the root of their number.
     bucket = F.lit(0)
@@ -192,7 +197,9 @@ def with_next(df: DataFrame, id_col: str, text_col: str, parts: int) -> DataFram
         below = F.when(group < len(groups), F.size(F.filter(F.get(fine, group), lambda x: x < own))).otherwise(0)
         bucket = F.lit(len(borders)) - F.least(group * step + below, F.lit(len(borders)))
     rows = rows.withColumn("b", bucket.cast("int"))
-    tops = sorted((r["b"], r["m"]["o"], r["m"]["h"]) for r in rows.groupBy("b").agg(F.max(F.struct("o", "h")).alias("m")).collect())
+    tops = sorted(
+        (r["b"], r["m"]["o"], r["m"]["h"]) for r in rows.groupBy("b").agg(F.max(F.struct("o", "h")).alias("m")).collect()
+    )
     follows = {}
     for k, (_, o, h) in enumerate(tops):
         follows.setdefault((o, h), []).append(tops[k - 1][0])
@@ -200,7 +207,13 @@ def with_next(df: DataFrame, id_col: str, text_col: str, parts: int) -> DataFram
     if tops:
         table = F.create_map([x for (o, h), bs in follows.items() for x in (F.lit(f"{o}:{h}"), F.array(*map(F.lit, bs)))])
         extra = F.element_at(table, F.concat_ws(":", F.col("o").cast("string"), F.col("h").cast("string")))
-        to = F.concat(to, F.coalesce(F.transform(extra, lambda b: F.struct(b.alias("b"), F.lit(True).alias("halo"))), F.array().cast("array<struct<b:int,halo:boolean>>")))
+        to = F.concat(
+            to,
+            F.coalesce(
+                F.transform(extra, lambda b: F.struct(b.alias("b"), F.lit(True).alias("halo"))),
+                F.array().cast("array<struct<b:int,halo:boolean>>")
+            )
+        )
     dealt = rows.select("i", "t", "o", "h", F.explode(to).alias("x")).select("i", "t", "o", "h", "x.b", "x.halo")
     return dealt.repartitionById(max(parts, 1), F.col("b")).sortWithinPartitions("b", "halo", F.desc("o"), F.desc("h"))
 
@@ -237,12 +250,30 @@ def fingerprint_documents(df: DataFrame, id_col: str = "doc_id", text_col: str =
             changed = [edited(rows[a][1], rows[b][1]) for a, b in pairs]
             theirs = signatures(changed)
             cols = zip(*(
-                (rows[a][0], len(rows[a][1]), hashlib.sha256(e.encode()).hexdigest(), as_text(own[a]), as_text(s), likeness(own[a], s), likeness(own[a], own[b]))
+                (
+                    rows[a][0], len(rows[a][1]), hashlib.sha256(e.encode()).hexdigest(), as_text(own[a]), as_text(s),
+                    likeness(own[a], s), likeness(own[a], own[b])
+                )
                 for (a, b), e, s in zip(pairs, changed, theirs)
             ))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (batch.schema.field(0).type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()))], names=names)
-
-    return rows.mapInArrow(run, f"{id_col} {id_type}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(list(c), t) for c,
+                    t in zip(
+                        cols,
+                        (
+                            batch.schema.field(0).type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(),
+                            pa.float64()
+                        )
+                    )
+                ],
+                names=names
+            )
+
+    return rows.mapInArrow(
+        run,
+        f"{id_col} {id_type}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    )
 
 
 def op7_parsing(spark, sf_dir):

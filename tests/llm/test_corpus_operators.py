@@ -34,15 +34,42 @@ def against_sql(spark, rows, query, sql):
 
 def small_corpus(n=60, seed=2):
     rng = random.Random(seed)
-    words = ["the", "mit", "license", "gnu", "general", "public", "cc", "by", "apache", "x", "ñ", "released", "under", "licensed", "version", "2", "0", "all", "rights", "reserved"]
-    rows = [(k, "\n".join(" ".join(rng.choice(words) for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(1, 5))), rng.choice(["en", "de", None]), rng.choice(["src0", "src0", "src1", "web12", None]), 1) for k in range(n)]
-    return [*rows, (n, None, "en", "src0", 0), (n + 1, "", "en", "src0", 0), (n + 2, "MIT\nLicense, Released under the MIT License.\n\n", "en", "src1", 1), (n + 3, "KCC-BY\tcc  by;CC.BY mıt license", "en", None, 1)]
+    words = [
+        "the", "mit", "license", "gnu", "general", "public", "cc", "by", "apache", "x", "ñ", "released", "under",
+        "licensed", "version", "2", "0", "all", "rights", "reserved"
+    ]
+    rows = [
+        (
+            k,
+            "\n".join(" ".join(rng.choice(words) for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(1, 5))),
+            rng.choice(["en", "de", None]), rng.choice(["src0", "src0", "src1", "web12", None]), 1
+        ) for k in range(n)
+    ]
+    return [
+        *rows, (n, None, "en", "src0", 0), (n + 1, "", "en", "src0", 0),
+        (n + 2, "MIT\nLicense, Released under the MIT License.\n\n", "en", "src1", 1),
+        (n + 3, "KCC-BY\tcc  by;CC.BY mıt license", "en", None, 1)
+    ]
 
 
 def test_lines_small(spark):
     rows = small_corpus() + small_corpus()[-4:]
-    against_sql(spark, rows, lambda df: lines.drop_boilerplate(df).select("doc_id", "source", F.col("text").alias("clean_text"), F.col("n_lines").cast("long").alias("n_lines"), F.col("n_dropped").cast("long").alias("n_dropped")), lines.OP2_SQL)
-    against_sql(spark, [], lambda df: lines.drop_boilerplate(df).select("doc_id", "source", F.col("text").alias("clean_text"), F.col("n_lines").cast("long").alias("n_lines"), F.col("n_dropped").cast("long").alias("n_dropped")), lines.OP2_SQL)
+    against_sql(
+        spark, rows,
+        lambda df: lines.drop_boilerplate(df).select(
+            "doc_id", "source", F.col("text").alias("clean_text"), F.col("n_lines").cast("long").alias("n_lines"),
+            F.col("n_dropped").cast("long").alias("n_dropped")
+        ),
+        lines.OP2_SQL
+    )
+    against_sql(
+        spark, [],
+        lambda df: lines.drop_boilerplate(df).select(
+            "doc_id", "source", F.col("text").alias("clean_text"), F.col("n_lines").cast("long").alias("n_lines"),
+            F.col("n_dropped").cast("long").alias("n_dropped")
+        ),
+        lines.OP2_SQL
+    )
 
 
 def test_lines_beyond_broadcast(spark, sf_dir, monkeypatch):
@@ -53,7 +80,9 @@ def test_lines_beyond_broadcast(spark, sf_dir, monkeypatch):
 
 
 def test_lines_by_host(spark, sf_dir):
-    rows = [(f"https://WWW.a.org/{k}", f"menu\nown {k}\n\t") for k in range(4)] + [(f"http://b.net:80/{k}", f"menu {k}\nfooter") for k in range(4)] + [("no address", "menu"), (None, "menu")]
+    rows = [
+        (f"https://WWW.a.org/{k}", f"menu\nown {k}\n\t") for k in range(4)
+    ] + [(f"http://b.net:80/{k}", f"menu {k}\nfooter") for k in range(4)] + [("no address", "menu"), (None, "menu")]
     df = spark.createDataFrame(rows, "url string, text string")
     got = {r["url"]: r["text"] for r in lines.drop_boilerplate(df, lines.host(F.col("url")), max_ratio=0.5).collect()}
     assert got == {u: t.replace("menu\n", "") if "a.org" in (u or "") else t.replace("\nfooter", "") for u, t in rows}
@@ -66,7 +95,10 @@ def test_lines_by_host(spark, sf_dir):
 def test_lines_long_text(spark):
     rows = [(k, "\n".join(f"{k} {j}" for j in range(20000)) + "\nsame", None, "s", 0) for k in range(3)]
     got = lines.drop_boilerplate(spark.createDataFrame(rows, SCHEMA)).collect()
-    assert all(r["text"] == t.removesuffix("\nsame") and (r["n_lines"], r["n_dropped"]) == (20001, 1) for r, (_, t, *_) in zip(sorted(got, key=lambda r: r["doc_id"]), rows))
+    assert all(
+        r["text"] == t.removesuffix("\nsame") and (r["n_lines"], r["n_dropped"]) == (20001, 1) for r,
+        (_, t, *_) in zip(sorted(got, key=lambda r: r["doc_id"]), rows)
+    )
 
 
 def test_licenses_small(spark):
@@ -78,11 +110,17 @@ def test_licenses_runs(spark):
     bsd = "Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that"
     texts = [
         bsd, "Licensed under the Apache\nLicense, Version 2.0", "x " * 500 + "\nAll\nrights\nreserved.\n" + "y " * 500,
-        "This work is licensed under the terms of the GNU General Public\nLicense, version 3", "all of the many words\nthat have no rights\nand are not reserved", "Released under the MIT License.", None, "", "\n",
-        "Licensed under CC BY 4.0.", "Licensed under CC BY-NC 4.0.", "all " + "x " * 2000 + "rights " + "y " * 2000 + "reserved", "This wor\u212a is dedicated to the public domain", "all rights reserved" + " z" * 20000,
+        "This work is licensed under the terms of the GNU General Public\nLicense, version 3",
+        "all of the many words\nthat have no rights\nand are not reserved", "Released under the MIT License.", None, "",
+        "\n",
+        "Licensed under CC BY 4.0.", "Licensed under CC BY-NC 4.0.",
+        "all " + "x " * 2000 + "rights " + "y " * 2000 + "reserved", "This wor\u212a is dedicated to the public domain",
+        "all rights reserved" + " z" * 20000,
     ]
     rows = [(k, t, None, None, 0) for k, t in enumerate(texts)]
-    got = [(r["labels"], r["score"]) for r in licenses.scan_licenses(spark.createDataFrame(rows, SCHEMA)).orderBy("doc_id").collect()]
+    got = [
+        (r["labels"], r["score"]) for r in licenses.scan_licenses(spark.createDataFrame(rows, SCHEMA)).orderBy("doc_id").collect()
+    ]
     assert got[:3] == [("bsd", 1.0), ("apache,apache-2.0", 1.0), ("all-rights-reserved", 1.0)]
     assert got[3][0] == "gpl,gpl-3" and got[4:9] == [("", 0.0), ("mit", 1.0), ("", 0.0), ("", 0.0), ("", 0.0)]
     assert [x for x, _ in got[9:12]] == ["cc-by", "cc-by,cc-by-nc", ""] and got[12][1] < 1.0 and got[13] == ("all-rights-reserved", 1.0)
@@ -93,7 +131,9 @@ def test_licenses_runs(spark):
 
 
 def test_licenses_clashing_names(spark):
-    df = spark.createDataFrame([(1, "MIT License"), (1, "MIT License"), (None, None)], "h long, t string").withColumn("label", F.lit("x"))
+    df = spark.createDataFrame(
+        [(1, "MIT License"), (1, "MIT License"), (None, None)], "h long, t string"
+    ).withColumn("label", F.lit("x"))
     got = Counter(map(tuple, licenses.scan_licenses(df, "h", "t").select("h", "labels").collect()))
     assert got == Counter({(1, "mit"): 2, (None, ""): 1})
 
@@ -102,15 +142,27 @@ def pick(df):
     return df.select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
 
 
-@pytest.mark.parametrize("mix", [mixing.Mix(), mixing.Mix(budget_permille=5000, max_epochs=3), mixing.Mix(budget_permille=0), mixing.Mix(lang={"en": 0}, max_epochs=1, budget_permille=900)])
+@pytest.mark.parametrize(
+    "mix",
+    [
+        mixing.Mix(), mixing.Mix(budget_permille=5000, max_epochs=3), mixing.Mix(budget_permille=0),
+        mixing.Mix(lang={"en": 0}, max_epochs=1, budget_permille=900)
+    ]
+)
 def test_mixing_small(spark, mix):
     rows = small_corpus(200)
     against_sql(spark, rows, lambda df: pick(mixing.mix_sources(df, mix)), mixing.mixing_sql(mix))
 
 
 def test_mixing_weight_zero_goes_to_siblings(spark):
-    leaves = spark.createDataFrame([("d0", "en", "src0", 900), ("d0", "de", "src0", 100), ("d1", "de", "src1", 1000)], "domain string, lang string, source string, supply long")
-    for mix in (mixing.Mix(domain={}, lang={"en": 0}, budget_permille=500, max_epochs=1), mixing.Mix(domain={}, lang={}, source={"src0": 0, "src1": 1}, budget_permille=500, max_epochs=1)):
+    leaves = spark.createDataFrame(
+        [("d0", "en", "src0", 900), ("d0", "de", "src0", 100), ("d1", "de", "src1", 1000)],
+        "domain string, lang string, source string, supply long"
+    )
+    for mix in (
+        mixing.Mix(domain={}, lang={"en": 0}, budget_permille=500, max_epochs=1),
+        mixing.Mix(domain={}, lang={}, source={"src0": 0, "src1": 1}, budget_permille=500, max_epochs=1)
+    ):
         got = {(r["domain"], r["lang"]): r["alloc"] for r in mixing.leaf_budgets(leaves, mix).collect()}
         # 1000 tokens are to be had; what d0 can't use goes to d1.
         assert got == {("d0", "en"): 0, ("d0", "de"): 100 if mix.lang else 0, ("d1", "de"): 900 if mix.lang else 1000}
@@ -126,11 +178,15 @@ def test_mixing_clashing_names(spark):
 
 
 def test_mixing_repeated_rows_and_null_ids(spark):
-    rows = [(1, "a b c"), (1, "a b c"), (None, "d e"), (None, "f g"), (2, None), (3, "")] + [(k, "w " * 4000) for k in range(10, 14)]
+    rows = [
+        (1, "a b c"), (1, "a b c"), (None, "d e"), (None, "f g"), (2, None), (3, "")
+    ] + [(k, "w " * 4000) for k in range(10, 14)]
     df = spark.createDataFrame([(i, t, "en", "src0", 0) for i, t in rows], SCHEMA)
     everything = mixing.mix_sources(df, mixing.Mix(budget_permille=1000, max_epochs=1))
     assert Counter((r["doc_id"], r["text"]) for r in everything.collect()) == Counter(rows)
-    half = Counter((r["doc_id"], r["text"]) for r in mixing.mix_sources(df, mixing.Mix(budget_permille=500, max_epochs=1)).collect())
+    half = Counter(
+        (r["doc_id"], r["text"]) for r in mixing.mix_sources(df, mixing.Mix(budget_permille=500, max_epochs=1)).collect()
+    )
     assert half[1, "a b c"] in (0, 2) and sum(4000 * n for (i, _), n in half.items() if i and i >= 10) <= 8006
 
 
@@ -195,7 +251,9 @@ def near_corpus(seed, n=260):
 def test_jaccard_is_brute_force(spark, monkeypatch, seed, k, percent, chunk):
     monkeypatch.setattr(jaccard, "CHUNK", chunk)
     texts = near_corpus(seed)
-    df = spark.createDataFrame([(a + 10, t, "x") for a, t in enumerate(texts)], "doc_id long, text string, n_shingles string").repartition(3)
+    df = spark.createDataFrame(
+        [(a + 10, t, "x") for a, t in enumerate(texts)], "doc_id long, text string, n_shingles string"
+    ).repartition(3)
     got = {r["doc_id"]: r for r in jaccard.similarity_groups(df, size=k, percent=percent).collect()}
     roots, sizes, links = brute_components(texts, k, percent)
     assert links > 50 and len(got) == len(texts)
@@ -212,7 +270,9 @@ def test_jaccard_edges(spark):
 
 def test_components(spark):
     rng = random.Random(5)
-    links = [(k, k + 1) for k in range(0, 40)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(80)] + [(7, 7)]
+    links = [(k, k + 1) for k in range(0, 40)] + [
+        (rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(80)
+    ] + [(7, 7)]
     rng.shuffle(links)
     parent = {}
 
@@ -224,7 +284,11 @@ def test_components(spark):
     for a, b in links:
         x, y = sorted((find(a), find(b)))
         parent[y] = x
-    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame([*links, (300, 299)], "a long, b long")).collect()}
+    got = {
+        r["node"]: r["root"] for r in components.components(
+            spark.createDataFrame([*links, (300, 299)], "a long, b long")
+        ).collect()
+    }
     assert got == {x: find(x) for x in list(parent) if find(x) != x} | {300: 299}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
@@ -234,7 +298,11 @@ def test_parsing_is_local():
     text = "".join(rng.choice("abcdef ") for _ in range(3000))
     alone, batch = parsing.signatures([text])[0], parsing.signatures(["x", text, "", text[:50], text])
     assert (alone == batch[1]).all() and (alone == batch[4]).all() and len(batch[2]) == 0
-    names = [{int(v) for lv, x, _ in parsing.parse([t.encode()]) if lv == 2 for v in x} for t in (text, "some other start" + text, text + text)]
+    names = [
+        {
+            int(v) for lv, x, _ in parsing.parse([t.encode()]) if lv == 2 for v in x
+        } for t in (text, "some other start" + text, text + text)
+    ]
     for other in names[1:]:
         assert len(names[0] & other) >= len(names[0]) - 6
     runs = [{int(v) for lv, x, _ in parsing.parse([t.encode()]) if lv == 1 for v in x} for t in ("x" * 999, "x" * 1001)]
@@ -265,7 +333,9 @@ def test_parsing_documents(spark, sf_dir, parts):
         e = t[: len(t) - len(t) // 2] + u[: len(t) // 2]
         a, b, c = parsing.signatures([t, u, e])
         r = got[row["doc_id"]]
-        assert (r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"]) == (len(t), hashlib.sha256(e.encode()).hexdigest(), parsing.as_text(a), parsing.as_text(c))
+        assert (r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"]) == (
+            len(t), hashlib.sha256(e.encode()).hexdigest(), parsing.as_text(a), parsing.as_text(c)
+        )
         assert (r["near_edited"], r["near_next"]) == (parsing.likeness(a, c), parsing.likeness(a, b))
     assert parsing.fingerprint_documents(df.limit(0), parts=parts).count() == 0
     assert parsing.fingerprint_documents(df.limit(1), parts=parts).count() == 1
@@ -324,17 +394,23 @@ def slow_names(text):
 
 def test_parsing_is_brute_force():
     rng = random.Random(11)
-    texts = ["", "a", "aa", "ab", "aaaaaaa", "abababab", "ééñ日本", "x" * 70 + "y" * 31] + ["".join(rng.choice("ab"[: rng.randint(1, 2)] + "cdef gh") for _ in range(rng.randint(1, 400))) for _ in range(40)]
+    texts = ["", "a", "aa", "ab", "aaaaaaa", "abababab", "ééñ日本", "x" * 70 + "y" * 31] + [
+        "".join(rng.choice("ab"[: rng.randint(1, 2)] + "cdef gh") for _ in range(rng.randint(1, 400))) for _ in range(40)
+    ]
     for text, got in zip(texts, parsing.signatures(texts)):
         assert got.tolist() == sorted(slow_names(text))[: parsing.SKETCH], text
 
 
 def test_parsing_buckets_are_even(spark):
     """Bucket k is partition k, and null or repeated ids are split by the text."""
-    rows = [(k, f"text {k}") for k in range(4000)] + [(None, f"null {k}") for k in range(2000)] + [(77, f"again {k}") for k in range(2000)]
+    rows = [(k, f"text {k}") for k in range(4000)] + [
+        (None, f"null {k}") for k in range(2000)
+    ] + [(77, f"again {k}") for k in range(2000)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     dealt = parsing.with_next(df, "doc_id", "text", 8)
-    sizes = Counter(r["p"] for r in dealt.filter("not halo").select(F.spark_partition_id().alias("p"), "b").collect() if r["p"] == r["b"])
+    sizes = Counter(
+        r["p"] for r in dealt.filter("not halo").select(F.spark_partition_id().alias("p"), "b").collect() if r["p"] == r["b"]
+    )
     assert sum(sizes.values()) == len(rows) and len(sizes) == 8 and max(sizes.values()) < 2.1 * len(rows) / 8
     got = parsing.fingerprint_documents(df, parts=8).collect()
     assert len(got) == len(rows)
@@ -346,7 +422,9 @@ def test_parsing_buckets_are_even(spark):
 
 
 def test_parsing_long_text_and_clashing_names(spark):
-    df = spark.createDataFrame([("b", "word " * 100_000, 1), ("a", "x", 2), ("7", None, 3)], "t string, fingerprint string, h int")
+    df = spark.createDataFrame(
+        [("b", "word " * 100_000, 1), ("a", "x", 2), ("7", None, 3)], "t string, fingerprint string, h int"
+    )
     got = {r["t"]: r for r in parsing.fingerprint_documents(df, "t", "fingerprint", parts=2).collect()}
     assert {k: r["n_chars"] for k, r in got.items()} == {"b": 500_000, "a": 1, "7": 0}
 
@@ -398,7 +476,12 @@ def slow_lines(rows, ratio=0.05, least=3):
             if line.strip(" \t\n\x0b\f\r"):
                 seen[r["source"], line] += 1
     drop = {k for k, n in seen.items() if n >= least and n > ratio * pages[k[0]]}
-    return {(r["doc_id"], None if r["text"] is None else "\n".join(x for x in r["text"].split("\n") if (r["source"], x) not in drop)) for r in rows}
+    return {
+        (
+            r["doc_id"],
+            None if r["text"] is None else "\n".join(x for x in r["text"].split("\n") if (r["source"], x) not in drop)
+        ) for r in rows
+    }
 
 
 def slow_shares(budget, children):
@@ -424,13 +507,19 @@ def slow_mixing(rows, mix):
     for r in rows:
         leaves.setdefault((domain(r["source"]), r["lang"] or "", r["source"] or ""), []).append(r)
     tables = (mix.domain, mix.lang, mix.source)
-    cap = {k: sum(n(r["text"]) for r in v) * mix.max_epochs if all(weight(t, x) > 0 for t, x in zip(tables, k)) else 0 for k, v in leaves.items()}
+    cap = {
+        k: sum(n(r["text"]) for r in v) * mix.max_epochs if all(weight(t, x) > 0 for t, x in zip(tables, k)) else 0 for k,
+        v in leaves.items()
+    }
     budgets = {(): sum(n(r["text"]) for r in rows) * mix.budget_permille // 1000}
     for depth, table in enumerate(tables):
         new = {}
         for parent, budget in budgets.items():
             names = {k[: depth + 1] for k in leaves if k[:depth] == parent}
-            new |= slow_shares(budget, {p: (weight(table, p[-1]), sum(c for k, c in cap.items() if k[: depth + 1] == p)) for p in names})
+            new |= slow_shares(
+                budget,
+                {p: (weight(table, p[-1]), sum(c for k, c in cap.items() if k[: depth + 1] == p)) for p in names}
+            )
         budgets = new
     out = Counter()
     for leaf, own in leaves.items():
@@ -440,7 +529,10 @@ def slow_mixing(rows, mix):
             epoch += 1
         rest = budgets[leaf] - epoch * supply
         if epoch < mix.max_epochs:
-            for r in sorted(own, key=lambda r: (hashlib.md5(f"{mix.seed}:{epoch}:{r['doc_id']}".encode()).hexdigest(), str(r["doc_id"]))):
+            for r in sorted(
+                own,
+                key=lambda r: (hashlib.md5(f"{mix.seed}:{epoch}:{r['doc_id']}".encode()).hexdigest(), str(r["doc_id"]))
+            ):
                 rest -= n(r["text"])
                 if rest < 0:
                     break
@@ -448,7 +540,14 @@ def slow_mixing(rows, mix):
     return out
 
 
-@pytest.mark.parametrize("mix", [mixing.Mix(), mixing.Mix(budget_permille=900, max_epochs=1, domain={"d0": 3}), mixing.Mix(lang={"en": 0}, budget_permille=2000), mixing.Mix(domain={}, lang={}, source={"src1": 5}, budget_permille=300)])
+@pytest.mark.parametrize(
+    "mix",
+    [
+        mixing.Mix(), mixing.Mix(budget_permille=900, max_epochs=1, domain={"d0": 3}),
+        mixing.Mix(lang={"en": 0}, budget_permille=2000),
+        mixing.Mix(domain={}, lang={}, source={"src1": 5}, budget_permille=300)
+    ]
+)
 def test_mixing_is_brute_force(spark, mix):
     rows = [dict(zip(("doc_id", "text", "lang", "source"), r)) for r in small_corpus(300, seed=7)]
     df = spark.createDataFrame([(r["doc_id"], r["text"], r["lang"], r["source"], 0) for r in rows], SCHEMA)
@@ -477,8 +576,15 @@ def test_pipeline_stages_on_edges(spark, sf_dir):
     """Nulls in any column, empty and very long texts, ties and repeated rows, empty tables, more columns."""
     import corpus_pipeline as cp
 
-    rows = [(1, None, None, None, None), (None, None, None, None, None), (None, "", "en", "src0", 0), (2, "", None, "src0", 0), (2, "", None, "src0", 0), (3, "w " * 200_000, "en", None, 1), (3, "w " * 200_000, "en", None, 1), (None, "same text here", "en", "src0", 5), (None, "same text here", "en", "src0", 5)]
-    df = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit(1) for c in ("h", "n", "epoch", "selected", "n_lines", "component_id")})
+    rows = [
+        (1, None, None, None, None), (None, None, None, None, None), (None, "", "en", "src0", 0),
+        (2, "", None, "src0", 0), (2, "", None, "src0", 0), (3, "w " * 200_000, "en", None, 1),
+        (3, "w " * 200_000, "en", None, 1), (None, "same text here", "en", "src0", 5),
+        (None, "same text here", "en", "src0", 5)
+    ]
+    df = spark.createDataFrame(rows, SCHEMA).withColumns(
+        {c: F.lit(1) for c in ("h", "n", "epoch", "selected", "n_lines", "component_id")}
+    )
     for name, stage in cp.STAGES:
         out = stage(spark, df, sf_dir)
         got = out.collect()
@@ -490,19 +596,29 @@ def test_pipeline_stages_on_edges(spark, sf_dir):
         if name == "line dedup":
             assert len(got) == len(rows)
         if name == "n-gram Jaccard join":
-            assert Counter((r["doc_id"], r["text"]) for r in got) == Counter({(1, None): 1, (None, None): 1, (None, ""): 1, (2, ""): 1, (3, "w " * 200_000): 1, (None, "same text here"): 1})
+            assert Counter((r["doc_id"], r["text"]) for r in got) == Counter(
+                {(1, None): 1, (None, None): 1, (None, ""): 1, (2, ""): 1, (3, "w " * 200_000): 1, (None, "same text here"): 1}
+            )
 
 
 def test_near_duplicates_stage(spark):
     import corpus_pipeline as cp
 
     a, b, c = "a b c d e f g h", "k l m n o p q r", "s t u v w x y z"
-    rows = [(3, a, "en", "s"), (1, a, "en", "s"), (1, a, "en", "s"), (3, b, "en", "s"), (None, c, "en", "s"), (None, c, "de", "s"), (None, b, "en", "s"), (None, a + " a b c", "en", "s")]
-    rows += [(7, "", "en", "s"), (7, "", "en", "s"), (8, "", "en", "s"), (9, None, "en", "s"), (None, "", "en", "s"), (None, None, "en", "s")]
+    rows = [
+        (3, a, "en", "s"), (1, a, "en", "s"), (1, a, "en", "s"), (3, b, "en", "s"), (None, c, "en", "s"),
+        (None, c, "de", "s"), (None, b, "en", "s"), (None, a + " a b c", "en", "s")
+    ]
+    rows += [
+        (7, "", "en", "s"), (7, "", "en", "s"), (8, "", "en", "s"), (9, None, "en", "s"), (None, "", "en", "s"),
+        (None, None, "en", "s")
+    ]
     df = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], SCHEMA).repartition(3)
     got = Counter((r["doc_id"], r["text"]) for r in cp.near_duplicates(spark, df, "").select("doc_id", "text").collect())
     # The last text of the first list has 7 shingles, 4 of them a's: no near copy.
-    assert got == Counter([(1, a), (3, b), (None, c), (None, a + " a b c"), (7, ""), (8, ""), (9, None), (None, ""), (None, None)])
+    assert got == Counter(
+        [(1, a), (3, b), (None, c), (None, a + " a b c"), (7, ""), (8, ""), (9, None), (None, ""), (None, None)]
+    )
 
 
 def test_pipeline(spark, sf_dir):
@@ -530,4 +646,6 @@ def test_pipeline(spark, sf_dir):
             assert len(ids) == len(before) and all(r["round_trip"] for r in after)
         if k < len(cp.STAGES) - 1:
             kept = spark.createDataFrame(after, SCHEMA)
-    assert rows_of(cp.run(spark, sf_dir).select("doc_id", "ids_sha256"))[1] == sorted((repr(r["doc_id"]), repr(r["ids_sha256"])) for r in after)
+    assert rows_of(cp.run(spark, sf_dir).select("doc_id", "ids_sha256"))[1] == sorted(
+        (repr(r["doc_id"]), repr(r["ids_sha256"])) for r in after
+    )

@@ -20,7 +20,10 @@ from pyspark.sql import functions as F
 from folioscope.llm import batches, bpe, importance, langid, ogg, toxicity
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
-EDGES = [None, "", " ", "\n", "  a", "a  b", " a\n b ", "it's", "ﬁ ñ 日本 😀", "x" * 50_000, "the " * 20_000, "1234567", "\t\r\n", "a\x1cb \x85", "a\n b"]
+EDGES = [
+    None, "", " ", "\n", "  a", "a  b", " a\n b ", "it's", "ﬁ ñ 日本 😀", "x" * 50_000, "the " * 20_000, "1234567",
+    "\t\r\n", "a\x1cb \x85", "a\n b"
+]
 
 
 def edge_table(spark, *extra):
@@ -61,7 +64,9 @@ def test_bpe_any_batch(own, library, texts):
     got = own.round_trip(pa.array(texts, pa.string()), keep_ids=True)
     assert [] == texts or got["ids"].to_pylist() == [library.encode_ordinary(t) for t in texts]
     assert list(got["decoded_sha256"]) == [hashlib.sha256(t.encode()).hexdigest() for t in texts]
-    assert list(got["ids_sha256"]) == [hashlib.sha256(" ".join(map(str, library.encode_ordinary(t))).encode()).hexdigest() for t in texts]
+    assert list(got["ids_sha256"]) == [
+        hashlib.sha256(" ".join(map(str, library.encode_ordinary(t))).encode()).hexdigest() for t in texts
+    ]
 
 
 @pytest.mark.parametrize("states", [40, 200_000])
@@ -119,7 +124,9 @@ def test_bpe_documents(spark, library):
         text = "null id" if r["doc_id"] is None else EDGES[r["doc_id"]] or ""
         ids = library.encode_ordinary(text)
         assert r["ids"] == ids and r["n_tokens"] == len(ids) and r["round_trip"]
-        assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest() and r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+        assert r["ids_sha256"] == hashlib.sha256(
+            " ".join(map(str, ids)).encode()
+        ).hexdigest() and r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
     assert bpe.encode_documents(edge_table(spark).limit(0), PATH).count() == 0
 
 
@@ -161,7 +168,9 @@ def test_ogg_documents(spark):
     for r in ogg.media_documents(edge_table(spark)).collect():
         raw = ("null id" if r["doc_id"] is None else EDGES[r["doc_id"]] or "").encode()
         payload = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
-        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (
+            len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:])
+        )
     assert ogg.media_documents(edge_table(spark).limit(0)).count() == 0
 
 
@@ -195,7 +204,10 @@ def brute_language(counts, text, smooth=0.5):
         if not rows:
             b = f" {w} "
             for i in range(len(b) - 1):
-                rows += next(([logs["g", b[i : i + n]]] for n in (4, 3, 2, 1) if len(b[i : i + n]) == n and ("g", b[i : i + n]) in logs), [])
+                rows += next(
+                    ([logs["g", b[i : i + n]]] for n in (4, 3, 2, 1) if len(b[i : i + n]) == n and ("g", b[i : i + n]) in logs),
+                    []
+                )
         for row in rows:
             score = [a + v / len(rows) for a, v in zip(score, row)]
     if not words:
@@ -224,14 +236,25 @@ def test_langid_is_brute_force(spark, sf_dir):
 
 
 def test_langid_backs_off(spark):
-    model = langid.LanguageModel({("en", "w", "house"): 5, ("de", "w", "haus"): 5, ("en", "g", "th"): 9, ("de", "g", "sch"): 9, ("de", "g", "th"): 1, ("de", "g", "ch"): 9, ("en", "g", "ou"): 3})
+    model = langid.LanguageModel(
+        {
+            ("en", "w", "house"): 5, ("de", "w", "haus"): 5, ("en", "g", "th"): 9, ("de", "g", "sch"): 9,
+            ("de", "g", "th"): 1, ("de", "g", "ch"): 9, ("en", "g", "ou"): 3
+        }
+    )
     texts = ["House", "xschx", "thx", "123 !", None, "½", ""]
     lang, score = langid.Scorer(model).predict(batches.stretches(pa.array(texts)))
     assert lang == ["en", "de", "en", "und", "und", "und", "und"] and not score[3:].any()
     assert langid.Scorer(model).predict(batches.stretches(pa.array([None, " "], pa.string())))[0] == ["und", "und"]
     edges = langid.identify(edge_table(spark)).collect()
-    assert all(r["lang_pred"] == "und" for r in edges if r["doc_id"] is not None and not any(c.isalpha() for c in EDGES[r["doc_id"]] or ""))
-    assert {r["lang_pred"] for r in langid.identify(edge_table(spark).withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+    assert all(
+        r["lang_pred"] == "und" for r in edges if r["doc_id"] is not None and not any(
+            c.isalpha() for c in EDGES[r["doc_id"]] or ""
+        )
+    )
+    assert {
+        r["lang_pred"] for r in langid.identify(edge_table(spark).withColumn("lang", F.lit(None).cast("string"))).collect()
+    } == {"und"}
     assert langid.identify(edge_table(spark).limit(0)).count() == 0
 
 
@@ -242,7 +265,9 @@ def test_langid_small_language_keeps_its_words(spark):
     known = langid.Lookup(model.words[0])
     find = lambda w: known.find(batches.word_keys(batches.words([w], str.isalpha)))[0] >= 0
     assert model.langs == ["big", "small"]
-    assert [w for w in ("alpha", "beta", "delta", "gamma", "zuzu", "wowo") if find(w)] == ["alpha", "beta", "delta", "zuzu", "wowo"]
+    assert [
+        w for w in ("alpha", "beta", "delta", "gamma", "zuzu", "wowo") if find(w)
+    ] == ["alpha", "beta", "delta", "zuzu", "wowo"]
     assert langid.Scorer(model).predict(batches.stretches(pa.array(["zuzu wowo"])))[0] == ["small"]
     assert langid.fit(df, max_langs=1).langs == ["big"]
 
@@ -268,7 +293,9 @@ def toxic_corpus(spark):
                 words.insert(rng.randrange(len(words)), rng.choice(["vile", "nasty", "foul"]))
         rows.append((k, " ".join(words), "en", "s"))
         labels.append((k, int(y)))
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    return spark.createDataFrame(
+        rows, "doc_id long, text string, lang string, source string"
+    ), spark.createDataFrame(labels, "doc_id long, toxic int")
 
 
 def test_toxicity_learns(toxic_corpus, spark):
@@ -288,7 +315,9 @@ def brute_toxicity(model, text):
     for w in toxicity.WIDTHS:
         padded = x + [np.zeros(toxicity.DIM)] * (w - len(x))
         for f in range(toxicity.FILTERS):
-            best = max(sum(float(padded[i + j] @ model.filters[w][j, :, f]) for j in range(w)) for i in range(len(padded) - w + 1))
+            best = max(
+                sum(float(padded[i + j] @ model.filters[w][j, :, f]) for j in range(w)) for i in range(len(padded) - w + 1)
+            )
             z += max(best + float(model.bias[w][f]), 0.0) * float(model.out[k])
             k += 1
     return 1 / (1 + math.exp(-z))
@@ -297,13 +326,17 @@ def brute_toxicity(model, text):
 def test_toxicity_is_brute_force(toxic_corpus, spark, sf_dir, monkeypatch):
     df, labels = toxic_corpus
     model = toxicity.fit(df, labels)
-    texts = [r[0] for r in df.select("text").limit(60).collect()] + [t for t in EDGES if len(t or "") < 1000] + ["vile", "so vile", "a b nasty", "it's foul-mouthed", "ça ½"]
+    texts = [r[0] for r in df.select("text").limit(60).collect()] + [t for t in EDGES if len(t or "") < 1000] + [
+        "vile", "so vile", "a b nasty", "it's foul-mouthed", "ça ½"
+    ]
     for block in (1 << 16, 5):
         monkeypatch.setattr(toxicity, "BLOCK", block)
         raw = toxicity.Scorer(model).raw(batches.stretches(pa.array(texts, pa.string())))
         for text, got in zip(texts, raw):
             assert got == pytest.approx(brute_toxicity(model, text), rel=1e-3, abs=1e-5), text
-    assert toxicity.Scorer(model).raw(batches.stretches(pa.array([None, " "], pa.string()))) == pytest.approx([brute_toxicity(model, "")] * 2, rel=1e-3)
+    assert toxicity.Scorer(model).raw(
+        batches.stretches(pa.array([None, " "], pa.string()))
+    ) == pytest.approx([brute_toxicity(model, "")] * 2, rel=1e-3)
     # Thresholds of the languages fall on DECISION.
     model.thresholds = {"en": 0.9}
     score = toxicity.Scorer(model).score(batches.stretches(pa.array(texts, pa.string())))
@@ -366,7 +399,9 @@ def brute_weights(texts, target):
 @pytest.mark.parametrize("block", [1 << 17, 7])
 def test_importance_grams(monkeypatch, block):
     monkeypatch.setattr(importance, "BLOCK", block)
-    texts = [t for t in EDGES if t is None or len(t) < 1000] + ["the cat sat on the mat", "Buy!! NOW!! NOW!! 50%", "x", "ÀÉ1234-5678abcDEF"]
+    texts = [t for t in EDGES if t is None or len(t) < 1000] + [
+        "the cat sat on the mat", "Buy!! NOW!! NOW!! 50%", "x", "ÀÉ1234-5678abcDEF"
+    ]
     target = np.array([k % 3 == 0 for k in range(len(texts))])
     bag = importance.Bag(batches.stretches(pa.array(texts, pa.string())))
     for got, some in zip(bag.counts(target), (texts, [t for t, c in zip(texts, target) if c])):
@@ -380,7 +415,16 @@ def test_importance_grams(monkeypatch, block):
 
 def test_importance_is_brute_force(spark):
     rng = random.Random(8)
-    rows = [(k, " ".join(rng.choice(["good", "fine", "text", "JUNK!!", "###"][:3] if k % 4 else ["JUNK!!", "###"]) for _ in range(rng.randint(0, 30)))) for k in range(120)]
+    rows = [
+        (
+            k,
+            " ".join(
+                rng.choice(
+                    ["good", "fine", "text", "JUNK!!", "###"][:3] if k % 4 else ["JUNK!!", "###"]
+                ) for _ in range(rng.randint(0, 30))
+            )
+        ) for k in range(120)
+    ]
     rows += [(None, "good fine"), (None, "JUNK!! ###"), (3, rows[3][1]), (500, None)]
     labels = [(k, int(k % 4 > 0)) for k in range(0, 60)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -408,8 +452,13 @@ def test_importance_is_brute_force(spark):
 def test_importance_inclusion_follows_the_weights(spark):
     """Of one row of each kind, the largest key is a draw in proportion to the weights."""
     kinds, groups = ["a b c", "a a b", "c c c d"], 6000
-    df = spark.createDataFrame([(len(kinds) * g + j, t) for g in range(groups) for j, t in enumerate(kinds)], "doc_id long, text string")
-    target = spark.createDataFrame([(len(kinds) * g + j,) for g in range(0, groups, 10) for j in ((0,), (0, 1), (0, 1, 2))[g // 10 % 3]], "doc_id long")
+    df = spark.createDataFrame(
+        [(len(kinds) * g + j, t) for g in range(groups) for j, t in enumerate(kinds)], "doc_id long, text string"
+    )
+    target = spark.createDataFrame(
+        [(len(kinds) * g + j,) for g in range(0, groups, 10) for j in ((0,), (0, 1), (0, 1, 2))[g // 10 % 3]],
+        "doc_id long"
+    )
     rows = importance.weigh(df, target).collect()
     weight, won = {}, Counter()
     for group in itertools.groupby(sorted(rows, key=lambda r: r["doc_id"]), lambda r: r["doc_id"] // len(kinds)):
