@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm import bpe, importance, jaccard, lines, mixing
-from folioscope.llm.common import docs, prepare, stored
+from folioscope.llm.common import docs, drop_stored, prepare, scope, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -42,12 +42,14 @@ def near_duplicates(spark: SparkSession, df: DataFrame, sf_dir: str) -> DataFram
     repeat an id and a text are one document.  Texts without words are no copies of each other and
     all stay, but for rows that repeat the id too.
     """
-    rows = df.withColumn("__h", F.xxhash64("text"))
+    rows = df.select(*COLUMNS).withColumn("__h", F.xxhash64("text"))
+    # What has one row for each text or group is written before it is joined, so that Spark can split the rows of a large one.
     groups = jaccard.similarity_groups(rows, id_col="__h", size=5, percent=80).groupBy("__h").agg(F.first("n_shingles").alias("n"), F.first("component_id").alias("c"))
+    groups = stored(groups, "groups")
     keys = rows.groupBy("doc_id", "__h").agg(F.count("*").alias("copies")).join(groups, "__h")
     keys = stored(keys.select("doc_id", "__h", "copies", "n", "c"), "keys")
     place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("__h").alias("h"))
-    first = keys.filter("n > 0").groupBy("c").agg(F.min(place).alias("first"))
+    first = stored(keys.filter("n > 0").groupBy("c").agg(F.min(place).alias("first")), "first")
     dropped = keys.filter("n > 0").join(first, "c").filter(place != F.col("first")).select("doc_id", "__h")
     kept = rows.join(dropped.select(F.col("doc_id").alias("i"), F.col("__h").alias("h")), F.expr("doc_id <=> i and __h = h"), "left_anti")
     again = keys.filter("copies > 1 and (n > 0 or doc_id is not null)").select(F.col("doc_id").alias("i"), F.col("__h").alias("h"))
@@ -80,11 +82,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``, each written to the shared folder and read again."""
+    """Apply the stages to ``documents``, each written to the shared folder and read again.
+
+    What a stage wrote on its way goes when its result is written, and a result when its successor's is.
+    """
     prepare(spark)
     df = docs(spark, sf_dir)
-    for k, (_, stage) in enumerate(STAGES):
-        df = stage(spark, df, sf_dir)
-        if k < len(STAGES) - 1:
-            df = stored(df, "stage")
-    return df
+    for _, stage in STAGES[:-1]:
+        with scope() as keep:
+            after = keep(stage(spark, df, sf_dir), "stage")
+        drop_stored(df)
+        df = after
+    return STAGES[-1][1](spark, df, sf_dir)
