@@ -27,6 +27,8 @@ from .components import components
 _P = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 #: Counters of the frequency sketch (a fixed size, whatever the input) in blocks of 2^16.
 SKETCH_BITS, BLOCK = 24, 1 << 16
+#: Parts of the sketch that are summed at once.
+FAN = 64
 #: Documents and tokens in a chunk of a group (one longer document is a chunk's all), and queries that one copy of it answers.
 CHUNK, CHUNK_TOKENS, CHUNK_QUERIES = 256, 1 << 20, 4096
 #: Bands by which representatives are grouped, and min-wise values of a band.
@@ -84,7 +86,7 @@ def _stats(df: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         sums = np.zeros(1 << SKETCH_BITS, np.uint32)
-        salt = TaskContext.get().partitionId() % 64
+        salt = TaskContext.get().partitionId() // FAN
         for batch in (p for b in batches for p in slices(b, 1)):
             n, d1, d2, keys, seen = [], [], [], [], []
             for s in shingle_sets(batch.column(1), size):
@@ -124,7 +126,7 @@ def _block(schema: pa.Schema, r: int, salt: int, counts: np.ndarray) -> pa.Recor
 
 
 def frequency_classes(stats: DataFrame) -> np.ndarray:
-    """Classes (8 log2 of the count) of the sketch's counters, summed over all documents in two levels."""
+    """Classes (8 log2 of the count) of the sketch's counters, summed over all documents level by level, FAN parts at a time."""
 
     def total(table: pa.Table) -> np.ndarray:
         counts = np.zeros(BLOCK, np.uint64)
@@ -133,15 +135,16 @@ def frequency_classes(stats: DataFrame) -> np.ndarray:
         return counts
 
     def merge(table: pa.Table) -> pa.Table:
-        return pa.table({"r": table.column("r")[:1], "blob": pa.array([_pack(total(table))], pa.binary())})
+        return pa.table({"r": table.column("r")[:1], "salt": table.column("salt")[:1], "blob": pa.array([_pack(total(table))], pa.binary())})
 
     def classify(table: pa.Table) -> pa.Table:
         classes = np.minimum(8 * np.log2(1.0 + total(table)), 255).astype(np.uint8)
         return pa.table({"r": table.column("r")[:1], "blob": pa.array([classes.tobytes()], pa.binary())})
 
-    first = stats.filter("kind = 1").select("r", "salt", "blob").groupBy("r", "salt").applyInArrow(merge, "r int, blob binary")
+    parts = stats.filter("kind = 1").select("r", "salt", "blob").groupBy("r", "salt").applyInArrow(merge, "r int, salt int, blob binary")
+    parts = parts.withColumn("salt", F.floor(F.col("salt") / FAN).cast("int")).groupBy("r", "salt").applyInArrow(merge, "r int, salt int, blob binary")
     out = np.zeros(1 << SKETCH_BITS, np.uint8)
-    for row in first.groupBy("r").applyInArrow(classify, "r int, blob binary").toLocalIterator():
+    for row in parts.groupBy("r").applyInArrow(classify, "r int, blob binary").toLocalIterator():
         out[row["r"] * BLOCK : (row["r"] + 1) * BLOCK] = np.frombuffer(row["blob"], np.uint8)
     return out
 
@@ -182,16 +185,22 @@ def shared_prefixes(df: DataFrame, classes: Broadcast, size: int, percent: int,
             rows = [(int(r[a]), t[a:b].tobytes(), d[a:b].tobytes(), o[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["r", "t", "d", "o"])
 
-    def match(table: pa.Table) -> pa.Table:
-        t = np.concatenate([np.frombuffer(b, np.uint64) for b in table.column("t").to_pylist()])
-        d = np.concatenate([np.frombuffer(b, np.int64) for b in table.column("d").to_pylist()])
-        o = np.concatenate([np.frombuffer(b, np.int32) for b in table.column("o").to_pylist()])
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [batch for batch in batches if batch.num_rows]
+        if not rows:
+            return
+        t, d, o = (np.concatenate([np.frombuffer(b, kind) for batch in rows for b in batch.column(name).to_pylist()]) for name, kind in (("t", np.uint64), ("d", np.int64), ("o", np.int32)))
+        del rows
         t, d, o = _distinct(t, d, o)
         alike = t[1:] == t[:-1]
-        keep = np.append(alike, False) | np.append(False, alike)
-        return pa.table({"token": pa.array(_signed(t[keep]), pa.int64()), "d1": pa.array(d[keep], pa.int64()), "pos": pa.array(o[keep], pa.int32())})
-
-    return df.select("x").mapInArrow(emit, "r int, t binary, d binary, o binary").groupBy("r").applyInArrow(match, "token long, d1 long, pos int")
+        keep = np.nonzero(np.append(alike, False) | np.append(False, alike))[0]
+        for at in range(0, len(keep), 1 << 16):
+            k = keep[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(t[k]), pa.int64()), pa.array(d[k], pa.int64()), pa.array(o[k], pa.int32())], names=["token", "d1", "pos"])
+
+    # Range k is partition k, so ranges are even tasks.
+    dealt = df.select("x").mapInArrow(emit, "r int, t binary, d binary, o binary").repartitionById(ranges, F.col("r"))
+    return dealt.select("t", "d", "o").mapInArrow(match, "token long, d1 long, pos int")
 
 
 def id_filter(ids: DataFrame) -> tuple[bytes, int]:
