@@ -81,7 +81,12 @@ def _stats(df: DataFrame, size: int) -> DataFrame:
 
     The sketch leaves out what a task has met once only; most of that is unique.
     """
-    schema = pa.schema([("kind", pa.int32()), ("i", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("keys", pa.list_(pa.int64())), ("r", pa.int32()), ("salt", pa.int32()), ("blob", pa.binary())])
+    schema = pa.schema(
+        [
+            ("kind", pa.int32()), ("i", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()),
+            ("keys", pa.list_(pa.int64())), ("r", pa.int32()), ("salt", pa.int32()), ("blob", pa.binary())
+        ]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -100,7 +105,14 @@ def _stats(df: DataFrame, size: int) -> DataFrame:
             np.add.at(sums, (all_of & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), np.uint32(1))
             m = len(n)
             none = lambda t: pa.nulls(m, t)
-            yield pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int32()), batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), none(pa.int32()), none(pa.int32()), none(pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([0] * m, pa.int32()), batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()),
+                    pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(keys, pa.list_(pa.int64())),
+                    none(pa.int32()), none(pa.int32()), none(pa.binary())
+                ],
+                schema=schema
+            )
         for r in range(len(sums) // BLOCK):
             part = sums[r * BLOCK : (r + 1) * BLOCK]
             part = np.where(part > 1, part, 0)
@@ -135,14 +147,20 @@ def frequency_classes(stats: DataFrame) -> np.ndarray:
         return counts
 
     def merge(table: pa.Table) -> pa.Table:
-        return pa.table({"r": table.column("r")[:1], "salt": table.column("salt")[:1], "blob": pa.array([_pack(total(table))], pa.binary())})
+        return pa.table(
+            {"r": table.column("r")[:1], "salt": table.column("salt")[:1], "blob": pa.array([_pack(total(table))], pa.binary())}
+        )
 
     def classify(table: pa.Table) -> pa.Table:
         classes = np.minimum(8 * np.log2(1.0 + total(table)), 255).astype(np.uint8)
         return pa.table({"r": table.column("r")[:1], "blob": pa.array([classes.tobytes()], pa.binary())})
 
-    parts = stats.filter("kind = 1").select("r", "salt", "blob").groupBy("r", "salt").applyInArrow(merge, "r int, salt int, blob binary")
-    parts = parts.withColumn("salt", F.floor(F.col("salt") / FAN).cast("int")).groupBy("r", "salt").applyInArrow(merge, "r int, salt int, blob binary")
+    parts = stats.filter("kind = 1").select("r", "salt", "blob").groupBy("r", "salt").applyInArrow(
+        merge, "r int, salt int, blob binary"
+    )
+    parts = parts.withColumn(
+        "salt", F.floor(F.col("salt") / FAN).cast("int")
+    ).groupBy("r", "salt").applyInArrow(merge, "r int, salt int, blob binary")
     out = np.zeros(1 << SKETCH_BITS, np.uint8)
     for row in parts.groupBy("r").applyInArrow(classify, "r int, blob binary").toLocalIterator():
         out[row["r"] * BLOCK : (row["r"] + 1) * BLOCK] = np.frombuffer(row["blob"], np.uint8)
@@ -183,20 +201,29 @@ def shared_prefixes(df: DataFrame, classes: Broadcast, size: int, percent: int,
             t, d, o, r = t[order], d[order], o[order], r[order]
             cuts = np.append(np.nonzero(np.append(True, r[1:] != r[:-1]))[0], len(r))
             rows = [(int(r[a]), t[a:b].tobytes(), d[a:b].tobytes(), o[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["r", "t", "d", "o"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))],
+                names=["r", "t", "d", "o"]
+            )
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [batch for batch in batches if batch.num_rows]
         if not rows:
             return
-        t, d, o = (np.concatenate([np.frombuffer(b, kind) for batch in rows for b in batch.column(name).to_pylist()]) for name, kind in (("t", np.uint64), ("d", np.int64), ("o", np.int32)))
+        t, d, o = (
+            np.concatenate([np.frombuffer(b, kind) for batch in rows for b in batch.column(name).to_pylist()]) for name,
+            kind in (("t", np.uint64), ("d", np.int64), ("o", np.int32))
+        )
         del rows
         t, d, o = _distinct(t, d, o)
         alike = t[1:] == t[:-1]
         keep = np.nonzero(np.append(alike, False) | np.append(False, alike))[0]
         for at in range(0, len(keep), 1 << 16):
             k = keep[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(t[k]), pa.int64()), pa.array(d[k], pa.int64()), pa.array(o[k], pa.int32())], names=["token", "d1", "pos"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(_signed(t[k]), pa.int64()), pa.array(d[k], pa.int64()), pa.array(o[k], pa.int32())],
+                names=["token", "d1", "pos"]
+            )
 
     # Range k is partition k, so ranges are even tasks.
     dealt = df.select("x").mapInArrow(emit, "r int, t binary, d binary, o binary").repartitionById(ranges, F.col("r"))
@@ -210,7 +237,9 @@ def id_filter(ids: DataFrame) -> tuple[bytes, int]:
     """
     bits = 1 << min(26, max(16, (16 * ids.count()).bit_length()))
     h = F.pmod(F.xxhash64("i"), F.lit(bits)) + 1
-    rows = ids.select(h.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("m")).collect()
+    rows = ids.select(h.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("b")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("m")
+    ).collect()
     out = bytearray(bits // 8)
     for r in rows:
         out[(r["b"] - 1) * 4096 : (r["b"] - 1) * 4096 + min(4096, len(out))] = r["m"][: len(out)]
@@ -308,9 +337,15 @@ def probe(members: DataFrame, queries: DataFrame, sets: DataFrame, percent: int,
     asked = queries.groupBy("g", "p").agg(F.ceil(F.count("*") / CHUNK_QUERIES).cast("int").alias("copies")).filter("copies > 1")
     asked = stored(asked, "asked")
     copies = F.coalesce("copies", F.lit(1))
-    held = members.join(asked, ["g", "p"], "left").select("g", "p", F.explode(F.sequence(F.lit(0), copies - 1)).alias("s"), "i", F.lit(0).alias("role"))
-    asks = queries.join(asked, ["g", "p"], "left").select("g", "p", F.pmod(F.xxhash64("i", F.lit(1)), copies).cast("int").alias("s"), "i", F.lit(1).alias("role"))
-    dealt = held.unionByName(asks).join(sets, "i").select("g", "p", "s", "role", "i", "set").repartition("g", "p", "s").sortWithinPartitions("g", "p", "s", "role")
+    held = members.join(asked, ["g", "p"], "left").select(
+        "g", "p", F.explode(F.sequence(F.lit(0), copies - 1)).alias("s"), "i", F.lit(0).alias("role")
+    )
+    asks = queries.join(asked, ["g", "p"], "left").select(
+        "g", "p", F.pmod(F.xxhash64("i", F.lit(1)), copies).cast("int").alias("s"), "i", F.lit(1).alias("role")
+    )
+    dealt = held.unionByName(asks).join(sets, "i").select(
+        "g", "p", "s", "role", "i", "set"
+    ).repartition("g", "p", "s").sortWithinPartitions("g", "p", "s", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, chunk, parts = None, Chunk(), None
@@ -344,7 +379,9 @@ def _links(links: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*links)], names=["a", "b"])
 
 
-def similarity_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
+def similarity_groups(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85
+) -> DataFrame:
     """id, ``n_shingles`` and ``component_id`` for each row of ``df``.
 
     Sets of at least ``percent`` per cent Jaccard similarity are linked; the component is the
@@ -365,15 +402,24 @@ def similarity_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Clusters: representatives that share a band; groups: what is similar in them.
     sc = df.sparkSession.sparkContext
     keyed = reps.select("rep", F.posexplode("keys").alias("j", "key"))
-    firsts = keyed.groupBy("j", "key").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z").select("j", "key", "a")
+    firsts = keyed.groupBy("j", "key").agg(
+        F.min("rep").alias("a"), F.max("rep").alias("z")
+    ).filter("a < z").select("j", "key", "a")
     tied = components(keyed.join(firsts, ["j", "key"]).select("a", F.col("rep").alias("b")))
-    clustered = tied.select(F.col("root").alias("g"), F.col("node").alias("i")).unionByName(tied.select(F.col("root").alias("g"), F.col("root").alias("i")).distinct())
+    clustered = tied.select(F.col("root").alias("g"), F.col("node").alias("i")).unionByName(
+        tied.select(F.col("root").alias("g"), F.col("root").alias("i")).distinct()
+    )
     clustered = stored(clustered.join(reps.select(F.col("rep").alias("i"), "n"), "i"), "clusters")
-    about = clustered.groupBy("g").agg(F.count("*").alias("m"), F.sum("n").alias("tokens"), F.array_distinct(F.array(*[F.min_by("i", F.xxhash64("i", F.lit(k))) for k in range(LEADERS)])).alias("l"))
+    about = clustered.groupBy("g").agg(
+        F.count("*").alias("m"), F.sum("n").alias("tokens"),
+        F.array_distinct(F.array(*[F.min_by("i", F.xxhash64("i", F.lit(k))) for k in range(LEADERS)])).alias("l")
+    )
     # Written before it is joined, so that Spark can split the rows of one large cluster over tasks.
     about = stored(about.select("g", chunks_of(F.col("m"), F.col("tokens")).alias("chunks"), "l"), "about")
     members = clustered.join(about.select("g", "chunks"), "g").select("g", own_chunk(F.col("i"), F.col("chunks")).alias("p"), "i")
-    leaders = about.filter("chunks > 1").select("g", F.explode("l").alias("i"), "chunks").select("g", every_chunk(F.col("chunks")), "i")
+    leaders = about.filter("chunks > 1").select(
+        "g", F.explode("l").alias("i"), "chunks"
+    ).select("g", every_chunk(F.col("chunks")), "i")
     sets, filtered = sets_of(rows, clustered.select("i"), size)
     near = stored(probe(members, leaders, sets, percent, inside=True), "near")
     filtered.destroy()
@@ -384,23 +430,41 @@ def similarity_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ranges = max(12, int(total * (100 - percent) / 100 / 400_000))
     sketch = sc.broadcast(frequency_classes(stats))
     shared = shared_prefixes(rows, sketch, size, percent, ranges)
-    group_of = reps.select("d1", "n", "rep").join(grouped, F.col("rep") == F.col("node"), "left").select("d1", "n", "rep", F.coalesce("root", "rep").alias("g"))
+    group_of = reps.select("d1", "n", "rep").join(grouped, F.col("rep") == F.col("node"), "left").select(
+        "d1", "n", "rep", F.coalesce("root", "rep").alias("g")
+    )
     group_of = stored(group_of, "groups")
     # Of a group of one, all is known; the others' sizes are written before they are joined (see above).
     sizes = group_of.groupBy("g").agg(F.count("*").alias("m"), F.sum("n").alias("tokens")).filter("m > 1")
     sizes = stored(sizes.select("g", "m", chunks_of(F.col("m"), F.col("tokens")).alias("chunks")), "sizes")
     postings = stored(shared.join(group_of, "d1").select("token", "pos", "rep", "n", "g"), "matrix")
     sketch.destroy()
-    spread_out = stored(postings.groupBy("token").agg(F.min("g").alias("g1"), F.max("g").alias("g2")).filter("g1 <> g2").select("token"), "spread")
-    matrix = postings.join(spread_out, "token").join(sizes.select("g", "m"), "g", "left").withColumn("m", F.coalesce("m", F.lit(1)))
-    cells = matrix.groupBy("token", "g").agg(F.max("m").alias("m"), F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("pos")).alias("rest"))
-    asks = matrix.select("token", F.col("rep").alias("q"), F.col("n").alias("qn"), F.col("pos").alias("qpos"), F.col("g").alias("qg"), F.col("m").alias("qm"))
+    spread_out = stored(
+        postings.groupBy("token").agg(F.min("g").alias("g1"), F.max("g").alias("g2")).filter("g1 <> g2").select("token"),
+        "spread"
+    )
+    matrix = postings.join(spread_out, "token").join(
+        sizes.select("g", "m"), "g", "left"
+    ).withColumn("m", F.coalesce("m", F.lit(1)))
+    cells = matrix.groupBy("token", "g").agg(
+        F.max("m").alias("m"), F.min("n").alias("least"), F.max("n").alias("most"),
+        F.max(F.col("n") - F.col("pos")).alias("rest")
+    )
+    asks = matrix.select(
+        "token", F.col("rep").alias("q"), F.col("n").alias("qn"), F.col("pos").alias("qpos"), F.col("g").alias("qg"),
+        F.col("m").alias("qm")
+    )
     # The query is of the smaller group (by size, then name).  Lengths must be compatible, and from the first
     # token that two sets share on, both must have enough tokens left for the overlap they need.
     fits = f"qn * {percent} <= most * 100 and least * {percent} <= qn * 100 and least(qn - qpos, rest) * {100 + percent} >= {percent} * (qn + least)"
     open_ = asks.join(cells, "token").filter(f"(qm < m or qm = m and qg > g) and {fits}")
     open_ = stored(open_.select("q", "g").distinct(), "open")
-    opened = stored(open_.select("g").distinct().join(sizes.select("g", "chunks"), "g", "left").select("g", F.coalesce("chunks", F.lit(1)).alias("chunks")), "opened")
+    opened = stored(
+        open_.select("g").distinct().join(sizes.select("g", "chunks"), "g", "left").select(
+            "g", F.coalesce("chunks", F.lit(1)).alias("chunks")
+        ),
+        "opened"
+    )
     inside = group_of.join(opened, "g").select("g", own_chunk(F.col("rep"), F.col("chunks")).alias("p"), F.col("rep").alias("i"))
     queries = open_.join(opened, "g").select("g", every_chunk(F.col("chunks")), F.col("q").alias("i"))
     wanted = inside.select("i").unionByName(open_.select(F.col("q").alias("i"))).distinct()
@@ -410,7 +474,9 @@ def similarity_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for table in (clustered, about, postings, spread_out, open_, opened, sizes, group_of):
         drop_stored(table)
 
-    same = named.join(reps.select("d1", "d2", "n", "rep"), ["d1", "d2", "n"]).filter("i <> rep").select(F.col("rep").alias("a"), F.col("i").alias("b"))
+    same = named.join(
+        reps.select("d1", "d2", "n", "rep"), ["d1", "d2", "n"]
+    ).filter("i <> rep").select(F.col("rep").alias("a"), F.col("i").alias("b"))
     final = components(near.unionByName(far).unionByName(same))
     out = every.join(final, F.col("i") == F.col("node"), "left")
     return out.select(F.col("i").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "i").alias("component_id"))
