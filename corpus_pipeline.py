@@ -44,18 +44,27 @@ def near_duplicates(spark: SparkSession, df: DataFrame, sf_dir: str) -> DataFram
     """
     rows = df.select(*COLUMNS).withColumn("__h", F.xxhash64("text"))
     # What has one row for each text or group is written before it is joined, so that Spark can split the rows of a large one.
-    groups = jaccard.similarity_groups(rows, id_col="__h", size=5, percent=80).groupBy("__h").agg(F.first("n_shingles").alias("n"), F.first("component_id").alias("c"))
+    groups = jaccard.similarity_groups(rows, id_col="__h", size=5, percent=80).groupBy("__h").agg(
+        F.first("n_shingles").alias("n"), F.first("component_id").alias("c")
+    )
     groups = stored(groups, "groups")
     keys = rows.groupBy("doc_id", "__h").agg(F.count("*").alias("copies")).join(groups, "__h")
     keys = stored(keys.select("doc_id", "__h", "copies", "n", "c"), "keys")
     place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("__h").alias("h"))
     first = stored(keys.filter("n > 0").groupBy("c").agg(F.min(place).alias("first")), "first")
     dropped = keys.filter("n > 0").join(first, "c").filter(place != F.col("first")).select("doc_id", "__h")
-    kept = rows.join(dropped.select(F.col("doc_id").alias("i"), F.col("__h").alias("h")), F.expr("doc_id <=> i and __h = h"), "left_anti")
-    again = keys.filter("copies > 1 and (n > 0 or doc_id is not null)").select(F.col("doc_id").alias("i"), F.col("__h").alias("h"))
+    kept = rows.join(
+        dropped.select(F.col("doc_id").alias("i"), F.col("__h").alias("h")), F.expr("doc_id <=> i and __h = h"),
+        "left_anti"
+    )
+    again = keys.filter("copies > 1 and (n > 0 or doc_id is not null)").select(
+        F.col("doc_id").alias("i"), F.col("__h").alias("h")
+    )
     if again.limit(1).count():
         same = F.expr("doc_id <=> i and __h = h")
-        kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "__h"]))
+        kept = kept.join(again, same, "left_anti").unionByName(
+            kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "__h"])
+        )
     return kept.select(*COLUMNS)
 
 
