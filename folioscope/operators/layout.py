@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import WS
+from ..functions.text import WS, let
 
 # List markers.
 BULLET = rf"\A[{WS}]*[•◦▪●‣∙·○♦][{WS}]*([^{WS}].*)\z"
@@ -66,11 +66,6 @@ def vocabulary(lines: Column) -> Column:
     return F.array_distinct(words)
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is worked out once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def join_lines(lines: Column, words: Column) -> Column:
     """One paragraph of an array of lines.
 
@@ -111,7 +106,7 @@ def join_lines(lines: Column, words: Column) -> Column:
     def joined(own: Column) -> Column:
         after = F.slice(own, F.lit(2), F.size(own))
         split = F.array_compact(F.zip_with(own, after, lambda a, b: F.when(hyphen(a["tail"], b), merged(a["tail"], b))))
-        joints = _let(F.array_intersect(words, split), lambda known: decide(own, known))
+        joints = let(F.array_intersect(words, split), lambda known: decide(own, known))
 
         def piece(x: Column, joint: Column) -> Column:
             text = F.coalesce(x["x"], F.lit(""))
@@ -121,7 +116,7 @@ def join_lines(lines: Column, words: Column) -> Column:
 
         return F.array_join(F.zip_with(own, F.slice(joints, F.lit(2), F.greatest(F.size(own) - 1, F.lit(0))), piece), "")
 
-    return _let(F.transform(lines, seen), joined)
+    return let(F.transform(lines, seen), joined)
 
 
 def classify_lines(lines: DataFrame, order: list[str], doc: str = "doc_id", start: str | None = None) -> DataFrame:
