@@ -6,8 +6,11 @@ arrival run as one Arrow function a page.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -329,23 +332,43 @@ def low_confidence_words(words: DataFrame, page_height: Column, o: HandwritingOp
 
 
 def word_rows(words: DataFrame) -> DataFrame:
-    """``row`` of every word, with ``gap_limit``: words join a row while their centre is near its moving middle."""
+    """``row`` of every word, with ``gap_limit``: words join a row while their centre is near its moving middle.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(cy=pdf.y + pdf.h / 2.0).sort_values(["cy", "x", "word"], kind="stable")
-        h = np.sort(pdf.h.to_numpy(float))
-        median = h[len(h) // 2]
-        tolerance, row, at, rows = max(6.0, median * 0.7), -1, None, []
-        for y in pdf.cy:
-            if at is not None and abs(y - at) <= tolerance:
-                at = (at + y) / 2.0
-            else:
-                row, at = row + 1, y
-            rows.append(row)
-        return pdf.drop(columns="cy").assign(row=np.array(rows, np.int32), gap_limit=max(median * 3.0, 30.0))
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in words.schema) + ", row int, gap_limit double"
-    return words.groupBy(*PAGE).applyInPandas(run, schema)
+    Words arrive in order, page after page, so one loop goes through all pages of a task; only what
+    it knows of the page it is in is kept, however long that page is.
+    """
+    at = [F.asc_nulls_last(c) for c in ("__cy", "x", "word")]
+    whole = Window.partitionBy(*PAGE)
+    rank = F.floor(F.count("*").over(whole) / 2) + 1
+    df = words.withColumns(
+        {"__k": F.row_number().over(whole.orderBy(F.asc_nulls_last("h"))) == rank, "__cy": F.col("y") + F.col("h") / 2.0}
+    )
+    median = F.max(F.when(F.col("__k"), F.col("h").cast("double"))).over(whole)
+    df = df.withColumn("__median", median).withColumn("__first", F.row_number().over(whole.orderBy(*at)) == 1)
+    df = df.select(
+        *words.columns, F.greatest(F.col("__median") * 3.0, F.lit(30.0)).alias("gap_limit"), "__first", "__cy",
+        F.greatest(F.lit(6.0), F.col("__median") * 0.7).alias("__near")
+    ).sortWithinPartitions(*[F.asc(k) for k in PAGE], *at)
+
+    names = [*words.columns, "row", "gap_limit"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, middle = -1, 0.0
+        for batch in batches:
+            *own, gap, first, cy, near = batch.columns
+            rows = []
+            for new, y, most in zip(first.to_pylist(), cy.to_numpy(zero_copy_only=False).tolist(), near.to_pylist()):
+                if new:
+                    row, middle = 0, y
+                elif abs(y - middle) <= most:
+                    middle = (middle + y) / 2.0
+                else:
+                    row, middle = row + 1, y
+                rows.append(row)
+            yield pa.RecordBatch.from_arrays([*own, pa.array(rows, pa.int32()), gap], names=names)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in words.schema) + ", row int, gap_limit double"
+    return df.mapInArrow(run, schema)
 
 
 def word_regions(words: DataFrame) -> DataFrame:

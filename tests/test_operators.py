@@ -81,6 +81,44 @@ def test_word_rows_and_otsu(spark):
     ).first()[:] == (255, True)
 
 
+def test_word_rows_of_many_pages(spark):
+    """All pages of a task go through one loop, whatever the batches they arrive in; as page by page."""
+    rng = np.random.default_rng(3)
+    rows = [
+        (d, p, k, int(rng.integers(0, 90)), int(rng.integers(0, 120)), 9, None if d in (7, 57) else int(rng.integers(4, 30)))
+        for d in [None, *range(120)] for p in range(2) for k in range(int(rng.integers(1, 40)))
+    ]
+    words = spark.createDataFrame(rows, "doc_id long, page int, word int, x int, y int, w int, h int")
+    want = {}
+    for key in {r[:2] for r in rows}:
+        own = [r for r in rows if r[:2] == key]
+        heights = sorted(r[6] for r in own if r[6] is not None)
+        median = heights[len(own) // 2] if heights else None
+        near, row, at = 6.0 if median is None else max(6.0, median * 0.7), -1, None
+        for r in sorted(own, key=lambda r: (r[4] + (r[6] or 0) / 2, r[3], r[2])):
+            y = float("nan") if r[6] is None else r[4] + r[6] / 2
+            if at is not None and abs(y - at) <= near:
+                at = (at + y) / 2
+            else:
+                row, at = row + 1, y
+            want[r[:3]] = row, 30.0 if median is None else max(30.0, median * 3.0)
+        if not heights:
+            # Without heights no word has a centre: each is a row, by x and word.
+            for k, r in enumerate(sorted(own, key=lambda r: (r[3], r[2]))):
+                want[r[:3]] = k, 30.0
+    bound = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(bound)
+    spark.conf.set(bound, 7)
+    try:
+        out = G.word_rows(words)
+        got = {(r["doc_id"], r["page"], r["word"]): (r["row"], r["gap_limit"]) for r in out.collect()}
+    finally:
+        spark.conf.set(bound, before)
+    assert got == want
+    # No call for each page: over small pages those were nearly all of the time.
+    assert "InPandas" not in out._jdf.queryExecution().toString()
+
+
 def test_overlaps(spark):
     boxes = spark.createDataFrame(
         [(1, 0, 0, 0, 0, 10, 10), (1, 0, 1, 2, 0, 10, 10), (1, 0, 2, 9, 9, 10, 10), (2, 0, 0, 0, 0, 10, 10)],
