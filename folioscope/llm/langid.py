@@ -21,6 +21,8 @@ from .common import docs, fold, map_arrow, prepare, release, resident, slices, s
 
 LONGEST = 4
 BORDER = 32
+#: Words that a task counts before it hands its counts on.
+KEPT = 100_000
 
 
 def grams(word: str) -> list[str]:
@@ -125,26 +127,29 @@ class Scorer:
         return [self.model.langs[b] if k else "und" for b, k in zip(best.tolist(), n.tolist())], np.where(n > 0, share, 0.0)
 
 
-def _counted(texts: pa.Array) -> tuple[Counter, Counter]:
-    """Words and n-grams of some texts together."""
+def _counted(texts: pa.Array, own: Counter) -> None:
+    """Add the words of some texts to a count."""
     s = stretches(texts)
     w = words(s.distinct, str.isalpha)
     times = np.bincount(s.codes, minlength=len(s.distinct))[w.owner]
-    own: Counter = Counter()
     for word, n in zip(w.strings(), times.tolist()):
         own[word] += n
+
+
+def _grams_of(own: Counter) -> Counter:
+    """The n-grams of counted words."""
     g: Counter = Counter()
     for word, n in own.items():
         for x in grams(word):
             g[x] += n
-    return own, g
+    return g
 
 
 def fit(
     labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    docs_per_lang: int = 1500, max_words: int = 60_000, max_grams: int = 60_000, max_langs: int = 500, seed: int = 5
+    docs_per_lang: int | None = 1500, max_words: int = 60_000, max_grams: int = 60_000, max_langs: int = 500, seed: int = 5
 ) -> LanguageModel:
-    """Fit on a bounded sample of labelled rows: about ``docs_per_lang`` whole texts a language.
+    """Fit on a bounded sample of labelled rows: about ``docs_per_lang`` whole texts a language, or on all where it is None.
 
     Rows with null text or language teach nothing.  Texts are drawn by a hash of id and text.  The
     ``max_langs`` languages with most rows are learned (ties go by name), and of each the
@@ -155,7 +160,7 @@ def fit(
         F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")
     )
     share = {
-        r["l"]: min(1.0, docs_per_lang / r["n"]) for r in df.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(max_langs).collect()
+        r["l"]: min(1.0, (docs_per_lang or r["n"]) / r["n"]) for r in df.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(max_langs).collect()
     }
     if not share:
         return LanguageModel({})
@@ -165,21 +170,46 @@ def fit(
     ).select("l", "t")
     schema = pa.schema([("l", pa.string()), ("kind", pa.string()), ("s", pa.string()), ("n", pa.int64())])
 
+    def rows(lang: str, kind: str, counter: Counter) -> Iterator[pa.RecordBatch]:
+        strings, times = list(counter), list(counter.values())
+        for a in range(0, len(strings), 10_000):
+            m = len(strings[a : a + 10_000])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([lang] * m), pa.array([kind] * m), pa.array(strings[a : a + m], pa.string()),
+                    pa.array(times[a : a + m], pa.int64())
+                ],
+                schema=schema
+            )
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
+        kept: dict[str, Counter] = {}
         for part in (p for b in batches for p in slices(b, 1)):
             for lang in part.column(0).unique().to_pylist():
-                for kind, counter in zip("wg", _counted(part.filter(pc.equal(part.column(0), lang)).column(1))):
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([lang] * len(counter)), pa.array([kind] * len(counter)),
-                            pa.array(list(counter), pa.string()), pa.array(list(counter.values()), pa.int64())
-                        ],
-                        schema=schema
-                    )
-
-    counted = sample.mapInArrow(
+                _counted(part.filter(pc.equal(part.column(0), lang)).column(1), kept.setdefault(lang, Counter()))
+            if sum(map(len, kept.values())) > KEPT:
+                for lang, own in kept.items():
+                    yield from rows(lang, "w", own)
+                kept = {}
+        for lang, own in kept.items():
+            yield from rows(lang, "w", own)
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Words of all texts together, so that the n-grams of each are made once."""
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(batch.columns, schema=schema)
+            kept: dict[str, Counter] = {}
+            for lang, word, n in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3))):
+                kept.setdefault(lang, Counter())[word] = n
+            for lang, own in kept.items():
+                yield from rows(lang, "g", _grams_of(own))
+
+    once = sample.mapInArrow(
         count, "l string, kind string, s string, n long"
+    ).groupBy("l", "kind", "s").agg(F.sum("n").alias("n"))
+    counted = once.mapInArrow(
+        expand, "l string, kind string, s string, n long"
     ).groupBy("l", "kind", "s").agg(F.sum("n").alias("n")).filter("n > 1")
     place = F.row_number().over(Window.partitionBy("l", "kind").orderBy(F.desc("n"), "s"))
     top = counted.withColumn("place", place).filter(

@@ -491,3 +491,43 @@ def test_importance_selects(spark, sf_dir):
     assert importance.resample(edge_table(spark), labels.filter("quality = 5")).filter("selected").count() == 2 * len(EDGES) + 1
     assert importance.resample(edge_table(spark), labels.limit(0)).count() == 2 * len(EDGES) + 1
     assert importance.resample(df.limit(0), labels).count() == 0
+
+
+def test_toxicity_learns_from_all_labelled_texts(spark, monkeypatch):
+    """No draw of labelled texts, no bound of their words: counts are of all but the calibrating fifth."""
+    import zlib
+
+    n = 8000
+    df = spark.range(n).selectExpr("id doc_id", "concat('plain words ', id % 50) text", "'en' lang")
+    labels = spark.range(n).selectExpr("id doc_id", "int(id % 3 = 0) toxic")
+    seen = []
+    first = toxicity._init
+    monkeypatch.setattr(toxicity, "_init", lambda counts, n, rng: seen.append((counts, n)) or first(counts, n, rng))
+    toxicity.fit(df.unionByName(df), labels, rounds=0)
+    teach = [k for k in range(n) if zlib.crc32(f"3:{k}".encode()) % 5]
+    want = [sum(k % 3 != 0 for k in teach), sum(k % 3 == 0 for k in teach)]
+    assert seen[0][1].tolist() == want and seen[0][0][:, np.unique(toxicity.buckets(["plain"]))].T.tolist() == [want] * 3
+
+
+def test_toxicity_in_shards_and_long_texts(toxic_corpus, spark):
+    """Shards that are averaged learn, the same each time; a word that only texts of over 10,000 words have is learned."""
+    df, labels = toxic_corpus
+    long = spark.range(1000, 1120).selectExpr(
+        "id doc_id", "concat(repeat('calm ', 10001), if(id % 2 = 0, 'wicked', 'kindly')) text", "'en' lang", "'s' source"
+    )
+    more = labels.unionByName(long.selectExpr("doc_id", "int(doc_id % 2 = 0) toxic"))
+    both = df.unionByName(long)
+    model = toxicity.fit(both, more, shard=200)
+    got = toxicity.score(both, model).join(more, "doc_id").collect()
+    assert sum(r["predicted"] == r["toxic"] for r in got) >= 0.95 * len(got)
+    assert sum(r["predicted"] == r["toxic"] for r in got if r["doc_id"] >= 1000) >= 115
+    again = toxicity.fit(both.repartition(7), more, shard=200)
+    assert np.array_equal(again.embed, model.embed) and again.thresholds == model.thresholds
+    long_text = toxicity.buckets(["calm"] * 7 + ["wicked"])
+    whole = toxicity._forward(model, long_text)
+    toxicity_block, toxicity.BLOCK = toxicity.BLOCK, 3
+    try:
+        cut = toxicity._forward(model, long_text)
+    finally:
+        toxicity.BLOCK = toxicity_block
+    assert np.allclose(whole[0], cut[0]) and (whole[1] == cut[1]).all()
