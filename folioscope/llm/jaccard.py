@@ -29,6 +29,8 @@ _P = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19
 SKETCH_BITS, BLOCK = 24, 1 << 16
 #: Parts of the sketch that are summed at once.
 FAN = 64
+#: Parts in which the classes reach the driver.
+FETCHES = 8
 #: Documents and tokens in a chunk of a group (one longer document is a chunk's all), and queries that one copy of it answers.
 CHUNK, CHUNK_TOKENS, CHUNK_QUERIES = 256, 1 << 20, 4096
 #: Bands by which representatives are grouped, and min-wise values of a band.
@@ -162,7 +164,9 @@ def frequency_classes(stats: DataFrame) -> np.ndarray:
         "salt", F.floor(F.col("salt") / FAN).cast("int")
     ).groupBy("r", "salt").applyInArrow(merge, "r int, salt int, blob binary")
     out = np.zeros(1 << SKETCH_BITS, np.uint8)
-    for row in parts.groupBy("r").applyInArrow(classify, "r int, blob binary").toLocalIterator():
+    # A local iterator runs a job for each partition, whose stages the driver remembers: few partitions of 2 MB.
+    done = parts.groupBy("r").applyInArrow(classify, "r int, blob binary").coalesce(FETCHES)
+    for row in done.toLocalIterator():
         out[row["r"] * BLOCK : (row["r"] + 1) * BLOCK] = np.frombuffer(row["blob"], np.uint8)
     return out
 

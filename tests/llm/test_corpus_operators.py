@@ -649,3 +649,26 @@ def test_pipeline(spark, sf_dir):
     assert rows_of(cp.run(spark, sf_dir).select("doc_id", "ids_sha256"))[1] == sorted(
         (repr(r["doc_id"]), repr(r["ids_sha256"])) for r in after
     )
+
+
+def test_sketch_reaches_the_driver_in_few_jobs(spark):
+    """Not in a job for each shuffle partition, all of which the driver would remember."""
+    from folioscope.llm import jaccard
+
+    df = spark.range(40).selectExpr("id i", "concat_ws(' ', sequence(id, id + 30)) x")
+    stats = jaccard._stats(df, 4).cache()
+    stats.count()
+    names = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    sc = spark.sparkContext
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        sc.setJobGroup("sketch", "sketch")
+        classes = jaccard.frequency_classes(stats)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        stats.unpersist()
+    assert classes.any() and len(sc.statusTracker().getJobIdsForGroup("sketch")) < 32
