@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from sys import intern
 
 import numpy as np
@@ -49,7 +50,7 @@ class BpeTransducer:
         self._parts: dict[int, tuple[int, int] | None] = {}
         self._right: dict[int, list[tuple[int, int]]] = {}
         self._left: dict[int, list[tuple[int, int]]] = {}
-        self._pair: dict[tuple[int, int], bool] = {}
+        self._pair: dict[int, bool] = {}
         self._children: list[dict[int, int]] = [{}]
         self._token: list[int] = [-1]
         for word, rank in ranks.items():
@@ -101,7 +102,7 @@ class BpeTransducer:
 
     def survives(self, a: int, b: int) -> bool:
         """Whether no merge takes place across the border of a and b, read one after the other."""
-        key = (a, b)
+        key = a << 32 | b
         known = self._pair.get(key)
         if known is None:
             left, right, i, j = self._edge(a, 1), self._edge(b, 0), 0, 0
@@ -125,8 +126,8 @@ class BpeTransducer:
 
     # -- the determinised machine -------------------------------------------------------------
     def _reset(self) -> None:
-        self._ids: dict[tuple, int] = {}
-        self._guesses: list[tuple] = []
+        self._ids: dict[bytes, int] = {}
+        self._guesses: list[bytes] = []
         self._outs: list[tuple[int, ...]] = [()]
         self._out_ids: dict[tuple[int, ...], int] = {(): 0}
         self._tail: list[int] = []
@@ -142,23 +143,30 @@ class BpeTransducer:
         return at
 
     def _intern(self, guesses: tuple) -> int:
-        at = self._ids.get(guesses)
+        """The number of a state; it is kept as three numbers a guess."""
+        packed = array("i", [x for node, last, owed in guesses for x in (node, last, self._out(owed))]).tobytes()
+        at = self._ids.get(packed)
         if at is None:
-            at = self._ids[guesses] = len(self._guesses)
-            self._guesses.append(guesses)
+            at = self._ids[packed] = len(self._guesses)
+            self._guesses.append(packed)
             self._tail.append(next((self._out(owed) for node, _, owed in guesses if node == 0), 0))
         return at
 
+    def _live(self, state: int) -> list[tuple[int, int, tuple[int, ...]]]:
+        """The guesses of a state: node, last token and tokens owed."""
+        x = array("i", self._guesses[state])
+        return [(x[k], x[k + 1], self._outs[x[k + 2]]) for k in range(0, len(x), 3)]
+
     def _step(self, state: int, byte: int) -> tuple[int, int]:
         """Subset construction for one state and byte: the next state and what is emitted."""
         whole, out, children, tokens, pair = None, [], self._children, self._token, self._pair
-        for node, last, owed in self._guesses[state]:
+        for node, last, owed in self._live(state):
             to = children[node].get(byte)
             if to is None:
                 continue
             token = tokens[to]
             if token >= 0 and whole is None:
-                known = last < 0 or pair.get((last, token))
+                known = last < 0 or pair.get(last << 32 | token)
                 if known or known is None and self.survives(last, token):
                     whole = (0, token, (*owed, token))
             if children[to]:
@@ -174,7 +182,7 @@ class BpeTransducer:
 
     def _restart(self, live: list[int]) -> list[int]:
         """Empty the table and go on from the guesses of some states; their new numbers."""
-        guesses = [self._guesses[state] for state in live]
+        guesses = [tuple(self._live(state)) for state in live]
         self._reset()
         return [self._intern(g) for g in guesses]
 

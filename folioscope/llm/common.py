@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 from collections.abc import Callable, Iterator
 
@@ -66,10 +68,25 @@ def resident(key: object, make: Callable[[], object]) -> object:
     return _resident[0][1]
 
 
+@functools.cache
+def _trim() -> Callable[[int], int]:
+    """The C library's way to return free memory, where it has one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError, TypeError):
+        return lambda _: 0
+
+
+def give_back() -> None:
+    """Return free memory to the system: else a worker keeps what its largest batch took, idle too."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def release() -> None:
     """Drop what this worker process keeps, and give free memory back."""
     _resident.clear()
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
@@ -100,6 +117,7 @@ def map_arrow(df: DataFrame, fn: Callable[..., list], schema: str, text: int = 1
                     [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(cols, arrow)],
                     schema=arrow
                 )
+            give_back()
 
     return df.mapInArrow(run, schema)
 

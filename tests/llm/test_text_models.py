@@ -531,3 +531,11 @@ def test_toxicity_in_shards_and_long_texts(toxic_corpus, spark):
     finally:
         toxicity.BLOCK = toxicity_block
     assert np.allclose(whole[0], cut[0]) and (whole[1] == cut[1]).all()
+
+
+def test_bpe_states_are_packed():
+    """A state is kept as bytes, three numbers a guess, and gives its guesses back."""
+    machine = bpe.BpeTransducer(bpe.load_ranks(PATH))
+    machine.encode_many([b" unquestionably", b" xqzzjk", "ĳß".encode()])
+    assert len(machine._guesses) > 10 and all(isinstance(g, bytes) and len(g) % 12 == 0 for g in machine._guesses)
+    assert all(machine._intern(tuple(machine._live(k))) == k for k in range(len(machine._guesses)))
