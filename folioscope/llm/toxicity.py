@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import langid
 from .batches import Stretches, Words, ranges, stretches, words
-from .common import docs, drop_stored, fold, map_arrow, prepare, release, resident, scope
+from .common import docs, drop_stored, fold, map_arrow, prepare, release, resident, stored
 from .jaccard import id_filter
 
 BUCKETS, HASHES, DIM = 1 << 16, 3, 8
@@ -34,6 +34,8 @@ BLOCK = 1 << 16
 PART, FAN = 1 << 14, 64
 #: Steps of the logit that a threshold may fall between, to a unit.
 GRID = 64
+#: Bytes of lessons that change places with each other from round to round.
+MIXED = 1 << 22
 
 
 def buckets(strings: list[str]) -> np.ndarray:
@@ -283,12 +285,13 @@ def _cut(counts: dict[int, list[int]]) -> float:
 
 def _lessons(
     df: DataFrame, lab: DataFrame, langs: Broadcast, held: Callable[[Column], Column], id_col: str, text_col: str,
-    max_words: int | None
+    max_words: int | None, shards: int, seed: int
 ) -> tuple[DataFrame, Broadcast]:
-    """``i``, ``y``, ``held``, ``lang`` (of held texts) and ``h``, the buckets of the words, of each text that ``lab`` (i, y) has a label for.
+    """``s``, ``y``, ``held``, ``lang`` (of held texts) and ``h``, the buckets of the words, of each text that ``lab`` (i, y) has a label for.
 
     Rows that repeat an id and its words are one text.  Texts are not shuffled: a bitmap of hashed ids lets those with
-    labels through, and few others, and only buckets meet the labels.  Also the broadcast that is read.
+    labels through, and few others, and only buckets meet the labels, once: where the shard ``s`` is partition s, in an
+    order that the ids alone decide.  Also the broadcast that is read.
     """
     bitmap, bits = id_filter(lab.select("i"))
     shared = df.sparkSession.sparkContext.broadcast(np.frombuffer(bitmap, np.uint8))
@@ -316,7 +319,28 @@ def _lessons(
         rows.select("i", "x", held(F.col("i")).alias("held"), F.pmod(F.xxhash64("i"), F.lit(bits)).alias("at")), read,
         f"i {kind}, held boolean, lang string, h binary, d binary", keeps=True
     )
-    return got.filter("h is not null").join(lab, "i").dropDuplicates(["i", "d"]), shared
+    both = got.filter("h is not null").unionByName(lab, allowMissingColumns=True)
+    dealt = both.withColumn("s", F.pmod(F.xxhash64("i", F.lit(seed)), F.lit(shards)).cast("int")).repartitionById(
+        shards, F.col("s")
+    ).sortWithinPartitions("s", F.xxhash64("i", F.lit(seed + 1)), "i", F.desc_nulls_last("y"), "d")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of an id, the label comes first; texts follow, equal ones together."""
+        release()
+        at = y = last = None
+        for batch in batches:
+            own, labels = [], []
+            for k, (i, label, d) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("i", "y", "d")))):
+                if label is not None:
+                    at, y, last = i, label, None
+                elif i == at and d != last:
+                    last = d
+                    own.append(k)
+                    labels.append(y)
+            s, calibrates, lang, h = (batch.column(c).take(pa.array(own, pa.int32())) for c in ("s", "held", "lang", "h"))
+            yield pa.RecordBatch.from_arrays([s, pa.array(labels, pa.int32()), calibrates, lang, h], names=["s", "y", "held", "lang", "h"])
+
+    return dealt.mapInArrow(meet, "s int, y int, held boolean, lang string, h binary"), shared
 
 
 def fit(
@@ -326,8 +350,8 @@ def fit(
 ) -> ConvModel:
     """Train on all labelled texts but every fifth by a hash of the id; those calibrate.
 
-    Texts are dealt into shards of about ``shard`` by a hash of the id.  In a round each shard goes on from the same
-    model, text after text in an order of its own, and the changes are averaged: of an embedding over the shards
+    Texts are dealt into shards of about ``shard`` by a hash of the id, once, and written.  In a round each shard goes on
+    from the same model, text after text in an order of its own, and the changes are averaged: of an embedding over the shards
     that changed it, of other weights over all.  The first embedding starts from counts of all training texts, and
     thresholds are read from counts of all calibrating ones at steps of the logit.  So only sums of fixed size
     reach the driver.  Languages are learned from all rows that have one.  Rows with null text, id or label teach nothing, nor, where
@@ -350,15 +374,14 @@ def fit(
         )
     langs = langid.fit(df, id_col, text_col, lang_col, docs_per_lang=None, max_words=20_000, max_grams=20_000)
     shared = sc.broadcast(langs)
-    with scope() as keep:
-        found, bitmap = _lessons(
-            df, lab, shared, lambda i: F.crc32(F.concat(F.lit(f"{seed}:"), i.cast("string")).cast("binary")) % 5 == 0, id_col,
-            text_col, max_words
-        )
-        rows = keep(found.select("i", "y", "held", "lang", "h"), "lessons")
+    found, bitmap = _lessons(
+        df, lab, shared, lambda i: F.crc32(F.concat(F.lit(f"{seed}:"), i.cast("string")).cast("binary")) % 5 == 0, id_col,
+        text_col, max_words, max(1, -(-sum(n.values()) // shard)), seed
+    )
+    rows = stored(found, "lessons")
     for read in (shared, bitmap):
         read.destroy()
-    model = _trained(rows.filter("not held"), sum(n.values()), rounds, shard, seed)
+    model = _trained(rows.filter("not held"), rounds, seed)
     model.langs = langs
     own = sc.broadcast(model)
 
@@ -385,8 +408,24 @@ def fit(
     return model
 
 
-def _trained(rows: DataFrame, labelled: int, rounds: int, shard: int, seed: int) -> ConvModel:
-    """The model after some rounds over all texts of ``rows`` (i, y, h)."""
+def _mixed(texts: Iterator[tuple[np.ndarray, int]], seed: int) -> Iterator[tuple[np.ndarray, int]]:
+    """The texts in another order: as many as fill MIXED bytes (one at least) change places with each other."""
+    rng, held, size = np.random.default_rng(seed), [], 0
+    for text in texts:
+        held.append(text)
+        size += text[0].nbytes
+        if size >= MIXED:
+            yield from (held[k] for k in rng.permutation(len(held)))
+            held, size = [], 0
+    yield from (held[k] for k in rng.permutation(len(held)))
+
+
+def _trained(rows: DataFrame, rounds: int, seed: int) -> ConvModel:
+    """The model after some rounds over all texts of ``rows`` (s, y, h), which holds shard after shard.
+
+    Rounds read it as it was written, without a shuffle.  A file is a shard, and a row group of it (128 MB, unless the
+    session says otherwise) comes to one task whole; of a larger shard each such part may be taught as a shard.
+    """
     sc = rows.sparkSession.sparkContext
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -404,29 +443,26 @@ def _trained(rows: DataFrame, labelled: int, rounds: int, shard: int, seed: int)
     model = _init(seen[:, :BUCKETS], n, np.random.default_rng(seed))
     weight = n.sum() / (2 * np.maximum(n, 1))
     cells, dense = BUCKETS * DIM, len(_dense(model))
-    shards = max(1, -(-labelled // shard))
     for k in range(rounds if n.sum() else 0):
         shared = sc.broadcast(model)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], seed: int = seed + k) -> Iterator[pa.RecordBatch]:
+            """Changes summed over the task's shards, and their number last."""
             release()
-            before = shared.value
-            own = _moved(before, np.zeros((1, 1)), np.zeros(dense))
-            texts = (
-                (np.frombuffer(blob, np.uint16).reshape(-1, HASHES), y) for batch in batches
-                for y, blob in zip(*(c.to_pylist() for c in batch.columns))
-            )
-            first = next(texts, None)
-            if first is not None:
-                changed = teach(own, itertools.chain([first], texts), weight)
-                moved = (own.embed.astype(np.float64) - before.embed).ravel()
-                yield from _parts(np.concatenate([moved, changed, _dense(own) - _dense(before), [1.0]]))
-
-        dealt = rows.select(
-            "i", "y", "h", F.pmod(F.xxhash64("i", F.lit(seed)), F.lit(shards)).cast("int").alias("s")
-        ).repartitionById(shards, F.col("s")).sortWithinPartitions(F.xxhash64("i", F.lit(seed + k + 1)), "i", "h")
+            before, sums = shared.value, np.zeros(cells + BUCKETS + dense + 1)
+            texts = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+            for _, shard in itertools.groupby(texts, lambda row: row[0]):
+                own = _moved(before, np.zeros((1, 1)), np.zeros(dense))
+                lessons = ((np.frombuffer(blob, np.uint16).reshape(-1, HASHES), y) for _, y, blob in shard)
+                changed = teach(own, _mixed(lessons, seed), weight)
+                sums[:cells] += (own.embed.astype(np.float64) - before.embed).ravel()
+                sums[cells : cells + BUCKETS] += changed
+                sums[cells + BUCKETS : -1] += _dense(own) - _dense(before)
+                sums[-1] += 1
+            yield from _parts(sums)
+
         total = _summed(
-            dealt.select("y", "h").mapInArrow(run, "r int, salt int, blob binary"), cells + BUCKETS + dense + 1
+            rows.select("s", "y", "h").mapInArrow(run, "r int, salt int, blob binary"), cells + BUCKETS + dense + 1
         )
         shared.destroy()
         by = np.maximum(total[cells : cells + BUCKETS], 1)[:, None]

@@ -533,6 +533,29 @@ def test_toxicity_in_shards_and_long_texts(toxic_corpus, spark):
     assert np.allclose(whole[0], cut[0]) and (whole[1] == cut[1]).all()
 
 
+def test_toxicity_deals_lessons_once(toxic_corpus, spark, monkeypatch):
+    """Counts and rounds read the shards as they were written, without an exchange; each holds its labelled texts once."""
+    df, labels = toxic_corpus
+    plans, tables = [], []
+    summed, keep = toxicity._summed, toxicity.stored
+    monkeypatch.setattr(
+        toxicity, "_summed", lambda parts, size: plans.append(parts._jdf.queryExecution().executedPlan().toString()) or summed(parts, size)
+    )
+    monkeypatch.setattr(toxicity, "stored", lambda found, name: tables.append(keep(found, name)) or tables[-1])
+    monkeypatch.setattr(toxicity, "drop_stored", lambda rows: None)
+    more = labels.unionByName(spark.sql("select 5L doc_id, 1 toxic union all select 70000L, 1"))
+    other = spark.sql("select 5L doc_id, 'another text' text, 'en' lang, 's' source union all select 80000L, 'no label', 'en', 's'")
+    toxicity.fit(df.unionByName(df).unionByName(other), more, shard=100, rounds=2)
+    assert len(plans) == 3 and not any("Exchange" in p for p in plans)
+    rows = tables[0].withColumn("file", F.input_file_name()).collect()
+    assert len(rows) == 901 and sum(r["y"] for r in rows) == 225 + 2
+    assert len({r["s"] for r in rows}) == 10 == len({(r["s"], r["file"]) for r in rows})
+    texts = [(np.zeros((k + 1, 3), np.uint16), k) for k in range(50)]
+    monkeypatch.setattr(toxicity, "MIXED", 600)
+    one, two = ([y for _, y in toxicity._mixed(iter(texts), seed)] for seed in (1, 2))
+    assert one != two and sorted(one) == sorted(two) == list(range(50)) and max(one[:14]) < 14
+
+
 def test_bpe_states_are_packed():
     """A state is kept as bytes, three numbers a guess, and gives its guesses back."""
     machine = bpe.BpeTransducer(bpe.load_ranks(PATH))
