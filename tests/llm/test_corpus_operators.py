@@ -672,3 +672,25 @@ def test_sketch_reaches_the_driver_in_few_jobs(spark):
             spark.conf.set(k, v)
         stats.unpersist()
     assert classes.any() and len(sc.statusTracker().getJobIdsForGroup("sketch")) < 32
+
+
+def test_few_links_are_joined_in_few_jobs(spark, monkeypatch):
+    """In one task, by numbers or strings, with the components that the steps over many links give."""
+    import random
+
+    rng = random.Random(5)
+    links = [(k, k + 1) for k in range(300)] + [(rng.randrange(400, 900), rng.randrange(400, 900)) for _ in range(300)]
+    numbers = spark.createDataFrame([(b, a) if rng.random() < 0.5 else (a, b) for a, b in links], "a long, b long")
+    strings = numbers.selectExpr("concat('n', a) a", "concat('n', b) b")
+    sc = spark.sparkContext
+    found = {}
+    for few in (1 << 17, 0):
+        monkeypatch.setattr(components, "FEW", few)
+        sc.setJobGroup(f"few {few}", "few")
+        try:
+            found[few] = [rows_of(components.components(df))[1] for df in (numbers, strings)]
+        finally:
+            sc.setLocalProperty("spark.jobGroup.id", None)
+    assert found[0] == found[1 << 17] and len(found[0][0]) > 500
+    jobs = {few: len(sc.statusTracker().getJobIdsForGroup(f"few {few}")) for few in found}
+    assert jobs[1 << 17] <= 16 and jobs[0] > 40, jobs
